@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where this machine keeps the public vocabulary; every executor has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsprism.llm.substring_dedup import dedup_substrings
 
@@ -22,8 +29,33 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm.decontaminate import find_contamination
+
+    out = find_contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm.bpe import encode_documents
+
+    out = encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm import shared, token_files
+
+    path = shared.new_path(importable(spark), "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), path, vocabulary())
+    return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_bpe": op5_bpe,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLE: dict[str, str] = {}
