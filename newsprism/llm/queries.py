@@ -36,6 +36,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.not_held_out())
+    return toxicity.score_toxicity(docs, model).select("doc_id", (~toxicity.not_held_out()).alias("held_out"), "score", "predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsprism.llm.bpe import encode_documents
 
@@ -43,6 +51,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm.url_filter import filter_urls
+
+    out = filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), table(spark, sf_dir, "labels"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm.html_text import extract_text
+
+    out = extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsprism.llm import shared, token_files
 
@@ -54,8 +76,43 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
+    "op7_url_filter": op7_url_filter,
+    "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+_SUFFIX = "CASE WHEN {h} = 'example.com' OR {h} LIKE '%.example.com' OR {h} = 'example.net' OR {h} LIKE '%.example.net' OR {h} = 'example.org' OR {h} LIKE '%.example.org' THEN array_to_string(string_split({h}, '.')[-2:], '.') ELSE string_split({h}, '.')[-1] END"
+
+
+def _strength_sql(n: str, bad: str, above: str, source: str) -> str:
+    r = f"(sum({n} * pow({bad} / {n} - {above}, 2)) - sum({above} * (1 - {above}))) / nullif(sum({above} * (1 - {above}) * ({n} - 1)), 0)"
+    return f"SELECT CASE WHEN {r} > 0 THEN least(greatest(1 / ({r}) - 1, 2.0), 200.0) ELSE 200.0 END AS m FROM {source} WHERE {n} > 0"
+
+
+ORACLE: dict[str, str] = {
+    "op7_url_filter": f"""
+WITH p AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+o AS (SELECT doc_id AS page_id, count(*) AS n, sum(1 - quality) AS bad FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+h0 AS (SELECT host, sum(coalesce(n, 0))::DOUBLE AS n, sum(coalesce(bad, 0))::DOUBLE AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+h1 AS (SELECT *, {_SUFFIX.format(h="host")} AS suffix FROM h0),
+h AS (SELECT *, array_to_string(string_split(host, '.')[-(len(string_split(suffix, '.')) + 1):], '.') AS domain FROM h1),
+d0 AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain),
+t0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY suffix),
+t1 AS (SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM t0) AS above FROM t0),
+t AS (SELECT *, (bad + m * above) / (n + m) AS mean FROM t1, ({_strength_sql("n", "bad", "above", "t1")})),
+d1 AS (SELECT d0.*, t.mean AS above FROM d0 JOIN t USING (suffix)),
+d AS (SELECT *, (bad + m * above) / (n + m) AS mean FROM d1, ({_strength_sql("n", "bad", "above", "d1")})),
+e1 AS (SELECT h.host, h.n, h.bad, d.mean AS above FROM h JOIN d USING (domain)),
+e AS (SELECT *, (bad + m * above) / (n + m) AS mean FROM e1, ({_strength_sql("n", "bad", "above", "e1")})),
+s AS (SELECT host, mean - 1.64 * sqrt(mean * (1 - mean) / (n + m + 1)) AS lower FROM e),
+r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) v(verdict, rhost, rpath)),
+f AS (SELECT p.page_id, p.host, p.path, s.lower, (SELECT max_by(r.rhost || r.rpath, length(r.rhost || r.rpath)) FROM r WHERE (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)) AS rule FROM p JOIN s USING (host))
+SELECT f.page_id, f.host, f.path, f.rule, coalesce(r.verdict, CASE WHEN lower >= 0.3 THEN 'block' ELSE 'allow' END) AS verdict
+FROM f LEFT JOIN r ON f.rule = r.rhost || r.rpath""",
+}
