@@ -22,6 +22,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsprism.llm.substring_dedup import dedup_substrings
 
@@ -51,6 +57,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_hash")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsprism.llm.url_filter import filter_urls
 
@@ -74,10 +86,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
+    "op6_near_dedup": op6_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
@@ -92,6 +106,15 @@ def _strength_sql(n: str, bad: str, above: str, source: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op1_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op7_url_filter": f"""
 WITH p AS (
   SELECT page_id, url,
