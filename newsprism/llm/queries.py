@@ -85,6 +85,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm.suffix_dedup import dedup_suffixes
+
+    out = dedup_suffixes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_substring_dedup": op2_substring_dedup,
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": op7_url_filter,
     "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _SUFFIX = "CASE WHEN {h} = 'example.com' OR {h} LIKE '%.example.com' OR {h} = 'example.net' OR {h} LIKE '%.example.net' OR {h} = 'example.org' OR {h} LIKE '%.example.org' THEN array_to_string(string_split({h}, '.')[-2:], '.') ELSE string_split({h}, '.')[-1] END"
