@@ -41,6 +41,8 @@ SPAN = LENGTH - GRAM + 1
 CHUNK_BYTES = 1 << 20
 #: Bytes of an anchor's hash beside its bucket's number; a false match only costs a comparison.
 ANCHOR_WIDTH = 4
+#: Anchors of a bucket, and suffixes that are put in order at once.
+BUCKET, SLICE = 400_000, 400_000
 RESULT = "n_bytes bigint, n_removed bigint, kept_bytes binary, spans array<struct<start:int,end:int>>"
 PIECES = "_bucket int, _block int, n int, places binary, data binary"
 ANSWER = "_block int, places binary, masks binary"
@@ -204,28 +206,29 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, order: np.ndarray, le
         return np.empty(0, bool)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), dtype=">u8", buffer=padded, strides=(1,))
-    keys = [eight[starts + k].astype(np.uint64) for k in range(0, length - 7, 8)]
-    if length % 8:
-        keys.append(eight[starts + length - 8].astype(np.uint64))  # overlaps the one before
-    # ranks of the first half and the second half, then of both: prefix doubling
-    rank = np.zeros(len(starts), np.int64)
-    for key in keys:
-        if rank.any() or key is not keys[0]:
-            _, inner = np.unique(key, return_inverse=True)
-            both = rank * (inner.max() + 1) + inner
-        else:
-            both = key
-        _, rank = np.unique(both, return_inverse=True)
-        if rank.max() + 1 == len(starts):
-            return np.zeros(len(starts), bool)  # all differ already
-    suffixes = np.lexsort((order, rank))
-    r, o = rank[suffixes], order[suffixes]
+    lanes = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]  # the last overlaps the one before
+    # a suffix whose prefix occurs once has no match; hashes tell before the order is made
+    h = np.full(len(starts), length, np.uint64)
+    for k in lanes:
+        h = vec.mix(h * np.uint64(vec.BASE) ^ eight[starts + k].astype(np.uint64))
+    by_hash = np.argsort(h)
+    twin = h[by_hash][1:] == h[by_hash][:-1]
+    twice = np.zeros(len(starts), bool)
+    twice[by_hash[1:][twin]] = twice[by_hash[:-1][twin]] = True
+    live = np.flatnonzero(twice)
+    out = np.zeros(len(starts), bool)
+    if not len(live):
+        return out
+    keys = np.stack([eight[starts[live] + k].astype(np.uint64) for k in lanes])
+    suffixes = np.lexsort((order[live], *keys[::-1]))
+    keys = keys[:, suffixes]
+    o = order[live][suffixes]
+    rank = np.cumsum(np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(0)]))
     before = smaller(o)
     behind = len(o) - 1 - smaller(o[::-1])[::-1]
-    hit = (before >= 0) & (r[before] == r)
-    hit |= (behind < len(o)) & (r[np.minimum(behind, len(o) - 1)] == r)
-    out = np.zeros(len(starts), bool)
-    out[suffixes] = hit
+    hit = (before >= 0) & (rank[before] == rank)
+    hit |= (behind < len(o)) & (rank[np.minimum(behind, len(o) - 1)] == rank)
+    out[live[suffixes]] = hit
     return out
 
 
@@ -256,13 +259,21 @@ def _settle(table: pa.Table) -> pa.Table:
     # pieces that differ under one anchor
     _, group, many = np.unique(anchor[one], return_inverse=True, return_counts=True)
     one = one[many[group] > 1]
-    n = windows[one]
-    owner = np.repeat(np.arange(len(one)), n)
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    hit = previous_factors(data, (end - size)[one][owner] + inner, doc[one][owner])
-    bits = np.zeros(len(one), np.uint32)
-    np.bitwise_or.at(bits, owner[hit], np.uint32(1) << inner[hit].astype(np.uint32))
-    mask[one] = bits
+    one = one[np.argsort(anchor[one], kind="stable")]
+    total = np.cumsum(windows[one])
+    edge = np.flatnonzero(np.concatenate([anchor[one][1:] != anchor[one][:-1], [True]])) + 1 if len(one) else []
+    i = 0
+    for j in edge:  # slices of whole anchors
+        if total[j - 1] - (total[i - 1] if i else 0) < SLICE and j < len(one):
+            continue
+        part, i = one[i:j], j
+        n = windows[part]
+        owner = np.repeat(np.arange(len(part)), n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = previous_factors(data, (end - size)[part][owner] + inner, doc[part][owner])
+        bits = np.zeros(len(part), np.uint32)
+        np.bitwise_or.at(bits, owner[hit], np.uint32(1) << inner[hit].astype(np.uint32))
+        mask[part] = bits
     out, at = [], 0
     for k, count in enumerate(counts.tolist()):
         own = mask[at : at + count]
@@ -321,7 +332,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     layout = B.plan(docs, id_col, text_col)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     dealt = B.deal(docs, id_col, text_col, layout, rest)
-    buckets = layout.buckets(layout.n_bytes / 13, 2_000_000)
+    buckets = layout.buckets(layout.n_bytes / 13, BUCKET)
     sent = dealt.groupBy(B.BLOCK).applyInArrow(_emit(buckets), B.SENT)
     found = B.exchange(sent, buckets, ANCHOR_WIDTH, False, layout.n)
     pieces = dealt.groupBy(B.BLOCK).cogroup(found.groupBy(B.BLOCK)).applyInArrow(_send_pieces(buckets), PIECES)
