@@ -135,7 +135,7 @@ h1 AS (SELECT *, {_SUFFIX.format(h="host")} AS suffix FROM h0),
 h AS (SELECT *, array_to_string(string_split(host, '.')[-(len(string_split(suffix, '.')) + 1):], '.') AS domain FROM h1),
 d0 AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain),
 t0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY suffix),
-t1 AS (SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM t0) AS above FROM t0),
+t1 AS (SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 10.0) FROM t0) AS above FROM t0),
 t AS (SELECT *, (bad + m * above) / (n + m) AS mean FROM t1, ({_strength_sql("n", "bad", "above", "t1")})),
 d1 AS (SELECT d0.*, t.mean AS above FROM d0 JOIN t USING (suffix)),
 d AS (SELECT *, (bad + m * above) / (n + m) AS mean FROM d1, ({_strength_sql("n", "bad", "above", "d1")})),

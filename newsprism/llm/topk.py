@@ -81,13 +81,13 @@ class CoverTree:
 class Search:
     """Best k data ids and scores of each query."""
 
-    def __init__(self, q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int):
+    def __init__(self, q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int, leaves: tuple[int, int] = (LEAF_QUERIES, LEAF_DATA)):
         self.k, self.q_ids, self.d_ids = k, q_ids, d_ids
         top = lambda x: int(np.abs(x).max()) if x.size else 0
         self.exact = max(q.shape[1], 1) * max(top(q), 1) * max(top(d), 1) < 1 << 53
         self.qi, self.di = q, d
         self.q, self.d = q.astype(np.float64), d.astype(np.float64)
-        self.qt, self.dt = CoverTree(self.q, LEAF_QUERIES), CoverTree(self.d, LEAF_DATA)
+        self.qt, self.dt = CoverTree(self.q, leaves[0]), CoverTree(self.d, leaves[1])
         self.scores = np.full((len(q), k), np.iinfo(np.int64).min, np.int64)
         self.ids = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
         self.full = np.zeros((len(q), k), bool)

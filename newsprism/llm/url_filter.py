@@ -32,6 +32,8 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 SUFFIXES = ("example.com", "example.net", "example.org")
 #: Standard deviations below the posterior mean, and the share of bad pages that blocks.
 Z, CUT = 1.64, 0.3
+#: Bad pages and pages that stand in for evidence at the top.
+BASE = (0.5, 10.0)
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 2.0, 200.0
 
@@ -99,7 +101,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[st
 
     domains = level(hosts, "domain", "suffix")
     tops = level(domains, "suffix", None)
-    base = tops.agg(F.expr("(sum(bad) + 0.5) / (sum(n) + 1)").alias("above"))
+    base = tops.agg(F.expr(f"(sum(bad) + {BASE[0]}) / (sum(n) + {BASE[1]})").alias("above"))
     tops = shrink(tops.crossJoin(F.broadcast(base)))  # one row
     domains = shrink(domains.join(tops.select("suffix", F.col("mean").alias("above")), "suffix"))
     hosts = shrink(hosts.drop("suffix").join(domains.select("domain", F.col("mean").alias("above")), "domain"))

@@ -1,0 +1,307 @@
+"""The corpus operators against brute force, and their defined edge cases."""
+
+import os
+import random
+import sys
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+import brute  # noqa: E402
+
+from newsprism.llm import bpe, decontaminate, html_text, near_dedup, queries, substring_dedup, suffix_dedup, token_files, topk, toxicity, url_filter  # noqa: E402
+from newsprism.llm.shared import new_path  # noqa: E402
+
+
+def make_corpus():
+    """Texts with exact and near copies, shared passages, one long text, and odd ones."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioulnrstdkéß") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [text(rng.randint(1, 120)) for _ in range(40)]
+    base, passage = text(150), text(60)
+    texts += [base] * 8
+    for _ in range(12):
+        w = base.split()
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(" ".join(w))
+    texts += [f"{text(20)} {passage}\n{text(15)}" for _ in range(10)]
+    long = text(6000)
+    texts += [long, long[:9000] + " " + text(50), "", " \t\n", None, "a", "A b\x0bC", "ÀB àb 中文 emoji 🚀 end", "x" * 3000, "the" * 900, passage + " " + passage]
+    rng.shuffle(texts)
+    return [(3 * i + 1, t) for i, t in enumerate(texts)]
+
+
+CORPUS = make_corpus()
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(CORPUS, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated rows, shared and null ids, null and empty texts, and columns of clashing names."""
+    rows = [(1, "a b c d e f g", "x", 7), (1, "a b c d e f g", "x", 7), (1, "other words here", "y", None), (None, "a b c d e f g", None, 1), (None, None, None, None), (2, None, "z", 0), (3, "", "z", 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_words string, score long")
+
+
+def table(df, *columns):
+    return {r[0]: tuple(r[1:]) for r in df.select(*columns).collect()}
+
+
+def test_substring_dedup(docs):
+    out = substring_dedup.dedup_substrings(docs)
+    assert table(out.withColumn("s", F.sha2("kept_text", 256)), "doc_id", "n_words", "n_removed", "s") == brute.substring_dedup(CORPUS)
+    for r in out.collect():
+        w = brute.WORD.findall(r.text or "")
+        assert sum(s.end - s.start for s in r.spans) == r.n_removed
+        gone = {k for s in r.spans for k in range(s.start, s.end)}
+        assert " ".join(x for k, x in enumerate(w) if k not in gone) == r.kept_text
+
+
+def test_substring_dedup_odd(odd):
+    out = substring_dedup.dedup_substrings(odd, window=3).collect()
+    # null ids come first; rows that share an id are one document, so the second copy repeats the first
+    assert sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in out) == [(0, "", 0), (0, "a b c d e f g", 0), (1, "a b c d e f g", 7), (1, "a b c d e f g", 7), (1, "other words here", 0), (2, "", 0), (3, "", 0)]
+    assert substring_dedup.dedup_substrings(odd.limit(0)).count() == 0
+
+
+def test_suffix_dedup(docs):
+    out = suffix_dedup.dedup_suffixes(docs)
+    assert table(out.withColumn("s", F.sha2("kept_bytes", 256)).withColumn("n", F.size("spans")), "doc_id", "n_bytes", "n_removed", "n", "s") == brute.byte_dedup(CORPUS)
+
+
+def test_suffix_dedup_odd(spark, odd):
+    assert suffix_dedup.dedup_suffixes(odd).count() == 7
+    assert suffix_dedup.dedup_suffixes(odd.limit(0)).count() == 0
+    same = spark.createDataFrame([(1, "q" * 80), (1, "q" * 80), (2, "q" * 80)], SCHEMA)
+    assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.dedup_suffixes(same).collect()) == [(1, 0), (1, 0), (2, 80)]
+
+
+def test_smaller_values():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 50, 400):
+        x = rng.integers(0, 20, n)
+        want = [next((j for j in range(i - 1, -1, -1) if x[j] < x[i]), -1) for i in range(n)]
+        assert suffix_dedup.smaller(x).tolist() == want
+
+
+def test_near_dedup(docs):
+    out = near_dedup.near_duplicates(docs)
+    assert table(out, "doc_id", "n_shingles", "component_id", "kept") == brute.near_dedup(CORPUS)
+
+
+def test_near_dedup_odd(odd):
+    out = near_dedup.near_duplicates(odd).collect()
+    assert len(out) == 7 and sum(r.kept for r in out) == 5
+    assert {r.component_id for r in out if r.doc_id is None} == {None}
+    assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_near_dedup_links_chains(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k + 1, " ".join(words[2 * k : 2 * k + 40])) for k in range(10)]
+    assert table(near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_shingles", "component_id", "kept") == brute.near_dedup(rows)
+
+
+def test_decontamination(spark, docs):
+    items = [(1, "one two"), (2, CORPUS[3][1] or "zz"), (3, CORPUS[20][1]), (4, None), (5, "..."), (None, CORPUS[25][1]), (3, "again three")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.find_contamination(docs, bench)
+    got = table(out.withColumn("n", F.size("items")).withColumn("s", F.sha2(F.array_join("items", ","), 256)), "doc_id", "n_words", "n_hit", "n", "s", "contaminated")
+    want = brute.contamination(CORPUS, [x for x in items if x[0] is not None])
+    hit = brute.contamination(CORPUS, items)
+    assert {k: (v[0], *v[2:4]) for k, v in got.items()} == {k: (v[0], *v[2:4]) for k, v in want.items()}
+    assert {k: (v[1], v[4]) for k, v in got.items()} == {k: (v[1], v[4]) for k, v in hit.items()}
+    assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_in_slices(docs, spark, monkeypatch):
+    bench = spark.createDataFrame([(k, CORPUS[k][1]) for k in range(0, 40, 3)], "item_id long, text string")
+    whole = sorted(map(str, decontaminate.find_contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 2000)
+    assert sorted(map(str, decontaminate.find_contamination(docs, bench).collect())) == whole
+
+
+def test_decontamination_odd(spark, odd):
+    bench = spark.createDataFrame([(1, "b c d")], "item_id long, text string")
+    out = decontaminate.find_contamination(odd, bench)
+    assert out.where("contaminated").count() == 3 and out.count() == 7
+    assert decontaminate.decontaminate(odd, bench).columns == odd.columns
+    cleaned = {r.text for r in decontaminate.remove_spans(out).where("contaminated").collect()}
+    assert cleaned == {"a e f g"}
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.vocabulary())
+
+
+def test_bpe(docs, tokenizer):
+    out = bpe.encode_documents(docs, queries.vocabulary())
+    got = table(out.withColumn("i", F.sha2("ids", 256)).withColumn("d", F.sha2("decoded", 256)), "doc_id", "n_tokens", "i", "d")
+    assert got == brute.bpe(CORPUS, tokenizer)
+
+
+@pytest.mark.parametrize("leaf", [3, 16, 512])
+def test_tree_concatenation(tokenizer, leaf):
+    codec, rng = bpe.Codec(queries.vocabulary(), leaf=leaf), random.Random(leaf)
+    for parts in ("ab", "aab", "theringan", ["th", "the", "ing", "er", "é", "1"]):
+        for n in (1, leaf, 5 * leaf + 1, 900):
+            text = "".join(rng.choice(parts) for _ in range(n))
+            assert codec.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_odd(odd):
+    out = bpe.encode_documents(odd, queries.vocabulary())
+    assert out.count() == 7 and out.where("text is null and n_tokens = 0 and decoded = ''").count() == 2
+    assert bpe.encode_documents(odd.limit(0), queries.vocabulary()).count() == 0
+
+
+def test_token_files(spark, docs, tokenizer):
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(docs, path, queries.vocabulary())
+    out = token_files.read_tokens(spark, path)
+    assert table(out.withColumn("c", F.crc32("ids")), "doc_id", "start", "n_tokens", "c") == brute.token_files(CORPUS, tokenizer)
+
+
+def test_token_files_odd(spark, odd):
+    for rows, n in ((odd, 7), (odd.limit(0), 0)):
+        path = new_path(spark, "tokens")
+        token_files.write_tokens(rows, path, queries.vocabulary())
+        out = token_files.read_tokens(spark, path).collect()
+        assert len(out) == n and sorted(r.start for r in out)[:1] == [0][:n]
+
+
+def test_direct_access():
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 10), (1, 1 << 31), (511, 200), (512, 1 << 16), (5000, 70000), (3000, 1 << 32)):
+        ids = rng.integers(0, top, n, dtype=np.uint64).astype(np.uint32)
+        seg = token_files.Segment(token_files.encode(ids))
+        assert len(seg) == n
+        at = rng.integers(0, n, 300) if n else np.empty(0, np.int64)
+        assert (seg.get(at) == ids[at]).all()
+        for a, b in ((0, n), (n // 3, n // 2), (n, n)):
+            assert (seg.slice(a, b) == ids[a:b]).all()
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(np.float32(x)) for x in rng.normal(0, 0.3, 8)]) for i in range(300)]
+    rows += [(i, rows[i - 300][1]) for i in range(300, 340)] + [(340, None), (341, [float("nan")] * 8), (342, [None] * 8), (343, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(df).collect())
+    assert got == sorted(brute.top_k(rows))
+    again = df.union(df.limit(30)).withColumn("score", F.lit("x"))
+    assert sorted(tuple(r) for r in topk.top_k(again).collect()) == got
+    assert topk.top_k(df.limit(0)).count() == 0
+    few = spark.createDataFrame(rows[:4], df.schema)
+    assert [r.rank for r in topk.top_k(few).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_tree_prunes_and_stays_exact():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-4000, 4000, (40, 3))
+    d = np.concatenate([c + rng.integers(-20, 20, (200, 3)) for c in centres])
+    q = d[::97]
+    s = topk.Search(q, np.arange(len(q)) + 10**6, d, np.arange(len(d)), 5, (4, 50))
+    want = -np.sort(-(q @ d.T), axis=1)[:, :5]
+    assert (s.scores == want).all() and s.pruned > s.visited
+    huge = topk.Search(q * 10**7, np.arange(len(q)) + 10**6, d * 10**7, np.arange(len(d)), 5)
+    assert not huge.exact and huge.full.all()
+    tree = topk.CoverTree(d.astype(float), 50)
+    for k in range(len(tree.centre)):
+        own = tree.x[tree.members[k]] - tree.x[tree.centre[k]]
+        assert np.sqrt((own * own).sum(1)).max() <= tree.radius[k] + 1e-9
+
+
+def test_toxicity(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 6 == 0
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randint(4, 12))) for _ in range(rng.randint(1, 12))]
+        if bad:
+            parts[rng.randrange(len(parts))] += f" vileword{rng.choice(['s', 'ing', 'ed', ''])} then"
+        rows.append((i, ". ".join(parts)))
+        labels.append((i, int(bad)))
+    df, known = spark.createDataFrame([*rows, (5000, None), (5001, "")], SCHEMA), spark.createDataFrame([*labels, (None, 1), (7, None)], "doc_id long, toxic int")
+    model = toxicity.train(df, known, toxicity.not_held_out())
+    out = toxicity.score_toxicity(df, model)
+    held = out.where(~toxicity.not_held_out() & (F.col("doc_id") < 5000)).collect()
+    assert sum(r.predicted == (r.doc_id % 6 == 0) for r in held) >= 0.97 * len(held)
+    for r in held:
+        if r.predicted and r.doc_id % 6 == 0:
+            assert any("vileword" in r.text[s.start : s.end] for s in r.offending)
+    blank = {r.doc_id: r.score for r in out.where("doc_id >= 5000").collect()}
+    assert blank[5000] == blank[5001] and 0 <= blank[5000] < 0.3
+    assert toxicity.score_toxicity(df, toxicity.train(df, known.limit(0))).where("predicted = 1").count() == 0
+    assert toxicity.drop_toxic(df.limit(0), known).count() == 0
+
+
+def test_url_filter(spark):
+    rows = [(1, "http://A.B.example.com/en/71?q"), (2, "x://example.com/en/6"), (3, "http://notexample.com/en/x"), (4, "http://s.example.net/de/8"), (5, "http://net/de/9"), (6, None), (7, "no url"), (8, "http://h.org#f/es/"), (9, "http://h.org/es/#"), (9, "http://h.org/es/#"), (10, "http://bad.example.org/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
+    labels = spark.createDataFrame([*[(10, 0)] * 40, *[(8, 1)] * 300, (2, 1), (99, 0), (1, None)], "doc_id long, quality int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, labels).collect()}
+    assert got[1] == ("a.b.example.com", "/en/71", "example.com/en/7", "allow")
+    assert got[2][2:] == ("com/en/", "block") and got[3][2:] == ("com/en/", "block") and got[4][2:] == ("example.net/de/8", "block") and got[5][2:] == ("net/de/", "allow")
+    assert got[6][:3] == got[7][:3] == ("", "", None) and got[8] == ("h.org", "", None, "allow") and got[9][2:] == ("org/es/", "block")
+    assert got[10] == ("bad.example.org", "/", None, "block")
+    assert url_filter.filter_urls(pages, labels).count() == 11
+    assert url_filter.filter_urls(pages.limit(0), labels).count() == 0
+    assert url_filter.filter_urls(pages, labels.limit(0)).where("rule is null and verdict = 'block'").count() == 0
+
+
+def test_html_text(spark):
+    shell = "<html><head><title>t</title></head><body><div class='top'>Home News Sport Weather Contact Imprint</div>{}<div>Copyright all rights reserved by this site</div></body>"
+    rows = [(k, "http://h.org/x", shell.format(f"<p>Text {k} tells its own tale number{k}</p>")) for k in range(6)]
+    rows += [(10, None, None), (11, "http://h.org/", "<nav>n</nav><article><h1>A &amp; B</h1><p>one<br>two<p>three <script>x()</script></article><div class='comments'>c</div><footer>f</footer>"), (12, "http://lone.org/", "<p>Only page here</p>"), (13, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert all(got[k] == f"Text {k} tells its own tale number{k}" for k in range(6))
+    assert got[11] == "A & B\none two\nthree" and got[12] == "Only page here" and got[10] == got[13] == ""
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(7)
+    for _ in range(5):
+        x = rng.integers(0, 3, 60)
+        order = html_text.suffix_order(x, 64).tolist()
+        assert order == sorted(range(60), key=lambda i: tuple(x[i:]))
+
+
+def test_pipeline_keeps_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "bpe"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in CORPUS[:60]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("extra", F.lit(1))
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([(i, 1, 0) for i, _ in CORPUS[:60]], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, CORPUS[2][1] or "zz")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name == "near_dedup":
+            kept = {k for k, v in brute.near_dedup([(r.doc_id, r.text) for r in docs.collect()]).items() if v[2]}
+            assert {r.doc_id for r in out.collect()} == kept
+        if name != "bpe":
+            assert out.columns == docs.columns
+        else:
+            assert set(docs.columns) < set(out.columns)
+        path = new_path(spark, name)
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
