@@ -70,22 +70,14 @@ def evidence_spans(claims: DataFrame, articles: DataFrame) -> DataFrame:
 
     Sentences here end at . ! ? or a line end; where the sentence of the claim's number doesn't
     hold the claim, its own span stands."""
-    text = F.coalesce(F.when(F.col("text_source") == "title", F.col("title")).otherwise(F.col("body")), F.lit(""))
-    rows = claims.join(articles.select("article_id", "title", "body"), "article_id").withColumn("_text", text).drop("title", "body")
-    # pieces in order with their places, from the lengths of what the pattern splits
-    pieces = F.regexp_extract_all("_text", F.lit(r"([^.!?\n]+(?:[.!?]+|$))|([.!?\n]+)"), F.lit(0))
-    rows = rows.withColumn("_pieces", pieces)
-    ends = F.aggregate("_pieces", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
-    rows = rows.withColumn("_ends", ends)
-    placed = F.arrays_zip(F.col("_pieces").alias("p"), F.slice("_ends", 1, F.size("_pieces")).alias("a"))
-    sentences = F.filter(placed, lambda x: x["p"].rlike(r"^[^.!?\n]"))
-    rows = rows.withColumn("_s", F.try_element_at(sentences, F.col("sentence_index") + 1))
-    head = F.col("_s.a") + F.length("_s.p") - F.length(F.regexp_replace("_s.p", r"(?U)^\s+", ""))
-    tail = F.col("_s.a") + F.length(F.regexp_replace("_s.p", r"(?U)\s+$", ""))
-    holds = F.col("_s").isNotNull() & (head <= F.col("start_offset")) & (F.col("end_offset") <= tail)
+    fields = [articles.select("article_id", F.lit(f).alias("text_source"), F.coalesce(c, F.lit("")).alias("_text")) for f, c in (("title", "title"), ("body", "body"))]
+    texts = fields[0].union(fields[1]).withColumn("_sentences", T.column("evidence_sentences", "_text"))
+    rows = claims.join(texts, ["article_id", "text_source"]).withColumn("_s", F.try_element_at("_sentences", F.col("sentence_index") + 1))
+    head, tail = F.col("_s.start"), F.col("_s.end")
+    holds = F.coalesce((head <= F.col("start_offset")) & (F.col("end_offset") <= tail), F.lit(False))
     rows = rows.withColumns({"evidence_start": F.when(holds, head).otherwise(F.col("start_offset")), "evidence_end": F.when(holds, tail).otherwise(F.col("end_offset"))})
     cut = F.substring("_text", F.col("evidence_start") + 1, F.col("evidence_end") - F.col("evidence_start"))
-    return rows.withColumn("evidence_text", cut).drop("_text", "_pieces", "_ends", "_s")
+    return rows.withColumn("evidence_text", cut).drop("_text", "_sentences", "_s")
 
 
 def attribute(claims: DataFrame, mentions: DataFrame, articles: DataFrame) -> DataFrame:

@@ -1,2 +1,541 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries over the operators that SQL templates don't cover, and their SQL where there is one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsprism.functions import text as T
+from newsprism.functions.similarity import cosine, jaccard, overlap, sequence_ratio, shared
+from newsprism.operators import analysis, articles, graph, relations, search, stories, writes
+from newsprism.plans.dialect import oracle
+from newsprism.sources import feeds as feed_sources
+from newsprism.sources.model import Model
+from newsprism.storage import new_path, stored
+from newsprism.streaming import pipeline as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Callable[[Model], DataFrame]], Callable[[Model], DataFrame]]:
+    """Registers a function of the model as a query, with its SQL template if it has one."""
+
+    def add(build: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: build(Model(spark, sf_dir))
+        if sql:
+            ORACLE[name] = oracle(sql)
+        return build
+
+    return add
+
+
+# -- text functions --------------------------------------------------------------------------
+
+
+def _text_query(name: str, source: str) -> None:
+    key, column = ("article_id", "title") if source == "articles" else ("claim_id", "claim_text")
+
+    @query(name)
+    def build(m: Model) -> DataFrame:
+        return getattr(m, source).select(key, T.column(name.split("_", 1)[1], column).alias("value"))
+
+
+for _n in ("str1_name_key", "str2_topic_slug", "str3_source_slug", "str4_topic_key", "str5_source_key", "str6_title_terms"):
+    _text_query(_n, "articles")
+for _n in ("str7_claim_key", "str12_claim_features", "str14_time_markers"):
+    _text_query(_n, "claims")
+
+
+@query("str8_plain_text")
+def _(m: Model) -> DataFrame:
+    return m.table("pages").select("page_id", T.column("plain_text", "html").alias("text"))
+
+
+@query("str9_word_count")
+def _(m: Model) -> DataFrame:
+    words = T.word_count(F.col("body"))
+    return m.articles.select("article_id", words.alias("words"), T.reading_minutes(words).alias("minutes"))
+
+
+@query("str13_negation", "SELECT claim_id, len(list_filter(string_split(claim_key, ' '), lambda w: w IN ('not', 'no', 'never', 'nicht', 'kein', 'ne', 'pas', 'non'))) > 0 AS negative FROM {members}")
+def _(m: Model) -> DataFrame:
+    return m.members.select("claim_id", F.exists(F.split("claim_key", " "), lambda w: w.isin("not", "no", "never", "nicht", "kein", "ne", "pas", "non")).alias("negative"))
+
+
+@query("str16_sentences")
+def _(m: Model) -> DataFrame:
+    rows = m.articles.select("article_id", F.posexplode(T.column("sentence_spans", "body", "language_code")).alias("sentence", "s"))
+    return rows.select("article_id", "sentence", "s.start", "s.end")
+
+
+@query("str24_agency")
+def _(m: Model) -> DataFrame:
+    names = F.element_at(F.lit(["Reuters", "By Jane Doe (AP)", "dpa / AFP", "Newsroom", "APA"]), (F.col("article_id") % 5 + 1).cast("int"))
+    rows = m.articles.select("article_id", names.alias("author"), F.when(F.col("article_id") % 3 == 0, "dpa").alias("provider"))
+    return articles.agency_provenance(rows)
+
+
+# -- similarity ------------------------------------------------------------------------------
+
+
+def _vector_pairs(m: Model) -> DataFrame:
+    a = m.embeddings.select(F.col("article_id").alias("a"), F.col("embedding").alias("va"))
+    b = m.embeddings.select((F.col("article_id") - 1).alias("a"), F.col("article_id").alias("b"), F.col("embedding").alias("vb"))
+    return a.join(b, "a")
+
+
+@query("c4_cosine", "SELECT l.article_id AS a, r.article_id AS b, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score FROM {embeddings} l JOIN {embeddings} r ON r.article_id = l.article_id + 1")
+def _(m: Model) -> DataFrame:
+    return _vector_pairs(m).select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score"))
+
+
+def _terms(m: Model) -> DataFrame:
+    """Articles with title words, entities and topics, from built-in functions only."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{3,}"), F.lit(0)))
+    names = F.array_distinct(F.transform(F.regexp_extract_all("title", F.lit("[A-Z][a-z]{3,}"), F.lit(0)), F.lower))
+    return m.eligible.select("article_id", "time_s", F.col("language_code").alias("language"), words.alias("terms"), names.alias("entities"), F.array("language_code").alias("topics"))
+
+
+_TERMS_SQL = "SELECT article_id, time_s, language_code AS language, list_distinct(regexp_extract_all(lower(title), '[a-z]{3,}')) AS terms, list_distinct(list_transform(regexp_extract_all(title, '[A-Z][a-z]{3,}'), lambda x: lower(x))) AS entities, [language_code] AS topics FROM {eligible}"
+
+
+@query(
+    "c5_overlaps",
+    f"""WITH t AS ({_TERMS_SQL}) SELECT a.article_id AS a, b.article_id AS b, len(list_intersect(a.terms, b.terms)) AS shared,
+    CASE WHEN len(list_distinct(list_concat(a.terms, b.terms))) = 0 THEN 0.0 ELSE round(len(list_intersect(a.terms, b.terms))::DOUBLE / len(list_distinct(list_concat(a.terms, b.terms))), 6) END AS jaccard,
+    CASE WHEN least(len(a.terms), len(b.terms)) = 0 THEN 0.0 ELSE round(len(list_intersect(a.terms, b.terms))::DOUBLE / least(len(a.terms), len(b.terms)), 6) END AS overlap
+    FROM t a JOIN t b ON b.article_id = a.article_id + 1""",
+)
+def _(m: Model) -> DataFrame:
+    t = _terms(m)
+    a, b = t.select(F.col("article_id").alias("a"), F.col("terms").alias("ta")), t.select((F.col("article_id") - 1).alias("a"), F.col("article_id").alias("b"), F.col("terms").alias("tb"))
+    x, y = F.col("ta"), F.col("tb")
+    return a.join(b, "a").select("a", "b", shared(x, y).cast("bigint").alias("shared"), F.round(jaccard(x, y), 6).alias("jaccard"), F.round(overlap(x, y), 6).alias("overlap"))
+
+
+@query("c8_sequence_ratio")
+def _(m: Model) -> DataFrame:
+    t = m.members.where("pos = 0").select("story_id", "claim_id", F.split("claim_key", " ").alias("w"))
+    a, b = t.withColumnsRenamed({"claim_id": "a", "w": "wa"}), t.withColumnsRenamed({"claim_id": "b", "w": "wb"})
+    return a.join(b, "story_id").where("a < b").select("a", "b", F.round(sequence_ratio("wa", "wb"), 6).alias("ratio"))
+
+
+# -- stories ---------------------------------------------------------------------------------
+
+
+@query(
+    "j7_candidates",
+    f"""WITH t AS ({_TERMS_SQL}), x AS (SELECT article_id, time_s, language, unnest(terms) AS f, 't' AS k FROM t UNION ALL SELECT article_id, time_s, language, unnest(topics), 'o' FROM t),
+    e AS (SELECT article_id, time_s, unnest(entities) AS f FROM t)
+    SELECT DISTINCT a.article_id AS a_id, b.article_id AS b_id FROM x a JOIN x b ON a.f = b.f AND a.k = b.k AND a.language = b.language AND a.article_id <> b.article_id AND abs(a.time_s - b.time_s) <= 1800
+    UNION SELECT DISTINCT a.article_id, b.article_id FROM e a JOIN e b ON a.f = b.f AND a.article_id <> b.article_id AND abs(a.time_s - b.time_s) <= 1800""",
+)
+def _(m: Model) -> DataFrame:
+    t = _terms(m)
+    return stories.candidate_pairs(t, t, window=1800)
+
+
+def _features(m: Model) -> DataFrame:
+    """Articles with exact title terms and the driver's vectors."""
+    base = m.eligible.select("article_id", "time_s", F.col("language_code").alias("language"), T.column("title_terms", F.coalesce("title", F.lit(""))).alias("terms"), F.array().cast("array<string>").alias("topics"))
+    names = m.entities.groupBy("article_id").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
+    rows = base.join(names, "article_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    return stored(rows.join(m.embeddings.select("article_id", "embedding"), "article_id", "left"), "features")
+
+
+def _scored(m: Model) -> tuple[DataFrame, DataFrame]:
+    f = _features(m)
+    return f, stored(stories.scored_pairs(stories.candidate_pairs(f, f, window=6 * 3600), f, f), "scored")
+
+
+@query("c7_story_scores")
+def _(m: Model) -> DataFrame:
+    return _scored(m)[1].select("a_id", "b_id", F.round("similarity", 6).alias("similarity"), "bases")
+
+
+@query("clu1_best_story")
+def _(m: Model) -> DataFrame:
+    return stories.best_matches(_scored(m)[1], m.memberships.where("not deleted")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("clu2_outcomes")
+def _(m: Model) -> DataFrame:
+    have = m.memberships.where("not deleted").select("article_id", "story_id")
+    return stories.apply_matches(stories.best_matches(_scored(m)[1], have), have)
+
+
+@query("clu3_assignment")
+def _(m: Model) -> DataFrame:
+    f, scored = _scored(m)
+    return stories.assign_in_order(scored, f)
+
+
+@query(
+    "flt11_array_overlap",
+    f"WITH t AS ({_TERMS_SQL}) SELECT a.article_id AS a, b.article_id AS b FROM t a JOIN t b ON b.article_id = a.article_id + 1 WHERE len(list_intersect(a.terms, b.terms)) > 0",
+)
+def _(m: Model) -> DataFrame:
+    t = _terms(m)
+    b = t.select((F.col("article_id") - 1).alias("a"), F.col("article_id").alias("b"), F.col("terms").alias("tb"))
+    return t.withColumnRenamed("article_id", "a").join(b, "a").where(F.arrays_overlap("terms", "tb")).select("a", "b")
+
+
+# -- article stages --------------------------------------------------------------------------
+
+
+@query("txt1_normalize")
+def _(m: Model) -> DataFrame:
+    pages = m.table("pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)", 1).alias("title"), F.lit(None).cast("string").alias("summary"), F.col("html").alias("content"))
+    return articles.normalize(pages).select("page_id", "clean_title", "word_count", "reading_minutes", "content_hash")
+
+
+def _claims(m: Model) -> DataFrame:
+    return articles.extract_claims(m.eligible)
+
+
+@query("txt4_claims")
+def _(m: Model) -> DataFrame:
+    return _claims(m).drop("claim_text")
+
+
+@query("txt2_entities")
+def _(m: Model) -> DataFrame:
+    return articles.entity_mentions(m.eligible)
+
+
+@query("txt3_resolved")
+def _(m: Model) -> DataFrame:
+    return articles.resolve_entities(articles.entity_mentions(m.eligible)).groupBy("entity_id", "entity_key", "entity_type").agg(F.countDistinct("article_id").alias("articles"), F.count("*").alias("mentions"))
+
+
+@query("win7_topics")
+def _(m: Model) -> DataFrame:
+    return articles.resolve_topics(m.eligible).withColumn("relevance", F.round("relevance", 6))
+
+
+@query("txt5_perspectives")
+def _(m: Model) -> DataFrame:
+    claims = stored(_claims(m).withColumn("claim_id", F.concat_ws("-", "article_id", "place")), "claims")
+    names = articles.resolve_entities(articles.entity_mentions(m.eligible))
+    names = names.withColumn("mention_id", F.concat_ws("-", "article_id", "text_source", "start_offset"))
+    return articles.attribute(claims, names, m.eligible).drop("evidence_text")
+
+
+@query("txt9_search_documents")
+def _(m: Model) -> DataFrame:
+    return search.documents(m.eligible).select("article_id", "document_hash")
+
+
+@query("txt10_stale_vectors", "SELECT e.article_id FROM {eligible} e LEFT JOIN {embeddings} v ON v.article_id = e.article_id WHERE v.article_id IS NULL OR v.label % 3 = 0")
+def _(m: Model) -> DataFrame:
+    v = m.embeddings.join(m.eligible.select("article_id", "content_hash"), "article_id").select("article_id", "embedding", F.when(F.col("label") % 3 == 0, "old").otherwise("v1").alias("model"), F.col("content_hash").alias("embedded_hash"))
+    return articles.stale_embeddings(m.eligible.select("article_id", "content_hash"), v, "v1", 64)
+
+
+@query("agg15_terms", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(claim_key, '[a-z]{4,}')) AS word FROM {members}) GROUP BY word HAVING count(*) > 2")
+def _(m: Model) -> DataFrame:
+    return m.members.select(F.explode(F.regexp_extract_all("claim_key", F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 2")
+
+
+@query(
+    "agg19_percentiles",
+    """WITH r AS (SELECT label, article_id % 97 AS v, row_number() OVER (PARTITION BY label ORDER BY article_id % 97) AS k, count(*) OVER (PARTITION BY label) AS n FROM {embeddings})
+    SELECT label, min(v) AS least, max(CASE WHEN k = round_even((n - 1) * 0.1, 0) + 1 THEN v END) AS p10, median(v) AS median, max(CASE WHEN k = round_even((n - 1) * 0.9, 0) + 1 THEN v END) AS p90, max(v) AS most FROM r GROUP BY label""",
+)
+def _(m: Model) -> DataFrame:
+    v = F.col("article_id") % 97
+    rows = m.embeddings.groupBy("label").agg(F.array_sort(F.collect_list(v)).alias("vs"), F.median(v).alias("median"))
+    nearest = lambda q: F.element_at("vs", (F.bround((F.size("vs") - 1) * F.lit(q)) + 1).cast("int"))
+    return rows.select("label", F.element_at("vs", 1).alias("least"), nearest(0.1).alias("p10"), "median", nearest(0.9).alias("p90"), F.element_at("vs", -1).alias("most"))
+
+
+# -- claim relations -------------------------------------------------------------------------
+
+
+def _story_claims(m: Model) -> DataFrame:
+    text = m.members.where(F.length("claim_text") < 400)
+    return text.select("story_id", F.col("language_code").alias("language"), "claim_id", "article_id", "source_id", "claim_text", F.col("claim_key"))
+
+
+def _related(m: Model) -> DataFrame:
+    return stored(relations.relate_claims(_story_claims(m)), "related")
+
+
+@query("clu4_groups")
+def _(m: Model) -> DataFrame:
+    return _related(m).where("kind = 'member'").select("story_id", "left_group", "claim_id", "match", F.round("score", 6).alias("score"))
+
+
+@query("clu7_contradictions")
+def _(m: Model) -> DataFrame:
+    return _related(m).where("kind = 'contradicts'").select("story_id", "left_group", "right_group", F.round("score", 6).alias("score"))
+
+
+@query("clu8_candidates")
+def _(m: Model) -> DataFrame:
+    return _related(m).where("kind = 'candidate'").select("story_id", "left_group", "right_group", F.round("score", 6).alias("score"))
+
+
+@query("agg16_confidence")
+def _(m: Model) -> DataFrame:
+    return relations.group_confidence(_related(m)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("clu12_input_hash", "SELECT story_id, sha256(coalesce(array_to_string(list(claim_id || ':' || claim_key ORDER BY claim_id), '|'), '')) AS input_hash FROM {members} GROUP BY story_id")
+def _(m: Model) -> DataFrame:
+    rows = m.members.groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("claim_id", "claim_key"))).alias("c"))
+    return rows.select("story_id", F.sha2(F.array_join(F.transform("c", lambda x: F.concat(x["claim_id"].cast("string"), F.lit(":"), x["claim_key"])), "|"), 256).alias("input_hash"))
+
+
+# -- graphs ----------------------------------------------------------------------------------
+
+_EDGES_SQL = "SELECT a.source_id AS x, b.source_id AS y FROM {sources} a JOIN {sources} b ON b.num = a.num + 4 WHERE a.num % 3 <> 0"
+
+
+def _edges(m: Model) -> DataFrame:
+    s = m.sources.select("source_id", "num")
+    return s.where("num % 3 <> 0").select(F.col("source_id").alias("x"), (F.col("num") + 4).alias("k")).join(s.select(F.col("source_id").alias("y"), F.col("num").alias("k")), "k").select("x", "y")
+
+
+@query(
+    "gr1_components",
+    f"""WITH RECURSIVE e AS ({_EDGES_SQL}), u AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r(node, seen) AS (SELECT x, x FROM u UNION SELECT r.node, u.y FROM r JOIN u ON u.x = r.seen)
+    SELECT node, min(seen) AS label FROM r GROUP BY node""",
+)
+def _(m: Model) -> DataFrame:
+    return graph.components(_edges(m))
+
+
+@query("gr1_source_keys")
+def _(m: Model) -> DataFrame:
+    r = _edges(m).select(F.col("x").alias("source_id"), F.col("y").alias("related_source_id"), F.when(F.xxhash64("x") % 2 == 0, F.lit("2024-01-02").cast("date")).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    wanted = m.sources.select("source_id", F.lit("2024-01-01").cast("date").alias("at")).union(m.sources.select("source_id", F.lit("2024-02-01").cast("date"))).union(m.sources.select("source_id", F.lit(None).cast("date")))
+    return graph.source_keys(wanted, r).withColumn("at", F.col("at").cast("string"))
+
+
+def _provenance(m: Model) -> tuple[DataFrame, DataFrame]:
+    own = m.eligible.select("article_id", "source_id")
+    up = m.eligible.where("article_id % 5 = 1").select("article_id", F.concat(F.lit("src"), (F.col("num") + 7) % 20).alias("upstream_source_id"), F.when(F.col("article_id") % 2 == 0, F.col("article_id") - 1).alias("upstream_article_id"), (F.col("article_id") % 3 == 0).alias("co_produced"))
+    return own, up
+
+
+@query("gr2_roots")
+def _(m: Model) -> DataFrame:
+    return graph.provenance_roots(*_provenance(m))
+
+
+def _voices(m: Model) -> DataFrame:
+    deps = graph.provenance_roots(*_provenance(m)).withColumnRenamed("source_id", "key")
+    return stored(graph.story_voices(m.story_articles.select("story_id", "article_id").join(deps, "article_id")), "voices")
+
+
+@query("gr3_voices")
+def _(m: Model) -> DataFrame:
+    return _voices(m)
+
+
+@query("gr6_families", "SELECT x, y FROM (SELECT DISTINCT min(source_id) OVER (PARTITION BY family) AS x, source_id AS y FROM {sources}) WHERE x <> y")
+def _(m: Model) -> DataFrame:
+    f = m.sources.groupBy("family").agg(F.min("source_id").alias("parent"), F.collect_set("source_id").alias("members"))
+    return graph.families(f)
+
+
+# -- evidence to the integrated view ---------------------------------------------------------
+
+
+def _stage_tables(m: Model) -> dict[str, DataFrame]:
+    members = m.members.where(F.length("claim_text") < 400)
+    body = m.eligible.select("article_id", "title", "body")
+    voiced = stored(members.join(_voices(m), ["story_id", "article_id"]), "voiced")
+    said = m.perspectives.select(F.col("claim_id").alias("perspective_id"), "claim_id", "kind", F.col("holder"), F.concat(F.lit("say "), F.col("claim_id").cast("string")).alias("evidence_text"))
+    items = stored(analysis.evidence(voiced.join(body, "article_id"), analysis.direct_quotes(said)), "evidence")
+    groups = stored(analysis.consensus(voiced, items, said), "consensus")
+    heads = groups.select("story_id", F.col("group_id").alias("g"))
+    pairs = heads.withColumnRenamed("g", "left_group").join(heads.withColumnRenamed("g", "right_group"), "story_id").where("left_group < right_group and (left_group + right_group) % 97 = 0")
+    found = analysis.differences(pairs.withColumn("kind", F.when(F.col("left_group") % 2 == 0, "contradicts").otherwise("disputes")), groups)
+    covered = stored(analysis.coverage(m.story_articles.join(_voices(m), ["story_id", "article_id"]), groups, found), "coverage")
+    return {"members": voiced, "items": items, "groups": groups, "differences": found, "covered": covered, "missing": analysis.missing_perspectives(groups, found)}
+
+
+@query("txt6_evidence")
+def _(m: Model) -> DataFrame:
+    return _stage_tables(m)["items"].drop("text")
+
+
+@query("agg8_consensus")
+def _(m: Model) -> DataFrame:
+    return _stage_tables(m)["groups"]
+
+
+@query("agg10_difference_rows")
+def _(m: Model) -> DataFrame:
+    return _stage_tables(m)["differences"]
+
+
+@query("agg12_coverage")
+def _(m: Model) -> DataFrame:
+    t = _stage_tables(m)["covered"]
+    return t.select(*(F.to_json(c).alias(c) if c.startswith("by_") else F.col(c) for c in t.columns))
+
+
+@query("agg13_gap_rows")
+def _(m: Model) -> DataFrame:
+    return analysis.gaps(_stage_tables(m)["covered"])
+
+
+@query("agg14_missing_rows")
+def _(m: Model) -> DataFrame:
+    return _stage_tables(m)["missing"].withColumn("contradicted_by", F.to_json("contradicted_by"))
+
+
+@query("rd12_integrated")
+def _(m: Model) -> DataFrame:
+    t = _stage_tables(m)
+    rows = analysis.integrated(t["members"], t["items"], t["groups"], t["covered"], t["missing"])
+    return rows.select("story_id", F.size("entries").alias("groups"), F.sha2(F.to_json("entries"), 256).alias("document"), "articles", "sources")
+
+
+@query("rd13_ready")
+def _(m: Model) -> DataFrame:
+    t = _stage_tables(m)
+    rows = analysis.integrated(t["members"], t["items"], t["groups"], t["covered"], t["missing"])
+    return analysis.ready(rows, m.story_articles.select("story_id", "source_id", "language_code", "title", "time_s")).select("story_id", "german_title", "n")
+
+
+# -- search ----------------------------------------------------------------------------------
+
+
+@query("rd1_search")
+def _(m: Model) -> DataFrame:
+    docs = search.documents(m.eligible)
+    rows = search.search(docs, search.postings(docs), 'the "of the" -nicht or que')
+    return rows.select("article_id", F.round("rank", 6).alias("rank"), search.headline(F.col("body"), "the que").alias("excerpt"))
+
+
+@query("str28_boolean_match", """SELECT article_id FROM {eligible} WHERE regexp_matches(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '(^|[^\\p{L}\\p{M}\\p{N}\\p{Pc}])the($|[^\\p{L}\\p{M}\\p{N}\\p{Pc}])')
+    AND NOT regexp_matches(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '(^|[^\\p{L}\\p{M}\\p{N}\\p{Pc}])que($|[^\\p{L}\\p{M}\\p{N}\\p{Pc}])')""")
+def _(m: Model) -> DataFrame:
+    docs = search.documents(m.eligible)
+    return search.search(docs, search.postings(docs), "the -que").select("article_id")
+
+
+@query("rd1_page", "SELECT article_id, time_s FROM {eligible} WHERE language_code = 'de' OR language_code LIKE 'de-%' ORDER BY time_s DESC NULLS LAST, article_id LIMIT 10 OFFSET 10")
+def _(m: Model) -> DataFrame:
+    docs = search.documents(m.eligible).where(T.german(F.col("language_code"), "de"))
+    return search.page(search.search(docs, search.postings(docs), ""), "newest", 2, 10).select("article_id", "time_s")
+
+
+# -- writes ----------------------------------------------------------------------------------
+
+
+@query(
+    "snk2_diff_upsert",
+    """WITH o AS (SELECT article_id, title, language_code FROM {articles} WHERE article_id % 3 <> 0), n AS (SELECT article_id, CASE WHEN article_id % 7 = 0 THEN 'new' ELSE title END AS title, language_code FROM {articles} WHERE article_id % 5 <> 0)
+    SELECT coalesce(n.article_id, o.article_id) AS article_id, CASE WHEN o.article_id IS NULL THEN 'insert' WHEN n.article_id IS NULL THEN 'keep' WHEN n.title IS DISTINCT FROM o.title THEN 'update' ELSE 'unchanged' END AS action FROM n FULL JOIN o ON n.article_id = o.article_id""",
+)
+def _(m: Model) -> DataFrame:
+    old = m.articles.where("article_id % 3 <> 0").select("article_id", "title", "language_code")
+    new = m.articles.where("article_id % 5 <> 0").select("article_id", F.when(F.col("article_id") % 7 == 0, "new").otherwise(F.col("title")).alias("title"), "language_code")
+    return writes.diff_upsert(old, new, ["article_id"], ["title", "language_code"]).select("article_id", "action")
+
+
+@query("snk3_identity")
+def _(m: Model) -> DataFrame:
+    have = m.articles.where("article_id % 2 = 0").select("article_id", "feed_id", F.when(F.col("article_id") % 4 == 0, "guid").otherwise("derived").alias("identity_type"), F.concat(F.lit("k"), "article_id").alias("identity_key"), F.concat(F.lit("u"), F.col("article_id") % 50).alias("link"))
+    new = m.articles.select(F.col("article_id").alias("entry_id"), "feed_id", F.when(F.col("article_id") % 3 == 0, F.concat(F.lit("k"), "article_id")).alias("guid"), F.concat(F.lit("u"), F.col("article_id") % 50).alias("link"), F.concat(F.lit("k"), "article_id").alias("derived"))
+    return writes.match_identity(new, have)
+
+
+@query("snk4_generations", "SELECT claim_id, CASE WHEN story_id % 8 = 0 THEN 2 ELSE 1 END AS generation FROM {members} WHERE story_id % 8 <> 0 OR claim_id % 2 = 0")
+def _(m: Model) -> DataFrame:
+    first = m.members.select("story_id", "claim_id", F.lit(1).alias("generation"))
+    again = m.members.where("story_id % 8 = 0 and claim_id % 2 = 0").select("story_id", "claim_id", F.lit(0).alias("generation"))
+    return writes.current(writes.append_generation(first, again, "story_id"), "story_id").select("claim_id", "generation")
+
+
+@query("snk10_reconcile")
+def _(m: Model) -> DataFrame:
+    wanted = m.sources.where("num % 5 <> 0").select("source_id", F.when(F.col("num") % 7 == 0, "NGO").otherwise(F.col("source_type")).alias("source_type"), (F.col("num") % 2).alias("priority"))
+    running = m.sources.where("num % 6 <> 0").select("source_id", "source_type", (F.col("num") % 4).alias("priority"))
+    return writes.plan_reconcile(wanted, running, "source_id", ["source_type", "priority"], fixed=["source_type"])
+
+
+@query("snk13_json_report", "SELECT language_code, count(*) AS n FROM {eligible} GROUP BY language_code")
+def _(m: Model) -> DataFrame:
+    path = new_path(m.spark, "report")
+    m.eligible.groupBy("language_code").agg(F.count("*").alias("n")).write.json(path)
+    return feed_sources.json_lines(m.spark, path, "language_code string, n bigint")
+
+
+# -- feeds -----------------------------------------------------------------------------------
+
+
+def _feed_xml(m: Model) -> DataFrame:
+    """An RSS document a feed, made from its articles' titles."""
+    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("title", F.lit("")), "&", "&amp;"), "<", "&lt;"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    item = F.concat(F.lit("<item><guid>g"), F.col("article_id").cast("string"), F.lit("</guid><title>"), safe, F.lit("</title><link>/a/"), F.col("article_id").cast("string"), F.lit("</link><category>x</category><category>x</category><pubDate>Mon, 01 Jan 2024 00:00:00 +0000</pubDate></item>"))
+    rows = m.articles.where("article_id % 10 = 0").groupBy("feed_id").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items"))
+    return rows.select("feed_id", F.concat(F.lit("https://"), "feed_id", F.lit(".example.org/rss")).alias("url"), F.concat(F.lit("<rss version='2.0'><channel><title>t</title>"), "items", F.lit("</channel></rss>")).alias("content"))
+
+
+@query("src4_feed_entries", "SELECT feed_id, 'g' || article_id AS external_id, 'https://' || feed_id || '.example.org/a/' || article_id AS link, 1704067200 AS published_s FROM {articles} WHERE article_id % 10 = 0 AND feed_id IS NOT NULL")
+def _(m: Model) -> DataFrame:
+    return feed_sources.entries(_feed_xml(m)).select("feed_id", "external_id", "link", "published_s")
+
+
+@query("src5_identities")
+def _(m: Model) -> DataFrame:
+    return feed_sources.identity(feed_sources.entries(_feed_xml(m))).select("feed_id", "external_id", "identity_type", "identity_key")
+
+
+@query("src3_url_policy")
+def _(m: Model) -> DataFrame:
+    return m.table("pages").select("page_id", "url", feed_sources.allowed("url").alias("allowed"))
+
+
+# -- streams ---------------------------------------------------------------------------------
+
+
+@query("st1_available_now", "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type")
+def _(m: Model) -> DataFrame:
+    rows = streams.run_available(streams.event_stream(m.spark, m.sf_dir), lambda b: b.select("event_id", "event_type"), "st1")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("st_tumbling", "SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {events} GROUP BY date_trunc('day', ts), event_type")
+def _(m: Model) -> DataFrame:
+    return streams.windowed_counts(streams.event_stream(m.spark, m.sf_dir), "1 day")
+
+
+@query("st_sliding")
+def _(m: Model) -> DataFrame:
+    return streams.windowed_counts(streams.event_stream(m.spark, m.sf_dir), "6 hours", "3 hours")
+
+
+@query(
+    "st_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM {events}),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start_s, floor(epoch(max(ts) + INTERVAL 2 HOURS))::BIGINT AS end_s, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def _(m: Model) -> DataFrame:
+    return streams.sessions(streams.event_stream(m.spark, m.sf_dir))
+
+
+@query("st11_deduplicated", "SELECT event_id, user_id FROM {events}")
+def _(m: Model) -> DataFrame:
+    return streams.deduplicated(streams.event_stream(m.spark, m.sf_dir)).select("event_id", "user_id")
+
+
+@query("st9_near_in_time", "SELECT a.event_id, b.event_id AS other_id FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(floor(epoch(a.ts))::BIGINT - floor(epoch(b.ts))::BIGINT) <= 3600")
+def _(m: Model) -> DataFrame:
+    return streams.near_in_time(streams.event_stream(m.spark, m.sf_dir), m.table("events"), 3600)
+
+
+@query("st4_lease_states")
+def _(m: Model) -> DataFrame:
+    return streams.lease_states(streams.event_stream(m.spark, m.sf_dir))

@@ -42,7 +42,7 @@ def _spelled(sql: str, rules: tuple[tuple[str, str], ...]) -> str:
 
 
 def tables_of(sql: str) -> set[str]:
-    return set(re.findall(r"\{(\w+)\}", sql))
+    return set(re.findall(r"\{([a-z_]+)\}", sql))
 
 
 def run(model: Model, sql: str) -> DataFrame:
@@ -55,12 +55,14 @@ def run(model: Model, sql: str) -> DataFrame:
 def oracle(sql: str) -> str:
     """The template as standalone SQL for the other engine."""
     names = tables_of(sql)
-    body = _spelled(re.sub(r"\{(\w+)\}", lambda m: "embeddings_" if m[1] == "embeddings" else m[1], sql), _OTHER)
+    body = _spelled(re.sub(r"\{([a-z_]+)\}", lambda m: "embeddings_" if m[1] == "embeddings" else m[1], sql), _OTHER)
     parts = prelude(names)
     if "embeddings" in names:
         parts = ", ".join(x for x in (parts, "embeddings_ AS (SELECT vec_id AS article_id, embedding, label FROM embeddings)") if x)
     if not parts:
         return body
+    if body.strip()[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {parts}, {body.strip()[15:]}"
     return f"WITH {parts}, {body.strip()[5:]}" if body.strip()[:5].upper() == "WITH " else f"WITH {parts} {body}"
 
 
