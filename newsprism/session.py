@@ -10,13 +10,24 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows of an Arrow batch: with long texts Spark's 10,000 would be tens of MB on both sides.
+BATCH_ROWS = 2000
+#: Workers give memory of large arrays back at once, so that it isn't held beside the JVM's heap.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2"}
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where they see the same folder (local mode, a
-    shared file system); elsewhere ship it with --py-files."""
+    """Prepares Python workers: they can import this package where they see the same folder (local
+    mode, a shared file system; elsewhere ship it with --py-files), get batches of BATCH_ROWS rows
+    unless the session says otherwise, and keep little memory."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for key, value in WORKER_ENV.items():
+        env.setdefault(key, value)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
