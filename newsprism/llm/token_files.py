@@ -128,6 +128,8 @@ class Segment:
         return int(ranks[s]) + int(np.unpackbits(bits[s * SUPER // 8 : (at + 7) >> 3], bitorder="little")[: at - s * SUPER].sum())
 
 
+#: Segments of which the places before them are broadcast; more are joined by shuffle.
+BROADCAST_SEGMENTS = 500_000
 SEGMENTS = "segment int, doc_ids array<bigint>, n_tokens array<bigint>, dac binary"
 
 
@@ -166,5 +168,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 data = [seg.slice(a, b).astype("<u4").tobytes() for a, b in zip(starts.tolist(), starts.tolist()[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts[:-1] + row["before"]), pa.array(row["n_tokens"], pa.int64()), pa.array(data, pa.binary())], schema=arrow)
 
+    if before.count() <= BROADCAST_SEGMENTS:
+        before = F.broadcast(before)  # else the segments themselves would be shuffled
     joined = files.join(before, F.col("segment") == F.col("of"), "left").select("doc_ids", "n_tokens", "before", "dac")
     return joined.mapInArrow(rows, schema)
