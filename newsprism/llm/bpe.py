@@ -34,12 +34,17 @@ from newsprism.llm import vec
 LEAF = 512
 #: Tokens on each side of a join that are re-encoded at first, and that must agree at its ends.
 WINDOW, AGREE = 8, 2
-#: Distinct runs that a worker keeps; beyond it the cache starts anew.
-CACHE = 600_000
+#: Distinct runs, and pre-tokens, that a worker keeps; beyond that the cache starts anew.
+CACHE, PIECES = 300_000, 150_000
 CHUNK_BYTES = 4 << 20
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: The pre-tokenizer pattern of which _ASCII is the ASCII part; runs of other letters, and other
-#: vocabularies, go through the library's own pre-tokenizer.
+#: Runs of printable ASCII and Latin-1 letters are split here: normal form C leaves them alone, and
+#: below is what the pattern _KNOWN means on them.  All others, and other vocabularies, go through
+#: the library's own normaliser and pre-tokenizer.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: The byte-level symbols of Latin-1 letters: bytes 0xA1 to 0xFF but 0xAD stand for themselves,
+#: 0x80 to 0xA0 for U+0122 to U+0142, 0xAD for U+0143.
+_SYMBOLS = {c: "".join(chr(b) if b >= 0xA1 and b != 0xAD else chr(0x143 if b == 0xAD else b + 0xA2) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 _KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _codecs: dict[str, Codec] = {}
 
@@ -73,8 +78,8 @@ class Codec:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.ids: list[int] = []
-        self.starts: list[int] = [0]
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 16, np.int64)
         self.pieces: dict[str, list[int]] = {}
 
     # -- one run ---------------------------------------------------------------------------
@@ -90,8 +95,11 @@ class Codec:
 
     def run(self, text: str) -> list[int]:
         """Ids of a run without ASCII white space."""
-        if self.plain and text.isascii() and "<|" not in text:
-            return [i for s in _ASCII.findall(text.lower()) for i in self._model(s)]
+        if self.plain and "<|" not in text and _PLAIN.fullmatch(text):
+            low = text.lower()
+            if low.isascii():
+                return [i for s in _SPLIT.findall(low) for i in self._model(s)]
+            return [i for s in _SPLIT.findall(low) for i in self._model(s.translate(_SYMBOLS))]
         parts = self.split_special.split(text) if self.split_special else [text]
         out: list[int] = []
         for part in parts:
@@ -148,30 +156,26 @@ class Codec:
         coded = pa.Array.from_buffers(pa.binary(), w.n, [None, pa.py_buffer(offsets), pa.py_buffer(w.buf[inside])]).dictionary_encode()
         if len(self.index) > CACHE:
             self.forget()
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > PIECES:
             self.pieces = {}
         known = np.empty(len(coded.dictionary), np.int64)
+        fresh: list[int] = []
+        ends: list[int] = []
+        index, have, size = self.index, len(self.index), int(self.starts[len(self.index)])
         for k, word in enumerate(coded.dictionary.to_pylist()):
-            at = self.index.get(word)
+            at = index.get(word)
             if at is None:
-                at = self.index[word] = len(self.starts) - 1
-                self.ids += self.run(word.decode())
-                self.starts.append(len(self.ids))
+                at = index[word] = have + len(ends)
+                fresh += self.run(word.decode())
+                ends.append(size + len(fresh))
             known[k] = at
-        # only the runs of this chunk are copied out of the cache
-        begin, end = self._bounds(known)
-        lens = end - begin
-        local = np.concatenate([np.array(self.ids[a:b], np.uint32) for a, b in _merged(begin, end)]) if len(known) else np.empty(0, np.uint32)
-        shift = _shifts(begin, end)
-        words = coded.indices.to_numpy()
-        n = lens[words]
+        self.ids = _grown(self.ids, size, np.array(fresh, np.uint32))
+        self.starts = _grown(self.starts, have + 1, np.array(ends, np.int64))
+        words = known[coded.indices.to_numpy()]
+        begin = self.starts[words]
+        n = self.starts[words + 1] - begin
         total = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(begin[words] - shift[words] - total[:-1], n) + np.arange(total[-1])
-        return local[at], total[w.first]
-
-    def _bounds(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = self.starts
-        return np.array([starts[k] for k in known.tolist()], np.int64), np.array([starts[k + 1] for k in known.tolist()], np.int64)
+        return self.ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])], total[w.first]
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """Texts of consecutive id lists, as the library's decode() gives them."""
@@ -186,23 +190,12 @@ class Codec:
         return [raw[a : max(a, b - 1)] for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
 
 
-def _merged(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Distinct spans in ascending order, adjacent ones as one."""
-    order = np.argsort(begin, kind="stable")
-    b, e = begin[order], end[order]
-    gap = np.flatnonzero(b[1:] != e[:-1]) + 1
-    heads, tails = np.concatenate([[0], gap]), np.concatenate([gap, [len(b)]])
-    for x, y in zip(heads.tolist(), tails.tolist(), strict=True):
-        yield int(b[x]), int(e[y - 1])
-
-
-def _shifts(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """What to take off each span's start to find it in the concatenation of _merged()."""
-    order = np.argsort(begin, kind="stable")
-    before = np.cumsum((end - begin)[order]) - (end - begin)[order]
-    out = np.empty(len(begin), np.int64)
-    out[order] = begin[order] - before
-    return out
+def _grown(old: np.ndarray, size: int, new: np.ndarray) -> np.ndarray:
+    """`old` with `new` at [size, ...), in place where it fits."""
+    if size + len(new) >= len(old):
+        old = np.concatenate([old[:size], np.zeros(size + 2 * len(new) + 16, old.dtype)])
+    old[size : size + len(new)] = new
+    return old
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, decode: bool = True) -> DataFrame:
