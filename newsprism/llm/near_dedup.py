@@ -3,14 +3,16 @@
 1. Each text becomes its set of distinct word shingles: its size, a 128-bit key, K minhashes.
    Texts of one set are one class; its smallest id stands for it from here on.
 2. Forest: TREES sorted orders of the signatures, tree t by the minhashes from 2t on, cyclically.
-   Neighbours of longest common prefix, at least DEPTH minhashes, become candidates: each entry
-   with up to NEAR entries before it.  Regions of more than DENSE entries are keyed two minhashes
-   deeper, so a hot group is dealt over many tasks.  A pair of similarity s is missed by all
-   orders with (1 - s**2)**24, 3e-9 at 0.75 (in a dense region (1 - s**4)**24, 1e-4).
-3. Links are confirmed on the full sets.  First each class is compared to its smallest candidate;
-   that gives a forest of links whose roots come from pointer jumping.  All candidates that are
-   not yet in one tree are then compared too, and the roots they link are joined by label
-   propagation.  So no candidate is dropped, and a group of n copies costs n comparisons, not n**2.
+   Neighbours of longest common prefix, at least DEPTH minhashes, become candidates.  Regions of
+   more than DENSE entries are keyed two minhashes deeper, so a hot group is dealt over many
+   tasks.  A pair of similarity s is missed by all orders with (1 - s**2)**24, 3e-9 at 0.75 (in a
+   dense region (1 - s**4)**24, 1e-4).
+3. Links are confirmed on the full sets.  The first pass takes the nearest neighbours: each class is
+   compared to its smallest one, which gives a forest of links whose roots come from pointer
+   jumping, then to the others that are not in its tree.  The second pass looks at NEAR entries
+   before each, but only at those of other components, and compares all pairs that it finds, as far
+   as they are not joined meanwhile; label propagation joins the components that they link.  So no
+   candidate is dropped, and a group of n copies costs some n comparisons, not n**2.
 
 Nothing about all documents reaches the driver.  Ids of texts to compare are broadcast only if
 at most BROADCAST_IDS, counted first; else they are joined by shuffle.
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsprism.llm import vec
@@ -40,6 +42,9 @@ K = TREES * DEPTH
 #: Minhashes of an entry's order behind the first two.
 MORE = 4
 NEAR, DENSE = 8, 1000
+#: Passes over the forest: how far each entry looks, and the ranks of a class's candidates that each
+#: round confirms, of those not yet joined.
+PASSES = ((1, ((0, 1), (1, 1 << 30))), (NEAR, ((0, 4), (4, 1 << 30))))
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20_11)
 _MUL = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,7 +83,7 @@ def _describe(at_text: int, schema: pa.Schema, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = vec.utf8(batch.column(at_text))
-            for i, j in vec.chunks(texts, 4 << 20):
+            for i, j in vec.chunks(texts):
                 sets = list(shingle_sets(texts[i:j], n))
                 some = [s for s in sets if len(s)]
                 sig = iter(signatures(some) if some else ())
@@ -114,20 +119,22 @@ def _entries(schema: pa.Schema):
     return run
 
 
-def _neighbours(schema: pa.Schema):
-    """Over entries in order: pairs of ids whose entries stand near each other in one region."""
+def _neighbours(schema: pa.Schema, near: int):
+    """Over entries in order: pairs of ids that stand within `near` places in one region and belong
+    to different components."""
+    columns = ["tree", "prefix", "region", "rep", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: pa.RecordBatch | None = None
         for batch in batches:
-            own = batch.select(["tree", "prefix", "region", "rep"])
+            own = batch.select(columns)
             both = pa.Table.from_batches([tail, own] if tail is not None else [own]).combine_chunks()
             new = 0 if tail is None else tail.num_rows
-            tree, prefix, region, rep = (both[c].to_numpy() for c in ("tree", "prefix", "region", "rep"))
+            tree, prefix, region, rep, part = (both[c].to_numpy() for c in columns)
             a, b = [], []
-            for k in range(1, NEAR + 1):
+            for k in range(1, near + 1):
                 if len(rep) > k:
-                    same = (tree[k:] == tree[:-k]) & (prefix[k:] == prefix[:-k]) & (region[k:] == region[:-k]) & (rep[k:] != rep[:-k])
+                    same = (tree[k:] == tree[:-k]) & (prefix[k:] == prefix[:-k]) & (region[k:] == region[:-k]) & (part[k:] != part[:-k])
                     same[: max(0, new - k)] = False
                     a.append(rep[:-k][same])
                     b.append(rep[k:][same])
@@ -135,22 +142,36 @@ def _neighbours(schema: pa.Schema):
                 x, y = np.concatenate(a), np.concatenate(b)
                 pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.empty((0, 2), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], schema=schema)
-            keep = both.slice(max(0, both.num_rows - NEAR))
+            keep = both.slice(max(0, both.num_rows - near))
             tail = keep.to_batches()[0] if keep.num_rows else None
 
     return run
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of neighbours in the forest.  reps: (rep, sig)."""
+def forest(reps: DataFrame) -> DataFrame:
+    """The entries of all orders, keyed by region; reps: (rep, sig).  Sorted by its columns they are
+    the forest."""
     spark = reps.sparkSession
     entries = stored(reps.select("rep", "sig").mapInArrow(_entries(arrow_schema(spark, ENTRY)), ENTRY), "entries")
-    dense = entries.groupBy("tree", "prefix").count().where(F.col("count") > DENSE).select("tree", "prefix", F.lit(True).alias("dense"))
     # at most one dense region for DENSE entries; Spark broadcasts them if they are small
-    keyed = entries.join(dense, ["tree", "prefix"], "left").withColumn("region", F.when(F.col("dense"), F.col("deep")).otherwise(F.lit(0)).cast("bigint"))
-    sorted_ = keyed.repartition(partitions(reps), "tree", "prefix", "region").sortWithinPartitions("tree", "prefix", "region", "more", "rep")
+    dense = stored(entries.groupBy("tree", "prefix").count().where(F.col("count") > DENSE).select("tree", "prefix", F.lit(True).alias("dense")), "dense")
+    if dense.isEmpty():
+        return entries.withColumn("region", F.lit(0).cast("bigint"))
+    return entries.join(dense, ["tree", "prefix"], "left").withColumn("region", F.when(F.col("dense"), F.col("deep")).otherwise(F.lit(0)).cast("bigint"))
+
+
+def candidates(entries: DataFrame, near: int, at: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of neighbours in the forest, ranked by a for each b; `at` (id,
+    root) are components already known, within which no pair is made."""
+    if at is None:
+        rows = entries.withColumn("part", F.col("rep"))
+    else:
+        rows = entries.join(at.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("root", "rep"))
+    rows = rows.repartition(partitions(entries), "tree", "prefix", "region").sortWithinPartitions("tree", "prefix", "region", "more", "rep")
     ddl = "a bigint, b bigint"
-    return sorted_.select("tree", "prefix", "region", "rep").mapInArrow(_neighbours(arrow_schema(spark, ddl)), ddl).distinct()
+    pairs = rows.select("tree", "prefix", "region", "rep", "part").mapInArrow(_neighbours(arrow_schema(entries.sparkSession, ddl), near), ddl).distinct()
+    order = Window.partitionBy("b").orderBy("a")  # at most TREES * near candidates each
+    return stored(pairs.withColumn("rank", F.row_number().over(order)), "pairs")
 
 
 def _confirm(schema: pa.Schema, n: int, percent: int):
@@ -181,7 +202,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """(id, root) for the child b of each link (a, b); each b has one a < b.  Pointer jumping."""
+    """(id, root) for the child b of each link (a, b); each b has one a < b.  Pointer jumping,
+    which halves every path each time."""
     at = stored(links.select(F.col("b").alias("id"), F.col("a").alias("root")), "roots")
     while True:
         up = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
@@ -221,22 +243,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described = stored(rows.mapInArrow(_describe(2, arrow_schema(spark, ddl), n), ddl), "sets")
     with_id = described.where("id is not null and key is not null")
     classes = stored(with_id.groupBy("key").agg(F.min(F.struct("id", "text_hash", "sig")).alias("m")).select("key", F.col("m.id").alias("rep"), "m.text_hash", "m.sig"), "classes")
-    pairs = stored(candidates(classes.select("rep", "sig")), "pairs")
     # the text of each class, found by its id and hash should rows share the id
     texts = rows.withColumnRenamed("id", "rep").join(classes.select("rep", "text_hash"), ["rep", "text_hash"], "left_semi") if _repeats(described) else rows.withColumnRenamed("id", "rep")
     texts = texts.where("rep is not null").select(F.col("rep").alias("id"), "text")
-    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(confirmed(star, texts, n, percent).distinct(), "links")
-    tree = roots(links)
-    rooted = pairs
-    for side in ("a", "b"):
-        up = tree.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
-        rooted = rooted.join(up, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    rest = stored(rooted.where("root_a <> root_b").join(star, ["a", "b"], "left_anti"), "rest")
-    found = confirmed(rest.select("a", "b"), texts, n, percent).join(rest, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    joined = components(found)
-    label = classes.select("key", "rep").join(tree.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    label = label.join(joined.select(F.col("id").alias("root"), "label"), "root", "left").select("key", F.coalesce("label", "root").alias("component"))
+    entries = forest(classes.select("rep", "sig"))
+    at = None
+    for near, rounds in PASSES:
+        pairs = candidates(entries, near, at)
+        for low, high in rounds:
+            rest = pairs.where((F.col("rank") > low) & (F.col("rank") <= high)).select("a", "b")
+            if at is None:
+                at = roots(stored(confirmed(rest, texts, n, percent).distinct(), "links"))
+                continue
+            for side in ("a", "b"):
+                up = at.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+                rest = rest.join(up, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+            rest = stored(rest.where("root_a <> root_b"), "rest")
+            if rest.isEmpty():
+                continue
+            found = confirmed(rest.select("a", "b"), texts, n, percent).distinct().join(rest, ["a", "b"])
+            moved = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+            kept_up = at.join(moved.select(F.col("id").alias("root"), "label"), "root", "left").select("id", F.coalesce("label", "root").alias("root"))
+            at = stored(kept_up.union(moved.where("id <> label").select("id", "label")), "roots")
+    label = classes.select("key", "rep").join(at.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component"))
     out = described.join(label, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

@@ -1,32 +1,5 @@
-"""The folder that the driver and all executors share."""
+"""The shared folder, under the name that this subpackage uses."""
 
-from __future__ import annotations
+from newsprism.storage import folder, new_path, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in local tests, a temporary folder that is
-    also set as the session's checkpoint folder."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="newsprism-")
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read back: cuts the lineage, and no executor
-    holds the only copy."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["folder", "new_path", "stored"]
