@@ -3,16 +3,21 @@
 1. Each text becomes its set of distinct word shingles: its size, a 128-bit key, K minhashes.
    Texts of one set are one class; its smallest id stands for it from here on.
 2. Forest: TREES sorted orders of the signatures, tree t by the minhashes from 2t on, cyclically.
-   Neighbours of longest common prefix, at least DEPTH minhashes, become candidates.  Regions of
-   more than DENSE entries are keyed two minhashes deeper, so a hot group is dealt over many
-   tasks.  A pair of similarity s is missed by all orders with (1 - s**2)**24, 3e-9 at 0.75 (in a
-   dense region (1 - s**4)**24, 1e-4).
+   Neighbours of longest common prefix, at least DEPTH minhashes, become candidates.  In the first
+   two passes, regions of more than DENSE entries are keyed two minhashes deeper, so a hot group is
+   dealt over many tasks; the third takes whole regions, by DEPTH minhashes that no other tree has.
+   So a pair of similarity s meets in no region with (1 - s**2)**24, 2.4e-9 at 0.75, whatever the
+   size of the regions.
 3. Links are confirmed on the full sets.  The first pass takes the nearest neighbours: each class is
    compared to its smallest one, which gives a forest of links whose roots come from pointer
    jumping, then to the others that are not in its tree.  The second pass looks at NEAR entries
    before each, but only at those of other components, and compares all pairs that it finds, as far
-   as they are not joined meanwhile; label propagation joins the components that they link.  So no
-   candidate is dropped, and a group of n copies costs some n comparisons, not n**2.
+   as they are not joined meanwhile; label propagation joins the components that they link.  These
+   two only save work: a group of n copies costs some n comparisons, not n**2.
+4. The third pass leaves no region with pairs of different components unexamined: all of them, dealt
+   over pairs of blocks of BLOCK entries, are compared by size and by all K minhashes, at falling
+   levels, the closest first.  The last level is where a pair at the threshold would stay below with
+   less than MISS; all pairs above it are confirmed, unless joined meanwhile.
 
 Nothing about all documents reaches the driver.  Ids of texts to compare are broadcast only if
 at most BROADCAST_IDS, counted first; else they are joined by shuffle.
@@ -25,6 +30,7 @@ component and are not kept, nor do they link others; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +51,8 @@ NEAR, DENSE = 8, 1000
 #: Passes over the forest: how far each entry looks, and the ranks of a class's candidates that each
 #: round confirms, of those not yet joined.
 PASSES = ((1, ((0, 1), (1, 1 << 30))), (NEAR, ((0, 4), (4, 1 << 30))))
+#: Entries of a block of the third pass, and the chance that its last level may lose a pair at the threshold.
+BLOCK, MISS = 2000, 1e-9
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20_11)
 _MUL = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,6 +182,95 @@ def candidates(entries: DataFrame, near: int, at: DataFrame | None = None) -> Da
     return stored(pairs.withColumn("rank", F.row_number().over(order)), "pairs")
 
 
+def levels(percent: int) -> list[tuple[int, bool]]:
+    """Least common minhashes of a pair at each level of the third pass, and whether one pair of two
+    components is enough there."""
+    p, below, last = percent / 100, 0.0, 0
+    for last in range(K + 1):
+        below += comb(K, last) * p**last * (1 - p) ** (K - last)
+        if below > MISS:
+            break
+    top = K * percent // 100
+    return [(top, True), ((top + last) // 2, True), (last, False)]
+
+
+def unsettled(entries: DataFrame, at: DataFrame) -> DataFrame:
+    """(tree, prefix, rep, part, blocks): entries of regions that hold more than one component."""
+    rows = entries.select("tree", "prefix", "rep").join(at.withColumnRenamed("id", "rep"), "rep", "left").select("tree", "prefix", "rep", F.coalesce("root", "rep").alias("part"))
+    regions = rows.groupBy("tree", "prefix").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high")
+    return stored(rows.join(regions.select("tree", "prefix", F.ceil(F.col("n") / BLOCK).alias("blocks")), ["tree", "prefix"]), "unsettled")
+
+
+def _all_pairs(schema: pa.Schema, percent: int, least: int, one: bool):
+    """Over entries in order of their groups: pairs of different components that agree on `least`
+    minhashes or more, each in the first tree where they meet; with `one`, the closest pair of two
+    components in a group."""
+    keys = ["tree", "prefix", "low", "high"]
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        tree, prefix, low, high, block, rep, part, size = (rows[c].to_numpy() for c in (*keys, "block", "rep", "part", "size"))
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(-1, K)
+        group = np.cumsum(np.concatenate([[0], (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        at, k, found, n_found = np.arange(len(rep)), 0, [], 0
+        while len(at):
+            k += 1
+            at = at[at + k < len(rep)]
+            at = at[group[at + k] == group[at]]
+            x, y = at, at + k
+            fit = (part[x] != part[y]) & ((low[x] == high[x]) | (block[x] != block[y])) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+            x, y = x[fit], y[fit]
+            for i in range(0, len(x), 1 << 14):
+                u, v = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
+                same = sig[u] == sig[v]
+                n = same.sum(1)
+                good = (n >= least) & (same.reshape(-1, TREES, DEPTH).all(2).argmax(1) == tree[u])
+                if good.any():
+                    found.append(np.stack([u[good], v[good], n[good]]))
+                    n_found += int(good.sum())
+            if n_found > 1 << 17 or (not len(at) and found):
+                u, v, n = np.concatenate(found, 1)
+                found, n_found = [], 0
+                if one:
+                    p, q = np.minimum(part[u], part[v]), np.maximum(part[u], part[v])
+                    order = np.lexsort((-n, q, p, group[u]))
+                    g, p, q = group[u][order], p[order], q[order]
+                    order = order[np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])]
+                    u, v, n = u[order], v[order], n[order]
+                a, b = rep[u], rep[v]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n.astype(np.int32))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in keys]
+            last = np.logical_and.reduce([c == c[-1] for c in key])
+            begins = int(np.argmax(last))  # the last group may go on in the next batch
+            if held and begins == 0 and any(held[0][c][0].as_py() != batch[c][0].as_py() for c in keys):
+                yield from pairs(pa.Table.from_batches(held))
+                held = []
+            elif begins:
+                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, begins)]))
+                held = []
+            held.append(batch.slice(begins))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def all_pairs(rows: DataFrame, classes: DataFrame, percent: int, least: int, one: bool) -> DataFrame:
+    """(a, b, same) of unsettled()'s entries; classes: (rep, size, sig)."""
+    keys = ["tree", "prefix", "low", "high"]
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    dealt = rows.join(classes.select("rep", "size", "sig"), "rep").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).select(*keys, "block", "rep", "part", "size", "sig")
+    dealt = dealt.repartition(partitions(rows), *keys).sortWithinPartitions(*keys)
+    ddl = "a bigint, b bigint, same int"
+    return stored(dealt.mapInArrow(_all_pairs(arrow_schema(rows.sparkSession, ddl), percent, least, one), ddl), "pairs")
+
+
 def _confirm(schema: pa.Schema, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,6 +326,40 @@ def components(edges: DataFrame) -> DataFrame:
         at = new.select("id", "label")
 
 
+def apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with root_a and root_b."""
+    for side in ("a", "b"):
+        up = at.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(up, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.where("root_a <> root_b")
+
+
+def joined(at: DataFrame, rest: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """`at` after the pairs of `rest` (a, b, root_a, root_b) are confirmed."""
+    found = confirmed(rest.select("a", "b"), texts, n, percent).distinct().join(rest, ["a", "b"])
+    moved = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    kept_up = at.join(moved.select(F.col("id").alias("root"), "label"), "root", "left").select("id", F.coalesce("label", "root").alias("root"))
+    return stored(kept_up.union(moved.where("id <> label").select("id", "label")), "roots")
+
+
+def settled(entries: DataFrame, classes: DataFrame, at: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """`at` after the third pass."""
+    rows = entries
+    for least, one in levels(percent):
+        rows = unsettled(rows, at)
+        if rows.isEmpty():
+            break
+        pairs = all_pairs(rows, classes, percent, least, one)
+        # the closest of each component first: most others are joined by them
+        ranks = [F.row_number().over(Window.partitionBy(f"root_{side}").orderBy(F.desc("same"), "a", "b")) for side in ("a", "b")]
+        ranked = stored(apart(pairs, at).withColumn("near", F.least(*ranks) <= 2), "ranked").drop("root_a", "root_b")
+        for near in (True, False):
+            rest = stored(apart(ranked.where(F.col("near") == near), at).select("a", "b", "root_a", "root_b"), "rest")
+            if not rest.isEmpty():
+                at = joined(at, rest, texts, n, percent)
+    return at
+
+
 def _repeats(described: DataFrame) -> bool:
     """Whether rows share an id."""
     return not described.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
@@ -242,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ddl = "id bigint, text_hash bigint, n_shingles bigint, key binary, sig binary"
     described = stored(rows.mapInArrow(_describe(2, arrow_schema(spark, ddl), n), ddl), "sets")
     with_id = described.where("id is not null and key is not null")
-    classes = stored(with_id.groupBy("key").agg(F.min(F.struct("id", "text_hash", "sig")).alias("m")).select("key", F.col("m.id").alias("rep"), "m.text_hash", "m.sig"), "classes")
+    classes = stored(with_id.groupBy("key").agg(F.min(F.struct("id", "text_hash", "sig", "n_shingles")).alias("m")).select("key", F.col("m.id").alias("rep"), "m.text_hash", "m.sig", F.col("m.n_shingles").alias("size")), "classes")
     # the text of each class, found by its id and hash should rows share the id
     texts = rows.withColumnRenamed("id", "rep").join(classes.select("rep", "text_hash"), ["rep", "text_hash"], "left_semi") if _repeats(described) else rows.withColumnRenamed("id", "rep")
     texts = texts.where("rep is not null").select(F.col("rep").alias("id"), "text")
@@ -255,16 +386,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if at is None:
                 at = roots(stored(confirmed(rest, texts, n, percent).distinct(), "links"))
                 continue
-            for side in ("a", "b"):
-                up = at.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
-                rest = rest.join(up, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-            rest = stored(rest.where("root_a <> root_b"), "rest")
-            if rest.isEmpty():
-                continue
-            found = confirmed(rest.select("a", "b"), texts, n, percent).distinct().join(rest, ["a", "b"])
-            moved = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-            kept_up = at.join(moved.select(F.col("id").alias("root"), "label"), "root", "left").select("id", F.coalesce("label", "root").alias("root"))
-            at = stored(kept_up.union(moved.where("id <> label").select("id", "label")), "roots")
+            rest = stored(apart(rest, at), "rest")
+            if not rest.isEmpty():
+                at = joined(at, rest, texts, n, percent)
+    at = settled(entries, classes, at, texts, n, percent)
     label = classes.select("key", "rep").join(at.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component"))
     out = described.join(label, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

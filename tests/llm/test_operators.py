@@ -113,6 +113,49 @@ def test_near_dedup_links_chains(spark):
     assert table(near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_shingles", "component_id", "kept") == brute.near_dedup(rows)
 
 
+def hub_and_spokes(spokes, words=200, seed=3):
+    """A base text, last by id, and copies of it, each near to the base only."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(words)]
+    rows = []
+    for k in range(spokes):
+        w = list(base)
+        for j in rng.sample(range(0, words, 10), 5):
+            w[j + rng.randrange(4)] = f"s{k}x{j}"
+        rows.append((k + 1, " ".join(w)))
+    return [*rows, (spokes + 1, " ".join(base))]
+
+
+def test_near_dedup_hub_of_many_spokes(spark):
+    rows = hub_and_spokes(600)
+    sets = [brute_shingles(t) for _, t in rows]
+    near = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    assert all(near(s, sets[-1]) for s in sets) and sum(near(sets[i], sets[j]) for i in range(50) for j in range(i)) < 120
+    out = table(near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)), "doc_id", "component_id", "kept")
+    assert out == {k: (1, k == 1) for k, _ in rows}
+
+
+def brute_shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_dedup_same_links_in_small_and_dense_regions(spark, monkeypatch):
+    """Every pair of a whole region is examined, also over several blocks, and without the first passes' width."""
+    rows = hub_and_spokes(120, seed=4)
+    monkeypatch.setattr(near_dedup, "DENSE", 10)
+    monkeypatch.setattr(near_dedup, "PASSES", near_dedup.PASSES[:1])
+    for block in (2000, 16):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        out = table(near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)), "doc_id", "component_id", "kept")
+        assert out == {k: (1, k == 1) for k, _ in rows}
+
+
+def test_near_dedup_levels():
+    assert [x for x, _ in near_dedup.levels(75)] == [36, 26, 16]
+    assert near_dedup.levels(100)[-1] == (near_dedup.K, False)
+
+
 def test_decontamination(spark, docs):
     items = [(1, "one two"), (2, CORPUS[3][1] or "zz"), (3, CORPUS[20][1]), (4, None), (5, "..."), (None, CORPUS[25][1]), (3, "again three")]
     bench = spark.createDataFrame(items, "item_id long, text string")
