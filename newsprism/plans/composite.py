@@ -257,8 +257,7 @@ def _(m: Model) -> DataFrame:
 
 
 def _story_claims(m: Model) -> DataFrame:
-    text = m.members.where(F.length("claim_text") < 400)
-    return text.select("story_id", F.col("language_code").alias("language"), "claim_id", "article_id", "source_id", "claim_text", F.col("claim_key"))
+    return m.members.select("story_id", F.col("language_code").alias("language"), "claim_id", "article_id", "source_id", "claim_text", F.col("claim_key"))
 
 
 def _related(m: Model) -> DataFrame:
@@ -347,16 +346,24 @@ def _(m: Model) -> DataFrame:
 # -- evidence to the integrated view ---------------------------------------------------------
 
 
+def _contradictions(related: DataFrame, members: DataFrame) -> DataFrame:
+    """(story_id, left_group, right_group, kind) in the groups of `members`: a group of relate_claims
+    is known by its head, whose key all its exact members have."""
+    heads = related.where("kind = 'member' and match = 'exact'").select("story_id", F.col("left_group").alias("name"), "claim_id")
+    heads = heads.join(members.select("story_id", "claim_id", "group_id"), ["story_id", "claim_id"]).groupBy("story_id", "name").agg(F.min("group_id").alias("g"))
+    side = lambda s: heads.select("story_id", F.col("name").alias(f"{s}_group"), F.col("g").alias(f"{s}_g"))
+    rows = related.where("kind in ('contradicts', 'disputes')").select("story_id", "left_group", "right_group", "kind").join(side("left"), ["story_id", "left_group"]).join(side("right"), ["story_id", "right_group"])
+    return rows.select("story_id", F.least("left_g", "right_g").alias("left_group"), F.greatest("left_g", "right_g").alias("right_group"), "kind").distinct()
+
+
 def _stage_tables(m: Model) -> dict[str, DataFrame]:
-    members = m.members.where(F.length("claim_text") < 400)
+    members = m.members
     body = m.eligible.select("article_id", "title", "body")
     voiced = stored(members.join(_voices(m), ["story_id", "article_id"]), "voiced")
     said = m.perspectives.select(F.col("claim_id").alias("perspective_id"), "claim_id", "kind", F.col("holder"), F.concat(F.lit("say "), F.col("claim_id").cast("string")).alias("evidence_text"))
     items = stored(analysis.evidence(voiced.join(body, "article_id"), analysis.direct_quotes(said)), "evidence")
     groups = stored(analysis.consensus(voiced, items, said), "consensus")
-    heads = groups.select("story_id", F.col("group_id").alias("g"))
-    pairs = heads.withColumnRenamed("g", "left_group").join(heads.withColumnRenamed("g", "right_group"), "story_id").where("left_group < right_group and (left_group + right_group) % 97 = 0")
-    found = analysis.differences(pairs.withColumn("kind", F.when(F.col("left_group") % 2 == 0, "contradicts").otherwise("disputes")), groups)
+    found = stored(analysis.differences(_contradictions(_related(m), members), groups), "differences")
     covered = stored(analysis.coverage(m.story_articles.join(_voices(m), ["story_id", "article_id"]), groups, found), "coverage")
     return {"members": voiced, "items": items, "groups": groups, "differences": found, "covered": covered, "missing": analysis.missing_perspectives(groups, found)}
 
