@@ -1,23 +1,23 @@
 """MinHash near-dedup with an LSH forest, links confirmed on full shingle sets.
 
 1. Each text becomes its set of distinct word shingles: its size, a 128-bit key, K minhashes.
-   Texts of one set are one class; its smallest id stands for it from here on.
-2. Forest: TREES sorted orders of the signatures, tree t by the minhashes from 2t on, cyclically.
-   Neighbours of longest common prefix, at least DEPTH minhashes, become candidates.  In the first
-   two passes, regions of more than DENSE entries are keyed two minhashes deeper, so a hot group is
-   dealt over many tasks; the third takes whole regions, by DEPTH minhashes that no other tree has.
-   So a pair of similarity s meets in no region with (1 - s**2)**24, 2.4e-9 at 0.75, whatever the
-   size of the regions.
-3. Links are confirmed on the full sets.  The first pass takes the nearest neighbours: each class is
-   compared to its smallest one, which gives a forest of links whose roots come from pointer
-   jumping, then to the others that are not in its tree.  The second pass looks at NEAR entries
-   before each, but only at those of other components, and compares all pairs that it finds, as far
-   as they are not joined meanwhile; label propagation joins the components that they link.  These
-   two only save work: a group of n copies costs some n comparisons, not n**2.
-4. The third pass leaves no region with pairs of different components unexamined: all of them, dealt
-   over pairs of blocks of BLOCK entries, are compared by size and by all K minhashes, at falling
-   levels, the closest first.  The last level is where a pair at the threshold would stay below with
-   less than MISS; all pairs above it are confirmed, unless joined meanwhile.
+   Texts of one set are one class, whatever their ids; a class has a number of its own.
+2. Forest: TREES sorted orders of the signatures, tree t by its own DEPTH minhashes, then by those
+   of the trees behind it.  Classes that agree on a tree's own minhashes share a *region*; so a pair
+   of similarity s meets in no region with (1 - s**2)**24, 2.4e-9 at 0.75.  Most classes share no
+   region with another and leave here.
+3. Candidates of a class in a region: its neighbours of longest common prefix, which is the depth
+   that the region's crowd calls for, and its densest class (the one that shares regions with
+   the most others, as the text that all copies come from does).  Each class is compared on the
+   full sets to one candidate a round, that with the most agreement: a group of n copies costs n
+   comparisons.  The first round gives a forest of links, resolved by pointer jumping; the next
+   rounds pair only classes of different components, joined by label propagation.
+4. The last pass leaves no region with pairs of different components unexamined: all such pairs,
+   dealt over pairs of blocks of BLOCK entries, are compared by size, by all K minhashes (fewer equal
+   ones than a pair at the threshold has with MISS rule it out) and by a bound that never errs: of
+   each set a bitmap of BITS places is kept, and places that only one of two sets fills are shingles
+   that the other lacks.  What is left is confirmed on the full sets, the closest pair of two
+   components first.
 
 Nothing about all documents reaches the driver.  Ids of texts to compare are broadcast only if
 at most BROADCAST_IDS, counted first; else they are joined by shuffle.
@@ -45,14 +45,13 @@ from newsprism.llm.shared import stored
 WORDS, PERCENT = 5, 75
 TREES, DEPTH = 24, 2
 K = TREES * DEPTH
-#: Minhashes of an entry's order behind the first two.
-MORE = 4
-NEAR, DENSE = 8, 1000
-#: Passes over the forest: how far each entry looks, and the ranks of a class's candidates that each
-#: round confirms, of those not yet joined.
-PASSES = ((1, ((0, 1), (1, 1 << 30))), (NEAR, ((0, 4), (4, 1 << 30))))
-#: Entries of a block of the third pass, and the chance that its last level may lose a pair at the threshold.
-BLOCK, MISS = 2000, 1e-9
+#: Rounds of candidates between components, before the last pass.
+ROUNDS = 1
+#: Entries of a block of the last pass, and the chance that its count of minhashes may lose a pair at
+#: the threshold.
+BLOCK, MISS = 2000, 1e-6
+#: Places of a set's bitmap.
+BITS = 2048
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20_11)
 _MUL = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,6 +86,15 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bitmaps(sets: list[np.ndarray]) -> list[bytes]:
+    """The places of each set's shingles, by their lowest bits."""
+    places = np.zeros((len(sets), BITS), bool)
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    if len(own):
+        places[own, (np.concatenate(sets) & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return [x.tobytes() for x in np.packbits(places, axis=1)]
+
+
 def _describe(at_text: int, schema: pa.Schema, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,127 +102,217 @@ def _describe(at_text: int, schema: pa.Schema, n: int):
             for i, j in vec.chunks(texts):
                 sets = list(shingle_sets(texts[i:j], n))
                 some = [s for s in sets if len(s)]
-                sig = iter(signatures(some) if some else ())
-                sigs = [next(sig).tobytes() if len(s) else None for s in sets]
+                sig = signatures(some) if some else np.empty((0, K), np.uint32)
+                ends = np.cumsum([0, *(TREES if len(s) else 0 for s in sets)]).astype(np.int32)
+                sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.view(np.int64).ravel()))
                 keys = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
-                cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
+                cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), sigs.cast(schema.field("sig").type), pa.array(bitmaps(sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return run
 
 
-ENTRY = "tree int, prefix bigint, more binary, deep bigint, rep bigint"
+# -- forest ----------------------------------------------------------------------------------
+
+
+def live_entries(classes: DataFrame) -> DataFrame:
+    """(c, score, sig, trees): the classes that share a region with another, the trees of those
+    regions, and how many entries these hold.  classes: (c, sig)."""
+    entries = classes.select("c", F.posexplode("sig").alias("tree", "prefix"))
+    crowd = entries.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    shared = entries.join(crowd, ["tree", "prefix"]).groupBy("c").agg(F.sum("n").alias("score"), F.collect_list("tree").alias("trees"))  # at most TREES items
+    return stored(classes.select("c", "sig").join(shared, "c"), "live")
 
 
-def _entries(schema: pa.Schema):
+def entries_of(live: DataFrame, *extra: str) -> DataFrame:
+    """A row a tree of each class: (tree, prefix, p1, p2, c, score, ...), p1 and p2 from the trees behind it."""
+    rows = live.select("c", "score", "sig", *extra, F.explode("trees").alias("tree"))
+    at = lambda k: F.col("sig")[F.pmod(F.col("tree") + k, F.lit(TREES))]
+    return rows.select("tree", at(0).alias("prefix"), at(1).alias("p1"), at(2).alias("p2"), "c", "score", *extra)
+
+
+def _neighbours(schema: pa.Schema):
+    """Over entries in order: each entry with the one before it in its region, if their components
+    differ, and how many trees in a row they agree on."""
+    columns = ["tree", "prefix", "p1", "p2", "c", "score", "part"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = (np.arange(TREES)[:, None] * DEPTH + np.arange(DEPTH + MORE)) % K
+        last: list | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, K)
-            for i in range(0, len(sig), 4096):
-                part = sig[i : i + 4096][:, at]  # document, tree, minhash
-                n = len(part) * TREES
-                flat = part.reshape(n, DEPTH + MORE)
-                prefix = (flat[:, 0].astype(np.int64) << 32) | flat[:, 1]
-                deep = (flat[:, 2].astype(np.int64) << 32) | flat[:, 3]
-                more = flat[:, DEPTH:].astype(">u4").tobytes()
-                width = 4 * MORE
-                cols = [pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(part))), pa.array(prefix), pa.array([more[k : k + width] for k in range(0, len(more), width)], pa.binary()), pa.array(deep), pa.array(np.repeat(batch.column(0).to_numpy()[i : i + 4096], TREES))]
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            own = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns]
+            cols = own if last is None else [np.concatenate([x, y]) for x, y in zip(last, own, strict=True)]
+            last = [x[-1:] for x in own]
+            tree, prefix, p1, p2, c, score, part = cols
+            same = (tree[1:] == tree[:-1]) & (prefix[1:] == prefix[:-1])
+            at = np.flatnonzero(same & (part[1:] != part[:-1]))
+            deep = (p1[1:] == p1[:-1])[at]
+            depth = 1 + deep + (deep & (p2[1:] == p2[:-1])[at])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[at], score[at], c[at + 1], score[at + 1], depth.astype(np.int64))], schema=schema)
 
     return run
 
 
-def _neighbours(schema: pa.Schema, near: int):
-    """Over entries in order: pairs of ids that stand within `near` places in one region and belong
-    to different components."""
-    columns = ["tree", "prefix", "region", "rep", "part"]
+def untried(pairs: DataFrame, measured: DataFrame) -> DataFrame:
+    """The pairs (a, b) that were not compared yet, in either direction."""
+    done = measured.select("a", "b").union(measured.select("b", "a"))
+    return pairs.join(done, ["a", "b"], "left_anti")
 
+
+def candidates(live: DataFrame, at: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
+    """(b, a): for each class its best candidate of another component that it was not compared to.
+    `at` (id, root) are components already known; without them the candidates lead up to ever denser
+    classes, so that they form a forest."""
+    if at is None:
+        rows = entries_of(live.withColumn("part", F.col("c")), "part")
+    else:
+        known = live.join(at.withColumnRenamed("id", "c"), "c", "left").withColumn("part", F.coalesce("root", "c"))
+        rows = entries_of(known, "part")
+        mixed = rows.groupBy("tree", "prefix").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+        rows = stored(rows.join(mixed.select("tree", "prefix"), ["tree", "prefix"]), "mixed")
+    order = ["tree", "prefix", "p1", "p2", "c"]
+    ddl = "c bigint, score bigint, d bigint, d_score bigint, weight bigint"
+    sorted_rows = rows.repartitionByRange(partitions(live), *order).sortWithinPartitions(*order)
+    near = sorted_rows.select(*order, "score", "part").mapInArrow(_neighbours(arrow_schema(live.sparkSession, ddl)), ddl)
+    up = F.struct("score", "c") > F.struct(F.col("d_score").alias("score"), F.col("d").alias("c"))
+    near = near.select(F.when(up, F.col("d")).otherwise(F.col("c")).alias("b"), F.when(up, F.col("c")).otherwise(F.col("d")).alias("a"), F.greatest("score", "d_score").alias("a_score"), "weight")
+    densest = rows.groupBy("tree", "prefix", "part").agg(F.max(F.struct("score", "c")).alias("top"))
+    best = densest.withColumn("rank", F.row_number().over(Window.partitionBy("tree", "prefix").orderBy(F.desc("top")))).where("rank <= 2")  # of two components
+    tops = best.groupBy("tree", "prefix").agg(F.max(F.when(F.col("rank") == 1, F.struct("top", "part"))).alias("first"), F.max(F.when(F.col("rank") == 2, F.struct("top", "part"))).alias("second"))
+    meet = rows.select("tree", "prefix", "c", "part").join(tops, ["tree", "prefix"])
+    other = F.when(F.col("first.part") != F.col("part"), F.col("first.top")).otherwise(F.col("second.top") if at is not None else F.lit(None))
+    star = meet.withColumn("other", other).where("other is not null").select(F.col("c").alias("b"), F.col("other.c").alias("a"), F.col("other.score").alias("a_score"), F.lit(1).cast("bigint").alias("weight"))
+    pairs = near.unionByName(star).groupBy("b", "a").agg(F.sum("weight").alias("weight"), F.max("a_score").alias("a_score"))
+    pairs = untried(pairs, measured) if measured is not None else pairs
+    return stored(pairs.groupBy("b").agg(F.max(F.struct("weight", "a_score", "a")).alias("m")).select("b", F.col("m.a").alias("a")), "pairs")
+
+
+# -- full sets -------------------------------------------------------------------------------
+
+
+def _compare(schema: pa.Schema, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.RecordBatch | None = None
         for batch in batches:
-            own = batch.select(columns)
-            both = pa.Table.from_batches([tail, own] if tail is not None else [own]).combine_chunks()
-            new = 0 if tail is None else tail.num_rows
-            tree, prefix, region, rep, part = (both[c].to_numpy() for c in columns)
-            a, b = [], []
-            for k in range(1, near + 1):
-                if len(rep) > k:
-                    same = (tree[k:] == tree[:-k]) & (prefix[k:] == prefix[:-k]) & (region[k:] == region[:-k]) & (part[k:] != part[:-k])
-                    same[: max(0, new - k)] = False
-                    a.append(rep[:-k][same])
-                    b.append(rep[k:][same])
-            if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.empty((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], schema=schema)
-            keep = both.slice(max(0, both.num_rows - near))
-            tail = keep.to_batches()[0] if keep.num_rows else None
+            ids = batch.column(0).to_pylist()
+            left, right = vec.utf8(batch.column(2)), vec.utf8(batch.column(3))
+            both, union = [], []
+            for i in range(0, len(left), 256):
+                # a densest class comes with many others
+                again = {a: k for k, a in enumerate(ids[i : i + 256], i)}
+                sets = dict(zip(again, shingle_sets([left[k] for k in again.values()], n), strict=True))
+                for a, y in zip(ids[i : i + 256], shingle_sets(right[i : i + 256], n), strict=True):
+                    x = sets[a]
+                    both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                    union.append(len(x) + len(y) - both[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(union, pa.int64())], schema=schema)
 
     return run
 
 
-def forest(reps: DataFrame) -> DataFrame:
-    """The entries of all orders, keyed by region; reps: (rep, sig).  Sorted by its columns they are
-    the forest."""
-    spark = reps.sparkSession
-    entries = stored(reps.select("rep", "sig").mapInArrow(_entries(arrow_schema(spark, ENTRY)), ENTRY), "entries")
-    # at most one dense region for DENSE entries; Spark broadcasts them if they are small
-    dense = stored(entries.groupBy("tree", "prefix").count().where(F.col("count") > DENSE).select("tree", "prefix", F.lit(True).alias("dense")), "dense")
-    if dense.isEmpty():
-        return entries.withColumn("region", F.lit(0).cast("bigint"))
-    return entries.join(dense, ["tree", "prefix"], "left").withColumn("region", F.when(F.col("dense"), F.col("deep")).otherwise(F.lit(0)).cast("bigint"))
+def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b) with the sizes of intersection and union of their full sets, stored.
+    texts: (c, text)."""
+    spark = pairs.sparkSession
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    needed = texts.join(ids, "c", "left_semi")
+    first = pairs.select("a", "b").join(needed.select(F.col("c").alias("b"), F.col("text").alias("right")), "b")
+    both = first.join(needed.select(F.col("c").alias("a"), F.col("text").alias("left")), "a")
+    ddl = "a bigint, b bigint, common bigint, total bigint"
+    return stored(both.select("a", "b", "left", "right").mapInArrow(_compare(arrow_schema(spark, ddl), n), ddl), "compared")
 
 
-def candidates(entries: DataFrame, near: int, at: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of neighbours in the forest, ranked by a for each b; `at` (id,
-    root) are components already known, within which no pair is made."""
-    if at is None:
-        rows = entries.withColumn("part", F.col("rep"))
-    else:
-        rows = entries.join(at.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("root", "rep"))
-    rows = rows.repartition(partitions(entries), "tree", "prefix", "region").sortWithinPartitions("tree", "prefix", "region", "more", "rep")
-    ddl = "a bigint, b bigint"
-    pairs = rows.select("tree", "prefix", "region", "rep", "part").mapInArrow(_neighbours(arrow_schema(entries.sparkSession, ddl), near), ddl).distinct()
-    order = Window.partitionBy("b").orderBy("a")  # at most TREES * near candidates each
-    return stored(pairs.withColumn("rank", F.row_number().over(order)), "pairs")
-
-
-def levels(percent: int) -> list[tuple[int, bool]]:
-    """Least common minhashes of a pair at each level of the third pass, and whether one pair of two
-    components is enough there."""
-    p, below, last = percent / 100, 0.0, 0
-    for last in range(K + 1):
-        below += comb(K, last) * p**last * (1 - p) ** (K - last)
+def _texts(rows: DataFrame, classes: DataFrame, repeats: bool) -> DataFrame:
+    """(c, text): the text of each class, found by its id and hash."""
+    own = rows.join(classes.select("c", F.col("rep").alias("id"), "text_hash"), ["id", "text_hash"]).select("c", "text")
+    return own.groupBy("c").agg(F.min("text").alias("text")) if repeats else own
+
+
+# -- components ------------------------------------------------------------------------------
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(id, root) for the child b of each link (a, b); each b has one a < b.  Pointer jumping,
+    which leaves a third of every path each time."""
+    at = stored(links.select(F.col("b").alias("id"), F.col("a").alias("root")), "roots")
+    while True:
+        up = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        two = up.join(up.select(F.col("root").alias("next"), F.col("next").alias("after")), "next", "left").select("root", F.coalesce("after", "next").alias("next"))
+        at = stored(at.join(two, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        if at.where("moved").isEmpty():
+            return at.select("id", "root")
+        at = at.select("id", "root")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, label): each node's smallest reachable node.  Label propagation with jumps."""
+    both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), "edges")
+    at = stored(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.col("id")).alias("label")), "labels")
+    while True:
+        seen = both.join(at, both["y"] == at["id"]).groupBy("x").agg(F.min("label").alias("near"))
+        best = at.join(seen, at["id"] == seen["x"]).select("id", F.least("label", "near").alias("best"), F.col("label").alias("old"))
+        best = stored(best, "labels")
+        jump = best.select(F.col("id").alias("best"), F.col("best").alias("next"))
+        new = best.join(jump, "best", "left").select("id", F.coalesce("next", "best").alias("label"), "old")
+        if new.where("label <> old").isEmpty():
+            return new.select("id", "label")
+        at = new.select("id", "label")
+
+
+def apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with root_a and root_b."""
+    for side in ("a", "b"):
+        up = at.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(up, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.where("root_a <> root_b")
+
+
+def joined(at: DataFrame, links: DataFrame) -> DataFrame:
+    """`at` after more links (a, b)."""
+    found = apart(links, at).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    moved = components(found)
+    kept_up = at.join(moved.select(F.col("id").alias("root"), "label"), "root", "left").select("id", F.coalesce("label", "root").alias("root"))
+    return stored(kept_up.union(moved.where("id <> label").select("id", "label")), "roots")
+
+
+# -- last pass -------------------------------------------------------------------------------
+
+
+def least_equal(percent: int) -> int:
+    """A pair at the threshold has fewer equal minhashes than this with at most MISS."""
+    p, below = percent / 100, 0.0
+    for k in range(K + 1):
+        below += comb(K, k) * p**k * (1 - p) ** (K - k)
         if below > MISS:
-            break
-    top = K * percent // 100
-    return [(top, True), ((top + last) // 2, True), (last, False)]
+            return k
+    return K
 
 
-def unsettled(entries: DataFrame, at: DataFrame) -> DataFrame:
-    """(tree, prefix, rep, part, blocks): entries of regions that hold more than one component."""
-    rows = entries.select("tree", "prefix", "rep").join(at.withColumnRenamed("id", "rep"), "rep", "left").select("tree", "prefix", "rep", F.coalesce("root", "rep").alias("part"))
+def unsettled(live: DataFrame, at: DataFrame, classes: DataFrame) -> DataFrame:
+    """Entries of regions that hold more than one component, with what the last pass needs of each:
+    (tree, prefix, n, c, part, size, sig, bits)."""
+    known = live.join(at.withColumnRenamed("id", "c"), "c", "left").withColumn("part", F.coalesce("root", "c"))
+    rows = entries_of(known, "part").select("tree", "prefix", "c", "part")
     regions = rows.groupBy("tree", "prefix").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high")
-    return stored(rows.join(regions.select("tree", "prefix", F.ceil(F.col("n") / BLOCK).alias("blocks")), ["tree", "prefix"]), "unsettled")
+    rows = rows.join(regions.select("tree", "prefix", "n"), ["tree", "prefix"])
+    return stored(rows.join(classes.select("c", "size", "sig", "bits"), "c"), "unsettled")
 
 
-def _all_pairs(schema: pa.Schema, percent: int, least: int, one: bool):
-    """Over entries in order of their groups: pairs of different components that agree on `least`
-    minhashes or more, each in the first tree where they meet; with `one`, the closest pair of two
-    components in a group."""
+def _all_pairs(schema: pa.Schema, percent: int, least: int):
+    """Over entries in order of their groups: pairs of different components that can be similar, each
+    in the first tree where they meet."""
     keys = ["tree", "prefix", "low", "high"]
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        tree, prefix, low, high, block, rep, part, size = (rows[c].to_numpy() for c in (*keys, "block", "rep", "part", "size"))
-        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(-1, K)
+        tree, prefix, low, high, block, c, part, size = (rows[x].to_numpy() for x in (*keys, "block", "c", "part", "size"))
+        sig = rows["sig"].combine_chunks().flatten().to_numpy().view(np.uint32).reshape(-1, K)
+        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
         group = np.cumsum(np.concatenate([[0], (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-        at, k, found, n_found = np.arange(len(rep)), 0, [], 0
+        at, k, found, n_found = np.arange(len(c)), 0, [], 0
         while len(at):
             k += 1
-            at = at[at + k < len(rep)]
+            at = at[at + k < len(c)]
             at = at[group[at + k] == group[at]]
             x, y = at, at + k
             fit = (part[x] != part[y]) & ((low[x] == high[x]) | (block[x] != block[y])) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
@@ -223,21 +321,18 @@ def _all_pairs(schema: pa.Schema, percent: int, least: int, one: bool):
                 u, v = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
                 same = sig[u] == sig[v]
                 n = same.sum(1)
-                good = (n >= least) & (same.reshape(-1, TREES, DEPTH).all(2).argmax(1) == tree[u])
-                if good.any():
-                    found.append(np.stack([u[good], v[good], n[good]]))
-                    n_found += int(good.sum())
+                ok = np.flatnonzero(n >= least)
+                ok = ok[same[ok].reshape(-1, TREES, DEPTH).all(2).argmax(1) == tree[u[ok]]]
+                u, v, n = u[ok], v[ok], n[ok]
+                common = np.minimum(size[u] - np.bitwise_count(bits[u] & ~bits[v]).sum(1), size[v] - np.bitwise_count(bits[v] & ~bits[u]).sum(1))
+                ok = 100 * common >= percent * (size[u] + size[v] - common)
+                if ok.any():
+                    found.append(np.stack([u[ok], v[ok], n[ok]]))
+                    n_found += int(ok.sum())
             if n_found > 1 << 17 or (not len(at) and found):
                 u, v, n = np.concatenate(found, 1)
                 found, n_found = [], 0
-                if one:
-                    p, q = np.minimum(part[u], part[v]), np.maximum(part[u], part[v])
-                    order = np.lexsort((-n, q, p, group[u]))
-                    g, p, q = group[u][order], p[order], q[order]
-                    order = order[np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])]
-                    u, v, n = u[order], v[order], n[order]
-                a, b = rep[u], rep[v]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n.astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c[u]), pa.array(c[v]), pa.array(n.astype(np.int32))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -260,104 +355,18 @@ def _all_pairs(schema: pa.Schema, percent: int, least: int, one: bool):
     return run
 
 
-def all_pairs(rows: DataFrame, classes: DataFrame, percent: int, least: int, one: bool) -> DataFrame:
-    """(a, b, same) of unsettled()'s entries; classes: (rep, size, sig)."""
+def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, same) of unsettled()'s entries."""
     keys = ["tree", "prefix", "low", "high"]
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    dealt = rows.join(classes.select("rep", "size", "sig"), "rep").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).select(*keys, "block", "rep", "part", "size", "sig")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("c"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).select(*keys, "block", "c", "part", "size", "sig", "bits")
     dealt = dealt.repartition(partitions(rows), *keys).sortWithinPartitions(*keys)
     ddl = "a bigint, b bigint, same int"
-    return stored(dealt.mapInArrow(_all_pairs(arrow_schema(rows.sparkSession, ddl), percent, least, one), ddl), "pairs")
+    return stored(dealt.mapInArrow(_all_pairs(arrow_schema(rows.sparkSession, ddl), percent, least_equal(percent)), ddl), "pairs")
 
 
-def _confirm(schema: pa.Schema, n: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = vec.utf8(batch.column(2)), vec.utf8(batch.column(3))
-            good = []
-            for i in range(0, len(left), 256):
-                for x, y in zip(shingle_sets(left[i : i + 256], n), shingle_sets(right[i : i + 256], n), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * both >= percent * (len(x) + len(y) - both))
-            kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(good, pa.bool_()))
-            yield kept
-
-    return run
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough.  texts: (id, text), an id once."""
-    spark = pairs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    needed = texts.join(ids, "id", "left_semi")
-    first = pairs.join(needed.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    both = first.join(needed.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-    ddl = "a bigint, b bigint"
-    return both.select("a", "b", "left", "right").mapInArrow(_confirm(arrow_schema(spark, ddl), n, percent), ddl)
-
-
-def roots(links: DataFrame) -> DataFrame:
-    """(id, root) for the child b of each link (a, b); each b has one a < b.  Pointer jumping,
-    which halves every path each time."""
-    at = stored(links.select(F.col("b").alias("id"), F.col("a").alias("root")), "roots")
-    while True:
-        up = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        at = stored(at.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
-        if at.where("moved").isEmpty():
-            return at.select("id", "root")
-        at = at.select("id", "root")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label): each node's smallest reachable node.  Label propagation with jumps."""
-    both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), "edges")
-    at = stored(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.col("id")).alias("label")), "labels")
-    while True:
-        seen = both.join(at, both["y"] == at["id"]).groupBy("x").agg(F.min("label").alias("near"))
-        best = at.join(seen, at["id"] == seen["x"]).select("id", F.least("label", "near").alias("best"), F.col("label").alias("old"))
-        best = stored(best, "labels")
-        jump = best.select(F.col("id").alias("best"), F.col("best").alias("next"))
-        new = best.join(jump, "best", "left").select("id", F.coalesce("next", "best").alias("label"), "old")
-        new = stored(new, "labels")
-        if new.where("label <> old").isEmpty():
-            return new.select("id", "label")
-        at = new.select("id", "label")
-
-
-def apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components, with root_a and root_b."""
-    for side in ("a", "b"):
-        up = at.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
-        pairs = pairs.join(up, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    return pairs.where("root_a <> root_b")
-
-
-def joined(at: DataFrame, rest: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """`at` after the pairs of `rest` (a, b, root_a, root_b) are confirmed."""
-    found = confirmed(rest.select("a", "b"), texts, n, percent).distinct().join(rest, ["a", "b"])
-    moved = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    kept_up = at.join(moved.select(F.col("id").alias("root"), "label"), "root", "left").select("id", F.coalesce("label", "root").alias("root"))
-    return stored(kept_up.union(moved.where("id <> label").select("id", "label")), "roots")
-
-
-def settled(entries: DataFrame, classes: DataFrame, at: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """`at` after the third pass."""
-    rows = entries
-    for least, one in levels(percent):
-        rows = unsettled(rows, at)
-        if rows.isEmpty():
-            break
-        pairs = all_pairs(rows, classes, percent, least, one)
-        # the closest of each component first: most others are joined by them
-        ranks = [F.row_number().over(Window.partitionBy(f"root_{side}").orderBy(F.desc("same"), "a", "b")) for side in ("a", "b")]
-        ranked = stored(apart(pairs, at).withColumn("near", F.least(*ranks) <= 2), "ranked").drop("root_a", "root_b")
-        for near in (True, False):
-            rest = stored(apart(ranked.where(F.col("near") == near), at).select("a", "b", "root_a", "root_b"), "rest")
-            if not rest.isEmpty():
-                at = joined(at, rest, texts, n, percent)
-    return at
+# -- operator --------------------------------------------------------------------------------
 
 
 def _repeats(described: DataFrame) -> bool:
@@ -370,28 +379,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id and kept."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    ddl = "id bigint, text_hash bigint, n_shingles bigint, key binary, sig binary"
+    ddl = "id bigint, text_hash bigint, n_shingles bigint, key binary, sig array<bigint>, bits binary"
     described = stored(rows.mapInArrow(_describe(2, arrow_schema(spark, ddl), n), ddl), "sets")
     with_id = described.where("id is not null and key is not null")
-    classes = stored(with_id.groupBy("key").agg(F.min(F.struct("id", "text_hash", "sig", "n_shingles")).alias("m")).select("key", F.col("m.id").alias("rep"), "m.text_hash", "m.sig", F.col("m.n_shingles").alias("size")), "classes")
-    # the text of each class, found by its id and hash should rows share the id
-    texts = rows.withColumnRenamed("id", "rep").join(classes.select("rep", "text_hash"), ["rep", "text_hash"], "left_semi") if _repeats(described) else rows.withColumnRenamed("id", "rep")
-    texts = texts.where("rep is not null").select(F.col("rep").alias("id"), "text")
-    entries = forest(classes.select("rep", "sig"))
-    at = None
-    for near, rounds in PASSES:
-        pairs = candidates(entries, near, at)
-        for low, high in rounds:
-            rest = pairs.where((F.col("rank") > low) & (F.col("rank") <= high)).select("a", "b")
-            if at is None:
-                at = roots(stored(confirmed(rest, texts, n, percent).distinct(), "links"))
-                continue
-            rest = stored(apart(rest, at), "rest")
-            if not rest.isEmpty():
-                at = joined(at, rest, texts, n, percent)
-    at = settled(entries, classes, at, texts, n, percent)
-    label = classes.select("key", "rep").join(at.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component"))
-    out = described.join(label, "key", "left")
+    classes = with_id.groupBy("key").agg(F.min(F.struct("id", "text_hash", "sig", "bits", "n_shingles")).alias("m"))
+    # numbered once, as written
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("c"), "key", F.col("m.id").alias("rep"), "m.text_hash", "m.sig", "m.bits", F.col("m.n_shingles").alias("size")), "classes")
+    texts = _texts(rows, classes, _repeats(described))
+    linked = F.col("common") * 100 >= F.col("total") * percent
+    live = live_entries(classes.select("c", "sig"))
+    measured = compared(candidates(live), texts, n)
+    at = roots(measured.where(linked))
+    for _ in range(ROUNDS):
+        pairs = candidates(live, at, measured)
+        if pairs.isEmpty():
+            break
+        again = compared(pairs, texts, n)
+        measured = measured.unionByName(again)
+        if again.where(linked).isEmpty():
+            break
+        at = joined(at, again.where(linked))
+    rest = unsettled(live, at, classes)
+    if not rest.isEmpty():
+        pairs = apart(untried(all_pairs(rest, percent), measured), at)
+        # the closest pair of two components first: most others are joined by it
+        order = Window.partitionBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).orderBy(F.desc("same"), "a", "b")
+        pairs = stored(pairs.withColumn("first", F.row_number().over(order) == 1).select("a", "b", "first"), "ranked")
+        for first in (True, False):
+            open_pairs = stored(apart(pairs.where(F.col("first") == first), at).select("a", "b"), "open")
+            if not open_pairs.isEmpty():
+                at = joined(at, compared(open_pairs, texts, n).where(linked))
+    label = classes.select("key", "c", "rep").join(at.withColumnRenamed("id", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    least = label.groupBy("root").agg(F.min("rep").alias("component"))
+    out = described.join(label.join(least, "root").select("key", "component"), "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 

@@ -141,19 +141,59 @@ def brute_shingles(text):
 
 
 def test_near_dedup_same_links_in_small_and_dense_regions(spark, monkeypatch):
-    """Every pair of a whole region is examined, also over several blocks, and without the first passes' width."""
+    """Every pair of a whole region is examined, also over several blocks and without the rounds before."""
     rows = hub_and_spokes(120, seed=4)
-    monkeypatch.setattr(near_dedup, "DENSE", 10)
-    monkeypatch.setattr(near_dedup, "PASSES", near_dedup.PASSES[:1])
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
     for block in (2000, 16):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
         out = table(near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)), "doc_id", "component_id", "kept")
         assert out == {k: (1, k == 1) for k, _ in rows}
 
 
-def test_near_dedup_levels():
-    assert [x for x, _ in near_dedup.levels(75)] == [36, 26, 16]
-    assert near_dedup.levels(100)[-1] == (near_dedup.K, False)
+def test_near_dedup_last_pass_alone(spark, docs, monkeypatch):
+    """What the first rounds don't link, the last pass does."""
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "candidates", lambda live, *_: live.limit(0).selectExpr("c as b", "c as a"))
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    assert table(near_dedup.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept") == brute.near_dedup(CORPUS)
+
+
+def test_near_dedup_crowded_boilerplate(spark):
+    """Recall against brute force where half of each text is common to all: one hot region a tree,
+    nearly all of whose pairs are no links."""
+    rng = random.Random(9)
+    common = " ".join(f"c{k}" for k in range(60))
+    rows = []
+    for k in range(150):
+        own = [f"d{k}x{j}" for j in range(50)]
+        rows.append((2 * k + 1, f"{common} {' '.join(own)}"))
+        if k % 3 == 0:
+            own[rng.randrange(10)] = "changed"
+            rows.append((2 * k + 2, f"{common} {' '.join(own)}"))
+    rng.shuffle(rows)
+    assert table(near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_shingles", "component_id", "kept") == brute.near_dedup(rows)
+
+
+def test_near_dedup_texts_under_one_id(spark):
+    words = [f"w{k}" for k in range(80)]
+    text, near, other = " ".join(words[:60]), " ".join(words[:58]), " ".join(reversed(words))
+    df = spark.createDataFrame([(1, text), (5, near), (5, other), (5, other), (7, other + " end"), (7, text)], SCHEMA)
+    got = sorted((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1, True, 56), (5, 1, False, 54), (5, 5, True, 76), (5, 5, True, 76), (7, 1, False, 56), (7, 5, False, 77)]
+    assert sorted(r.text[:6] for r in near_dedup.drop_near_duplicates(df).collect()) == sorted([text[:6], other[:6], other[:6]])
+
+
+def test_near_dedup_least_equal():
+    assert near_dedup.least_equal(75) == 21 and near_dedup.least_equal(100) == near_dedup.K
+
+
+def test_bitmaps_bound_the_common_part():
+    rng = np.random.default_rng(8)
+    a = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    b = np.unique(np.concatenate([a[:300], rng.integers(0, 1 << 63, 150).astype(np.uint64)]))
+    x, y = (np.frombuffer(m, np.uint64) for m in near_dedup.bitmaps([a, b]))
+    common = len(np.intersect1d(a, b))
+    assert common <= len(a) - np.bitwise_count(x & ~y).sum() and common <= len(b) - np.bitwise_count(y & ~x).sum()
 
 
 def test_decontamination(spark, docs):
