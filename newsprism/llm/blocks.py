@@ -13,19 +13,19 @@ Everything is a plain shuffle of rows: lost executors recompute their blocks.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsprism.llm.columns import BOX, Columns
+
 BLOCK_BYTES = 6 << 20
 #: Blocks grow with the square root of the input up to this factor, so that blocks times buckets
 #: stays far below the number of windows.
 BLOCK_GROWTH = 8
-ID, TEXT, REST, BLOCK = "_id", "_text", "_rest", "_block"
+ID, TEXT, BLOCK = "_id", "_text", "_block"
 
 
 class Layout:
@@ -42,14 +42,15 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def plan(docs: DataFrame, id_col: str, text_col: str) -> Layout:
+def plan(own: Columns, id_col: str, text_col: str) -> Layout:
     """Two column-pruned aggregates: bytes of text, then quantiles of the ids."""
+    docs, id_ = own.df, own[id_col].cast("long")
     parts = partitions(docs)
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(own[text_col].cast("string")))).first()[0] or 0
     each = BLOCK_BYTES * min(BLOCK_GROWTH, max(1.0, math.sqrt(size / (1 << 30))))
     n = max(parts, math.ceil(size / each))
     cuts = [i / n for i in range(1, n)]
-    bounds = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), cuts, max(10_000, 20 * n))).first()[0] if cuts else []
+    bounds = docs.agg(F.percentile_approx(id_, cuts, max(10_000, 20 * n))).first()[0] if cuts else []
     return Layout(n, [int(b) for b in bounds or []], size, parts)
 
 
@@ -67,10 +68,9 @@ def block_of(df: DataFrame, id_col: str, bounds: list[int]) -> DataFrame:
     return df
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, layout: Layout, keep: Iterable[str] = ()) -> DataFrame:
-    """Rows (_id, _text, _rest, _block), partitioned by block; _rest holds the columns in `keep`."""
-    rest = [F.col(f"`{c}`").alias(c) for c in keep]
-    rows = docs.select(F.col(id_col).cast("long").alias(ID), F.col(text_col).cast("string").alias(TEXT), F.struct(*(rest or [F.lit(True).alias("none")])).alias(REST))
+def deal(own: Columns, id_col: str, text_col: str, layout: Layout) -> DataFrame:
+    """Rows (_box, _id, _text, _block), partitioned by block."""
+    rows = own.rows(**{ID: own[id_col].cast("long"), TEXT: own[text_col].cast("string")})
     return block_of(rows, ID, layout.bounds).repartition(layout.n, BLOCK)
 
 
@@ -201,9 +201,3 @@ def gathered(table: pa.Table) -> np.ndarray:
     got = [unpack_places(x) for x in table["places"].to_pylist()]
     return np.unique(np.concatenate(got)) if got else np.empty(0, np.int64)
 
-
-def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    """The Arrow schema that Spark uses for rows of this DDL."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(spark.createDataFrame([], ddl).schema)

@@ -2,7 +2,8 @@
 
 Text splits exactly at ASCII white space: the vocabulary's pre-tokenizer drops it, and its
 normaliser neither reaches across it nor removes it.  Each distinct run between spaces is
-encoded once a chunk and kept in a bounded cache; ids of a chunk are gathered from there.
+encoded once a chunk, its pre-tokens come from a bounded cache, and the ids of the chunk's texts are
+gathered from there.
 
 A run that the pre-tokenizer leaves long and unsplit is cut into leaves.  The leaves are encoded
 as one parallel batch - all but the last by the same merges without the end-of-word suffix - and
@@ -25,23 +26,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from newsprism.llm import vec
+from newsprism.llm.columns import Columns, arrow_schema, batch_of, boxed_schema
 
 #: Symbols of an unsplit run that are encoded in one piece.
 LEAF = 512
 #: Tokens on each side of a join that are re-encoded at first, and that must agree at its ends.
 WINDOW, AGREE = 8, 2
-#: Distinct runs, and pre-tokens, that a worker keeps; beyond that the cache starts anew.
-CACHE, PIECES = 300_000, 150_000
+#: Pre-tokens that a worker keeps; beyond that the cache starts anew.
+PIECES = 250_000
 CHUNK_BYTES = 4 << 20
 #: Runs of printable ASCII and Latin-1 letters are split here: normal form C leaves them alone, and
 #: below is what the pattern _KNOWN means on them.  All others, and other vocabularies, go through
 #: the library's own normaliser and pre-tokenizer.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Runs are split together, a newline behind each.
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-z0-9ß-öø-ÿ\n]+")
+#: Stands for the newline among the ids.
+_END = 0xFFFFFFFF
 #: The byte-level symbols of Latin-1 letters: bytes 0xA1 to 0xFF but 0xAD stand for themselves,
 #: 0x80 to 0xA0 for U+0122 to U+0142, 0xAD for U+0143.
 _SYMBOLS = {c: "".join(chr(b) if b >= 0xA1 and b != 0xAD else chr(0x143 if b == 0xAD else b + 0xA2) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
@@ -56,16 +60,30 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+class _Pieces(dict):
+    """Ids of pre-tokens, given as plain text; the codec's model finds those that are missing."""
+
+    def __init__(self, codec: Codec):
+        super().__init__({"\n": [_END]})
+        self.codec = codec
+
+    def __missing__(self, text: str) -> list[int]:
+        symbols = text if text.isascii() else text.translate(_SYMBOLS)
+        if len(symbols) > self.codec.leaf:
+            return self.codec.long(symbols)
+        got = self[text] = [t.id for t in self.codec.model.tokenize(symbols)]
+        return got
+
+
 class Codec:
     def __init__(self, path: str, leaf: int = LEAF):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.leaf = leaf
         self.whole = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
+        self.model = self.whole.model
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        bare = {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
-        self.last = Tokenizer.from_str(json.dumps(spec | bare))
-        self.inner = Tokenizer.from_str(json.dumps(spec | bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
+        self.path, self.parts = path, {}
         size = self.whole.get_vocab_size(with_added_tokens=True)
         self.names = [self.whole.id_to_token(i) or "" for i in range(size)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -74,32 +92,27 @@ class Codec:
         lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
         self.plain = lower and steps[0].get("pattern", {}).get("Regex") == _KNOWN
         self.joiner = b" " if spec.get("decoder") is None else None
-        self.forget()
+        self.pieces = _Pieces(self)
 
-    def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.pieces: dict[str, list[int]] = {}
+    def _part(self, final: bool) -> Tokenizer:
+        """The merges alone, for the end of a run or for what stands before it.  Only long runs need
+        them, so they are loaded with the first."""
+        if final not in self.parts:
+            with open(self.path, encoding="utf-8") as f:
+                spec = json.load(f)
+            bare = {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+            model = spec["model"] if final else spec["model"] | {"end_of_word_suffix": None}
+            self.parts[final] = Tokenizer.from_str(json.dumps(spec | bare | {"model": model}))
+        return self.parts[final]
 
-    # -- one run ---------------------------------------------------------------------------
+    # -- runs ------------------------------------------------------------------------------
 
     def _model(self, symbols: str) -> list[int]:
         """Ids of one pre-token, given as the model's symbols."""
-        if len(symbols) > self.leaf:
-            return self.long(symbols)
-        got = self.pieces.get(symbols)
-        if got is None:
-            got = self.pieces[symbols] = [t.id for t in self.whole.model.tokenize(symbols)]
-        return got
+        return self.long(symbols) if len(symbols) > self.leaf else [t.id for t in self.model.tokenize(symbols)]
 
     def run(self, text: str) -> list[int]:
         """Ids of a run without ASCII white space."""
-        if self.plain and "<|" not in text and _PLAIN.fullmatch(text):
-            low = text.lower()
-            if low.isascii():
-                return [i for s in _SPLIT.findall(low) for i in self._model(s)]
-            return [i for s in _SPLIT.findall(low) for i in self._model(s.translate(_SYMBOLS))]
         parts = self.split_special.split(text) if self.split_special else [text]
         out: list[int] = []
         for part in parts:
@@ -111,17 +124,43 @@ class Codec:
                 out += [i for s, _ in pieces for i in self._model(s)]
         return out
 
+    def runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these runs, and where each one's start (one more at the end)."""
+        plain = self.plain and [w.isascii() and w.isprintable() and "<|" not in w or bool(_PLAIN.fullmatch(w)) and "<|" not in w for w in words]
+        at = np.flatnonzero(plain) if plain else np.empty(0, np.int64)
+        if len(self.pieces) > PIECES:
+            self.pieces = _Pieces(self)
+        pieces = self.pieces
+        text = "".join([words[k] + "\n" for k in at.tolist()]).lower()
+        ids = np.array([i for s in _SPLIT.findall(text) for i in pieces[s]], np.uint32)
+        ends = np.flatnonzero(ids == _END)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[at] = np.diff(ends, prepend=-1) - 1
+        ids = ids[ids != _END]
+        if len(at) == len(words):
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
+        rest = np.ones(len(words), bool)
+        rest[at] = False
+        others = {k: self.run(words[k]) for k in np.flatnonzero(rest).tolist()}
+        sizes[list(others)] = [len(x) for x in others.values()]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(starts[-1], np.uint32)
+        out[np.repeat(~rest, sizes)] = ids
+        for k, x in others.items():
+            out[starts[k] : starts[k + 1]] = x
+        return out, starts
+
     # -- tree concatenation ------------------------------------------------------------------
 
     def _text(self, ids: list[int]) -> str:
         return "".join(self.names[i] for i in ids)
 
     def _piece(self, symbols: str, final: bool) -> list[int]:
-        return (self.last if final else self.inner).encode(symbols, add_special_tokens=False).ids
+        return self._part(final).encode(symbols, add_special_tokens=False).ids
 
     def long(self, symbols: str) -> list[int]:
         cuts = [symbols[i : i + self.leaf] for i in range(0, len(symbols), self.leaf)]
-        level = [e.ids for e in self.inner.encode_batch(cuts[:-1], add_special_tokens=False)] + [self._piece(cuts[-1], True)]
+        level = [e.ids for e in self._part(False).encode_batch(cuts[:-1], add_special_tokens=False)] + [self._piece(cuts[-1], True)]
         while len(level) > 1:
             pairs = range(0, len(level) - 1, 2)
             joined = [self.join(level[k], level[k + 1], k + 2 == len(level)) for k in pairs]
@@ -154,28 +193,12 @@ class Codec:
         offsets = np.zeros(w.n + 1, np.int32)
         np.cumsum(w.ends - w.starts, out=offsets[1:])
         coded = pa.Array.from_buffers(pa.binary(), w.n, [None, pa.py_buffer(offsets), pa.py_buffer(w.buf[inside])]).dictionary_encode()
-        if len(self.index) > CACHE:
-            self.forget()
-        if len(self.pieces) > PIECES:
-            self.pieces = {}
-        known = np.empty(len(coded.dictionary), np.int64)
-        fresh: list[int] = []
-        ends: list[int] = []
-        index, have, size = self.index, len(self.index), int(self.starts[len(self.index)])
-        for k, word in enumerate(coded.dictionary.to_pylist()):
-            at = index.get(word)
-            if at is None:
-                at = index[word] = have + len(ends)
-                fresh += self.run(word.decode())
-                ends.append(size + len(fresh))
-            known[k] = at
-        self.ids = _grown(self.ids, size, np.array(fresh, np.uint32))
-        self.starts = _grown(self.starts, have + 1, np.array(ends, np.int64))
-        words = known[coded.indices.to_numpy()]
-        begin = self.starts[words]
-        n = self.starts[words + 1] - begin
+        ids, starts = self.runs(coded.dictionary.cast(pa.string()).to_pylist())
+        words = coded.indices.to_numpy()
+        begin = starts[words]
+        n = starts[words + 1] - begin
         total = np.concatenate([[0], np.cumsum(n)])
-        return self.ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])], total[w.first]
+        return ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])], total[w.first]
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """Texts of consecutive id lists, as the library's decode() gives them."""
@@ -190,31 +213,21 @@ class Codec:
         return [raw[a : max(a, b - 1)] for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
 
 
-def _grown(old: np.ndarray, size: int, new: np.ndarray) -> np.ndarray:
-    """`old` with `new` at [size, ...), in place where it fits."""
-    if size + len(new) >= len(old):
-        old = np.concatenate([old[:size], np.zeros(size + 2 * len(new) + 16, old.dtype)])
-    old[size : size + len(new)] = new
-    return old
-
-
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, decode: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, text_col: str = "text", end_id: int | None = None, decode: bool = True) -> DataFrame:
     """The rows of `docs` with n_tokens, ids (little-endian unsigned 32-bit, as binary) and, if
     asked, decoded text.  A map over the rows: nothing is shuffled.  `end_id` is appended to the
     ids of each document."""
-    from newsprism.llm.blocks import arrow_schema
-
     results = ["n_tokens", "ids", *["decoded"] * decode]
-    rest = [c for c in docs.columns if c not in (text_col, *results)]
-    kept = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").cast("string").alias(text_col))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", n_tokens bigint, ids binary" + ", decoded string" * decode
-    schema = arrow_schema(docs.sparkSession, ddl)
-    at_text = len(rest)
+    own = Columns(docs, results, [text_col])
+    rows = own.rows(text=own[text_col].cast("string"))
+    spark_schema = boxed_schema(rows, "n_tokens bigint, ids binary" + ", decoded string" * decode)
+    schema = arrow_schema(docs.sparkSession, spark_schema)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vec.release()
         c = codec(path)
         for batch in batches:
-            texts = vec.utf8(batch.column(at_text))
+            texts = vec.utf8(batch.column(1))
             for i, j in vec.chunks(texts, CHUNK_BYTES):
                 ids, starts = c.encode(texts[i:j])
                 if end_id is not None:
@@ -224,6 +237,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 cols = [*(x.slice(i, j - i) for x in batch.columns), pa.array(np.diff(starts), pa.int64()), pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())]
                 if decode:
                     cols.append(pa.array(c.decode(ids, starts), pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(cols, schema, strict=True)], schema=schema)
+                yield batch_of(cols, schema)
+        vec.release()
 
-    return kept.mapInArrow(encode, ddl)
+    return own.back(rows.mapInArrow(encode, spark_schema), results, **{text_col: "text"})

@@ -39,8 +39,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsprism.llm import vec
-from newsprism.llm.blocks import arrow_schema, partitions
-from newsprism.llm.shared import stored
+from newsprism.llm.blocks import partitions
+from newsprism.llm.columns import Columns, arrow_schema
+from newsprism.storage import stored
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH = 24, 2
@@ -421,5 +422,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     gone = stored(gone, "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(gone, same, "left_anti")
+    own = Columns(docs)
+    rows = own.rows(_id=own["doc_id"].cast("long"), _text_hash=F.xxhash64(own["text"]))
+    return own.back(rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_text_hash") == F.col("_hash")), "left_anti"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsprism.session import importable
+from newsprism.storage import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -78,9 +79,9 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from newsprism.llm import shared, token_files
+    from newsprism.llm import token_files
 
-    path = shared.new_path(importable(spark), "tokens")
+    path = new_path(importable(spark), "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), path, vocabulary())
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -16,10 +16,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from newsprism.llm import blocks as B
 from newsprism.llm import vec
+from newsprism.llm.columns import BOX, Columns, arrow_schema, boxed_schema
 
 WINDOW = 20
 RESULT = "n_words bigint, n_removed bigint, kept_text string, spans array<struct<start:int,end:int>>"
@@ -80,7 +80,7 @@ def _cut(n: int, schema: pa.Schema):
             for a, b, d in zip(s.tolist(), e.tolist(), of.tolist(), strict=True):
                 per[d].append({"start": a - int(w.first[d]), "end": b - int(w.first[d])})
             spans += per
-        cols = [docs[B.ID], docs[B.TEXT], docs[B.REST], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, schema.field("spans").type)]
+        cols = [docs[BOX], docs[B.ID], docs[B.TEXT], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, schema.field("spans").type)]
         return pa.Table.from_arrays([pa.chunked_array(c) if isinstance(c, pa.Array) else c for c in cols], schema.names).cast(schema)
 
     return remove
@@ -89,17 +89,16 @@ def _cut(n: int, schema: pa.Schema):
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of `docs` with n_words, n_removed, kept_text (the words that stay, one space
     between) and spans (maximal removed runs of words, end exclusive)."""
-    layout = B.plan(docs, id_col, text_col)
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    dealt = B.deal(docs, id_col, text_col, layout, rest)
+    results = ["n_words", "n_removed", "kept_text", "spans"]
+    own = Columns(docs, results, [id_col, text_col])
+    layout = B.plan(own, id_col, text_col)
+    dealt = B.deal(own, id_col, text_col, layout)
     items = max(1.0, layout.n_bytes / 6)
     buckets = layout.buckets(items)
     width = B.hash_width(items, buckets)
     sent = dealt.groupBy(B.BLOCK).applyInArrow(_emit(window, buckets, width), B.SENT)
     found = B.exchange(sent, buckets, width, True, layout.n)
-    kind = dealt.schema[B.REST].dataType.simpleString()
-    ddl = f"{B.ID} bigint, {B.TEXT} string, {B.REST} {kind}, {RESULT}"
-    schema = B.arrow_schema(dealt.sparkSession, ddl)
-    out = dealt.groupBy(B.BLOCK).cogroup(found.groupBy(B.BLOCK)).applyInArrow(_cut(window, schema), ddl)
-    results = ["n_words", "n_removed", "kept_text", "spans"]
-    return out.select(F.col(B.ID).alias(id_col), F.col(B.TEXT).alias(text_col), *(F.col(f"{B.REST}.`{c}`").alias(c) for c in rest if c not in results), *results)
+    spark_schema = boxed_schema(dealt.drop(B.BLOCK), RESULT)
+    cut = _cut(window, arrow_schema(docs.sparkSession, spark_schema))
+    out = dealt.groupBy(B.BLOCK).cogroup(found.groupBy(B.BLOCK)).applyInArrow(cut, spark_schema)
+    return own.back(out, results, **{id_col: B.ID, text_col: B.TEXT})

@@ -31,10 +31,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from newsprism.llm import blocks as B
 from newsprism.llm import vec
+from newsprism.llm.columns import BOX, Columns, arrow_schema, boxed_schema
 
 LENGTH, GRAM = 50, 26
 SPAN = LENGTH - GRAM + 1
@@ -320,7 +320,7 @@ def _apply(schema: pa.Schema):
             s, e = np.sort(np.concatenate([s, inner])), np.sort(np.concatenate([e, inner]))
             for a, b, d in zip(s.tolist(), e.tolist(), (np.searchsorted(begin, s, "right") - 1).tolist(), strict=True):
                 spans[d].append({"start": a - int(begin[d]), "end": b - int(begin[d])})
-        cols = [rows[B.ID], rows[B.TEXT], rows[B.REST], pa.array(np.diff(begin), pa.int64()), pa.array(lost[begin[1:]] - lost[begin[:-1]], pa.int64()), pa.array([kept[a:b] for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)], pa.binary()), pa.array(spans, schema.field("spans").type)]
+        cols = [rows[BOX], rows[B.ID], rows[B.TEXT], pa.array(np.diff(begin), pa.int64()), pa.array(lost[begin[1:]] - lost[begin[:-1]], pa.int64()), pa.array([kept[a:b] for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)], pa.binary()), pa.array(spans, schema.field("spans").type)]
         return pa.Table.from_arrays([pa.chunked_array(c) if isinstance(c, pa.Array) else c for c in cols], schema.names).cast(schema)
 
     return cut
@@ -329,15 +329,15 @@ def _apply(schema: pa.Schema):
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with n_bytes, n_removed, kept_bytes and spans (maximal removed runs of
     bytes, end exclusive)."""
-    layout = B.plan(docs, id_col, text_col)
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    dealt = B.deal(docs, id_col, text_col, layout, rest)
+    results = ["n_bytes", "n_removed", "kept_bytes", "spans"]
+    own = Columns(docs, results, [id_col, text_col])
+    layout = B.plan(own, id_col, text_col)
+    dealt = B.deal(own, id_col, text_col, layout)
     buckets = layout.buckets(layout.n_bytes / 13, BUCKET)
     sent = dealt.groupBy(B.BLOCK).applyInArrow(_emit(buckets), B.SENT)
     found = B.exchange(sent, buckets, ANCHOR_WIDTH, False, layout.n)
     pieces = dealt.groupBy(B.BLOCK).cogroup(found.groupBy(B.BLOCK)).applyInArrow(_send_pieces(buckets), PIECES)
     answers = pieces.repartition(buckets, "_bucket").groupBy("_bucket").applyInArrow(_settle, ANSWER).repartition(layout.n, B.BLOCK)
-    ddl = f"{B.ID} bigint, {B.TEXT} string, {B.REST} {dealt.schema[B.REST].dataType.simpleString()}, {RESULT}"
-    out = dealt.groupBy(B.BLOCK).cogroup(answers.groupBy(B.BLOCK)).applyInArrow(_apply(B.arrow_schema(docs.sparkSession, ddl)), ddl)
-    results = ["n_bytes", "n_removed", "kept_bytes", "spans"]
-    return out.select(F.col(B.ID).alias(id_col), F.col(B.TEXT).alias(text_col), *(F.col(f"{B.REST}.`{c}`").alias(c) for c in rest if c not in results), *results)
+    spark_schema = boxed_schema(dealt.drop(B.BLOCK), RESULT)
+    out = dealt.groupBy(B.BLOCK).cogroup(answers.groupBy(B.BLOCK)).applyInArrow(_apply(arrow_schema(docs.sparkSession, spark_schema)), spark_schema)
+    return own.back(out, results, **{id_col: B.ID, text_col: B.TEXT})

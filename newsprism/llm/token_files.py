@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from newsprism.llm import blocks as B
 from newsprism.llm import vec
 from newsprism.llm.bpe import CHUNK_BYTES, codec
+from newsprism.llm.columns import Columns, arrow_schema
 
 END_ID = 2
 MAGIC = b"DAC1"
@@ -135,7 +136,8 @@ SEGMENTS = "segment int, doc_ids array<bigint>, n_tokens array<bigint>, dac bina
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Writes the ids of every text, `end_id` behind each document, in ascending id order."""
-    layout = B.plan(docs, id_col, text_col)
+    own = Columns(docs.select(id_col, text_col), moved=[id_col, text_col])
+    layout = B.plan(own, id_col, text_col)
 
     def segment(table: pa.Table) -> pa.Table:
         rows, texts = B.in_order(table)
@@ -146,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             counts += (np.diff(starts) + 1).tolist()
         return pa.table([pa.array([table[B.BLOCK][0].as_py()], pa.int32()), pa.array([rows[B.ID].to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([encode(np.concatenate(ids))], pa.binary())], ["segment", "doc_ids", "n_tokens", "dac"])
 
-    dealt = B.deal(docs, id_col, text_col, layout)
+    dealt = B.deal(own, id_col, text_col, layout)
     dealt.groupBy(B.BLOCK).applyInArrow(segment, SEGMENTS).write.option("compression", "none").parquet(path)
 
 
@@ -158,7 +160,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     sizes = files.select("segment", F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
     before = sizes.select(F.col("segment").alias("of"), (F.sum("total").over(Window.orderBy("segment")) - F.col("total")).alias("before"))
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
-    arrow = B.arrow_schema(spark, schema)
+    arrow = arrow_schema(spark, schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

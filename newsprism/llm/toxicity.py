@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsprism.llm import vec
-from newsprism.llm.blocks import arrow_schema
+from newsprism.llm.columns import Columns, arrow_schema, batch_of, boxed_schema
 
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 4000, 6000
 MIN_DOCS = 3
@@ -131,6 +131,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Fits the model on labels (doc_id, toxic) whose rows satisfy `learn`."""
+    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.where(learn) if learn is not None else known
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -158,18 +159,18 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float],
     """The rows of `docs` with score, predicted (score >= cut) and offending: the sentences whose
     own score reaches the cut, as code-point offsets (end exclusive) and scores."""
     results = ["score", "predicted", "offending"]
-    rest = [c for c in docs.columns if c not in (text_col, *results)]
-    rows = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").cast("string").alias(text_col))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", score double, predicted int, offending array<struct<start:int,end:int,score:double>>"
-    schema = arrow_schema(docs.sparkSession, ddl)
-    shared, at_text = docs.sparkSession.sparkContext.broadcast(model), len(rest)
+    own = Columns(docs, results, [text_col])
+    rows = own.rows(text=own[text_col].cast("string"))
+    spark_schema = boxed_schema(rows, "score double, predicted int, offending array<struct<start:int,end:int,score:double>>")
+    schema = arrow_schema(docs.sparkSession, spark_schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, weight, bias = shared.value
         table = np.zeros((1 << BITS) + 1)
         table[chosen] = weight  # feature -1 reads the last place, which stays 0
         for batch in batches:
-            texts = vec.utf8(batch.column(at_text))
+            texts = vec.utf8(batch.column(1))
             for i, j in vec.chunks(texts):
                 w = vec.Words(texts[i:j], vec.NON_ALNUM, fold=True)
                 of_word, text_of, begin = sentences(w)
@@ -186,9 +187,9 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float],
                     head = len(texts[i + d][:a].decode(errors="ignore"))
                     bad[d].append({"start": head, "end": head + len(texts[i + d][a:b].decode(errors="ignore")), "score": float(p[s])})
                 cols = [*(x.slice(i, j - i) for x in batch.columns), pa.array(total), pa.array((total >= cut).astype(np.int32)), pa.array(bad, schema.field("offending").type)]
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(cols, schema, strict=True)], schema=schema)
+                yield batch_of(cols, schema)
 
-    return rows.mapInArrow(score, ddl)
+    return own.back(rows.mapInArrow(score, spark_schema), results, **{text_col: "text"})
 
 
 def not_held_out(id_col: str = "doc_id") -> Column:
@@ -199,4 +200,6 @@ def not_held_out(id_col: str = "doc_id") -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, unchanged, that the model doesn't reject."""
     model = train(docs, labels, not_held_out())
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    own = Columns(docs, moved=["text"])
+    scored = score_toxicity(own.rows(text=own["text"]), model)
+    return own.back(scored.where("predicted = 0"), text="text")

@@ -23,7 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsprism.llm.shared import stored
+from newsprism.llm.columns import Columns
+from newsprism.storage import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
@@ -112,12 +113,13 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     """The rows of `pages` (page_id, url) with host, path, rule, reputation, lower and verdict.
     labels: (doc_id, quality), where the page of that id is bad if quality is 0."""
     results = ["host", "path", "rule", "reputation", "lower", "verdict"]
-    rows = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in results)).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    outcomes = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"), F.sum(1 - F.col("quality")).alias("bad"))
+    own_columns = Columns(pages, results)
+    url = own_columns["url"].cast("string")
+    rows = own_columns.rows(page_id=own_columns["page_id"], host=host_of(url), path=path_of(url))
+    outcomes = labels.select("doc_id", "quality").where("quality in (0, 1)").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"), F.sum(1 - F.col("quality")).alias("bad"))
     scores = host_reputation(rows.select("page_id", "host"), outcomes)
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     judged = rows.join(scores.select("host", F.col("mean").alias("reputation"), "lower"), "host", "left")
     own = F.when(F.col("lower") >= cut, "block").otherwise("allow")
-    order = [c for c in rows.columns if c not in results]
-    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, own)}).select(*order, *results)
+    return own_columns.back(judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, own)}), results)
 

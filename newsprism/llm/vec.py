@@ -8,6 +8,7 @@ input with :func:`chunks`, so memory follows the chunk (or the longest document)
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ import xxhash
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
+#: Powers of a base that a worker keeps.
+KEEP = 1 << 21
 #: Words longer than this are hashed one by one; shorter ones eight bytes at a time.
 LONG_WORD = 256
 #: Odd base of the rolling window hash, and its inverse modulo 2**64.
@@ -35,15 +38,28 @@ _powers = {BASE: np.ones(1, U64), BASE_INV: np.ones(1, U64)}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64.  Tables of up to KEEP powers are kept."""
     have = _powers[base]
     if len(have) < n:
         steps = np.full(max(n, 1 << 16), base, U64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=U64)
+        have = np.cumprod(steps, dtype=U64)
+        if len(have) <= KEEP:
+            _powers[base] = have
     return have[:n]
 
 
+def release() -> None:
+    """Gives memory back that a worker keeps from earlier tasks of other operators."""
+    for base in _powers:
+        _powers[base] = np.ones(1, U64)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser (in place): spreads every input bit over the word."""
     x ^= x >> U64(30)

@@ -4,6 +4,7 @@ import os
 import random
 import sys
 from pathlib import Path
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import brute  # noqa: E402
 
 from newsprism.llm import bpe, decontaminate, html_text, near_dedup, queries, substring_dedup, suffix_dedup, token_files, topk, toxicity, url_filter  # noqa: E402
-from newsprism.llm.shared import new_path  # noqa: E402
+from newsprism.storage import new_path  # noqa: E402
 
 
 def make_corpus():
@@ -208,11 +209,13 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_decontamination_in_slices(docs, spark, monkeypatch):
-    bench = spark.createDataFrame([(k, CORPUS[k][1]) for k in range(0, 40, 3)], "item_id long, text string")
+def test_decontamination_beyond_the_broadcast(docs, spark, monkeypatch):
+    items = [(k, CORPUS[k][1]) for k in range(0, 40, 3)] + [(100, "one"), (None, CORPUS[50][1]), (0, CORPUS[41][1]), (0, CORPUS[0][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(str, decontaminate.find_contamination(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert sorted(map(str, decontaminate.find_contamination(docs, bench).collect())) == whole
+    assert sum("contaminated=True" in r for r in whole) > 10
 
 
 def test_decontamination_odd(spark, odd):
@@ -359,32 +362,165 @@ def test_html_text(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
-def test_suffix_array():
-    rng = np.random.default_rng(7)
-    for _ in range(5):
-        x = rng.integers(0, 3, 60)
-        order = html_text.suffix_order(x, 64).tolist()
-        assert order == sorted(range(60), key=lambda i: tuple(x[i:]))
+def test_html_hot_host_against_brute_force(spark):
+    """A host of over 1,000 unmarked pages: blocks whose tokens stand in a phrase of six that another page
+    has go, whatever the number of pages; copies of one page don't make it boilerplate."""
+    rng = random.Random(11)
+    words = [f"t{k}" for k in range(4000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    menus, rare = [text(9) for _ in range(3)], [text(12) for _ in range(20)]
+    pages = []
+    for k in range(1100):
+        parts = [menus[k % 3], text(30), text(rng.randint(1, 8))]
+        if k % 50 == 0:
+            parts.insert(1, rare[k // 100])  # on two pages of the host only
+        if k % 4 == 1:
+            parts.append(text(5) + " " + " ".join(menus[0].split()[:6]) + " " + text(4))
+        pages.append((k, "http://hot.org/p", parts))
+    pages += [(2000, "http://other.org/", [menus[0], text(20)]), (2001, "http://hot.org/p", pages[7][2]), (2002, "http://hot.org/p", pages[7][2])]
+    pages.append((3000, "http://hot.org/marked", None))  # its menu counts, though the page needs no judge
+    marked = text(8)
+    pages.append((3001, "http://hot.org/p", [marked, text(25)]))
+    html = lambda p: f"<body><nav>{marked}</nav><article><p>A</p></article></body>" if p is None else "<body>" + "".join(f"<div>{x}</div>" for x in p) + "</body>"
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame([(i, u, html(p)) for i, u, p in pages], "page_id long, url string, html string")).collect()}
+    seen = {}
+    for _, u, p in pages:
+        stream = (marked if p is None else " ".join(p)).split()
+        for k in range(len(stream) - 5):
+            seen.setdefault((urlsplit(u).hostname, tuple(stream[k : k + 6])), set()).add(" ".join(stream) if p else "A")
+    for i, u, p in pages:
+        if p is None:
+            assert got[i] == "A"
+            continue
+        stream, gone = " ".join(p).split(), set()
+        for k in range(len(stream) - 5):
+            if len(seen[urlsplit(u).hostname, tuple(stream[k : k + 6])]) > 1:
+                gone |= set(range(k, k + 6))
+        kept, at = [], 0
+        for block in p:
+            n = len(block.split())
+            lost = len(gone & set(range(at, at + n)))
+            at += n
+            if lost < 0.5 * n or not lost:
+                kept.append(block)
+        assert got[i] == "\n".join(kept)
+    assert sum(len(got[i].split("\n")) < len(p) for i, _, p in pages if p) > 1000
+
+
+def test_html_odd(spark):
+    rows = [(1, None, "<div>alone here</div>"), (1, None, "<div>alone here</div>"), (2, None, None), (3, "http://h/", "<p>" + "word " * 200_000), (4, "http://h/", "<b>"), (5, "http://h/", "a < b & c")]
+    out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted((r.page_id, r.text) for r in out.collect())
+    assert got[0] == got[1] == (1, "alone here") and got[2] == (2, "") and len(got[3][1]) == 5 * 200_000 - 1 and got[4] == (4, "") and got[5] == (5, "a < b & c")
+
+
+AWKWARD = ["my col", "a.b", "`tick`", "N_WORDS", "Score", "N_Tokens", "Kept_Text", "Spans", "N_Bytes", "HOST", "_box", "_id", "_gone", "in_0", "box", "id", "row", "nested"]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Names with blanks, dots and quotes, names that differ from results by case, nested types, null and
+    shared ids, repeated rows, empty and null texts, and one text of 3 MB."""
+    rng = random.Random(12)
+    words = [f"word{k}" for k in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(400_000))
+    texts = ["one two three four five six", "one two three four five six", "", None, long, "x" * 60, "Toxic words here. And others."]
+    ids = [1, 1, 2, None, 3, 4, None]
+    rows = [(i, t, *[f"v{k}" for k in range(len(AWKWARD) - 1)], [{"k": n}]) for n, (i, t) in enumerate(zip(ids, texts))]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in AWKWARD[:-1]) + ", nested array<struct<k:int>>"
+    df = spark.createDataFrame(rows, schema)
+    return df.union(df.limit(1))
+
+
+def whole_operators(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").withColumn("my col", F.lit(1))
+    bench = spark.createDataFrame([(1, "two three four"), (1, "two three four"), (None, None)], "item_id long, text string").withColumn("a.b", F.lit(1))
+    none = np.empty(0, np.int32), np.empty(0), -3.0
+    return {
+        "op2": (lambda d: substring_dedup.dedup_substrings(d), ["n_words", "n_removed", "kept_text", "spans"]),
+        "op3": (lambda d: decontaminate.find_contamination(d, bench), ["n_words", "n_hit", "items", "spans", "contaminated"]),
+        "op4": (lambda d: toxicity.score_toxicity(d, none), ["score", "predicted", "offending"]),
+        "op5": (lambda d: bpe.encode_documents(d, queries.vocabulary()), ["n_tokens", "ids", "decoded"]),
+        "op7": (lambda d: url_filter.filter_urls(d.withColumnsRenamed({"doc_id": "page_id", "text": "url"}), labels), ["host", "path", "rule", "reputation", "lower", "verdict"]),
+        "op8": (lambda d: html_text.extract_text(d.withColumn("html", F.col("text")).withColumn("url", F.lit("http://x.org/"))), ["text"]),
+        "op10": (lambda d: suffix_dedup.dedup_suffixes(d), ["n_bytes", "n_removed", "kept_bytes", "spans"]),
+    }
+
+
+@pytest.mark.parametrize("name", ["op2", "op3", "op4", "op5", "op7", "op8", "op10"])
+def test_awkward_columns(spark, awkward, name):
+    operator, results = whole_operators(spark)[name]
+    out = operator(awkward)
+    gone = {r.lower() for r in results}
+    assert out.columns[-len(results) :] == results
+    assert {c for c in AWKWARD if c.lower() not in gone} <= set(out.columns)
+    assert not [c for c in out.columns[: -len(results)] if c.lower() in gone]
+    rows = out.collect()
+    assert len(rows) == awkward.count() and sorted(r["nested"][0]["k"] for r in rows) == [0, 0, 1, 2, 3, 4, 5, 6]
+    assert {r["my col"] for r in rows} == {"v0"} and {r["a.b"] for r in rows} == {"v1"}
+    assert operator(awkward.limit(0)).count() == 0
+
+
+def test_awkward_other_queries(spark, awkward):
+    assert near_dedup.near_duplicates(awkward).count() == 8
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(awkward, path, queries.vocabulary())
+    assert token_files.read_tokens(spark, path).count() == 8
+    vectors = awkward.selectExpr("doc_id * 20 as vec_id", "array(1.0, cast(doc_id as double)) as embedding", "`my col`", "score")
+    assert [tuple(r) for r in topk.top_k(vectors.union(spark.createDataFrame([(7, [1.0], "", ""), (9, [], "", "")], vectors.schema))).where("query_id = 20").orderBy("rank").collect()] == [(20, 1, 80, 64 * 64 * 5), (20, 2, 60, 64 * 64 * 4), (20, 3, 40, 64 * 64 * 3)]
+
+
+def tables_for_pipeline(spark, tmp_path, rows):
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("N_Words", F.lit(1)).withColumn("my col", F.lit("x")).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, int("vileword" in (r[1] or ""))) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, CORPUS[2][1] or "zz"), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    return sf
 
 
-def test_pipeline_keeps_columns(spark, tmp_path):
+def test_pipeline_against_brute_force(spark, tmp_path, tokenizer):
+    """Each stage on its own input; toxicity by the model's own scores."""
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "bpe"]
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in CORPUS[:60]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("extra", F.lit(1))
-    sf = f"file://{tmp_path}"
-    spark.createDataFrame([(i, 1, 0) for i, _ in CORPUS[:60]], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
-    spark.createDataFrame([(1, CORPUS[2][1] or "zz")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in CORPUS]
+    rows += [(1000 + k, f"{CORPUS[k][1]} vileword", "en", "s", 0) for k in range(0, 60, 2)]
+    sf = tables_for_pipeline(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r for r in docs.collect()}
         out = stage(spark, docs, sf)
-        if name == "near_dedup":
-            kept = {k for k, v in brute.near_dedup([(r.doc_id, r.text) for r in docs.collect()]).items() if v[2]}
-            assert {r.doc_id for r in out.collect()} == kept
-        if name != "bpe":
-            assert out.columns == docs.columns
+        after = {r.doc_id: r for r in out.collect()}
+        pairs = [(i, r.text) for i, r in before.items()]
+        if name == "toxicity":
+            model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), toxicity.not_held_out())
+            assert set(after) == {r.doc_id for r in toxicity.score_toxicity(docs, model).where("predicted = 0").collect()}
+            assert set(after) < set(before)
+        elif name == "near_dedup":
+            assert set(after) == {k for k, v in brute.near_dedup(pairs).items() if v[2]}
+        elif name == "substring_dedup":
+            want = brute.substring_dedup(pairs)
+            assert {i: brute.sha(" ".join(brute.WORD.findall(r.text or ""))) for i, r in after.items()} == {i: v[2] for i, v in want.items()}
+            assert all(after[i].text == r.text and after[i].n_chars == r.n_chars for i, r in before.items() if not want[i][1])
+        elif name == "decontamination":
+            assert set(after) == {k for k, v in brute.contamination(pairs, [(1, CORPUS[2][1] or "zz")]).items() if not v[4]}
         else:
-            assert set(docs.columns) < set(out.columns)
+            want = brute.bpe(pairs, tokenizer)
+            assert {i: (r.n_tokens, brute.sha(bytes(r.ids)), brute.sha(r.decoded)) for i, r in after.items()} == want
+        if name != "bpe":
+            assert out.columns == docs.columns and all(after[i]["my col"] == "x" and after[i]["N_Words"] == 1 for i in after)
         path = new_path(spark, name)
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+    whole = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()}
+    assert whole == {r.doc_id: r.n_tokens for r in docs.collect()}
+
+
+def test_pipeline_odd(spark, tmp_path):
+    import corpus_pipeline
+
+    text = "p1 p2 p3 p4 p5 p6 p7 p8"
+    odd = [(1, text, "en", None, 1), (1, text, "en", "s", 1), (1, "other words altogether", "en", "s", 1), (None, text, None, "s", None), (None, None, None, None, None), (2, "", "en", "s", 0)]
+    out = corpus_pipeline.run(spark, tables_for_pipeline(spark, tmp_path / "odd", odd)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(1, "other words altogether"), (1, text), (1, text), (2, "")]
+    assert corpus_pipeline.run(spark, tables_for_pipeline(spark, tmp_path / "none", [])).count() == 0
