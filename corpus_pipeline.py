@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsprism.llm import bpe, decontaminate, near_dedup, shared, substring_dedup, toxicity
+from newsprism.llm import bpe, decontaminate, near_dedup, substring_dedup, toxicity
+from newsprism.llm.columns import BOX, Columns
 from newsprism.llm.queries import table, vocabulary
+from newsprism.storage import stored
 
 #: The minhashes of a near-duplicate stage and the confirmation can't be said in SQL.
 ORACLE_SQL = None
@@ -30,13 +32,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that start earlier go; texts that lose none stay as they are, and n_chars
     follows the text."""
-    out = substring_dedup.dedup_substrings(docs)
+    own = Columns(docs, moved=["text"])
+    out = substring_dedup.dedup_substrings(own.rows(doc_id=own["doc_id"], text=own["text"]))
     cut = F.col("n_removed") > 0
-    text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
-    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text}
+    new = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*(columns[c].alias(c) for c in docs.columns))
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(cut, F.length("kept_text").cast(kind)).otherwise(F.col(f"{BOX}.{own.find('n_chars')}"))
+    return own.back(out, **new)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = shared.stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
