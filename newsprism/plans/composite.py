@@ -46,7 +46,7 @@ def _text_query(name: str, source: str) -> None:
 
 for _n in ("str1_name_key", "str2_topic_slug", "str3_source_slug", "str4_topic_key", "str5_source_key", "str6_title_terms"):
     _text_query(_n, "articles")
-for _n in ("str7_claim_key", "str12_claim_features", "str14_time_markers"):
+for _n in ("str7_claim_key", "str12_claim_features"):
     _text_query(_n, "claims")
 
 
@@ -61,11 +61,6 @@ def _(m: Model) -> DataFrame:
     return m.articles.select("article_id", words.alias("words"), T.reading_minutes(words).alias("minutes"))
 
 
-@query("str13_negation", "SELECT claim_id, len(list_filter(string_split(claim_key, ' '), lambda w: w IN ('not', 'no', 'never', 'nicht', 'kein', 'ne', 'pas', 'non'))) > 0 AS negative FROM {members}")
-def _(m: Model) -> DataFrame:
-    return m.members.select("claim_id", F.exists(F.split("claim_key", " "), lambda w: w.isin("not", "no", "never", "nicht", "kein", "ne", "pas", "non")).alias("negative"))
-
-
 @query("str16_sentences")
 def _(m: Model) -> DataFrame:
     rows = m.articles.select("article_id", F.posexplode(T.column("sentence_spans", "body", "language_code")).alias("sentence", "s"))
@@ -119,8 +114,8 @@ def _(m: Model) -> DataFrame:
 
 @query("c8_sequence_ratio")
 def _(m: Model) -> DataFrame:
-    t = m.members.where("pos = 0").select("story_id", "claim_id", F.split("claim_key", " ").alias("w"))
-    a, b = t.withColumnsRenamed({"claim_id": "a", "w": "wa"}), t.withColumnsRenamed({"claim_id": "b", "w": "wb"})
+    t = m.story_articles.where("title is not null").select("story_id", "article_id", F.split(F.lower("title"), " ").alias("w"))
+    a, b = t.withColumnsRenamed({"article_id": "a", "w": "wa"}), t.withColumnsRenamed({"article_id": "b", "w": "wb"})
     return a.join(b, "story_id").where("a < b").select("a", "b", F.round(sequence_ratio("wa", "wb"), 6).alias("ratio"))
 
 
@@ -236,11 +231,6 @@ def _(m: Model) -> DataFrame:
     return articles.stale_embeddings(m.eligible.select("article_id", "content_hash"), v, "v1", 64)
 
 
-@query("agg15_terms", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(claim_key, '[a-z]{4,}')) AS word FROM {members}) GROUP BY word HAVING count(*) > 2")
-def _(m: Model) -> DataFrame:
-    return m.members.select(F.explode(F.regexp_extract_all("claim_key", F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 2")
-
-
 @query(
     "agg19_percentiles",
     """WITH r AS (SELECT label, article_id % 97 AS v, row_number() OVER (PARTITION BY label ORDER BY article_id % 97) AS k, count(*) OVER (PARTITION BY label) AS n FROM {embeddings})
@@ -269,14 +259,49 @@ def _(m: Model) -> DataFrame:
     return _related(m).where("kind = 'member'").select("story_id", "left_group", "claim_id", "match", F.round("score", 6).alias("score"))
 
 
+def _debated(m: Model) -> DataFrame:
+    """Claims of stories with titles and vectors, and by two other sources denials of every fifth one,
+    and the first words of every seventh with its vector, as a paraphrase has."""
+    vectors = m.embeddings.select("article_id", F.col("embedding").cast("array<double>").alias("base"))
+    rows = _story_claims(m).join(m.eligible.select("article_id", "title"), "article_id").join(vectors, "article_id", "left")
+    shift = F.transform("base", lambda x, i: x + F.sin(F.col("claim_id") * (i + 1)) / 2)
+    rows = rows.withColumns({"embedding": shift, "semantic_model": F.lit("v1")}).drop("base")
+    denied = rows.where("claim_id % 5 = 0").withColumns({"claim_id": F.col("claim_id") + 50_000, "source_id": F.lit("denier"), "claim_text": F.concat(F.lit("Not "), "claim_text"), "claim_key": F.concat(F.lit("not "), "claim_key"), "title": F.lit(None).cast("string"), "embedding": F.lit(None).cast("array<double>")})
+    words = F.split("claim_key", " ")
+    short = F.array_join(F.slice(words, F.lit(1), F.ceil(F.size(words) * 0.6).cast("int")), " ")
+    retold = rows.where("claim_id % 7 = 0").withColumns({"claim_id": F.col("claim_id") + 60_000, "source_id": F.lit("reteller"), "claim_text": short, "claim_key": short})
+    return rows.unionByName(denied).unionByName(retold)
+
+
+def _debates(m: Model, classify=None) -> DataFrame:
+    return stored(relations.relate_claims(_debated(m), classify), "debates")
+
+
 @query("clu7_contradictions")
 def _(m: Model) -> DataFrame:
-    return _related(m).where("kind = 'contradicts'").select("story_id", "left_group", "right_group", F.round("score", 6).alias("score"))
+    return _debates(m).where("kind = 'contradicts'").select("story_id", "left_group", "right_group", F.round("score", 6).alias("score"))
 
 
 @query("clu8_candidates")
 def _(m: Model) -> DataFrame:
-    return _related(m).where("kind = 'candidate'").select("story_id", "left_group", "right_group", F.round("score", 6).alias("score"))
+    return _debates(m).where("kind = 'candidate'").select("story_id", "left_group", "right_group", F.round("score", 6).alias("score"))
+
+
+def _length_classifier(pairs: list[tuple[dict, dict]]) -> list[tuple[str, float]]:
+    """Stands for an outside classifier: longer claims dispute shorter ones; fails on some stories."""
+    if pairs[0][0]["story_id"] % 16 == 0:
+        raise RuntimeError("no answer")
+    return [("disputes" if len(a["claim_text"]) > len(b["claim_text"]) else "unrelated", 0.9 if a["claim_id"] % 3 else 0.7) for a, b in pairs]
+
+
+@query("clu9_disputes")
+def _(m: Model) -> DataFrame:
+    return _debates(m, _length_classifier).where("kind = 'disputes'").select("story_id", "left_group", "right_group", "score")
+
+
+@query("clu6_semantic_members")
+def _(m: Model) -> DataFrame:
+    return _debates(m).where("kind = 'member' and match = 'semantic'").select("story_id", "left_group", "claim_id", F.round("score", 6).alias("score"))
 
 
 @query("agg16_confidence")
@@ -493,11 +518,9 @@ def _feed_xml(m: Model) -> DataFrame:
     return rows.select("feed_id", F.concat(F.lit("https://"), "feed_id", F.lit(".example.org/rss")).alias("url"), F.concat(F.lit("<rss version='2.0'><channel><title>t</title>"), "items", F.lit("</channel></rss>")).alias("content"))
 
 
-@query("src4_feed_entries", "SELECT feed_id, 'g' || article_id AS external_id, 'https://' || feed_id || '.example.org/a/' || article_id AS link, 1704067200 AS published_s FROM {articles} WHERE article_id % 10 = 0 AND feed_id IS NOT NULL")
+@query("src4_feed_entries", "SELECT feed_id, 'g' || article_id AS external_id, 'https://' || feed_id || '.example.org/a/' || article_id AS link, 1704067200 AS published_s FROM {articles} WHERE feed_id IS NOT NULL")
 def _(m: Model) -> DataFrame:
-    # all entries are parsed; the SQL names those of every tenth article, with a feed, only
-    rows = feed_sources.entries(_feed_xml(m)).where("feed_id is not null and cast(substring(external_id, 2) as bigint) % 10 = 0")
-    return rows.select("feed_id", "external_id", "link", "published_s")
+    return feed_sources.entries(_feed_xml(m)).where("feed_id is not null").select("feed_id", "external_id", "link", "published_s")
 
 
 @query("src5_identities")

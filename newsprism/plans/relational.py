@@ -31,22 +31,19 @@ SQL: dict[str, str] = {
     "flt15_eligible_groups": """SELECT g.story_id, g.group_id, count(*) AS n FROM {members} g
         WHERE EXISTS (SELECT 1 FROM {members} r WHERE r.claim_id = g.group_id AND r.confidence >= 0.6)
           AND NOT EXISTS (SELECT 1 FROM {members} b WHERE b.group_id = g.group_id AND b.role = 'advocacy') GROUP BY g.story_id, g.group_id""",
-    "flt16_read_model": "SELECT claim_id AS id, article_id AS article, source_id AS publisher, claim_text AS text, confidence AS score FROM {members} WHERE pos = 0",
-    "flt17_generation_gate": """WITH want AS (SELECT story_id, count(DISTINCT article_id) AS n FROM {memberships} WHERE NOT deleted GROUP BY story_id),
-        have AS (SELECT story_id, count(DISTINCT article_id) AS n FROM {members} GROUP BY story_id)
-        SELECT w.story_id FROM want w JOIN have h ON w.story_id = h.story_id AND w.n = h.n""",
+    "flt16_read_model": "SELECT claim_id AS id, article_id AS article, source_id AS publisher, claim_text AS text, confidence AS score FROM {members}",
     # -- joins
     "j1_star": "SELECT m.story_id, a.article_id, f.feed_id, s.source_id, s.source_type FROM {memberships} m JOIN {articles} a ON a.article_id = m.article_id JOIN {feeds} f ON f.feed_id = a.feed_id JOIN {sources} s ON s.source_id = f.source_id WHERE NOT m.deleted",
     "j2_chain": """SELECT g.group_id, c.claim_id, a.article_id, s.source_id FROM (SELECT DISTINCT story_id, group_id FROM {members}) g
         JOIN {members} c ON c.group_id = g.group_id AND c.story_id = g.story_id JOIN {articles} a ON a.article_id = c.article_id JOIN {feeds} f ON f.feed_id = a.feed_id
-        JOIN {sources} s ON s.source_id = f.source_id JOIN {memberships} m ON m.story_id = g.story_id AND m.article_id = a.article_id WHERE NOT m.deleted AND c.pos < 3""",
+        JOIN {sources} s ON s.source_id = f.source_id JOIN {memberships} m ON m.story_id = g.story_id AND m.article_id = a.article_id WHERE NOT m.deleted""",
     "j3_left_residual": "SELECT a.article_id, p.kind FROM {eligible} a LEFT JOIN (SELECT article_id, min(kind) AS kind FROM {perspectives} WHERE kind <> 'unattributed' GROUP BY article_id) p ON p.article_id = a.article_id AND a.role = 'editorial'",
     "j4_exists": "SELECT e.article_id FROM {eligible} e WHERE EXISTS (SELECT 1 FROM {entities} n WHERE n.article_id = e.article_id AND n.entity LIKE 'th%')",
     "j5_not_exists": "SELECT a.article_id FROM {articles} a WHERE NOT EXISTS (SELECT 1 FROM {eligible} e WHERE e.article_id = a.article_id)",
     "j6_in_distinct": "SELECT story_id, count(*) AS n FROM {story_articles} WHERE story_id IN (SELECT DISTINCT story_id FROM {story_articles} WHERE source_type = 'NEWS') GROUP BY story_id",
     "j8_two_aliases": """SELECT l.story_id, l.claim_id AS left_claim, r.claim_id AS right_claim FROM {members} l JOIN {members} r
         ON l.story_id = r.story_id AND l.claim_key = r.claim_key AND l.claim_id < r.claim_id""",
-    "j9_theta_pairs": "SELECT l.story_id, l.group_id AS left_group, r.group_id AS right_group FROM {members} l JOIN {members} r ON l.story_id = r.story_id AND l.group_id < r.group_id WHERE l.pos = 0 AND r.pos = 0 AND l.claim_id = l.group_id AND r.claim_id = r.group_id",
+    "j9_theta_pairs": "SELECT l.story_id, l.group_id AS left_group, r.group_id AS right_group FROM {members} l JOIN {members} r ON l.story_id = r.story_id AND l.group_id < r.group_id WHERE l.claim_id = l.group_id AND r.claim_id = r.group_id",
     "j10_composite": "SELECT a.story_id, a.article_id, b.n FROM {story_articles} a JOIN (SELECT story_id, language_code, count(*) AS n FROM {story_articles} GROUP BY story_id, language_code) b ON a.story_id = b.story_id AND a.language_code = b.language_code",
     "j11_two_roles": "SELECT e.article_id, p.source_type AS publisher_type, u.source_type AS upstream_type FROM {eligible} e JOIN {sources} p ON p.source_id = e.source_id JOIN {sources} u ON u.num = (e.num + 3) % 20",
     "j12_scalar": "SELECT e.article_id, (SELECT max(m.story_id) FROM {memberships} m WHERE m.article_id = e.article_id AND NOT m.deleted) AS story_id FROM {eligible} e",
@@ -58,7 +55,7 @@ SQL: dict[str, str] = {
         SELECT DISTINCT w.word, coalesce(c.id, a.id) AS id FROM (SELECT DISTINCT CASE WHEN article_id % 2 = 0 THEN entity ELSE substr(entity, 1, 6) END AS word FROM {entities}) w
         LEFT JOIN canon c ON c.entity = w.word LEFT JOIN alias a ON a.alias = w.word""",
     "j17_mismatch": "SELECT e.article_id FROM {eligible} e JOIN {sources} s ON s.source_id = e.source_id WHERE concat(e.source_type, '-', e.article_id % 11) <> concat(s.source_type, '-', s.num % 11)",
-    "j18_lookup": "SELECT m.claim_id, s.country, p.holder FROM {members} m JOIN {sources} s ON s.source_id = m.source_id LEFT JOIN {perspectives} p ON p.claim_id = m.claim_id WHERE m.pos < 2",
+    "j18_lookup": "SELECT m.claim_id, s.country, p.holder FROM {members} m JOIN {sources} s ON s.source_id = m.source_id LEFT JOIN {perspectives} p ON p.claim_id = m.claim_id",
     # -- aggregation
     "agg1_story_summary": "SELECT story_id, language_code, count(*) AS articles, count(DISTINCT source_id) AS sources, min(time_s) AS first_s, max(time_s) AS last_s FROM {story_articles} GROUP BY story_id, language_code HAVING count(*) >= 2",
     "agg2_group_summary": "SELECT group_id, count(*) AS claims, count(DISTINCT article_id) AS articles, count(DISTINCT source_id) AS sources FROM {members} GROUP BY group_id",
@@ -75,9 +72,6 @@ SQL: dict[str, str] = {
         SELECT m.story_id, m.group_id, m.claims, m.articles, m.independent, e.items AS evidence_items, e.sources AS evidence_sources, coalesce(p.attributed, 0) AS attributed
         FROM m JOIN e ON e.group_id = m.group_id LEFT JOIN p ON p.group_id = m.group_id""",
     "agg9_consensus_label": """SELECT group_id, CASE WHEN count(DISTINCT CASE WHEN role IN ('editorial', 'expert_analysis') THEN source_id END) >= 2 THEN 'shared' ELSE 'single_source' END AS label FROM {members} GROUP BY group_id""",
-    "agg10_differences": """WITH g AS (SELECT story_id, group_id, count(DISTINCT source_id) AS sources FROM {members} WHERE pos = 0 GROUP BY story_id, group_id)
-        SELECT l.story_id, l.group_id AS left_group, r.group_id AS right_group, l.sources AS left_sources, r.sources AS right_sources, CASE WHEN (l.group_id + r.group_id) % 2 = 0 THEN 'contradiction' ELSE 'dispute' END AS kind
-        FROM g l JOIN g r ON l.story_id = r.story_id AND l.group_id < r.group_id""",
     "agg11_coverage": """SELECT story_id, count(DISTINCT article_id) AS articles, count(DISTINCT source_id) AS sources, count(DISTINCT CASE WHEN role <> 'signal' THEN source_id END) AS content_sources,
         count(DISTINCT CASE WHEN role = 'signal' THEN source_id END) AS signal_sources, count(DISTINCT CASE WHEN role IN ('editorial', 'expert_analysis') THEN num END) AS independent FROM {story_articles} GROUP BY story_id""",
     "agg12_distributions": """SELECT story_id, source_type, count(DISTINCT source_id) AS n FROM {story_articles} GROUP BY story_id, source_type
@@ -95,10 +89,6 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'sources', count(DISTINCT source_id) FROM {eligible} UNION ALL SELECT 'stories', count(DISTINCT story_id) FROM {story_articles}
         UNION ALL SELECT 'claims', count(*) FROM {members} UNION ALL SELECT 'groups', count(DISTINCT group_id) FROM {members}
         UNION ALL SELECT 'attributed', count(holder) FROM {perspectives} UNION ALL SELECT 'embedded', count(*) FROM {embeddings}""",
-    "agg20_threshold_sweep": """SELECT t.cut, count(CASE WHEN v.score >= t.cut AND v.truth = 1 THEN 1 END) AS tp, count(CASE WHEN v.score >= t.cut AND v.truth = 0 THEN 1 END) AS fp,
-          count(CASE WHEN v.score < t.cut AND v.truth = 1 THEN 1 END) AS fn, count(CASE WHEN v.score < t.cut AND v.truth = 0 THEN 1 END) AS tn
-        FROM (SELECT toxic AS truth, @real(doc_id % 100) / 100 AS score FROM {labels}) v
-        CROSS JOIN (SELECT 0.5 AS cut UNION ALL SELECT 0.55 UNION ALL SELECT 0.6 UNION ALL SELECT 0.65 UNION ALL SELECT 0.7 UNION ALL SELECT 0.75 UNION ALL SELECT 0.8 UNION ALL SELECT 0.85) t GROUP BY t.cut""",
     "agg21_outcomes": "SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS succeeded, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, count(*) AS total FROM {events} GROUP BY user_id",
     "agg22_histogram": "SELECT label, count(*) AS n FROM {embeddings} GROUP BY label",
     "agg23_backfill": """SELECT count(CASE WHEN kind <> 'unattributed' THEN 1 END) AS detected, count(CASE WHEN kind = 'quoted' AND confidence > 0.7 THEN 1 END) AS changed,
@@ -122,11 +112,6 @@ SQL: dict[str, str] = {
     "srt5_round_robin": """SELECT story_id, article_id, place FROM (SELECT story_id, article_id, time_s, @int(row_number() OVER (PARTITION BY story_id ORDER BY time_s DESC, article_id)) AS place FROM {story_articles}) t
         ORDER BY place, time_s DESC, article_id LIMIT 250""",
     "srt6_list_order": "SELECT a.article_id, p.place FROM {eligible} a JOIN (SELECT article_id, @int(row_number() OVER (ORDER BY article_id % 17, article_id)) AS place FROM {articles}) p ON p.article_id = a.article_id",
-    "srt8_two_lanes": """SELECT claim_id, lane FROM (SELECT claim_id, lane, row_number() OVER (PARTITION BY lane ORDER BY confidence DESC, claim_id) AS k FROM
-        (SELECT claim_id, confidence, CASE WHEN claim_id % 3 = 0 THEN 'hint' ELSE 'recall' END AS lane FROM {members}) t) u WHERE k <= 12""",
-    "srt9_waves": """SELECT article_id, lane, @floor((k - 1) / CASE lane WHEN 'live' THEN 8.0 ELSE 2.0 END) AS wave FROM
-        (SELECT article_id, lane, row_number() OVER (PARTITION BY lane ORDER BY time_s, article_id) AS k FROM (SELECT article_id, time_s, CASE WHEN article_id % 5 < 2 THEN 'live' ELSE 'stale' END AS lane FROM {eligible}) t) u""",
-    "srt10_cohort": f"SELECT story_id FROM (SELECT story_id, row_number() OVER (ORDER BY (story_id * 997 + {NOW} / 900) % 10007, story_id) AS k FROM (SELECT DISTINCT story_id FROM {{story_articles}}) s) t WHERE k <= 40".replace("/ 900", "// 900"),
     "srt11_budget": "SELECT article_id, total FROM (SELECT article_id, @int(sum(size) OVER (PARTITION BY lane ORDER BY article_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS total, row_number() OVER (PARTITION BY lane ORDER BY article_id) AS k FROM (SELECT article_id, length(body) AS size, source_id AS lane FROM {eligible}) s) t WHERE total <= 24000 OR k = 1",
     "set1_union_all": "SELECT 'article' AS kind, language_code, count(*) AS n FROM {articles} GROUP BY language_code UNION ALL SELECT 'claim', language_code, count(*) FROM {members} GROUP BY language_code",
     "set2_union": "SELECT source_id FROM {eligible} WHERE language_code = 'de' UNION SELECT source_id FROM {eligible} WHERE language_code = 'fr'",
@@ -141,20 +126,14 @@ SQL: dict[str, str] = {
     "c11_independent": "SELECT article_id, role IN ('editorial', 'expert_analysis') AS independent FROM {eligible}",
     "c12_enum_order": "SELECT claim_id, kind, CASE kind WHEN 'quoted' THEN 0 WHEN 'reported' THEN 1 ELSE 2 END AS place FROM {perspectives}",
     "c13_sorted_ids": "SELECT story_id, @set(source_id) AS sources, @set(language_code) AS languages FROM {story_articles} GROUP BY story_id",
-    "c15_validators": "SELECT 'confidence' AS rule, count(*) AS violations FROM {members} WHERE confidence < 0 OR confidence > 1 UNION ALL SELECT 'role', count(*) FROM {eligible} WHERE role NOT IN ('editorial', 'expert_analysis', 'primary_evidence', 'advocacy', 'signal')",
-    "c16_partition_check": "SELECT story_id, count(*) AS claims, count(DISTINCT claim_id) AS distinct_claims, count(DISTINCT group_id) AS groups FROM {members} GROUP BY story_id",
-    "c17_holder_check": "SELECT count(*) AS violations FROM {perspectives} WHERE (kind IN ('quoted', 'reported')) <> (holder IS NOT NULL)",
     "c20_country_check": "SELECT source_id, country IN ('DE', 'AT', 'CH') AS known FROM {sources} WHERE country IS NOT NULL",
     "str10_first_text": "SELECT article_id, coalesce(nullif(trim(title), ''), nullif(trim(body), '')) AS text FROM {articles}",
-    "str14_time_bits": "SELECT claim_id, CASE WHEN claim_key LIKE '%the%' THEN 1 ELSE 0 END + CASE WHEN claim_key LIKE '%and%' THEN 2 ELSE 0 END AS bits FROM {members}",
     "str19_confidence": "SELECT claim_id, least(0.9, CASE WHEN pos = 0 THEN 0.66 ELSE 0.72 END + CASE WHEN @matches(claim_text, '[0-9]') THEN 0.04 ELSE 0 END + CASE WHEN @matches(claim_text, '[.!]$') THEN 0.02 ELSE 0 END) AS confidence FROM {members}",
     "str22_quotes": "SELECT claim_id FROM {members} WHERE @matches(claim_text, '[\"“”„«»]')",
     "str23_evidence_kind": """SELECT claim_id, CASE WHEN lower(claim_text) LIKE '%press release%' THEN 'press_release' WHEN source_type = 'ACADEMIC' THEN 'study'
         WHEN source_type = 'PRIMARY_SOURCE' THEN CASE WHEN @matches(claim_text, '[0-9]') THEN 'official_data' ELSE 'primary_source' END
         WHEN source_type IN ('NEWS', 'AGENCY', 'REGIONAL', 'ALTERNATIVE') THEN 'independent_reporting' ELSE 'context' END AS kind FROM {members}""",
     "str25_identity": "SELECT article_id, @sha(concat('guid', coalesce(title, ''))) AS identity, content_hash FROM {articles}",
-    "str26_excerpt": "SELECT claim_id, substr(claim_text, 1, 280) AS excerpt FROM {members} WHERE pos < 5",
-    "str27_hint": "SELECT l.claim_id AS a, r.claim_id AS b, CASE WHEN @matches(l.claim_text, '[0-9]') <> @matches(r.claim_text, '[0-9]') THEN 2 WHEN l.claim_key < r.claim_key THEN 1 ELSE 0 END AS hint FROM {members} l JOIN {members} r ON l.story_id = r.story_id AND l.claim_id < r.claim_id WHERE l.pos = 0 AND r.pos = 0",
     # -- writes, as the rows they would write
     "snk1_insert_absent": "SELECT DISTINCT e.entity FROM {entities} e WHERE NOT EXISTS (SELECT 1 FROM {entities} o WHERE o.entity = e.entity AND o.article_id % 2 = 0)",
     "snk5_hard_replace": "SELECT article_id, entity FROM {entities} WHERE article_id % 2 = 1 UNION ALL SELECT article_id, concat(entity, '!') FROM {entities} WHERE article_id % 2 = 0",
@@ -173,11 +152,10 @@ SQL: dict[str, str] = {
     "sup1_story_exists": "SELECT DISTINCT m.story_id FROM {memberships} m WHERE NOT m.deleted AND EXISTS (SELECT 1 FROM {eligible} e WHERE e.article_id = m.article_id)",
     "sup2_representatives": "SELECT DISTINCT g.group_id FROM {members} g WHERE EXISTS (SELECT 1 FROM {members} r WHERE r.claim_id = g.group_id AND r.role <> 'signal')",
     "sup3_membership_order": "SELECT story_id, article_id, source_id, @int(row_number() OVER (PARTITION BY story_id ORDER BY time_s, article_id)) AS place FROM {story_articles}",
-    "sup12_pair_order": "SELECT story_id, least(a, b) AS left_group, greatest(a, b) AS right_group FROM (SELECT l.story_id, l.group_id AS a, r.group_id AS b FROM {members} l JOIN {members} r ON l.story_id = r.story_id AND l.group_id <> r.group_id WHERE l.pos = 0 AND r.pos = 0) t GROUP BY story_id, least(a, b), greatest(a, b)",
+    "sup12_pair_order": "SELECT story_id, least(a, b) AS left_group, greatest(a, b) AS right_group FROM (SELECT l.story_id, l.group_id AS a, r.group_id AS b FROM {members} l JOIN {members} r ON l.story_id = r.story_id AND l.group_id <> r.group_id WHERE l.claim_id = l.group_id AND r.claim_id = r.group_id) t GROUP BY story_id, least(a, b), greatest(a, b)",
     "sup24_duplicates": "SELECT lower(title) AS name, count(*) AS n FROM {articles} WHERE title IS NOT NULL GROUP BY lower(title) HAVING count(*) > 1",
     "sup28_by_feed": "SELECT feed_id, article_id FROM (SELECT feed_id, article_id, row_number() OVER (PARTITION BY feed_id ORDER BY time_s DESC, article_id) AS k FROM {articles} WHERE NOT deleted) t WHERE k <= 10",
 }
-SQL["srt10_cohort"] = f"SELECT story_id FROM (SELECT story_id, row_number() OVER (ORDER BY (story_id * 997 + {NOW // 900}) % 10007, story_id) AS k FROM (SELECT DISTINCT story_id FROM {{story_articles}}) s) t WHERE k <= 40"
 # generic shapes over the order tables
 SQL |= {
     "tpch_q1": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,

@@ -64,7 +64,7 @@ def _enclosures(node: ElementTree.Element, base: str) -> list[dict]:
 def parse_feed(data: str | None, base: str = "") -> dict:
     """Format, title, error and entries of an RSS or Atom document."""
     nothing = {"format": None, "title": None, "error": None, "entries": []}
-    if not data or len(data) > MAX_BYTES:
+    if not data or len(data) > MAX_BYTES // 4 and len(data.encode()) > MAX_BYTES:
         return nothing | {"error": "empty or too long"}
     try:
         root = ElementTree.fromstring(data)

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in local tests, a temporary folder that is
-    also set as the session's checkpoint folder."""
+    """spark.checkpoint.dir; where it is unset and the session is local, as in tests, a temporary
+    folder that is also set as the session's checkpoint folder."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="newsprism-")
         sc.setCheckpointDir(where)
@@ -24,9 +26,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+class Scratch:
+    """Written tables that one operator needs while it runs; remove() deletes those that its result
+    doesn't read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def remove(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        self.paths.clear()
+
+
+def stored(df: DataFrame, name: str, scratch: Scratch | None = None) -> DataFrame:
     """The rows, written to the shared folder and read back: cuts the lineage, and no executor
     holds the only copy."""
     path = new_path(df.sparkSession, name)
+    if scratch is not None:
+        scratch.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
