@@ -108,19 +108,31 @@ def unpack_places(data: bytes) -> np.ndarray:
 
 
 def hash_width(items: float, buckets: int) -> int:
-    """Bytes of a hash that, beside the bucket's number, leave under 2**-10 false matches expected."""
-    return int(min(8, max(5, math.ceil((2 * math.log2(max(items, 2)) + 9 - math.log2(buckets)) / 8))))
+    """Bytes of a hash that, beside the bucket's number, leave under 2**-10 false matches expected, at
+    any size: 5 to 16, of which the first eight hold the bucket's number if there are more."""
+    bits = 2 * math.log2(max(items, 2)) + 9
+    small = math.ceil((bits - math.log2(buckets)) / 8)
+    return max(5, small if small <= 8 else min(16, math.ceil(bits / 8)))
 
 
 def cut(h: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """The lowest bytes of hashes, given as a column of 64 bits or two."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8 * h.shape[1])[:, :width].tobytes()
 
 
 def uncut(data: bytes, width: int) -> np.ndarray:
+    """Columns of 64 bits."""
     raw = np.frombuffer(data, np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
+    out = np.zeros((len(raw), 8 * (1 + (width > 8))), np.uint8)
     out[:, :width] = raw
-    return out.view("<u8").ravel()
+    return out.view("<u8")
+
+
+def order_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal hashes together, and where each new one begins in it."""
+    order = np.argsort(h[:, 0]) if h.shape[1] == 1 else np.lexsort(h.T)
+    own = h[order]
+    return order, np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(1)])) if len(h) else np.empty(0, np.int64)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -134,7 +146,8 @@ FOUND = "_block int, places binary"
 def send(block: int, h: np.ndarray, places: np.ndarray, buckets: int, width: int, local: np.ndarray) -> pa.Table:
     """One row a bucket with the hashes (each once) and ascending places; `local` places, found
     without looking elsewhere, travel in a row of no hashes to one bucket and come back with the rest."""
-    which = bucket_of(h, buckets).astype(np.int32)
+    h = h[:, None] if h.ndim == 1 else h
+    which = bucket_of(h[:, 0], buckets).astype(np.int32)
     order = np.lexsort((places, which))
     edges = np.searchsorted(which[order], np.arange(buckets + 1))
     rows = []
@@ -148,9 +161,7 @@ def send(block: int, h: np.ndarray, places: np.ndarray, buckets: int, width: int
 
 def first_in_block(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first of each hash, ascending, and places of the others."""
-    order = np.argsort(h)
-    sorted_h = h[order]
-    begin = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])) if len(h) else np.empty(0, np.int64)
+    order, begin = order_of(h)
     if len(begin) == len(h):
         return np.arange(len(h)), np.empty(0, np.int64)
     least = np.minimum.reduceat(order, begin)
@@ -173,9 +184,7 @@ def match(width: int, later_only: bool):
         if len(full):
             h = uncut(b"".join(table["hashes"][int(k)].as_py() for k in full), width)
             at = np.concatenate([unpack_places(table["places"][int(k)].as_py()) | int(blocks[k]) << 40 for k in full])
-            order = np.argsort(h)
-            h = h[order]
-            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            order, begin = order_of(h)
             size = np.diff(np.append(begin, len(h)))
             at = at[order]
             hit = np.repeat(size > 1, size)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from newsprism.llm import vec
 from newsprism.llm.blocks import partitions
 from newsprism.llm.columns import Columns, arrow_schema
-from newsprism.storage import stored
+from newsprism.storage import Scratch, stored
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH = 24, 2
@@ -378,10 +378,18 @@ def _repeats(described: DataFrame) -> bool:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row a row of `docs`: id, text_hash (Spark's xxhash64 of the text), n_shingles,
     component_id and kept."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    spark, own = docs.sparkSession, Columns(docs)
+    rows = own.df.select(own[id_col].cast("long").alias("id"), F.xxhash64(own[text_col]).alias("text_hash"), own[text_col].cast("string").alias("text"))
     ddl = "id bigint, text_hash bigint, n_shingles bigint, key binary, sig array<bigint>, bits binary"
-    described = stored(rows.mapInArrow(_describe(2, arrow_schema(spark, ddl), n), ddl), "sets")
+    with Scratch(spark):
+        described = stored(rows.mapInArrow(_describe(2, arrow_schema(spark, ddl), n), ddl), "sets")
+        out = stored(_labelled(rows, described, n, percent), "near-duplicates", keep=True)
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return out.select(F.col("id").alias(id_col), "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+
+
+def _labelled(rows: DataFrame, described: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, text_hash, n_shingles, component) a row."""
     with_id = described.where("id is not null and key is not null")
     classes = with_id.groupBy("key").agg(F.min(F.struct("id", "text_hash", "sig", "bits", "n_shingles")).alias("m"))
     # numbered once, as written
@@ -412,9 +420,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 at = joined(at, compared(open_pairs, texts, n).where(linked))
     label = classes.select("key", "c", "rep").join(at.withColumnRenamed("id", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = label.groupBy("root").agg(F.min("rep").alias("component"))
-    out = described.join(label.join(least, "root").select("key", "component"), "key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    return described.join(label.join(least, "root").select("key", "component"), "key", "left").select("id", "text_hash", "n_shingles", "component")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

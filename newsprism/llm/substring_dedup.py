@@ -8,7 +8,8 @@ one of the packed hashes, one of the answers.
 Defined cases: null text counts as empty; rows that share an id are one document, ordered by
 text; null ids come before all others; texts of under `window` words lose nothing; extra
 columns pass through, and a result column replaces an input column of its name.  Windows match
-by a hash of width :func:`blocks.hash_width`, under 2**-10 expected false matches a run.
+by their hashes alone, 40 to 128 bits of them as :func:`blocks.hash_width` finds: under 2**-10
+expected false matches a run at any size.
 """
 
 from __future__ import annotations
@@ -25,20 +26,25 @@ WINDOW = 20
 RESULT = "n_words bigint, n_removed bigint, kept_text string, spans array<struct<start:int,end:int>>"
 
 
-def _window_hashes(texts: list[bytes], n: int):
-    """For each chunk: words, and window hashes with the word each starts at (in the chunk)."""
+def _window_hashes(texts: list[bytes], n: int, wide: bool) -> np.ndarray:
+    """The hashes of all windows: a column of 64 bits, or two."""
+    parts = [np.empty((0, 1 + wide), np.uint64)]
     for i, j in vec.chunks(texts):
         w = vec.Words(texts[i:j])
-        h = vec.windows(w.hashes(), n)
-        at = np.flatnonzero(vec.inside_texts(w.first, n, w.n)) if len(h) else np.empty(0, np.int64)
-        yield i, j, w, h[at], at
+        words = w.hashes()
+        at = np.flatnonzero(vec.inside_texts(w.first, n, w.n))
+        columns = [vec.windows(words, n)[at]]
+        if wide:  # the same words under other numbers
+            columns.append(vec.windows(vec.mix(words ^ np.uint64(0x2545F4914F6CDD1D)), n)[at])
+        parts.append(np.stack(columns, 1))
+    return np.concatenate(parts)
 
 
 def _emit(n: int, buckets: int, width: int):
     def emit(table: pa.Table) -> pa.Table:
         block = table[B.BLOCK][0].as_py()
         _, texts = B.in_order(table)
-        h = np.concatenate([np.empty(0, np.uint64), *(x[3] for x in _window_hashes(texts, n))])
+        h = _window_hashes(texts, n, width > 8)
         own, again = B.first_in_block(h)
         return B.send(block, h[own], own, buckets, width, again)
 

@@ -14,7 +14,7 @@ blocks (:mod:`blocks`) bring together only those that can match:
    its longest previous factor; LENGTH or more is a match.
 4. Blocks mark the matched windows of all their documents and cut the bytes they cover.
 
-Matches are compared byte by byte, so hashes only route them.  The texts are shuffled once (one
+Matches are compared byte by byte, equal pieces as well, so hashes only route them.  The texts are shuffled once (one
 exchange, read three times); hot passages cost a block one entry each.
 
 Defined cases: null text counts as empty; null ids come before all others; rows that share an id
@@ -115,9 +115,14 @@ def find_runs(texts: list[bytes], doc: np.ndarray) -> Runs:
     return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def _block(table: pa.Table) -> tuple[int, pa.Table, list[bytes], Runs]:
+def _block(table: pa.Table, numbered: bool = True) -> tuple[int, pa.Table, list[bytes], Runs]:
+    """Number, rows, texts and runs of a block; numbered: runs have one piece only if their bytes are equal."""
     rows, texts = B.in_order(table)
-    return table[B.BLOCK][0].as_py(), rows, texts, find_runs(texts, B.group_no(rows[B.ID].to_pylist()))
+    runs = find_runs(texts, B.group_no(rows[B.ID].to_pylist()))
+    if numbered and len(runs):
+        begin = np.cumsum([0, *(len(t) for t in texts)])
+        runs.piece = _alike(runs.piece, np.frombuffer(b"".join(texts), np.uint8), begin[runs.text] + runs.start, runs.n + LENGTH - 1)
+    return table[B.BLOCK][0].as_py(), rows, texts, runs
 
 
 def _firsts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +136,32 @@ def _firsts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _emit(buckets: int):
     def emit(table: pa.Table) -> pa.Table:
-        block, _, _, runs = _block(table)
+        block, _, _, runs = _block(table, numbered=False)
         first, _ = _firsts(runs.anchor)
         return B.send(block, runs.anchor[first], first, buckets, ANCHOR_WIDTH, np.empty(0, np.int64))
 
     return emit
 
 
+def _alike(key: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each span, equal for spans of equal bytes only.  Their hashes tell which to compare;
+    should two differ under one hash, their bytes tell them apart."""
+    _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+    head = first[kind]
+    again = np.flatnonzero(head != np.arange(len(key)))
+    same = size[again] == size[head[again]]
+    check = np.flatnonzero(same)
+    for i in range(0, len(check), 1 << 16):
+        own = again[check[i : i + (1 << 16)]]
+        differ = _gather(data, begin[own], size[own]) != _gather(data, begin[head[own]], size[own])
+        same[check[i : i + (1 << 16)]] = ~np.logical_or.reduceat(differ, np.cumsum(size[own]) - size[own])
+    if not same.all():
+        names: dict[bytes, int] = {}
+        for k in again[~same].tolist():
+            kind[k] = len(first) + names.setdefault(data[begin[k] : begin[k] + size[k]].tobytes(), len(names))
+    return kind
+
+
 def _pieces(runs: Runs, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs that stand for the distinct pieces of shared anchors; each run's number among them (-1:
     its anchor is no other document's)."""
@@ -251,7 +275,7 @@ def _settle(table: pa.Table) -> pa.Table:
     windows = size - LENGTH + 1
     mask = np.zeros(len(doc), np.uint32)
     # equal pieces: all but the first document's are matched whole
-    _, kind = np.unique(text, return_inverse=True)
+    kind = _alike(text, data, end - size, size)
     ordered = np.lexsort((doc, kind))
     head = np.concatenate([[True], kind[ordered][1:] != kind[ordered][:-1]])
     mask[ordered[~head]] = ((np.uint64(1) << windows[ordered[~head]].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)

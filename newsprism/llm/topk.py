@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsprism.llm.columns import Columns
+
 K, EVERY = 20, 20
 BLOCK_ROWS, BATCH_QUERIES = 8192, 8192
 FANOUT, LEAF_DATA, LEAF_QUERIES = 16, 512, 256
@@ -149,13 +151,14 @@ class Search:
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(id, v array<bigint>, dim) of the rows that take part."""
-    v = F.col(vec_col).cast("array<double>")
+    own = Columns(vectors)
+    v = own[vec_col].cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     lim = float(1 << 62)
     # beyond a long a component is clipped; such sizes only keep the query from failing
     whole = F.transform(v, lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(lim)), F.lit(-lim))).cast("bigint"))
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(fine)
-    return rows.select(F.col(id_col).cast("bigint").alias("id"), whole.alias("v")).withColumn("dim", F.size("v"))
+    rows = own.df.where(own[id_col].isNotNull() & own[vec_col].isNotNull()).where(fine)
+    return rows.select(own[id_col].cast("bigint").alias("id"), whole.alias("v")).withColumn("dim", F.size("v"))
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, every: int = EVERY, scale: int = 64) -> DataFrame:

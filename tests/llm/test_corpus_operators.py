@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import sys
 from pathlib import Path
 from urllib.parse import urlsplit
@@ -81,6 +82,39 @@ def test_suffix_dedup(docs):
     assert table(out.withColumn("s", F.sha2("kept_bytes", 256)).withColumn("n", F.size("spans")), "doc_id", "n_bytes", "n_removed", "n", "s") == brute.byte_dedup(CORPUS)
 
 
+def test_substring_dedup_with_wide_hashes(docs, monkeypatch):
+    from newsprism.llm import blocks
+
+    assert blocks.hash_width(1e6, 8) == 6 and blocks.hash_width(1e14, 10**7) > 8 and blocks.hash_width(1e30, 1) == 16
+    monkeypatch.setattr(blocks, "hash_width", lambda *_: 12)
+    out = substring_dedup.dedup_substrings(docs)
+    assert table(out.withColumn("s", F.sha2("kept_text", 256)), "doc_id", "n_words", "n_removed", "s") == brute.substring_dedup(CORPUS)
+
+
+def test_equal_hashes_dont_make_pieces_equal():
+    data = np.frombuffer(b"abcabdabcabcdabd", np.uint8)
+    begin, size = np.array([0, 3, 6, 9, 13]), np.array([3, 3, 3, 4, 3])
+    kind = suffix_dedup._alike(np.array([7, 7, 7, 7, 7], np.uint64), data, begin, size)
+    assert kind[0] == kind[2] and len({kind[0], kind[1], kind[3]}) == 3 and kind[1] == kind[4]
+
+
+def test_toxicity_scores_are_noisy_or_of_sentences(spark):
+    """Scores against plain Python, from given weights of whole words."""
+    from newsprism.llm import vec
+
+    words, bias = {"bad": 3.0, "worse": 1.5, "good": -1.0}, -4.0
+    number = {w: int(toxicity.features(vec.Words([w.encode()], vec.NON_ALNUM, fold=True))[0, 0]) for w in words}
+    texts = ["bad", "Bad good! worse. Fine", "", None, "worse worse worse", "a\nb\nBAD bad", "x" * 100_000 + " bad"]
+    df = spark.createDataFrame([(1, t) for t in texts], SCHEMA)
+    got = {r.text: r.score for r in toxicity.score_toxicity(df, (np.array(list(number.values()), np.int32), np.array(list(words.values())), bias)).collect()}
+    for t in texts:
+        parts = [p for p in re.split("[.!?\n]+", (t or "").lower()) if p.strip()] or [""]
+        nothing = 1.0
+        for p in parts:
+            nothing *= 1 - 1 / (1 + np.exp(-(bias + sum(words.get(w, 0.0) for w in p.split()))))
+        assert abs(got[t] - (1 - nothing)) < 1e-9
+
+
 def test_suffix_dedup_odd(spark, odd):
     assert suffix_dedup.dedup_suffixes(odd).count() == 7
     assert suffix_dedup.dedup_suffixes(odd.limit(0)).count() == 0
