@@ -27,13 +27,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 class Scratch:
-    """Written tables that one operator needs while it runs; remove() deletes those that its result
-    doesn't read."""
+    """What is stored inside this context, but for tables to keep, is deleted at its end: steps of an
+    operator that its result doesn't read."""
+
+    open: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def remove(self) -> None:
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scratch.open.remove(self)
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in self.paths:
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -41,11 +48,11 @@ class Scratch:
         self.paths.clear()
 
 
-def stored(df: DataFrame, name: str, scratch: Scratch | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows, written to the shared folder and read back: cuts the lineage, and no executor
     holds the only copy."""
     path = new_path(df.sparkSession, name)
-    if scratch is not None:
-        scratch.paths.append(path)
+    if Scratch.open and not keep:
+        Scratch.open[-1].paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
