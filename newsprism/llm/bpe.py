@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -41,11 +43,9 @@ CHUNK_BYTES = 4 << 20
 #: Runs of printable ASCII and Latin-1 letters are split here: normal form C leaves them alone, and
 #: below is what the pattern _KNOWN means on them.  All others, and other vocabularies, go through
 #: the library's own normaliser and pre-tokenizer.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+_OTHER = re.compile("[^!-~À-ÖØ-öø-ÿ\n]|<\\|")
 #: Runs are split together, a newline behind each.
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-z0-9ß-öø-ÿ\n]+")
-#: Stands for the newline among the ids.
-_END = 0xFFFFFFFF
 #: The byte-level symbols of Latin-1 letters: bytes 0xA1 to 0xFF but 0xAD stand for themselves,
 #: 0x80 to 0xA0 for U+0122 to U+0142, 0xAD for U+0143.
 _SYMBOLS = {c: "".join(chr(b) if b >= 0xA1 and b != 0xAD else chr(0x143 if b == 0xAD else b + 0xA2) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
@@ -61,18 +61,19 @@ def codec(path: str) -> Codec:
 
 
 class _Pieces(dict):
-    """Ids of pre-tokens, given as plain text; the codec's model finds those that are missing."""
+    """Numbers of pre-tokens, given as plain text: piece k has the ids from ends[k] to ends[k + 1].  The
+    codec's model finds those that are missing; the newline is piece 0 and has none."""
 
     def __init__(self, codec: Codec):
-        super().__init__({"\n": [_END]})
-        self.codec = codec
+        super().__init__({"\n": 0})
+        self.codec, self.ids, self.ends = codec, array("I"), array("q", [0, 0])
 
-    def __missing__(self, text: str) -> list[int]:
+    def __missing__(self, text: str) -> int:
         symbols = text if text.isascii() else text.translate(_SYMBOLS)
-        if len(symbols) > self.codec.leaf:
-            return self.codec.long(symbols)
-        got = self[text] = [t.id for t in self.codec.model.tokenize(symbols)]
-        return got
+        self.ids.extend(self.codec._model(symbols))
+        self.ends.append(len(self.ids))
+        k = self[text] = len(self.ends) - 2
+        return k
 
 
 class Codec:
@@ -124,28 +125,35 @@ class Codec:
                 out += [i for s, _ in pieces for i in self._model(s)]
         return out
 
-    def runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of these runs, and where each one's start (one more at the end)."""
-        plain = self.plain and [w.isascii() and w.isprintable() and "<|" not in w or bool(_PLAIN.fullmatch(w)) and "<|" not in w for w in words]
-        at = np.flatnonzero(plain) if plain else np.empty(0, np.int64)
+    def runs(self, text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs, and where each one's start (one more at the end).  text: a newline behind each
+        run; ends: the places of these newlines."""
+        others: dict[int, list[int]] = {}
+        if not self.plain or _OTHER.search(text):
+            odd = np.array([m.start() for m in _OTHER.finditer(text)], np.int64) if self.plain else ends
+            words = text.split("\n")
+            others = {k: self.run(words[k]) for k in np.unique(np.searchsorted(ends, odd)).tolist()}
+            for k in others:
+                words[k] = ""
+            text = "\n".join(words)
         if len(self.pieces) > PIECES:
             self.pieces = _Pieces(self)
-        pieces = self.pieces
-        text = "".join([words[k] + "\n" for k in at.tolist()]).lower()
-        ids = np.array([i for s in _SPLIT.findall(text) for i in pieces[s]], np.uint32)
-        ends = np.flatnonzero(ids == _END)
-        sizes = np.zeros(len(words), np.int64)
-        sizes[at] = np.diff(ends, prepend=-1) - 1
-        ids = ids[ids != _END]
-        if len(at) == len(words):
-            return ids, np.concatenate([[0], np.cumsum(sizes)])
-        rest = np.ones(len(words), bool)
-        rest[at] = False
-        others = {k: self.run(words[k]) for k in np.flatnonzero(rest).tolist()}
+        parts = _SPLIT.findall(text.lower())
+        piece = np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts))
+        begin = np.array(self.pieces.ends, np.int64)
+        size = np.diff(begin)[piece]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = np.array(self.pieces.ids, np.uint32)[np.repeat(begin[piece] - total[:-1], size) + np.arange(total[-1])]
+        starts = np.concatenate([[0], total[np.flatnonzero(piece == 0)]])
+        if not others:
+            return ids, starts
+        sizes = np.diff(starts)
+        plain = np.ones(len(sizes), bool)
+        plain[list(others)] = False
         sizes[list(others)] = [len(x) for x in others.values()]
         starts = np.concatenate([[0], np.cumsum(sizes)])
         out = np.empty(starts[-1], np.uint32)
-        out[np.repeat(~rest, sizes)] = ids
+        out[np.repeat(plain, sizes)] = ids
         for k, x in others.items():
             out[starts[k] : starts[k + 1]] = x
         return out, starts
@@ -193,7 +201,11 @@ class Codec:
         offsets = np.zeros(w.n + 1, np.int32)
         np.cumsum(w.ends - w.starts, out=offsets[1:])
         coded = pa.Array.from_buffers(pa.binary(), w.n, [None, pa.py_buffer(offsets), pa.py_buffer(w.buf[inside])]).dictionary_encode()
-        ids, starts = self.runs(coded.dictionary.cast(pa.string()).to_pylist())
+        if not w.n:
+            return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        known = coded.dictionary
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(known)], known), b"\n")[0].as_py().decode() + "\n"
+        ids, starts = self.runs(text, np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10))
         words = coded.indices.to_numpy()
         begin = starts[words]
         n = starts[words + 1] - begin
