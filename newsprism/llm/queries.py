@@ -114,6 +114,10 @@ def _strength_sql(n: str, bad: str, above: str, source: str) -> str:
     return f"SELECT CASE WHEN {r} > 0 THEN least(greatest(1 / ({r}) - 1, 2.0), 200.0) ELSE 200.0 END AS m FROM {source} WHERE {n} > 0"
 
 
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = r"[^\x20\x09-\x0D]+"
+
 ORACLE: dict[str, str] = {
     "op1_topk": """
 WITH v AS (
@@ -124,6 +128,32 @@ s AS (
   FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op2_substring_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS (SELECT doc_id, k, array_to_string(w[k + 1:k + 20], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS k FROM d)),
+again AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY g ORDER BY doc_id, k) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, k + j AS p FROM again, (SELECT unnest(range(0, 20)) AS j)),
+kept AS (SELECT a.doc_id, string_agg(a.x, ' ' ORDER BY a.p) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM d) a ANTI JOIN gone ON gone.doc_id = a.doc_id AND gone.p = a.p GROUP BY a.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op3_decontaminate": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, w, len(w) AS n, least(13, len(w)) AS size FROM (SELECT item_id, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, size, array_to_string(w[k + 1:k + size], ' ') AS gram FROM (SELECT *, unnest(range(0, n - size + 1)) AS k FROM i)),
+win AS (SELECT doc_id, size, k, array_to_string(w[k + 1:k + size], ' ') AS gram FROM (SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS k FROM d, (SELECT DISTINCT size FROM g))),
+m AS (SELECT win.doc_id, win.size, win.k, g.item FROM win JOIN g ON g.size = win.size AND g.gram = win.gram),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, k + unnest(range(0, size)) AS p FROM (SELECT DISTINCT doc_id, size, k FROM m)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op6_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + least(5, len(w))], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * common >= 75 * (u.n + v.n - common)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(seen) AS component_id, r.doc_id = min(seen) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
     "op7_url_filter": f"""
 WITH p AS (
   SELECT page_id, url,
@@ -147,4 +177,13 @@ r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '
 f AS (SELECT p.page_id, p.host, p.path, s.lower, (SELECT max_by(r.rhost || r.rpath, length(r.rhost || r.rpath)) FROM r WHERE (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)) AS rule FROM p JOIN s USING (host))
 SELECT f.page_id, f.host, f.path, f.rule, coalesce(r.verdict, CASE WHEN lower >= 0.3 THEN 'block' ELSE 'allow' END) AS verdict
 FROM f LEFT JOIN r ON f.rule = r.rhost || r.rpath""",
+    "op10_suffix_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS k FROM b)),
+first AS (SELECT g, min(doc_id) AS doc_id FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT win.doc_id, k, lag(k) OVER (PARTITION BY win.doc_id ORDER BY k) AS before FROM win JOIN first ON first.g = win.g WHERE first.doc_id < win.doc_id),
+run AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS z FROM (SELECT doc_id, k, count(*) FILTER (WHERE before IS NULL OR k > before + 50) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM hit) GROUP BY doc_id, island),
+cut AS (SELECT run.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY run.doc_id ORDER BY a), 0) AS from_, h FROM run JOIN b ON b.doc_id = run.doc_id),
+t AS (SELECT doc_id, sum(z - a) AS lost, count(*) AS spans, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM cut GROUP BY doc_id)
+SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(lost, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN t ON t.doc_id = b.doc_id""",
 }

@@ -558,3 +558,16 @@ def test_pipeline_odd(spark, tmp_path):
     out = corpus_pipeline.run(spark, tables_for_pipeline(spark, tmp_path / "odd", odd)).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(1, "other words altogether"), (1, text), (1, text), (2, "")]
     assert corpus_pipeline.run(spark, tables_for_pipeline(spark, tmp_path / "none", [])).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    cur = con.execute(queries.ORACLE[name])
+    columns = [d[0] for d in cur.description]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(*columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, cur.fetchall()))
