@@ -65,12 +65,6 @@ SQL: dict[str, str] = {
         UNION ALL SELECT s.story_id, 'entity', e.entity, count(DISTINCT s.article_id) FROM {story_articles} s JOIN {entities} e ON e.article_id = s.article_id GROUP BY s.story_id, e.entity""",
     "agg6_entity_articles": "SELECT entity, count(DISTINCT article_id) AS articles, max(article_id) AS latest FROM {entities} GROUP BY entity",
     "agg7_total": "SELECT count(*) AS total FROM (SELECT article_id FROM {eligible} WHERE language_code = 'en') t",
-    "agg8_consensus_counts": """WITH m AS (SELECT story_id, group_id, count(DISTINCT claim_id) AS claims, count(DISTINCT article_id) AS articles,
-          count(DISTINCT CASE WHEN role IN ('editorial', 'expert_analysis') THEN source_id END) AS independent FROM {members} GROUP BY story_id, group_id),
-        e AS (SELECT group_id, count(*) AS items, count(DISTINCT source_id) AS sources FROM {members} GROUP BY group_id),
-        p AS (SELECT group_id, count(holder) AS attributed FROM {perspectives} GROUP BY group_id)
-        SELECT m.story_id, m.group_id, m.claims, m.articles, m.independent, e.items AS evidence_items, e.sources AS evidence_sources, coalesce(p.attributed, 0) AS attributed
-        FROM m JOIN e ON e.group_id = m.group_id LEFT JOIN p ON p.group_id = m.group_id""",
     "agg9_consensus_label": """SELECT group_id, CASE WHEN count(DISTINCT CASE WHEN role IN ('editorial', 'expert_analysis') THEN source_id END) >= 2 THEN 'shared' ELSE 'single_source' END AS label FROM {members} GROUP BY group_id""",
     "agg11_coverage": """SELECT story_id, count(DISTINCT article_id) AS articles, count(DISTINCT source_id) AS sources, count(DISTINCT CASE WHEN role <> 'signal' THEN source_id END) AS content_sources,
         count(DISTINCT CASE WHEN role = 'signal' THEN source_id END) AS signal_sources, count(DISTINCT CASE WHEN role IN ('editorial', 'expert_analysis') THEN num END) AS independent FROM {story_articles} GROUP BY story_id""",

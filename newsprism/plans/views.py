@@ -389,6 +389,25 @@ def _(m: Model) -> DataFrame:
     return m.eligible.select("article_id", F.col("own_role").alias("set_role"), F.col("role").alias("effective_role"), by.alias("decided_by"))
 
 
+# -- consensus counts ------------------------------------------------------------------------
+
+
+@query(
+    "agg8_consensus_counts",
+    """WITH m AS (SELECT story_id, group_id, count(DISTINCT claim_id) AS claims, count(DISTINCT article_id) AS articles,
+          count(DISTINCT CASE WHEN role IN ('editorial', 'expert_analysis') THEN source_id END) AS independent FROM {members} GROUP BY story_id, group_id),
+        e AS (SELECT group_id, count(*) AS items, count(DISTINCT source_id) AS sources FROM {members} GROUP BY group_id),
+        p AS (SELECT group_id, count(holder) AS attributed FROM {perspectives} GROUP BY group_id)
+        SELECT m.story_id, m.group_id, m.claims, m.articles, m.independent, e.items AS evidence_items, e.sources AS evidence_sources, coalesce(p.attributed, 0) AS attributed
+        FROM m JOIN e ON e.group_id = m.group_id LEFT JOIN p ON p.group_id = m.group_id""",
+)
+def _(m: Model) -> DataFrame:
+    """Members, evidence and perspectives are views of one table here, so one aggregate counts all."""
+    independent = F.countDistinct(F.when(F.col("role").isin("editorial", "expert_analysis"), F.col("source_id")))
+    counts = {"claims": F.countDistinct("claim_id"), "articles": F.countDistinct("article_id"), "independent": independent, "evidence_items": F.count("*"), "evidence_sources": F.countDistinct("source_id"), "attributed": F.count("holder")}
+    return m.voiced.groupBy("story_id", "group_id").agg(*(c.alias(n) for n, c in counts.items()))
+
+
 # -- paged views -----------------------------------------------------------------------------
 
 
