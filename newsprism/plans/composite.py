@@ -55,7 +55,10 @@ def _(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", T.column("plain_text", "html").alias("text"))
 
 
-@query("str9_word_count")
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+
+
+@query("str9_word_count", f"SELECT article_id, words, CASE WHEN words > 0 THEN greatest(1, ceil(words / 200)) ELSE 0 END::BIGINT AS minutes FROM (SELECT article_id, len(regexp_extract_all(coalesce(body, ''), '[{_W}](?:[{_W}’''-]*[{_W}])?')) AS words FROM {{articles}})")
 def _(m: Model) -> DataFrame:
     words = T.word_count(F.col("body"))
     return m.articles.select("article_id", words.alias("words"), T.reading_minutes(words).alias("minutes"))
@@ -347,7 +350,13 @@ def _provenance(m: Model) -> tuple[DataFrame, DataFrame]:
     return own, up
 
 
-@query("gr2_roots")
+_ROOTS_SQL = """up AS (SELECT article_id AS here, 'src' || ((num + 7) % 20) AS up_source, CASE WHEN article_id % 2 = 0 THEN article_id - 1 END AS up_article, article_id % 3 = 0 AS co FROM {eligible} WHERE article_id % 5 = 1),
+    t(root, here, source_id, trail) AS (SELECT article_id, article_id, source_id, []::BIGINT[] FROM {eligible} UNION ALL SELECT t.root, up.up_article, up.up_source, list_append(t.trail, t.here) FROM t JOIN up ON up.here = t.here WHERE NOT list_contains(t.trail, t.here) AND up.up_article IS NOT NULL),
+    roots AS (SELECT DISTINCT root AS article_id, CASE WHEN up.here IS NULL OR co OR list_contains(trail, t.here) OR k = 2 THEN CASE WHEN k = 2 THEN up_source ELSE source_id END END AS source_id FROM t LEFT JOIN up ON up.here = t.here, (SELECT unnest([1, 2]) AS k)
+      WHERE k = 1 AND (up.here IS NULL OR co OR list_contains(trail, t.here)) OR k = 2 AND up.here IS NOT NULL AND up_article IS NULL AND NOT list_contains(trail, t.here))"""
+
+
+@query("gr2_roots", f"WITH RECURSIVE {_ROOTS_SQL} SELECT article_id, source_id FROM roots")
 def _(m: Model) -> DataFrame:
     return graph.provenance_roots(*_provenance(m))
 
@@ -357,7 +366,12 @@ def _voices(m: Model) -> DataFrame:
     return stored(graph.story_voices(m.story_articles.select("story_id", "article_id").join(deps, "article_id")), "voices")
 
 
-@query("gr3_voices")
+@query(
+    "gr3_voices",
+    f"""WITH RECURSIVE {_ROOTS_SQL}, d AS (SELECT s.story_id, s.article_id, r.source_id AS k FROM {{story_articles}} s JOIN roots r ON r.article_id = s.article_id),
+    e AS (SELECT DISTINCT a.story_id, a.k AS x, b.k AS y FROM d a JOIN d b ON a.story_id = b.story_id AND a.article_id = b.article_id), c(story_id, x, y) AS (SELECT story_id, x, y FROM e UNION SELECT c.story_id, c.x, e.y FROM c JOIN e ON e.story_id = c.story_id AND e.x = c.y)
+    SELECT d.story_id, d.article_id, min(c.y) AS voice FROM d JOIN c ON c.story_id = d.story_id AND c.x = d.k GROUP BY d.story_id, d.article_id""",
+)
 def _(m: Model) -> DataFrame:
     return _voices(m)
 
@@ -475,7 +489,14 @@ def _(m: Model) -> DataFrame:
     return writes.diff_upsert(old, new, ["article_id"], ["title", "language_code"]).select("article_id", "action")
 
 
-@query("snk3_identity")
+@query(
+    "snk3_identity",
+    """WITH h AS (SELECT article_id, feed_id, CASE WHEN article_id % 4 = 0 THEN 'guid' ELSE 'derived' END AS t, 'k' || article_id AS k, 'u' || article_id % 50 AS link FROM {articles} WHERE article_id % 2 = 0),
+    e AS (SELECT article_id, feed_id, CASE WHEN article_id % 3 = 0 THEN 'k' || article_id END AS guid, 'u' || article_id % 50 AS link, 'k' || article_id AS own FROM {articles}),
+    f AS (SELECT e.*, (SELECT article_id FROM h WHERE h.feed_id = e.feed_id AND t = 'guid' AND k = guid) AS by_guid, (SELECT article_id FROM h WHERE h.feed_id = e.feed_id AND t = 'derived' AND k = own) AS by_own,
+      CASE WHEN (SELECT count(*) FROM h WHERE h.feed_id = e.feed_id AND h.link = e.link) = 1 THEN (SELECT min(CASE WHEN guid IS NULL OR t <> 'guid' THEN article_id END) FROM h WHERE h.feed_id = e.feed_id AND h.link = e.link) END AS by_link FROM e)
+    SELECT article_id AS entry_id, feed_id, coalesce(by_guid, by_link, by_own) AS article_id, CASE WHEN by_guid IS NOT NULL THEN 'guid' WHEN by_link IS NOT NULL THEN 'link' WHEN by_own IS NOT NULL THEN 'derived' ELSE 'new' END AS matched_by FROM f""",
+)
 def _(m: Model) -> DataFrame:
     have = m.articles.where("article_id % 2 = 0").select("article_id", "feed_id", F.when(F.col("article_id") % 4 == 0, "guid").otherwise("derived").alias("identity_type"), F.concat(F.lit("k"), "article_id").alias("identity_key"), F.concat(F.lit("u"), F.col("article_id") % 50).alias("link"))
     new = m.articles.select(F.col("article_id").alias("entry_id"), "feed_id", F.when(F.col("article_id") % 3 == 0, F.concat(F.lit("k"), "article_id")).alias("guid"), F.concat(F.lit("u"), F.col("article_id") % 50).alias("link"), F.concat(F.lit("k"), "article_id").alias("derived"))
@@ -489,7 +510,12 @@ def _(m: Model) -> DataFrame:
     return writes.current(writes.append_generation(first, again, "story_id"), "story_id").select("claim_id", "generation")
 
 
-@query("snk10_reconcile")
+@query(
+    "snk10_reconcile",
+    """WITH w AS (SELECT source_id, CASE WHEN num % 7 = 0 THEN 'NGO' ELSE source_type END AS t, num % 2 AS p FROM {sources} WHERE num % 5 <> 0), r AS (SELECT source_id, source_type AS t, num % 4 AS p FROM {sources} WHERE num % 6 <> 0)
+    SELECT source_id, CASE WHEN r.t IS NULL THEN 'create' WHEN w.t IS NULL THEN 'unmanaged' WHEN w.t <> r.t THEN 'conflict' WHEN w.p <> r.p THEN 'update' ELSE 'no_change' END AS action,
+      coalesce(concat_ws(',', CASE WHEN w.t <> r.t THEN 'source_type' END, CASE WHEN w.p <> r.p THEN 'priority' END), '') AS changed FROM w FULL JOIN r USING (source_id)""",
+)
 def _(m: Model) -> DataFrame:
     wanted = m.sources.where("num % 5 <> 0").select("source_id", F.when(F.col("num") % 7 == 0, "NGO").otherwise(F.col("source_type")).alias("source_type"), (F.col("num") % 2).alias("priority"))
     running = m.sources.where("num % 6 <> 0").select("source_id", "source_type", (F.col("num") % 4).alias("priority"))
@@ -523,7 +549,7 @@ def _(m: Model) -> DataFrame:
     return feed_sources.entries(_feed_xml(m)).where("feed_id is not null").select("feed_id", "external_id", "link", "published_s")
 
 
-@query("src5_identities")
+@query("src5_identities", "SELECT feed_id, 'g' || article_id AS external_id, 'guid' AS identity_type, sha256('guid' || chr(0) || 'g' || article_id) AS identity_key FROM {articles}")
 def _(m: Model) -> DataFrame:
     return feed_sources.identity(feed_sources.entries(_feed_xml(m))).select("feed_id", "external_id", "identity_type", "identity_key")
 
@@ -547,7 +573,7 @@ def _(m: Model) -> DataFrame:
     return streams.windowed_counts(streams.event_stream(m.spark, m.sf_dir), "1 day")
 
 
-@query("st_sliding")
+@query("st_sliding", "SELECT (floor(epoch(ts) / 10800) * 10800)::BIGINT - o AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {events}, (SELECT unnest([0, 10800]) AS o) GROUP BY ALL")
 def _(m: Model) -> DataFrame:
     return streams.windowed_counts(streams.event_stream(m.spark, m.sf_dir), "6 hours", "3 hours")
 
