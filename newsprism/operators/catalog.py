@@ -72,6 +72,14 @@ def catalog_conflicts(entries: DataFrame, sources: DataFrame, feeds: DataFrame)
     return reduce(DataFrame.union, parts).distinct()
 
 
+def outlets(entries: DataFrame, country: str, category: str) -> DataFrame:
+    """A row an outlet of entries (slug, country, category, outlets array<struct<name, country,
+    category>>): what an outlet leaves open comes from its entry, then from the catalog; the first
+    outlet of a source is its primary one."""
+    rows = entries.select("slug", "country", "category", F.posexplode("outlets").alias("place", "o"))
+    return rows.select("slug", F.col("o.name").alias("name"), F.coalesce("o.country", "country", F.lit(country)).alias("country"), F.coalesce("o.category", "category", F.lit(category)).alias("category"), (F.col("place") == 0).alias("is_primary"))
+
+
 def pending_provenance(detected: DataFrame, articles: DataFrame, sources: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidates to store for detected agencies (article_id, source_slug, method, confidence):
     upstream exists, is active and isn't the article's own source; not stored yet.  existing:

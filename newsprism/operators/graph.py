@@ -29,6 +29,14 @@ def components(edges: DataFrame, keys: Sequence[str] = (), left: str = "x", righ
         at = at.select(*keys, "node", "label")
 
 
+def around(edges: DataFrame, seeds: DataFrame, left: str = "x", right: str = "y") -> DataFrame:
+    """The edges that lead from a seed (node), over any number of others and in any direction."""
+    found = components(edges.select(left, right), left=left, right=right)
+    near = found.join(seeds.select("node").distinct(), "node", "left_semi").select("label").distinct()
+    inside = found.join(near, "label", "left_semi").select(F.col("node").alias(left))
+    return edges.join(inside, left, "left_semi")
+
+
 #: Relation kinds that make two sources one voice.
 COLLAPSING = ("editorial_parent", "shared_newsroom", "joint_editorial_operation")
 

@@ -551,3 +551,82 @@ def _(m: Model) -> DataFrame:
     number = F.row_number().over(writes.Window.partitionBy("source_id").orderBy("article_id")) - 1
     rows = m.eligible.select("article_id", "source_id", F.sha2(text, 256).alias("text_hash"), number.alias("k"))
     return rows.select(F.concat_ws("-", "source_id", F.expr("k div 25")).alias("batch"), (F.col("k") % 25).alias("place"), "article_id", "text_hash")
+
+
+# -- states, configuration, catalogs ---------------------------------------------------------
+
+
+@query("sup16_normalized", "SELECT article_id, CASE WHEN article_id % 6 = 0 THEN 'edited' ELSE title END AS title, article_id % 6 = 0 OR embedding IS NULL AS to_embed FROM {articles} LEFT JOIN {embeddings} USING (article_id)")
+def _(m: Model) -> DataFrame:
+    """Normalized fields applied: where one differs, the vector goes and is due again."""
+    new = F.when(F.col("article_id") % 6 == 0, "edited").otherwise(F.col("title"))
+    rows = m.articles.select("article_id", "title", new.alias("new_title")).join(m.embeddings.select("article_id", "embedding"), "article_id", "left")
+    kept = F.when(F.col("title").eqNullSafe(F.col("new_title")), F.col("embedding"))
+    return rows.select("article_id", F.col("new_title").alias("title"), kept.isNull().alias("to_embed"))
+
+
+@query("sup18_config_hash", """SELECT sha256('{"limit":250,"model":"v1","window":172800}') AS version, count(*) AS articles FROM {articles}""")
+def _(m: Model) -> DataFrame:
+    settings = {"window": F.lit(172800), "limit": F.lit(250), "model": F.lit("v1")}
+    return m.articles.agg(F.count("*").alias("articles")).select(F.sha2(gates.canonical_json(settings), 256).alias("version"), "articles")
+
+
+@query(
+    "sup26_outlets",
+    """WITH s AS (SELECT source_id AS slug, num FROM {sources} WHERE num IS NOT NULL) SELECT slug, 'Paper ' || num AS name, CASE WHEN num % 2 = 0 THEN 'FR' WHEN num % 3 = 0 THEN 'IT' ELSE 'DE' END AS country, 'print' AS category, true AS is_primary FROM s
+    UNION ALL SELECT slug, 'Site ' || num, CASE WHEN num % 3 = 0 THEN 'IT' ELSE 'DE' END, CASE WHEN num % 5 = 0 THEN 'radio' ELSE 'online' END, false FROM s""",
+)
+def _(m: Model) -> DataFrame:
+    both = "array(named_struct('name', concat('Paper ', num), 'country', CASE WHEN num % 2 = 0 THEN 'FR' END, 'category', 'print'), named_struct('name', concat('Site ', num), 'country', cast(null as string), 'category', cast(null as string)))"
+    entries = m.sources.where("num is not null").selectExpr("source_id as slug", "CASE WHEN num % 3 = 0 THEN 'IT' END as country", "CASE WHEN num % 5 = 0 THEN 'radio' END as category", f"{both} as outlets")
+    return catalog.outlets(entries, "DE", "online")
+
+
+@query("sup30_states", f"SELECT article_id, CASE WHEN article_id % 3 = 0 THEN 'created' WHEN article_id % 5 = 0 THEN 'lease_lost' WHEN {NOW} + (article_id % 9 - 4) * 60 <= {NOW} THEN 'lease_expired' ELSE 'held' END AS outcome FROM {{articles}}")
+def _(m: Model) -> DataFrame:
+    """States made sure of, and leases asserted: another run's lease is lost, an old one expired."""
+    states = m.articles.where("article_id % 3 <> 0").select("article_id", F.when(F.col("article_id") % 5 == 0, "other").otherwise("mine").alias("run"), F.expr(f"{NOW} + (article_id % 9 - 4) * 60").alias("lease_s"))
+    fresh = writes.insert_absent(states, m.articles.select("article_id"), ["article_id"]).withColumn("outcome", F.lit("created"))
+    held = states.select("article_id", F.when(F.col("run") != "mine", "lease_lost").when(F.col("lease_s") <= NOW, "lease_expired").otherwise("held").alias("outcome"))
+    return fresh.select("article_id", "outcome").union(held)
+
+
+@query(
+    "src12_catalog_rules",
+    """WITH c AS (SELECT source_id AS name, num, CASE WHEN num % 6 = 0 THEN 'BLOG' ELSE source_type END AS t, CASE WHEN num % 4 = 1 THEN 'xx' ELSE country END AS country, CASE WHEN num % 7 = 0 THEN 'ftp://x' ELSE 'https://u' || num // 2 END AS url FROM {sources} WHERE num IS NOT NULL)
+    SELECT 'source_type' AS rule, name FROM c WHERE num % 6 = 0 UNION ALL SELECT 'country', name FROM c WHERE country = 'xx' UNION ALL SELECT 'url', name FROM c WHERE url LIKE 'ftp%'
+    UNION ALL SELECT 'unique_url', min(name) FROM c GROUP BY url HAVING count(*) > 1""",
+)
+def _(m: Model) -> DataFrame:
+    from newsprism.sources.feeds import catalog_violations
+
+    rows = m.sources.where("num is not null").selectExpr("source_id as name", "CASE WHEN num % 6 = 0 THEN 'BLOG' ELSE source_type END as source_type", "CASE WHEN num % 4 = 1 THEN 'xx' ELSE country END as country", "CASE WHEN num % 7 = 0 THEN 'ftp://x' ELSE concat('https://u', num div 2) END as url")
+    return catalog_violations(rows)
+
+
+@query(
+    "gr5_around_seeds",
+    """WITH RECURSIVE e AS (SELECT a.source_id AS x, b.source_id AS y FROM {sources} a JOIN {sources} b ON b.num = a.num + 4 WHERE a.num % 3 <> 0), n(node) AS (SELECT source_id FROM {sources} WHERE num IN (1, 6) UNION SELECT CASE WHEN e.x = n.node THEN e.y ELSE e.x END FROM n JOIN e ON e.x = n.node OR e.y = n.node)
+    SELECT x, y FROM e WHERE x IN (SELECT node FROM n)""",
+)
+def _(m: Model) -> DataFrame:
+    from newsprism.operators import graph
+
+    s = m.sources.select("source_id", "num")
+    edges = s.where("num % 3 <> 0").select(F.col("source_id").alias("x"), (F.col("num") + 4).alias("k")).join(s.select(F.col("source_id").alias("y"), F.col("num").alias("k")), "k").select("x", "y")
+    return graph.around(edges, m.sources.where("num in (1, 6)").select(F.col("source_id").alias("node")))
+
+
+@query(
+    "st10_catch_up",
+    f"""WITH s AS (SELECT story_id, row_number() OVER (ORDER BY t DESC, story_id) AS k, row_number() OVER (ORDER BY t, story_id DESC) AS b, count(*) OVER () AS n FROM ({_STORIES_SQL})), p AS (SELECT story_id FROM s WHERE k <= 9 OR n <= 12 OR b <= 3)
+    SELECT m.story_id, m.group_id, count(DISTINCT claim_id) AS claims, count(DISTINCT source_id) AS sources, count(DISTINCT CASE WHEN source_type <> 'SIGNAL' THEN article_id END) AS items, max(CASE WHEN kind = 'quoted' THEN 1 ELSE 0 END) AS quoted
+    FROM {{members}} m JOIN p ON p.story_id = m.story_id JOIN (SELECT DISTINCT claim_id AS c, story_id AS st, kind FROM {{perspectives}}) v ON v.c = m.claim_id AND v.st = m.story_id GROUP BY m.story_id, m.group_id""",
+)
+def _(m: Model) -> DataFrame:
+    """The stages of all target stories in one plan: groups, evidence and perspectives together."""
+    stories = m.story_articles.groupBy("story_id").agg(F.max("time_s").alias("t"))
+    targets = selection.newest_and_oldest(stories, [F.desc("t"), F.col("story_id")], [F.col("t"), F.desc("story_id")], 12).select("story_id").distinct()
+    rows = m.voiced.join(F.broadcast(targets), "story_id")  # at most 12 rows
+    items = F.countDistinct(F.when(F.col("source_type") != "SIGNAL", F.col("article_id")))
+    return rows.groupBy("story_id", "group_id").agg(F.countDistinct("claim_id").alias("claims"), F.countDistinct("source_id").alias("sources"), items.alias("items"), F.max(F.when(F.col("kind") == "quoted", 1).otherwise(0)).alias("quoted"))

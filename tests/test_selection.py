@@ -119,3 +119,17 @@ def test_dispute_candidates_find_what_all_pairs_find():
                 if score >= relations.CANDIDATE:
                     want.append((-score, -claim, i, j))
         assert [(i, j) for i, j, _ in relations.dispute_candidates(groups, related)] == [(i, j) for _, _, i, j in sorted(want)[: relations.CANDIDATES]]
+
+
+def test_halving():
+    asked = []
+
+    def fussy(pairs):
+        asked.append(len(pairs))
+        if 7 in pairs:
+            raise RuntimeError("no")
+        return [("unrelated", 0.5)] * len(pairs) if len(pairs) <= 3 else []
+
+    got = relations.halving(fussy)(list(range(10)))
+    assert [g[0] for g in got] == ["unrelated"] * 7 + ["insufficient"] + ["unrelated"] * 2 and max(asked) == 10
+    assert relations.halving(fussy)([]) == []
