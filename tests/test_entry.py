@@ -18,7 +18,7 @@ def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["agg1_story_summary", "agg8_consensus_counts", "flt15_eligible_groups", "j13_validity", "j7_candidates", "win6_top_claims", "srt9_waves", "snk2_diff_upsert", "gr1_components", "c4_cosine", "st_sessions"])
+@pytest.mark.parametrize("name", ["agg1_story_summary", "agg8_consensus_counts", "flt15_eligible_groups", "j13_validity", "j7_candidates", "win6_top_claims", "srt9_waves", "snk2_diff_upsert", "gr1_components", "gr2_roots", "c4_cosine", "st_sessions", "clu11_conflict_rich", "c16_partition", "sup21_outcomes", "agg20_threshold_sweep", "snk9_create_sources", "snk11_merge_plan", "str26_context"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -36,3 +36,34 @@ def test_filters_reach_the_scan(spark):
     plan = entry.queries()["tpch_q6"](spark, SF)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_discount)" in plan
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double>" in plan
+
+
+def test_stored_steps_are_deleted_at_the_end(spark):
+    from newsprism.storage import Scratch, stored
+
+    with Scratch(spark) as scratch:
+        step = stored(spark.range(3).toDF("x"), "step")
+        kept = stored(step.selectExpr("x + 1 as x"), "kept", keep=True)
+        (path,) = scratch.paths
+    assert sorted(r.x for r in kept.collect()) == [1, 2, 3]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_unmarked_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from newsprism import storage
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(Conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.folder(Session())
