@@ -19,7 +19,6 @@ ordered by text; null ids come first; an empty table gives files without segment
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
