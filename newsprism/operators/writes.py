@@ -18,6 +18,12 @@ def insert_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[str])
     return first.join(existing.select(*keys), list(keys), "left_anti")
 
 
+def hard_replace(existing: DataFrame, incoming: DataFrame, covered: DataFrame, key: str) -> DataFrame:
+    """`existing` without the rows of the keys that a new run covered, and what the run found; a covered
+    key without new rows loses its old ones."""
+    return existing.join(covered.select(key).distinct(), key, "left_anti").unionByName(incoming)
+
+
 def diff_upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Every key of either side with its action (insert, update, unchanged, keep) and new fields;
     `changed` lists the fields that differ, null-safe."""

@@ -17,8 +17,6 @@ SQL: dict[str, str] = {
     "flt6_substring": "SELECT DISTINCT entity FROM {entities} WHERE entity ILIKE '%th%'",
     "flt7_distinct_from": "SELECT article_id FROM {articles} WHERE own_role IS DISTINCT FROM 'signal' AND published_s IS DISTINCT FROM time_s",
     "flt8_due_feeds": f"SELECT feed_id, priority FROM {{feeds}} WHERE active AND (last_fetched_s IS NULL OR last_fetched_s + fetch_interval_minutes * 60 <= {1704067200 + 7200})",
-    "flt9_claimable": f"""SELECT event_id FROM {{events}} WHERE event_type IN ('click', 'view', 'signup', 'purchase')
-        AND (user_id % 3 = 0 OR @floor(value) + {NOW} <= {NOW} + 40) AND (user_id % 5 <> 0 OR value < 50)""",
     "flt10_stale": """SELECT a.article_id, CASE WHEN p.article_id IS NULL THEN 'unprocessed' WHEN p.content_hash <> a.content_hash THEN 'identity' WHEN p.done_s < a.time_s THEN 'freshness' END AS reason
         FROM {articles} a LEFT JOIN (SELECT article_id, CASE WHEN article_id % 7 = 0 THEN 'x' ELSE content_hash END AS content_hash, time_s + 60 * (article_id % 3 - 1) AS done_s FROM {articles} WHERE article_id % 4 <> 1) p
           ON p.article_id = a.article_id
@@ -54,7 +52,6 @@ SQL: dict[str, str] = {
         alias AS (SELECT substr(entity, 1, 6) AS alias, min(id) AS id FROM canon GROUP BY substr(entity, 1, 6) HAVING count(DISTINCT id) = 1)
         SELECT DISTINCT w.word, coalesce(c.id, a.id) AS id FROM (SELECT DISTINCT CASE WHEN article_id % 2 = 0 THEN entity ELSE substr(entity, 1, 6) END AS word FROM {entities}) w
         LEFT JOIN canon c ON c.entity = w.word LEFT JOIN alias a ON a.alias = w.word""",
-    "j17_mismatch": "SELECT e.article_id FROM {eligible} e JOIN {sources} s ON s.source_id = e.source_id WHERE concat(e.source_type, '-', e.article_id % 11) <> concat(s.source_type, '-', s.num % 11)",
     "j18_lookup": "SELECT m.claim_id, s.country, p.holder FROM {members} m JOIN {sources} s ON s.source_id = m.source_id LEFT JOIN {perspectives} p ON p.claim_id = m.claim_id",
     # -- aggregation
     "agg1_story_summary": "SELECT story_id, language_code, count(*) AS articles, count(DISTINCT source_id) AS sources, min(time_s) AS first_s, max(time_s) AS last_s FROM {story_articles} GROUP BY story_id, language_code HAVING count(*) >= 2",
@@ -90,13 +87,10 @@ SQL: dict[str, str] = {
     # -- windows
     "win1_story_rank": "SELECT story_id, article_id, @int(row_number() OVER (PARTITION BY story_id ORDER BY time_s DESC, article_id)) AS place FROM {story_articles}",
     "win2_newest_title": "SELECT story_id, title FROM (SELECT story_id, title, row_number() OVER (PARTITION BY story_id ORDER BY time_s DESC, article_id) AS k FROM {story_articles}) t WHERE k = 1",
-    "win3_argmax": "SELECT article_id, story_id FROM (SELECT article_id, story_id, row_number() OVER (PARTITION BY article_id % 50 ORDER BY article_id % 7 DESC, time_s DESC, story_id) AS k FROM {story_articles}) t WHERE k = 1",
     "win5_first_claim": "SELECT article_id, claim_key, claim_id FROM (SELECT article_id, claim_key, claim_id, row_number() OVER (PARTITION BY article_id, claim_key ORDER BY pos) AS k FROM {members}) t WHERE k = 1",
     "win6_top_claims": """SELECT article_id, claim_id, @int(row_number() OVER (PARTITION BY article_id ORDER BY pos)) AS place FROM
         (SELECT article_id, claim_id, pos, row_number() OVER (PARTITION BY article_id ORDER BY confidence DESC, pos) AS k FROM {members}) t WHERE k <= 30""",
     "win8_best_attribution": "SELECT group_id, holder, claim_id FROM (SELECT group_id, holder, claim_id, row_number() OVER (PARTITION BY group_id, holder, kind ORDER BY confidence DESC, claim_id) AS k FROM {perspectives} WHERE holder IS NOT NULL) t WHERE k = 1",
-    "win9_relevance": "SELECT article_id, claim_id, round(confidence / max(confidence) OVER (PARTITION BY article_id), 6) AS relevance FROM {members}",
-    "win10_bigrams": "SELECT a, b, count(*) AS n FROM (SELECT claim_key AS a, lead(claim_key) OVER (PARTITION BY article_id ORDER BY pos) AS b FROM {members}) t WHERE b IS NOT NULL GROUP BY a, b HAVING count(*) > 1",
     "win11_german_title": "SELECT story_id, title FROM (SELECT story_id, title, row_number() OVER (PARTITION BY story_id ORDER BY time_s, article_id) AS k FROM {story_articles} WHERE trim(title) <> '' AND (language_code = 'de' OR language_code LIKE 'de-%')) t WHERE k = 1",
     # -- sorts, pages, sets
     "srt1_nulls": "SELECT article_id, published_s, @int(row_number() OVER (ORDER BY published_s DESC NULLS LAST, article_id)) AS place FROM {eligible} ORDER BY published_s DESC NULLS LAST, article_id LIMIT 100",
@@ -105,7 +99,6 @@ SQL: dict[str, str] = {
     "srt4_page": "SELECT article_id, t.pages FROM {eligible}, (SELECT @int(ceil(count(*) / 20.0)) AS pages FROM {eligible}) t ORDER BY time_s, article_id LIMIT 20 OFFSET 40",
     "srt5_round_robin": """SELECT story_id, article_id, place FROM (SELECT story_id, article_id, time_s, @int(row_number() OVER (PARTITION BY story_id ORDER BY time_s DESC, article_id)) AS place FROM {story_articles}) t
         ORDER BY place, time_s DESC, article_id LIMIT 250""",
-    "srt6_list_order": "SELECT a.article_id, p.place FROM {eligible} a JOIN (SELECT article_id, @int(row_number() OVER (ORDER BY article_id % 17, article_id)) AS place FROM {articles}) p ON p.article_id = a.article_id",
     "srt11_budget": "SELECT article_id, total FROM (SELECT article_id, @int(sum(size) OVER (PARTITION BY lane ORDER BY article_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS total, row_number() OVER (PARTITION BY lane ORDER BY article_id) AS k FROM (SELECT article_id, length(body) AS size, source_id AS lane FROM {eligible}) s) t WHERE total <= 24000 OR k = 1",
     "set1_union_all": "SELECT 'article' AS kind, language_code, count(*) AS n FROM {articles} GROUP BY language_code UNION ALL SELECT 'claim', language_code, count(*) FROM {members} GROUP BY language_code",
     "set2_union": "SELECT source_id FROM {eligible} WHERE language_code = 'de' UNION SELECT source_id FROM {eligible} WHERE language_code = 'fr'",
@@ -113,32 +106,22 @@ SQL: dict[str, str] = {
     "set4_difference": "SELECT article_id FROM {articles} EXCEPT SELECT article_id FROM {eligible}",
     # -- scalars
     "c1_article_time": "SELECT article_id, coalesce(published_s, time_s) AS at_s FROM {articles}",
-    "c2_backoff": "SELECT event_id, least(3600, @int(60 * power(2, event_id % 9))) AS delay_s FROM {events}",
     "c3_slot": "SELECT article_id, @floor(time_s / 900) AS slot FROM {articles}",
-    "c9_scores": "SELECT claim_id, least(1.0, 0.45 + 0.12 * (pos % 6)) AS salience, least(0.95, 0.55 + 0.08 * (pos % 9)) AS topic FROM {members}",
     "c10_roles": "SELECT article_id, role FROM {eligible}",
     "c11_independent": "SELECT article_id, role IN ('editorial', 'expert_analysis') AS independent FROM {eligible}",
     "c12_enum_order": "SELECT claim_id, kind, CASE kind WHEN 'quoted' THEN 0 WHEN 'reported' THEN 1 ELSE 2 END AS place FROM {perspectives}",
     "c13_sorted_ids": "SELECT story_id, @set(source_id) AS sources, @set(language_code) AS languages FROM {story_articles} GROUP BY story_id",
     "c20_country_check": "SELECT source_id, country IN ('DE', 'AT', 'CH') AS known FROM {sources} WHERE country IS NOT NULL",
     "str10_first_text": "SELECT article_id, coalesce(nullif(trim(title), ''), nullif(trim(body), '')) AS text FROM {articles}",
-    "str19_confidence": "SELECT claim_id, least(0.9, CASE WHEN pos = 0 THEN 0.66 ELSE 0.72 END + CASE WHEN @matches(claim_text, '[0-9]') THEN 0.04 ELSE 0 END + CASE WHEN @matches(claim_text, '[.!]$') THEN 0.02 ELSE 0 END) AS confidence FROM {members}",
     "str22_quotes": "SELECT claim_id FROM {members} WHERE @matches(claim_text, '[\"“”„«»]')",
-    "str23_evidence_kind": """SELECT claim_id, CASE WHEN lower(claim_text) LIKE '%press release%' THEN 'press_release' WHEN source_type = 'ACADEMIC' THEN 'study'
-        WHEN source_type = 'PRIMARY_SOURCE' THEN CASE WHEN @matches(claim_text, '[0-9]') THEN 'official_data' ELSE 'primary_source' END
-        WHEN source_type IN ('NEWS', 'AGENCY', 'REGIONAL', 'ALTERNATIVE') THEN 'independent_reporting' ELSE 'context' END AS kind FROM {members}""",
     "str25_identity": "SELECT article_id, @sha(concat('guid', coalesce(title, ''))) AS identity, content_hash FROM {articles}",
     # -- writes, as the rows they would write
-    "snk1_insert_absent": "SELECT DISTINCT e.entity FROM {entities} e WHERE NOT EXISTS (SELECT 1 FROM {entities} o WHERE o.entity = e.entity AND o.article_id % 2 = 0)",
-    "snk5_hard_replace": "SELECT article_id, entity FROM {entities} WHERE article_id % 2 = 1 UNION ALL SELECT article_id, concat(entity, '!') FROM {entities} WHERE article_id % 2 = 0",
     "snk6_delete_ineligible": "SELECT a.article_id FROM {articles} a WHERE a.content_hash IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {eligible} e WHERE e.article_id = a.article_id)",
     "snk7_orphans": "SELECT m.story_id FROM {memberships} m GROUP BY m.story_id HAVING count(CASE WHEN NOT m.deleted THEN 1 END) = 0 UNION SELECT m.story_id FROM {memberships} m LEFT JOIN {eligible} e ON e.article_id = m.article_id GROUP BY m.story_id HAVING count(e.article_id) <= 1",
     "snk14_backfill": "SELECT a.article_id, CASE WHEN s.source_type = 'SIGNAL' THEN 'signal' WHEN s.source_type = 'PRIMARY_SOURCE' THEN 'primary_evidence' ELSE coalesce(f.default_role, 'editorial') END AS role FROM {articles} a JOIN {feeds} f ON f.feed_id = a.feed_id JOIN {sources} s ON s.source_id = f.source_id WHERE a.own_role IS NULL",
     # -- read views
     "rd2_stories": "SELECT s.story_id, s.articles, s.sources, t.title FROM (SELECT story_id, count(*) AS articles, count(DISTINCT source_id) AS sources, max(time_s) AS last_s FROM {story_articles} GROUP BY story_id ORDER BY last_s DESC, story_id LIMIT 20) s JOIN (SELECT story_id, title, row_number() OVER (PARTITION BY story_id ORDER BY time_s DESC, article_id) AS k FROM {story_articles}) t ON t.story_id = s.story_id AND t.k = 1",
-    "rd3_story_detail": "SELECT story_id, count(DISTINCT article_id) AS articles, count(DISTINCT source_id) AS sources, @set(role) AS roles, @set(source_type) AS types FROM {story_articles} GROUP BY story_id",
     "rd4_article_entities": "SELECT article_id, @set(entity) AS entities FROM {entities} GROUP BY article_id",
-    "rd6_story_claims": "SELECT story_id, claim_id, claim_text, confidence FROM {members} WHERE confidence >= 0.75",
     "rd7_perspectives": "SELECT story_id, claim_id, kind, holder, source_id FROM {perspectives} WHERE kind = 'quoted' AND holder IN ('e1', 'e2', 'e3')",
     "rd8_groups": "SELECT story_id, group_id, count(*) AS claims, count(DISTINCT source_id) AS sources, min(confidence) AS confidence FROM {members} GROUP BY story_id, group_id HAVING count(*) >= 2",
     "rd11_coverage": "SELECT story_id, count(DISTINCT source_id) AS sources, count(DISTINCT country) AS countries, count(DISTINCT coverage_scope) AS scopes FROM {story_articles} GROUP BY story_id",

@@ -630,3 +630,165 @@ def _(m: Model) -> DataFrame:
     rows = m.voiced.join(F.broadcast(targets), "story_id")  # at most 12 rows
     items = F.countDistinct(F.when(F.col("source_type") != "SIGNAL", F.col("article_id")))
     return rows.groupBy("story_id", "group_id").agg(F.countDistinct("claim_id").alias("claims"), F.countDistinct("source_id").alias("sources"), items.alias("items"), F.max(F.when(F.col("kind") == "quoted", 1).otherwise(0)).alias("quoted"))
+
+
+# -- writes and scores on real keys ------------------------------------------------------------
+
+
+@query("snk1_insert_absent", "SELECT entity, language_code, first_article FROM (SELECT entity, min(language_code) AS language_code, min(article_id) AS first_article FROM {entities} GROUP BY entity) WHERE entity NOT IN (SELECT entity FROM {entities} WHERE article_id % 2 = 0)")
+def _(m: Model) -> DataFrame:
+    """New entities of a batch that repeats keys: those that no even article has named before."""
+    seen = m.entities.where("article_id % 2 = 0").select("entity").distinct()
+    batch = m.entities.groupBy("entity", "article_id").agg(F.min("language_code").alias("language_code"))
+    first = batch.groupBy("entity").agg(F.min("language_code").alias("language_code"), F.min("article_id").alias("first_article"))
+    return writes.insert_absent(seen, first.union(first), ["entity"])
+
+
+@query("snk5_hard_replace", "SELECT article_id, entity, 1 AS run FROM {entities} WHERE article_id % 3 <> 0 UNION ALL SELECT article_id, entity, 2 FROM {entities} WHERE article_id % 3 = 0 AND length(entity) > 5")
+def _(m: Model) -> DataFrame:
+    """Mentions after a second run over every third article: its rows replace all the first had, also
+    where it found fewer."""
+    first = m.entities.select("article_id", "entity").withColumn("run", F.lit(1))
+    again = m.entities.where("article_id % 3 = 0 and length(entity) > 5").select("article_id", "entity").withColumn("run", F.lit(2))
+    return writes.hard_replace(first, again, m.entities.where("article_id % 3 = 0"), "article_id")
+
+
+@query("snk14_feeds", "SELECT 'f-' || source_id AS feed_id, source_id, 'https://' || source_id || '.example.org/rss' AS url FROM {sources} s WHERE active AND NOT EXISTS (SELECT 1 FROM {feeds} f WHERE f.source_id = s.source_id AND f.active)")
+def _(m: Model) -> DataFrame:
+    """Backfill by insert and filter: a feed for each active source without one."""
+    rows = m.sources.where("active").join(m.feeds.where("active").select("source_id"), "source_id", "left_anti")
+    return rows.select(F.concat(F.lit("f-"), "source_id").alias("feed_id"), "source_id", F.concat(F.lit("https://"), "source_id", F.lit(".example.org/rss")).alias("url"))
+
+
+@query("snk14_terms", "SELECT DISTINCT article_id, term FROM (SELECT article_id, unnest(regexp_extract_all(title, '[A-Z][a-z]{3,}')) AS term FROM {articles} UNION ALL SELECT article_id, language_code FROM {articles}) WHERE term IS NOT NULL")
+def _(m: Model) -> DataFrame:
+    """Backfill by unnesting an array column, united with a scalar one."""
+    listed = m.articles.select("article_id", F.explode(F.regexp_extract_all("title", F.lit("[A-Z][a-z]{3,}"), F.lit(0))).alias("term"))
+    return listed.union(m.articles.where("language_code is not null").select("article_id", "language_code")).distinct()
+
+
+_STATE = f"SELECT article_id, CASE article_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'claimed' WHEN 2 THEN 'failed' WHEN 3 THEN 'succeeded' ELSE 'skipped' END AS state, CASE WHEN article_id % 5 IN (1, 2) THEN {NOW} + (article_id % 13 - 6) * 30 END AS until_s, article_id % 7 AS attempts"
+
+
+@query("flt9_claimable", f"SELECT article_id FROM ({_STATE} FROM {{articles}}) WHERE state = 'pending' OR state = 'claimed' AND until_s <= {NOW} OR state = 'failed' AND until_s <= {NOW} AND attempts < 5")
+def _(m: Model) -> DataFrame:
+    state = F.expr("CASE article_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'claimed' WHEN 2 THEN 'failed' WHEN 3 THEN 'succeeded' ELSE 'skipped' END")
+    until = F.expr(f"CASE WHEN article_id % 5 IN (1, 2) THEN {NOW} + (article_id % 13 - 6) * 30 END")
+    rows = m.articles.select("article_id", state.alias("state"), until.alias("until_s"), (F.col("article_id") % 7).alias("attempts"))
+    due = F.col("until_s") <= NOW
+    return rows.where((F.col("state") == "pending") | ((F.col("state") == "claimed") & due) | ((F.col("state") == "failed") & due & (F.col("attempts") < 5))).select("article_id")
+
+
+@query("c2_backoff", "SELECT article_id, least(3600, 60 * power(2, greatest(attempts, 1) - 1))::BIGINT AS delay_s FROM (SELECT article_id, article_id % 70 AS attempts FROM {articles})")
+def _(m: Model) -> DataFrame:
+    """Seconds until attempt n may be repeated: min(most, base * 2^(n-1)), also for very many attempts."""
+    n = F.greatest(F.col("article_id") % 70, F.lit(1))
+    return m.articles.select("article_id", F.least(F.lit(3600.0), F.lit(60.0) * F.pow(F.lit(2.0), n - 1)).cast("bigint").alias("delay_s"))
+
+
+@query("j17_mismatch", "SELECT article_id, source_id FROM {eligible} WHERE article_id % 9 = 0 AND source_type <> 'NGO' OR article_id % 11 = 0 AND country IS NOT NULL")
+def _(m: Model) -> DataFrame:
+    """Search documents whose source columns are no longer the source's."""
+    docs = m.eligible.select("article_id", "source_id", F.when(F.col("article_id") % 9 == 0, "NGO").otherwise(F.col("source_type")).alias("doc_type"), F.when(F.col("article_id") % 11 != 0, F.col("country")).alias("doc_country"))
+    now = m.sources.select("source_id", "source_type", "country")
+    differs = ~F.col("doc_type").eqNullSafe(F.col("source_type")) | ~F.col("doc_country").eqNullSafe(F.col("country"))
+    return docs.join(now, "source_id").where(differs).select("article_id", "source_id")
+
+
+_TITLE_WORDS_SQL = "SELECT article_id, w, i AS pos FROM (SELECT article_id, regexp_extract_all(lower(title), '[a-z]{4,}') AS ws FROM {eligible}), LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i)"
+
+
+def _title_words(m: Model) -> DataFrame:
+    return m.eligible.select("article_id", F.posexplode(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{4,}"), F.lit(0))).alias("pos", "w"))
+
+
+@query("win9_relevance", f"SELECT article_id, w, relevance FROM (SELECT article_id, w, round(n / max(n) OVER (PARTITION BY article_id), 6) AS relevance, row_number() OVER (PARTITION BY article_id ORDER BY n DESC, w) AS k FROM (SELECT article_id, w, count(*) AS n FROM ({_TITLE_WORDS_SQL}) GROUP BY article_id, w)) WHERE k <= 20")
+def _(m: Model) -> DataFrame:
+    """Scores over the article's greatest, which is taken before the cut to 20."""
+    counts = _title_words(m).groupBy("article_id", "w").agg(F.count("*").alias("n"))
+    own = writes.Window.partitionBy("article_id")
+    rows = counts.withColumns({"relevance": F.round(F.col("n") / F.max("n").over(own), 6), "k": F.row_number().over(own.orderBy(F.desc("n"), "w"))})
+    return rows.where("k <= 20").select("article_id", "w", "relevance")
+
+
+@query("win10_bigrams", f"SELECT a, b, count(*) AS n FROM (SELECT w AS a, lead(w) OVER (PARTITION BY article_id ORDER BY pos) AS b FROM ({_TITLE_WORDS_SQL})) WHERE b IS NOT NULL GROUP BY a, b")
+def _(m: Model) -> DataFrame:
+    after = F.lead("w").over(writes.Window.partitionBy("article_id").orderBy("pos"))
+    return _title_words(m).select(F.col("w").alias("a"), after.alias("b")).where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query("win3_argmax", f"WITH p AS (SELECT x.article_id, m.story_id, count(*) AS score, max(m.time_s) AS t FROM (SELECT DISTINCT article_id, w FROM ({_TITLE_WORDS_SQL})) x JOIN (SELECT DISTINCT article_id, w FROM ({_TITLE_WORDS_SQL})) y ON y.w = x.w AND y.article_id <> x.article_id JOIN {{memberships}} m ON m.article_id = y.article_id AND NOT m.deleted GROUP BY x.article_id, m.story_id) SELECT article_id, story_id, score FROM p QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY score DESC, t DESC, story_id) = 1")
+def _(m: Model) -> DataFrame:
+    """The story that shares most title words with an article; ties go to the newer, then the smaller id."""
+    words = _title_words(m).select("article_id", "w").distinct()
+    told = words.join(m.memberships.where("not deleted").select("article_id", "story_id", "time_s"), "article_id").select("w", F.col("article_id").alias("other"), "story_id", "time_s")
+    scores = words.join(told, "w").where("other <> article_id").groupBy("article_id", "story_id").agg(F.count("*").alias("score"), F.max("time_s").alias("t"))
+    best = F.row_number().over(writes.Window.partitionBy("article_id").orderBy(F.desc("score"), F.desc("t"), "story_id"))
+    return scores.withColumn("k", best).where("k = 1").select("article_id", "story_id", "score")
+
+
+_WANTED = (97, 3, 41, 8, 200, 15, 77, 1, 150, 64)
+
+
+@query("srt6_list_order", f"SELECT article_id, list_position([{', '.join(map(str, _WANTED))}], article_id)::INT AS place FROM {{eligible}} WHERE article_id IN ({', '.join(map(str, _WANTED))}) ORDER BY place")
+def _(m: Model) -> DataFrame:
+    """Rows in the order of a list of ids."""
+    order = m.spark.createDataFrame(list(enumerate(_WANTED, 1)), "place int, article_id long")
+    return m.eligible.select("article_id").join(F.broadcast(order), "article_id").orderBy("place")
+
+
+@query(
+    "str23_evidence_kind",
+    f"""SELECT claim_id, CASE WHEN claim_id % 10 = 0 OR claim_id % 10 = 1 THEN 'press_release' WHEN source_type = 'ACADEMIC' THEN 'study' WHEN source_type = 'PRIMARY_SOURCE' THEN CASE WHEN claim_id % 10 = 3 OR regexp_matches(claim_text, '(^|[^{chr(92)}p{{L}}{chr(92)}p{{M}}{chr(92)}p{{N}}{chr(92)}p{{Pc}}])[0-9]+($|[^{chr(92)}p{{L}}{chr(92)}p{{M}}{chr(92)}p{{N}}{chr(92)}p{{Pc}}])') THEN 'official_data' ELSE 'primary_source' END
+      WHEN source_type IN ('NEWS', 'AGENCY', 'REGIONAL', 'ALTERNATIVE') THEN 'independent_reporting' ELSE 'context' END AS kind FROM {{members}}""",
+)
+def _(m: Model) -> DataFrame:
+    """Press releases named in the title or the first 1,000 characters, not behind; numbers planted."""
+    from newsprism.operators.analysis import evidence_kind
+
+    title = F.when(F.col("claim_id") % 10 == 0, "A News Release of today").otherwise("t")
+    body = F.when(F.col("claim_id") % 10 == 1, F.concat(F.repeat(F.lit("x"), 980), F.lit(" Pressemitteilung"))).when(F.col("claim_id") % 10 == 2, F.concat(F.repeat(F.lit("x"), 1000), F.lit("press release"))).otherwise("b")
+    claim = F.when(F.col("claim_id") % 10 == 3, F.concat("claim_text", F.lit(" 12,5 %"))).otherwise(F.col("claim_text"))
+    return m.members.select("claim_id", evidence_kind(title, body, F.col("source_type"), claim).alias("kind"))
+
+
+@query("c9_scores", "SELECT entity, article_id, n, round(least(1.0, 0.45 + 0.12 * n), 6) AS salience, round(least(0.95, 0.55 + 0.08 * n), 6) AS topic FROM (SELECT e.entity, e.article_id, len(regexp_extract_all(lower(a.title), '[a-z]+')) - len(list_filter(regexp_extract_all(lower(a.title), '[a-z]+'), lambda w: w <> e.entity)) AS n FROM {entities} e JOIN {articles} a ON a.article_id = e.article_id)")
+def _(m: Model) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0))
+    rows = m.entities.select("entity", "article_id").join(m.articles.select("article_id", words.alias("ws")), "article_id")
+    n = F.size(F.filter("ws", lambda w: w == F.col("entity")))
+    return rows.select("entity", "article_id", n.cast("bigint").alias("n"), F.round(F.least(F.lit(1.0), 0.45 + 0.12 * n), 6).alias("salience"), F.round(F.least(F.lit(0.95), 0.55 + 0.08 * n), 6).alias("topic"))
+
+
+@query(
+    "rd3_story_detail",
+    """SELECT s.story_id, count(DISTINCT s.article_id) AS articles, count(DISTINCT s.source_id) AS sources, (SELECT count(DISTINCT e.entity) FROM {entities} e JOIN {story_articles} x ON x.article_id = e.article_id WHERE x.story_id = s.story_id) AS entities,
+      (SELECT string_agg(entity, ',' ORDER BY n DESC, entity) FROM (SELECT e.entity, count(DISTINCT e.article_id) AS n FROM {entities} e JOIN {story_articles} x ON x.article_id = e.article_id WHERE x.story_id = s.story_id GROUP BY e.entity ORDER BY n DESC, e.entity LIMIT 5)) AS top_entities FROM {story_articles} s GROUP BY s.story_id""",
+)
+def _(m: Model) -> DataFrame:
+    base = m.story_articles.groupBy("story_id").agg(F.countDistinct("article_id").alias("articles"), F.countDistinct("source_id").alias("sources"))
+    named = m.story_articles.select("story_id", "article_id").join(m.entities.select("article_id", "entity"), "article_id").groupBy("story_id", "entity").agg(F.countDistinct("article_id").alias("n"))
+    order = writes.Window.partitionBy("story_id").orderBy(F.desc("n"), "entity")
+    each = named.withColumn("k", F.row_number().over(order)).groupBy("story_id").agg(F.count("*").alias("entities"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("k", "entity")))), lambda x: x["entity"]), ",").alias("top_entities"))
+    return base.join(each, "story_id", "left").na.fill(0, ["entities"])
+
+
+@query("rd6_by_story", "SELECT story_id, claim_id, claim_text, confidence, place FROM (SELECT story_id, claim_id, claim_text, confidence, row_number() OVER (PARTITION BY story_id ORDER BY time_s DESC, article_id, pos)::INT AS place FROM {members} WHERE confidence >= 0.65) WHERE place BETWEEN 11 AND 20")
+def _(m: Model) -> DataFrame:
+    order = writes.Window.partitionBy("story_id").orderBy(F.desc("time_s"), "article_id", "pos")
+    return m.members.where("confidence >= 0.65").withColumn("place", F.row_number().over(order)).where("place between 11 and 20").select("story_id", "claim_id", "claim_text", "confidence", "place")
+
+
+@query("rd6_by_article", "SELECT article_id, claim_id, claim_text FROM {claims} WHERE article_id IN (SELECT article_id FROM {eligible}) AND pos BETWEEN 20 AND 39")
+def _(m: Model) -> DataFrame:
+    """The second page of twenty claims of each eligible article."""
+    return m.claims.where("pos between 20 and 39").join(m.eligible.select("article_id"), "article_id", "left_semi").select("article_id", "claim_id", "claim_text")
+
+
+@query("rd6_by_id", "SELECT c.claim_id, c.claim_text, e.source_id, (SELECT min(story_id) FROM {memberships} m WHERE m.article_id = c.article_id AND NOT m.deleted) AS story_id FROM {claims} c JOIN {eligible} e ON e.article_id = c.article_id")
+def _(m: Model) -> DataFrame:
+    """What a lookup of a claim by its id gives, for all claims: text, source and story."""
+    story = m.memberships.where("not deleted").groupBy("article_id").agg(F.min("story_id").alias("story_id"))
+    rows = m.claims.join(m.eligible.select("article_id", "source_id"), "article_id").join(story, "article_id", "left")
+    return rows.select("claim_id", "claim_text", "source_id", "story_id")
+
