@@ -418,7 +418,7 @@ _COVERED_SQL = f"""{_GROUPS_SQL}, k AS (SELECT s.story_id, count(DISTINCT s.arti
     "txt6_evidence",
     f"""SELECT story_id, group_id, claim_id, source_id, 'evidence-' || lpad(row_number() OVER (PARTITION BY story_id ORDER BY group_id::VARCHAR, article_id::VARCHAR, claim_id::VARCHAR)::VARCHAR, 5, '0') AS key, kind, CASE WHEN kind = 'context' THEN 'context' ELSE 'supports' END AS relation, 1.0 AS confidence
     FROM (SELECT m.*, CASE WHEN claim_id % 3 = 0 THEN 'direct_quote' WHEN regexp_matches(lower(coalesce(a.title, '') || chr(10) || left(a.body, 1000)), 'press release|pressemitteilung|news release|media release') THEN 'press_release' WHEN source_type = 'ACADEMIC' THEN 'study'
-      WHEN source_type = 'PRIMARY_SOURCE' THEN CASE WHEN regexp_matches(claim_text, '(^|[^{_W}])\p{{Nd}}+($|[^{_W}])') THEN 'official_data' ELSE 'primary_source' END WHEN source_type IN ('NEWS', 'AGENCY', 'REGIONAL', 'ALTERNATIVE') THEN 'independent_reporting' ELSE 'context' END AS kind
+      WHEN source_type = 'PRIMARY_SOURCE' THEN CASE WHEN regexp_matches(claim_text, '(^|[^{_W}])[0-9]+($|[^{_W}])') THEN 'official_data' ELSE 'primary_source' END WHEN source_type IN ('NEWS', 'AGENCY', 'REGIONAL', 'ALTERNATIVE') THEN 'independent_reporting' ELSE 'context' END AS kind
       FROM {{members}} m JOIN {{articles}} a ON a.article_id = m.article_id)""",
 )
 def _(m: Model) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRY = "struct<external_id:string,title:string,link:string,summary:string,content:string,author:string,published_s:bigint,categories:array<string>,enclosures:array<struct<url:string,content_type:string,length_bytes:bigint>>>"
+ENTRY = "struct<external_id:string,title:string,link:string,summary:string,content:string,author:string,published_s:bigint,categories:array<string>,enclosures:array<struct<url:string,content_type:string,length_bytes:bigint>>,updated_s:bigint,provider:string>"
 FEED = f"struct<format:string,title:string,error:string,entries:array<{ENTRY}>>"
 #: Longest body that is read at all.
 MAX_BYTES = 10 << 20
@@ -51,6 +51,14 @@ def _link(node: ElementTree.Element, base: str) -> str | None:
     return urljoin(base, href) if href else None
 
 
+def _provider(node: ElementTree.Element) -> str | None:
+    """Who supplied the entry: its source's title or name, or text, else its publisher."""
+    for c in node:
+        if _name(c) == "source" and (name := _first(c, "title", "name") or (c.text or "").strip()):
+            return name
+    return _first(node, "publisher")
+
+
 def _enclosures(node: ElementTree.Element, base: str) -> list[dict]:
     out = []
     for c in node:
@@ -83,15 +91,17 @@ def parse_feed(data: str | None, base: str = "") -> dict:
         by = (_first(author, "name") if author is not None and len(author) else None) or _first(node, "author", "creator")
         entries.append(
             {
-                "external_id": _first(node, "guid", "id"),
+                "external_id": _first(node, "id", "guid"),
                 "title": _first(node, "title"),
                 "link": _link(node, base),
                 "summary": _first(node, "description", "summary"),
                 "content": _first(node, "encoded", "content"),
                 "author": by,
-                "published_s": _seconds(_first(node, "pubdate", "published", "date", "updated")),
+                "published_s": _seconds(_first(node, "pubdate", "published", "issued", "created")),
                 "categories": list(dict.fromkeys(tags)),
                 "enclosures": _enclosures(node, base),
+                "updated_s": _seconds(_first(node, "updated", "modified", "date")),
+                "provider": _provider(node),
             }
         )
     return {"format": kind, "title": _first(top, "title"), "error": None, "entries": entries}

@@ -126,7 +126,15 @@ def test_feeds(spark):
     r, a = rows["r"], rows["a"]
     assert (r.external_id, r.title, r.link, r.categories, r.published_s, r.identity_type) == ("g1", "A", "https://e.org/x", ["p", "q"], 1704067200, "guid")
     assert (r.enclosures[0].url, r.enclosures[0].length_bytes) == ("https://e.org/f.mp3", 123)
-    assert (a.format, a.link, a.author, a.published_s) == ("atom", "https://e.org/a", "N", 1704067200)
+    assert (a.format, a.link, a.author, a.published_s, a.updated_s) == ("atom", "https://e.org/a", "N", None, 1704067200)
+
+
+def test_feed_providers():
+    item = "<item><id>i</id><guid>g</guid><dc:date xmlns:dc='d'>2024-01-01T00:00:00Z</dc:date>{}</item>"
+    entry = lambda x: feeds.parse_feed(f"<rss><channel>{item.format(x)}</channel></rss>")["entries"][0]
+    assert entry("<source url='u'>dpa</source>")["provider"] == "dpa" and entry("<source><title>AFP</title></source><publisher>P</publisher>")["provider"] == "AFP"
+    assert entry("<publisher>P</publisher>")["provider"] == "P" and entry("")["provider"] is None
+    assert (entry("")["external_id"], entry("")["updated_s"], entry("")["published_s"]) == ("i", 1704067200, None)
 
 
 @pytest.mark.parametrize(("url", "ok"), [("https://a.org/x", True), ("ftp://a.org", False), ("http://u:p@a.org", False), ("http://127.0.0.1/", False), ("http://10.0.0.1/", False), ("http://8.8.8.8/", True), ("http://localhost:80/", False), ("nothing", False), (None, False)])
