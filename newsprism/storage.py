@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar, Token
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,21 +27,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-class Scratch:
-    """What is stored inside this context, but for tables to keep, is deleted at its end: steps of an
-    operator that its result doesn't read."""
+#: The innermost open Scratch of this thread (or task of an event loop): others don't see it.
+_SCRATCH: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
 
-    open: list[Scratch] = []
+class Scratch:
+    """What its own thread stores inside this context, but for tables to keep, is deleted at its end:
+    steps of an operator that its result doesn't read."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
+        self._before: Token | None = None
 
     def __enter__(self) -> Scratch:
-        Scratch.open.append(self)
+        self._before = _SCRATCH.set(self)
         return self
 
     def __exit__(self, *_: object) -> None:
-        Scratch.open.remove(self)
+        _SCRATCH.reset(self._before)
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in self.paths:
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -52,7 +56,8 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows, written to the shared folder and read back: cuts the lineage, and no executor
     holds the only copy."""
     path = new_path(df.sparkSession, name)
-    if Scratch.open and not keep:
-        Scratch.open[-1].paths.append(path)
+    scratch = _SCRATCH.get()
+    if scratch and not keep:
+        scratch.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
