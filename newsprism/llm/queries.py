@@ -93,6 +93,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op13_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm.mixing import mixed_sizes
+
+    out = mixed_sizes(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_substring_dedup": op2_substring_dedup,
@@ -104,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_mix_sources": op13_mix_sources,
 }
 
 _SUFFIX = "CASE WHEN {h} = 'example.com' OR {h} LIKE '%.example.com' OR {h} = 'example.net' OR {h} LIKE '%.example.net' OR {h} = 'example.org' OR {h} LIKE '%.example.org' THEN array_to_string(string_split({h}, '.')[-2:], '.') ELSE string_split({h}, '.')[-1] END"
@@ -186,4 +194,13 @@ run AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS z FROM (SELECT doc_id, k, cou
 cut AS (SELECT run.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY run.doc_id ORDER BY a), 0) AS from_, h FROM run JOIN b ON b.doc_id = run.doc_id),
 t AS (SELECT doc_id, sum(z - a) AS lost, count(*) AS spans, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM cut GROUP BY doc_id)
 SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(lost, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN t ON t.doc_id = b.doc_id""",
+    "op13_mix_sources": f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS k, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, ''))[1:8] AS h FROM documents),
+s0 AS (SELECT k, any_value(source) AS source, sum(size)::HUGEINT AS own FROM d GROUP BY k),
+s1 AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::HUGEINT AS w, sum(own) OVER () AS total FROM s0),
+c AS (SELECT a.k, sum(least(3 * b.w * a.own, 3 * b.own * a.w)) < any_value(a.total * a.w) AS full_ FROM s1 a, s1 b GROUP BY a.k),
+s2 AS (SELECT s1.*, full_, total - coalesce(sum(3 * own) FILTER (full_) OVER (), 0) AS rest, sum(w) FILTER (NOT full_) OVER () AS left_ FROM s1 JOIN c USING (k)),
+s3 AS (SELECT k, own, CASE WHEN full_ THEN (3 * own)::DOUBLE ELSE rest::DOUBLE * w::DOUBLE / left_::DOUBLE END AS target FROM s2),
+a AS (SELECT d.*, own::BIGINT AS own, target, floor(target + 0.5)::BIGINT AS take, coalesce(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d JOIN s3 USING (k))
+SELECT doc_id, size, own AS source_size, target, (greatest(0, least(start + size, take) - start) + greatest(0, least(own + start + size, take) - own - start) + greatest(0, least(2 * own + start + size, take) - 2 * own - start))::BIGINT AS taken FROM a""",
 }
