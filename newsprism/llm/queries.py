@@ -93,6 +93,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm.whitening import fit_whitening, whiten
+
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    out = whiten(rows, fit_whitening(rows)).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+    each = out.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 def op13_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsprism.llm.mixing import mixed_sizes
 
@@ -111,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_whiten": op12_whiten,
     "op13_mix_sources": op13_mix_sources,
 }
 
