@@ -93,6 +93,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsprism.llm.hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsprism.llm.whitening import fit_whitening, whiten
 
@@ -120,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_whiten": op12_whiten,
     "op13_mix_sources": op13_mix_sources,
 }
@@ -204,6 +213,18 @@ run AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS z FROM (SELECT doc_id, k, cou
 cut AS (SELECT run.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY run.doc_id ORDER BY a), 0) AS from_, h FROM run JOIN b ON b.doc_id = run.doc_id),
 t AS (SELECT doc_id, sum(z - a) AS lost, count(*) AS spans, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM cut GROUP BY doc_id)
 SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(lost, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN t ON t.doc_id = b.doc_id""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS a, d.vec_id AS i, q.label = d.label AS same, list_inner_product(q.e, d.e)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, i) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (
+  SELECT p.a, p.i AS pos, p.score AS ps, s.i AS neg, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.i ORDER BY s.score DESC, s.i) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT a AS anchor_id, pos AS positive_id, rank::INTEGER AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 5""",
     "op13_mix_sources": f"""
 WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS k, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, ''))[1:8] AS h FROM documents),
 s0 AS (SELECT k, any_value(source) AS source, sum(size)::HUGEINT AS own FROM d GROUP BY k),
