@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsprism.plans.composite import query
+from newsprism.sources import fetch
 from newsprism.sources.model import Model
+from newsprism.storage import new_path
 from newsprism.streaming import leases
 from newsprism.streaming import pipeline as streams
 
@@ -37,3 +39,48 @@ def _(m: Model) -> DataFrame:
     action = F.create_map(*(F.lit(x) for pair in (("view", "claim"), ("click", "heartbeat"), ("signup", "complete"), ("purchase", "skip"), ("error", "fail")) for x in pair))[F.col("event_type")]
     actions = events.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), action.alias("action"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("worker"))
     return leases.logged(leases.lease_runs(actions, _HOURS * 3600, _RETRY, _LONGEST, "1 hour"))
+
+
+# -- feeds from a folder -----------------------------------------------------------------------
+
+#: Longest document that these queries open.
+_BOUND = 4000
+_PARTS_SQL = """SELECT feed_id, article_id // 100 AS part, sum(28 + octet_length(encode(coalesce(title, '')))) AS bytes FROM {articles} WHERE feed_id IS NOT NULL GROUP BY feed_id, article_id // 100"""
+
+
+def _folder(m: Model, parts: DataFrame, path: str) -> None:
+    parts.select("feed_id", "part", "value").write.mode("append").partitionBy("feed_id", "part").text(path)
+
+
+def _documents(m: Model) -> DataFrame:
+    """Documents of each feed with the titles of 100 ids each, 28 bytes beside each title."""
+    item = F.concat(F.lit("<item><title>"), F.coalesce("title", F.lit("")), F.lit("</title></item>"))
+    rows = m.articles.where("feed_id is not null").groupBy("feed_id", F.expr("article_id div 100").alias("part"))
+    return rows.agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("value"))
+
+
+@query(
+    "src1_unchanged_feeds",
+    f"SELECT feed_id, part, CASE WHEN bytes + 1 <= {_BOUND} THEN 'fetched' ELSE 'too_large' END AS outcome, bytes + 1 AS length FROM ({_PARTS_SQL}) WHERE part % 3 = 0",
+)
+def _(m: Model) -> DataFrame:
+    """A second round over a folder of feed documents: those with a known time are not opened nor listed
+    again; every third is new.  A document ends with a line feed."""
+    path = new_path(m.spark, "feeds")
+    documents = _documents(m)
+    _folder(m, documents, path)
+    none = m.spark.createDataFrame([], "path string, last_modified timestamp")
+    first = fetch.folder_feeds(m.spark, path, none, _BOUND)
+    part = F.regexp_extract("path", "part=([0-9]+)", 1).cast("bigint").alias("part")
+    known = first.select("path", "last_modified", part).where("part % 3 <> 0")
+    return fetch.folder_feeds(m.spark, path, known, _BOUND).select("feed_id", part, "outcome", "length")
+
+
+@query("src2_byte_bound", f"SELECT feed_id, part, CASE WHEN bytes + 1 <= {_BOUND} THEN bytes + 1 END AS opened FROM ({_PARTS_SQL})")
+def _(m: Model) -> DataFrame:
+    """Bytes opened of each document: none beyond the bound."""
+    path = new_path(m.spark, "feeds")
+    _folder(m, _documents(m), path)
+    none = m.spark.createDataFrame([], "path string, last_modified timestamp")
+    part = F.regexp_extract("path", "part=([0-9]+)", 1).cast("bigint").alias("part")
+    return fetch.folder_feeds(m.spark, path, none, _BOUND).select("feed_id", part, F.length("content").cast("bigint").alias("opened"))

@@ -138,4 +138,4 @@ def logged(runs: DataFrame, path: str | None = None, checkpoint: str | None = No
     if trigger:
         return query
     query.awaitTermination()
-    return spark.read.schema(runs.schema).parquet(path)
+    return spark.read.schema(runs.schema).parquet(path).select(*runs.columns)
