@@ -41,17 +41,32 @@ def around(edges: DataFrame, seeds: DataFrame, left: str = "x", right: str = "y"
 COLLAPSING = ("editorial_parent", "shared_newsroom", "joint_editorial_operation")
 
 
+#: Days of a bin of an interval join.
+BIN_DAYS = 31
+
+
+def during(dates: DataFrame, intervals: DataFrame, at: str = "at", begin: str = "valid_from", end: str = "valid_to", days: int = BIN_DAYS) -> DataFrame:
+    """Dates with the intervals that hold then, ends included, null ends open: an equi-join on bins of
+    days.  An interval is in each bin that it touches between the least and the greatest date; the
+    row of bounds is one."""
+    number = lambda c: F.floor(F.unix_date(c) / days)
+    reach = dates.agg(F.min(at).alias("_least"), F.max(at).alias("_most"))
+    near = intervals.crossJoin(F.broadcast(reach))  # one row
+    first, last = F.greatest(F.coalesce(begin, "_least"), F.col("_least")), F.least(F.coalesce(end, "_most"), F.col("_most"))
+    near = near.where(first <= last).withColumn("_bin", F.explode(F.sequence(number(first), number(last)))).drop("_least", "_most")
+    holds = (F.coalesce(begin, at) <= F.col(at)) & (F.coalesce(end, at) >= F.col(at))
+    return dates.withColumn("_bin", number(F.col(at))).join(near, "_bin").where(holds).drop("_bin")
+
+
 def source_keys(wanted: DataFrame, relations: DataFrame) -> DataFrame:
     """(source_id, at, key): the least source of the component at that date.  wanted: (source_id,
     at); relations: (source_id, related_source_id, valid_from, valid_to), collapsing kinds only.
     A null date sees undated relations only."""
+    r = relations.select(F.col("source_id").cast("string").alias("x"), F.col("related_source_id").cast("string").alias("y"), "valid_from", "valid_to")
     dates = wanted.select("at").distinct()
-    r = relations.select(F.col("source_id").alias("x"), F.col("related_source_id").alias("y"), "valid_from", "valid_to")
-    holds = (F.col("at").isNull() & F.col("valid_from").isNull() & F.col("valid_to").isNull()) | (
-        F.col("at").isNotNull() & (F.coalesce("valid_from", "at") <= F.col("at")) & (F.coalesce("valid_to", "at") >= F.col("at"))
-    )
-    # an interval join of the dates that occur with the relations
-    dated = dates.join(r, holds).select(F.coalesce(F.col("at").cast("string"), F.lit("-")).alias("on"), F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"))
+    held = during(dates.where("at is not null"), r).select(F.col("at").cast("string").alias("on"), "x", "y")
+    always = dates.where("at is null").limit(1).select(F.lit("-").alias("on")).join(r.where("valid_from is null and valid_to is null").withColumn("on", F.lit("-")), "on")
+    dated = held.union(always.select("on", "x", "y"))
     found = components(dated, ["on"])
     asked = wanted.select("source_id", "at").distinct().withColumn("on", F.coalesce(F.col("at").cast("string"), F.lit("-"))).withColumn("node", F.col("source_id").cast("string"))
     return asked.join(found, ["on", "node"], "left").select("source_id", "at", F.coalesce("label", "node").alias("key"))

@@ -45,3 +45,24 @@ def first(rows: DataFrame, order: Sequence[Column], limit: int, name: str = "k")
     and only these, `limit` rows in all, are numbered together."""
     few = rows.orderBy(*order).limit(limit)
     return few.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def ranked_values(rows: DataFrame, key: str, value: str, ranks: Sequence[tuple[str, Column]], ranges: int | None = None) -> DataFrame:
+    """(key, n, a column a rank): exact values by rank within each key, for ranks (from 0) given as columns of
+    `n`, the key's number of values; nulls take no part.
+
+    Equal values are counted first, then summed over ranges of (key, value): a key may hold any share of
+    the rows, and no task holds a key's values together."""
+    counts = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running(counts, [F.col("_key"), F.col("_v")], F.col("_n"), "_at", ranges)
+    keys = placed.groupBy("_key").agg(F.sum("_n").alias("n"), F.min("_at").alias("_begin"))
+    wanted = keys.select("_key", "n", F.posexplode(F.array(*(c.cast("bigint") for _, c in ranks))).alias("_which", "_rank"), "_begin")
+    # a value holds the ranks from its place in the key to the next value's: few values a key are kept
+    near = placed.join(wanted, "_key").where((F.col("_at") - F.col("_begin") <= F.col("_rank")) & (F.col("_rank") < F.col("_at") - F.col("_begin") + F.col("_n")))
+    picked = [F.max(F.when(F.col("_which") == k, F.col("_v"))).alias(name) for k, (name, _) in enumerate(ranks)]
+    return near.groupBy("_key", "n").agg(*picked).withColumnRenamed("_key", key)
+
+
+def nearest_rank(n: Column, share: float) -> Column:
+    """The place (from 0) that a share of n values falls on, halves to the even one."""
+    return F.bround((n - 1) * F.lit(share)).cast("bigint")

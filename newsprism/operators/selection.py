@@ -1,6 +1,7 @@
 """Bounded picks from ranked rows: lanes with quotas, waves, rotating cohorts, threshold sweeps.
 
-A pick is a limit by definition; ranks are windows that Spark limits before it shuffles."""
+A pick is a limit by definition: each task keeps its own first rows, and only these meet to be
+numbered.  A cohort needs a place among all rows, which is counted by ranges."""
 
 from __future__ import annotations
 
@@ -9,22 +10,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsprism.operators.ranks import first, numbered
+
 #: Part of a wave or pick that the newest rows get, in tenths.
 LIVE_TENTHS = 8
 STRIDE = 997
 
 
-def _ranked(rows: DataFrame, order: Sequence[Column], limit: int, name: str = "k") -> DataFrame:
-    """The first `limit` rows by the order, numbered from 0."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).where(F.col(name) < limit)
-
-
 def two_lanes(hinted: DataFrame, recall: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     """`limit` rows, the larger half from `hinted`; a lane that can't fill its half leaves the rest to
     the other.  Adds lane and place."""
     slots = (limit + 1) // 2, limit // 2
     begin = (offset + 1) // 2, offset // 2
-    lanes = [_ranked(rows, order, b + limit).where(F.col("k") >= b).withColumn("k", F.col("k") - b).withColumn("lane", F.lit(n)) for rows, b, n in ((hinted, begin[0], "hint"), (recall, begin[1], "recall"))]
+    lanes = [first(rows, order, b + limit).where(F.col("k") >= b).withColumn("k", F.col("k") - b).withColumn("lane", F.lit(n)) for rows, b, n in ((hinted, begin[0], "hint"), (recall, begin[1], "recall"))]
     both = lanes[0].unionByName(lanes[1])
     have = both.agg(*(F.count(F.when(F.col("lane") == n, 1)).alias(n) for n in ("hint", "recall")))
     quota = F.when(F.col("lane") == "hint", F.greatest(F.lit(slots[0]), F.lit(limit) - F.col("recall"))).otherwise(F.greatest(F.lit(slots[1]), F.lit(limit) - F.col("hint")))
@@ -48,7 +46,7 @@ def waves(live: DataFrame, stale: DataFrame, order: Sequence[Column], wave: int,
         within = k % q if q else k
         # of the last, smaller wave the lanes' own shares go first
         over = F.when((at == full) & (within >= tail[name]), 1).otherwise(0)
-        lanes.append(_ranked(rows, order, limit).withColumn("lane", F.lit(name)).withColumns({"wave": at.cast("long"), "over": over}))
+        lanes.append(first(rows, order, limit).withColumn("lane", F.lit(name)).withColumns({"wave": at.cast("long"), "over": over}))
     both = lanes[0].unionByName(lanes[1])
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("wave", "over", "lane", "k"))
     return both.withColumn("place", place).where(F.col("place") <= limit).drop("k", "wave", "over")
@@ -58,20 +56,20 @@ def newest_and_oldest(rows: DataFrame, order: Sequence[Column], reverse: Sequenc
     """All rows if at most `limit`, else the newest 80 % of it and the rest from the oldest; adds place."""
     live = max(1, limit * LIVE_TENTHS // 10)
     total = rows.agg(F.count("*").alias("total"))
-    newest, oldest = _ranked(rows, order, limit), _ranked(rows, reverse, limit - live, "back")
-    first = newest.crossJoin(F.broadcast(total)).where((F.col("k") < live) | (F.col("total") <= limit)).drop("total")
+    newest, oldest = first(rows, order, limit), first(rows, reverse, limit - live, "back")
+    live_part = newest.crossJoin(F.broadcast(total)).where((F.col("k") < live) | (F.col("total") <= limit)).drop("total")
     rest = oldest.crossJoin(F.broadcast(total)).where(F.col("total") > limit).withColumn("k", F.col("back") + live).drop("back", "total")
-    return first.unionByName(rest).withColumn("place", F.col("k") + 1).drop("k")
+    return live_part.unionByName(rest).withColumn("place", F.col("k") + 1).drop("k")
 
 
 def cohort(rows: DataFrame, order: Sequence[Column], newest: int, rotating: int, slot: int) -> DataFrame:
     """The `newest` first rows and `rotating` of the older, from a place that a prime stride moves on
     each slot; adds place."""
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    placed = numbered(rows, order, "k")
     older = F.greatest(F.lit(0), F.lit(rows.count() - newest))
     start = F.when(older > 0, F.pmod(F.lit(slot * STRIDE), F.greatest(older, F.lit(1)))).otherwise(0)
     turn = F.pmod(F.col("k") - newest - start, F.greatest(older, F.lit(1)))
-    kept = numbered.where((F.col("k") < newest) | (turn < rotating))
+    kept = placed.where((F.col("k") < newest) | (turn < rotating))
     return kept.withColumn("place", F.when(F.col("k") < newest, F.col("k")).otherwise(turn + newest) + 1).drop("k")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsprism.functions import text as T
 from newsprism.functions.similarity import cosine, jaccard, overlap, sequence_ratio, shared
-from newsprism.operators import analysis, articles, graph, relations, search, stories, writes
+from newsprism.operators import analysis, articles, graph, ranks, relations, search, stories, writes
 from newsprism.plans.dialect import oracle
 from newsprism.sources import feeds as feed_sources
 from newsprism.sources.model import Model
@@ -240,10 +240,11 @@ def _(m: Model) -> DataFrame:
     SELECT label, min(v) AS least, max(CASE WHEN k = round_even((n - 1) * 0.1, 0) + 1 THEN v END) AS p10, median(v) AS median, max(CASE WHEN k = round_even((n - 1) * 0.9, 0) + 1 THEN v END) AS p90, max(v) AS most FROM r GROUP BY label""",
 )
 def _(m: Model) -> DataFrame:
-    v = F.col("article_id") % 97
-    rows = m.embeddings.groupBy("label").agg(F.array_sort(F.collect_list(v)).alias("vs"), F.median(v).alias("median"))
-    nearest = lambda q: F.element_at("vs", (F.bround((F.size("vs") - 1) * F.lit(q)) + 1).cast("int"))
-    return rows.select("label", F.element_at("vs", 1).alias("least"), nearest(0.1).alias("p10"), "median", nearest(0.9).alias("p90"), F.element_at("vs", -1).alias("most"))
+    rows = m.embeddings.select("label", (F.col("article_id") % 97).alias("v"))
+    n = F.col("n")
+    wanted = [("least", F.lit(0)), ("p10", ranks.nearest_rank(n, 0.1)), ("low", F.floor((n - 1) / 2)), ("high", F.ceil((n - 1) / 2)), ("p90", ranks.nearest_rank(n, 0.9)), ("most", n - 1)]
+    found = ranks.ranked_values(rows, "label", "v", wanted)
+    return found.select("label", "least", "p10", ((F.col("low") + F.col("high")) / 2).alias("median"), "p90", "most")
 
 
 # -- claim relations -------------------------------------------------------------------------

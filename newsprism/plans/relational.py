@@ -93,7 +93,6 @@ SQL: dict[str, str] = {
     "win8_best_attribution": "SELECT group_id, holder, claim_id FROM (SELECT group_id, holder, claim_id, row_number() OVER (PARTITION BY group_id, holder, kind ORDER BY confidence DESC, claim_id) AS k FROM {perspectives} WHERE holder IS NOT NULL) t WHERE k = 1",
     "win11_german_title": "SELECT story_id, title FROM (SELECT story_id, title, row_number() OVER (PARTITION BY story_id ORDER BY time_s, article_id) AS k FROM {story_articles} WHERE trim(title) <> '' AND (language_code = 'de' OR language_code LIKE 'de-%')) t WHERE k = 1",
     # -- sorts, pages, sets
-    "srt1_nulls": "SELECT article_id, published_s, @int(row_number() OVER (ORDER BY published_s DESC NULLS LAST, article_id)) AS place FROM {eligible} ORDER BY published_s DESC NULLS LAST, article_id LIMIT 100",
     "srt2_oldest": "SELECT article_id, title FROM {eligible} ORDER BY published_s ASC NULLS LAST, article_id LIMIT 20",
     "srt3_largest": "SELECT story_id, count(*) AS n FROM {story_articles} GROUP BY story_id ORDER BY n DESC, story_id LIMIT 25",
     "srt4_page": "SELECT article_id, t.pages FROM {eligible}, (SELECT @int(ceil(count(*) / 20.0)) AS pages FROM {eligible}) t ORDER BY time_s, article_id LIMIT 20 OFFSET 40",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsprism.functions import text as T
-from newsprism.operators import catalog, gates, search, selection, writes
+from newsprism.operators import catalog, gates, ranks, search, selection, writes
 from newsprism.plans.composite import query
 from newsprism.sources.model import Model
 
@@ -100,10 +100,16 @@ def _(m: Model) -> DataFrame:
 )
 def _(m: Model) -> DataFrame:
     newest = m.story_articles.groupBy("story_id").agg(F.max("time_s").alias("t"))
-    stories = newest.select("story_id", (F.row_number().over(writes.Window.partitionBy(F.lit(0)).orderBy(F.desc("t"), "story_id")) - 1).alias("recency"))
+    stories = ranks.numbered(newest, [F.desc("t"), F.col("story_id")], "recency").select("story_id", "recency")
     return selection.conflict_rich(_hint_pairs(m).withColumn("claim_score", F.col("score")), stories, 21)
 
 
+@query("srt1_nulls", "SELECT article_id, published_s, row_number() OVER (ORDER BY published_s DESC NULLS LAST, article_id) AS place FROM {eligible} ORDER BY published_s DESC NULLS LAST, article_id LIMIT 100")
+def _(m: Model) -> DataFrame:
+    rows = ranks.first(m.eligible.select("article_id", "published_s"), [F.desc_nulls_last("published_s"), F.col("article_id")], 100)
+    return rows.select("article_id", "published_s", (F.col("k") + 1).cast("bigint").alias("place"))
+
+
 # -- picks -----------------------------------------------------------------------------------
 
 _LANES_SQL = """WITH x AS (SELECT claim_id, claim_id % 997 = 0 AS hint, row_number() OVER (PARTITION BY claim_id % 997 = 0 ORDER BY confidence DESC, claim_id) AS k FROM {members}), n AS (SELECT least(count(*) FILTER (WHERE hint), 101) AS h, least(count(*) FILTER (WHERE NOT hint), 101) AS r FROM x)
