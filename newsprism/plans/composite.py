@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsprism.functions import text as T
 from newsprism.functions.similarity import cosine, jaccard, overlap, sequence_ratio, shared
-from newsprism.operators import analysis, articles, graph, ranks, relations, search, stories, writes
+from newsprism.operators import analysis, articles, claim_groups, graph, ranks, relations, search, stories, writes
 from newsprism.plans.dialect import oracle
 from newsprism.sources import feeds as feed_sources
 from newsprism.sources.model import Model
@@ -80,15 +80,23 @@ def _(m: Model) -> DataFrame:
 # -- similarity ------------------------------------------------------------------------------
 
 
-def _vector_pairs(m: Model) -> DataFrame:
-    a = m.embeddings.select(F.col("article_id").alias("a"), F.col("embedding").alias("va"))
-    b = m.embeddings.select((F.col("article_id") - 1).alias("a"), F.col("article_id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, "a")
+#: Pairs of articles that stories hold together, each once.
+_PAIRS_SQL = "SELECT a.article_id AS a, b.article_id AS b FROM {memberships} a JOIN {memberships} b ON b.story_id = a.story_id AND a.article_id < b.article_id"
 
 
-@query("c4_cosine", "SELECT l.article_id AS a, r.article_id AS b, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score FROM {embeddings} l JOIN {embeddings} r ON r.article_id = l.article_id + 1")
+def _story_pairs(m: Model) -> DataFrame:
+    left, right = (m.memberships.select("story_id", F.col("article_id").alias(s)) for s in "ab")
+    return left.join(right, "story_id").where("a < b").select("a", "b")
+
+
+def _sided(rows: DataFrame, side: str, **columns: str) -> DataFrame:
+    return rows.select(F.col("article_id").alias(side), *(F.col(c).alias(n) for n, c in columns.items()))
+
+
+@query("c4_cosine", f"SELECT a, b, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score FROM ({_PAIRS_SQL}) JOIN {{embeddings}} l ON l.article_id = a JOIN {{embeddings}} r ON r.article_id = b")
 def _(m: Model) -> DataFrame:
-    return _vector_pairs(m).select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score"))
+    rows = _story_pairs(m).join(_sided(m.embeddings, "a", va="embedding"), "a").join(_sided(m.embeddings, "b", vb="embedding"), "b")
+    return rows.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score"))
 
 
 def _terms(m: Model) -> DataFrame:
@@ -101,18 +109,21 @@ def _terms(m: Model) -> DataFrame:
 _TERMS_SQL = "SELECT article_id, time_s, language_code AS language, list_distinct(regexp_extract_all(lower(title), '[a-z]{3,}')) AS terms, list_distinct(list_transform(regexp_extract_all(title, '[A-Z][a-z]{3,}'), lambda x: lower(x))) AS entities, [language_code] AS topics FROM {eligible}"
 
 
+def _term_pairs(m: Model) -> DataFrame:
+    t = stored(_terms(m), "terms")
+    return _story_pairs(m).join(_sided(t, "a", ta="terms"), "a").join(_sided(t, "b", tb="terms"), "b")
+
+
 @query(
     "c5_overlaps",
-    f"""WITH t AS ({_TERMS_SQL}) SELECT a.article_id AS a, b.article_id AS b, len(list_intersect(a.terms, b.terms)) AS shared,
+    f"""WITH t AS ({_TERMS_SQL}) SELECT p.a, p.b, len(list_intersect(a.terms, b.terms)) AS shared,
     CASE WHEN len(list_distinct(list_concat(a.terms, b.terms))) = 0 THEN 0.0 ELSE round(len(list_intersect(a.terms, b.terms))::DOUBLE / len(list_distinct(list_concat(a.terms, b.terms))), 6) END AS jaccard,
     CASE WHEN least(len(a.terms), len(b.terms)) = 0 THEN 0.0 ELSE round(len(list_intersect(a.terms, b.terms))::DOUBLE / least(len(a.terms), len(b.terms)), 6) END AS overlap
-    FROM t a JOIN t b ON b.article_id = a.article_id + 1""",
+    FROM ({_PAIRS_SQL}) p JOIN t a ON a.article_id = p.a JOIN t b ON b.article_id = p.b""",
 )
 def _(m: Model) -> DataFrame:
-    t = _terms(m)
-    a, b = t.select(F.col("article_id").alias("a"), F.col("terms").alias("ta")), t.select((F.col("article_id") - 1).alias("a"), F.col("article_id").alias("b"), F.col("terms").alias("tb"))
     x, y = F.col("ta"), F.col("tb")
-    return a.join(b, "a").select("a", "b", shared(x, y).cast("bigint").alias("shared"), F.round(jaccard(x, y), 6).alias("jaccard"), F.round(overlap(x, y), 6).alias("overlap"))
+    return _term_pairs(m).select("a", "b", shared(x, y).cast("bigint").alias("shared"), F.round(jaccard(x, y), 6).alias("jaccard"), F.round(overlap(x, y), 6).alias("overlap"))
 
 
 @query("c8_sequence_ratio")
@@ -129,12 +140,12 @@ def _(m: Model) -> DataFrame:
     "j7_candidates",
     f"""WITH t AS ({_TERMS_SQL}), x AS (SELECT article_id, time_s, language, unnest(terms) AS f, 't' AS k FROM t UNION ALL SELECT article_id, time_s, language, unnest(topics), 'o' FROM t),
     e AS (SELECT article_id, time_s, unnest(entities) AS f FROM t)
-    SELECT DISTINCT a.article_id AS a_id, b.article_id AS b_id FROM x a JOIN x b ON a.f = b.f AND a.k = b.k AND a.language = b.language AND a.article_id <> b.article_id AND abs(a.time_s - b.time_s) <= 1800
-    UNION SELECT DISTINCT a.article_id, b.article_id FROM e a JOIN e b ON a.f = b.f AND a.article_id <> b.article_id AND abs(a.time_s - b.time_s) <= 1800""",
+    SELECT DISTINCT a.article_id AS a_id, b.article_id AS b_id FROM x a JOIN x b ON a.f = b.f AND a.k = b.k AND a.language = b.language AND a.article_id <> b.article_id AND abs(a.time_s - b.time_s) <= 172800
+    UNION SELECT DISTINCT a.article_id, b.article_id FROM e a JOIN e b ON a.f = b.f AND a.article_id <> b.article_id AND abs(a.time_s - b.time_s) <= 172800""",
 )
 def _(m: Model) -> DataFrame:
     t = _terms(m)
-    return stories.candidate_pairs(t, t, window=1800)
+    return stories.candidate_pairs(t, t)
 
 
 def _features(m: Model) -> DataFrame:
@@ -174,12 +185,10 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "flt11_array_overlap",
-    f"WITH t AS ({_TERMS_SQL}) SELECT a.article_id AS a, b.article_id AS b FROM t a JOIN t b ON b.article_id = a.article_id + 1 WHERE len(list_intersect(a.terms, b.terms)) > 0",
+    f"WITH t AS ({_TERMS_SQL}) SELECT p.a, p.b FROM ({_PAIRS_SQL}) p JOIN t a ON a.article_id = p.a JOIN t b ON b.article_id = p.b WHERE len(list_intersect(a.terms, b.terms)) > 0",
 )
 def _(m: Model) -> DataFrame:
-    t = _terms(m)
-    b = t.select((F.col("article_id") - 1).alias("a"), F.col("article_id").alias("b"), F.col("terms").alias("tb"))
-    return t.withColumnRenamed("article_id", "a").join(b, "a").where(F.arrays_overlap("terms", "tb")).select("a", "b")
+    return _term_pairs(m).where(F.arrays_overlap("ta", "tb")).select("a", "b")
 
 
 # -- article stages --------------------------------------------------------------------------
@@ -254,13 +263,18 @@ def _story_claims(m: Model) -> DataFrame:
     return m.members.select("story_id", F.col("language_code").alias("language"), "claim_id", "article_id", "source_id", "claim_text", F.col("claim_key"))
 
 
-def _related(m: Model) -> DataFrame:
-    return stored(relations.relate_claims(_story_claims(m)), "related")
+def _groups(m: Model) -> DataFrame:
+    """Members of groups by joins, groups named by the order of their heads in the story."""
+    members, _ = claim_groups.relate(_story_claims(m))
+    members = stored(members, "grouped")
+    place = F.row_number().over(writes.Window.partitionBy("story_id").orderBy("head_key"))
+    names = members.select("story_id", "head_key").distinct().withColumn("left_group", F.concat(F.lit("group-"), F.lpad(place.cast("string"), 4, "0")))
+    return members.join(names, ["story_id", "head_key"])
 
 
 @query("clu4_groups")
 def _(m: Model) -> DataFrame:
-    return _related(m).where("kind = 'member'").select("story_id", "left_group", "claim_id", "match", F.round("score", 6).alias("score"))
+    return _groups(m).select("story_id", "left_group", "claim_id", "match", F.round("score", 6).alias("score"))
 
 
 def _debated(m: Model) -> DataFrame:
@@ -310,7 +324,7 @@ def _(m: Model) -> DataFrame:
 
 @query("agg16_confidence")
 def _(m: Model) -> DataFrame:
-    return relations.group_confidence(_related(m)).withColumn("confidence", F.round("confidence", 6))
+    return relations.group_confidence(_groups(m).withColumn("kind", F.lit("member"))).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("clu12_input_hash", "SELECT story_id, sha256(coalesce(array_to_string(list(claim_id || ':' || claim_key ORDER BY claim_id), '|'), '')) AS input_hash FROM {members} GROUP BY story_id")
@@ -338,9 +352,15 @@ def _(m: Model) -> DataFrame:
     return graph.components(_edges(m))
 
 
-@query("gr1_source_keys")
+@query(
+    "gr1_source_keys",
+    f"""WITH RECURSIVE e AS (SELECT x, y, CASE WHEN length(x) = 4 THEN DATE '2024-01-02' END AS f FROM ({_EDGES_SQL})), d AS (SELECT unnest(['2024-01-01', '2024-02-01', NULL]) AS day_),
+    h AS (SELECT day_, x, y FROM d, e WHERE CASE WHEN day_ IS NULL THEN f IS NULL ELSE coalesce(f, day_::DATE) <= day_::DATE END), u AS (SELECT day_, x, y FROM h UNION SELECT day_, y, x FROM h),
+    r(day_, node, seen) AS (SELECT day_, source_id, source_id FROM d, {{sources}} UNION SELECT r.day_, r.node, u.y FROM r JOIN u ON u.day_ IS NOT DISTINCT FROM r.day_ AND u.x = r.seen)
+    SELECT node AS source_id, day_ AS "at", min(seen) AS key FROM r GROUP BY node, day_""",
+)
 def _(m: Model) -> DataFrame:
-    r = _edges(m).select(F.col("x").alias("source_id"), F.col("y").alias("related_source_id"), F.when(F.xxhash64("x") % 2 == 0, F.lit("2024-01-02").cast("date")).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    r = _edges(m).select(F.col("x").alias("source_id"), F.col("y").alias("related_source_id"), F.when(F.length("x") == 4, F.lit("2024-01-02").cast("date")).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
     wanted = m.sources.select("source_id", F.lit("2024-01-01").cast("date").alias("at")).union(m.sources.select("source_id", F.lit("2024-02-01").cast("date"))).union(m.sources.select("source_id", F.lit(None).cast("date")))
     return graph.source_keys(wanted, r).withColumn("at", F.col("at").cast("string"))
 
@@ -386,30 +406,51 @@ def _(m: Model) -> DataFrame:
 # -- evidence to the integrated view ---------------------------------------------------------
 
 
-def _contradictions(related: DataFrame, members: DataFrame) -> DataFrame:
-    """(story_id, left_group, right_group, kind) in the groups of `members`: a group of relate_claims
-    is known by its head, whose key all its exact members have."""
-    heads = related.where("kind = 'member' and match = 'exact'").select("story_id", F.col("left_group").alias("name"), "claim_id")
-    heads = heads.join(members.select("story_id", "claim_id", "group_id"), ["story_id", "claim_id"]).groupBy("story_id", "name").agg(F.min("group_id").alias("g"))
-    side = lambda s: heads.select("story_id", F.col("name").alias(f"{s}_group"), F.col("g").alias(f"{s}_g"))
-    rows = related.where("kind in ('contradicts', 'disputes')").select("story_id", "left_group", "right_group", "kind").join(side("left"), ["story_id", "left_group"]).join(side("right"), ["story_id", "right_group"])
-    return rows.select("story_id", F.least("left_g", "right_g").alias("left_group"), F.greatest("left_g", "right_g").alias("right_group"), "kind").distinct()
+#: What is added to the id of a claim for the one that denies it.
+DENIAL = 1 << 62
+
+
+def _said(m: Model) -> DataFrame:
+    """The members of groups with a denial of every fifth claim, in groups of equal keys."""
+    rows = m.members.drop("group_id")
+    denied = rows.where("claim_id % 5 = 0").withColumns({"claim_id": F.col("claim_id") + DENIAL, "claim_text": F.concat(F.lit("Not "), "claim_text"), "claim_key": F.concat(F.lit("not "), "claim_key")})
+    return rows.unionByName(denied).withColumn("group_id", F.min("claim_id").over(writes.Window.partitionBy("story_id", "claim_key")))
+
+
+def _contradictions(members: DataFrame) -> DataFrame:
+    """(story_id, left_group, right_group, kind) between groups of equal keys."""
+    known = stored(claim_groups.features(members), "features")
+    own = known.select("story_id", "claim_key", F.col("claim_key").alias("head_key"))
+    found = claim_groups.contradicting_heads(known, own)
+    ids = members.select("story_id", "claim_key", "group_id").distinct()
+    for s in ("left", "right"):
+        found = found.join(ids.select("story_id", F.col("claim_key").alias(f"{s}_key"), F.col("group_id").alias(f"{s}_g")), ["story_id", f"{s}_key"])
+    return found.select("story_id", F.least("left_g", "right_g").alias("left_group"), F.greatest("left_g", "right_g").alias("right_group"), F.lit("contradicts").alias("kind"))
 
 
 def _stage_tables(m: Model) -> dict[str, DataFrame]:
-    members = m.members
+    members = stored(_said(m), "said")
     body = m.eligible.select("article_id", "title", "body")
-    voiced = stored(members.join(_voices(m), ["story_id", "article_id"]), "voiced")
-    said = m.perspectives.select(F.col("claim_id").alias("perspective_id"), "claim_id", "kind", F.col("holder"), F.concat(F.lit("say "), F.col("claim_id").cast("string")).alias("evidence_text"))
+    voices = _voices(m)
+    voiced = stored(members.join(voices, ["story_id", "article_id"]), "voiced")
+    kind = F.element_at(F.lit(["quoted", "reported", "unattributed"]), (F.col("claim_id") % 3 + 1).cast("int"))
+    said = members.select(F.col("claim_id").alias("perspective_id"), "claim_id", kind.alias("kind"), F.expr("CASE WHEN claim_id % 3 <> 2 THEN concat('e', claim_id % 17) END").alias("holder"), F.concat(F.lit("say "), F.col("claim_id").cast("string")).alias("evidence_text"))
     items = stored(analysis.evidence(voiced.join(body, "article_id"), analysis.direct_quotes(said)), "evidence")
     groups = stored(analysis.consensus(voiced, items, said), "consensus")
-    found = stored(analysis.differences(_contradictions(_related(m), members), groups), "differences")
-    covered = stored(analysis.coverage(m.story_articles.join(_voices(m), ["story_id", "article_id"]), groups, found), "coverage")
+    found = stored(analysis.differences(_contradictions(members), groups), "differences")
+    covered = stored(analysis.coverage(m.story_articles.join(voices, ["story_id", "article_id"]), groups, found), "coverage")
     return {"members": voiced, "items": items, "groups": groups, "differences": found, "covered": covered, "missing": analysis.missing_perspectives(groups, found)}
 
 
-_GROUPS_SQL = f"""{_VOICES_SQL}, g AS (SELECT m.story_id, m.group_id, count(DISTINCT m.claim_id) AS claims, count(DISTINCT m.article_id) AS articles, count(DISTINCT CASE WHEN m.role IN ('editorial', 'expert_analysis') THEN v.voice END) AS independent_sources,
-      count(*) AS evidence_items, count(DISTINCT m.source_id) AS evidence_sources, count(*) FILTER (WHERE m.claim_id % 3 <> 2) AS attributed FROM {{members}} m JOIN v ON v.story_id = m.story_id AND v.article_id = m.article_id GROUP BY m.story_id, m.group_id)"""
+_LIST = lambda words: ", ".join(f"'{w}'" for w in sorted(words))
+_CLAIM_TOKEN = r"[\p{L}\p{N}](?:[\p{L}\p{N}_''’-]*[\p{L}\p{N}_])?"
+_SAID_SQL = f"""said AS (SELECT *, min(claim_id) OVER (PARTITION BY story_id, claim_key) AS group_id FROM (SELECT story_id, article_id, source_id, role, source_type, claim_id, claim_text, claim_key FROM {{members}}
+      UNION ALL SELECT story_id, article_id, source_id, role, source_type, claim_id + {DENIAL}, 'Not ' || claim_text, 'not ' || claim_key FROM {{members}} WHERE claim_id % 5 = 0))"""
+_DIFFER_SQL = f"""w AS (SELECT story_id, group_id, regexp_extract_all(lower(claim_key), '{_CLAIM_TOKEN}') AS w, list_transform(regexp_extract_all(lower(claim_key), '[0-9]+(?:[.,][0-9]+)?'), lambda n: replace(n, ',', '.')) AS num FROM (SELECT DISTINCT story_id, group_id, claim_key FROM said)),
+    o AS (SELECT story_id, group_id, num, list_filter(w, lambda t: NOT (t IN ({_LIST(T.NEGATIONS)}) OR ends_with(t, 'n''t') OR t IN ({_LIST(T.CLAIM_STOPWORDS)}))) AS words, len(list_filter(w, lambda t: t IN ({_LIST(T.NEGATIONS)}) OR ends_with(t, 'n''t'))) > 0 AS neg FROM w),
+    against AS (SELECT a.story_id, least(a.group_id, b.group_id) AS left_group, greatest(a.group_id, b.group_id) AS right_group FROM o a JOIN o b ON a.story_id = b.story_id AND a.words = b.words AND a.num = b.num AND NOT a.neg AND b.neg)"""
+_GROUPS_SQL = f"""{_VOICES_SQL}, {_SAID_SQL}, g AS (SELECT m.story_id, m.group_id, count(DISTINCT m.claim_id) AS claims, count(DISTINCT m.article_id) AS articles, count(DISTINCT CASE WHEN m.role IN ('editorial', 'expert_analysis') THEN v.voice END) AS independent_sources,
+      count(*) AS evidence_items, count(DISTINCT m.source_id) AS evidence_sources, count(*) FILTER (WHERE m.claim_id % 3 <> 2) AS attributed FROM said m JOIN v ON v.story_id = m.story_id AND v.article_id = m.article_id GROUP BY m.story_id, m.group_id)"""
 _BY_SQL = lambda c: f"coalesce((SELECT '{{' || string_agg('\"' || {c} || '\":' || n, ',' ORDER BY {c}) || '}}' FROM (SELECT {c}, count(DISTINCT source_id) AS n FROM {{story_articles}} x WHERE x.story_id = s.story_id AND {c} IS NOT NULL GROUP BY {c})), '{{}}')"
 _COVERED_SQL = f"""{_GROUPS_SQL}, k AS (SELECT s.story_id, count(DISTINCT s.article_id) AS articles, count(DISTINCT source_id) AS sources, count(DISTINCT CASE WHEN role <> 'signal' THEN source_id END) AS content_sources, count(DISTINCT CASE WHEN role = 'signal' THEN source_id END) AS signal_sources,
       count(DISTINCT CASE WHEN role IN ('editorial', 'expert_analysis') THEN v.voice END) AS independent_sources FROM {{story_articles}} s JOIN v ON v.story_id = s.story_id AND v.article_id = s.article_id GROUP BY s.story_id)"""
@@ -417,10 +458,10 @@ _COVERED_SQL = f"""{_GROUPS_SQL}, k AS (SELECT s.story_id, count(DISTINCT s.arti
 
 @query(
     "txt6_evidence",
-    f"""SELECT story_id, group_id, claim_id, source_id, 'evidence-' || lpad(row_number() OVER (PARTITION BY story_id ORDER BY group_id::VARCHAR, article_id::VARCHAR, claim_id::VARCHAR)::VARCHAR, 5, '0') AS key, kind, CASE WHEN kind = 'context' THEN 'context' ELSE 'supports' END AS relation, 1.0 AS confidence
+    f"""WITH {_SAID_SQL} SELECT story_id, group_id, claim_id, source_id, 'evidence-' || lpad(row_number() OVER (PARTITION BY story_id ORDER BY group_id::VARCHAR, article_id::VARCHAR, claim_id::VARCHAR)::VARCHAR, 5, '0') AS key, kind, CASE WHEN kind = 'context' THEN 'context' ELSE 'supports' END AS relation, 1.0 AS confidence
     FROM (SELECT m.*, CASE WHEN claim_id % 3 = 0 THEN 'direct_quote' WHEN regexp_matches(lower(coalesce(a.title, '') || chr(10) || left(a.body, 1000)), 'press release|pressemitteilung|news release|media release') THEN 'press_release' WHEN source_type = 'ACADEMIC' THEN 'study'
       WHEN source_type = 'PRIMARY_SOURCE' THEN CASE WHEN regexp_matches(claim_text, '(^|[^{_W}])[0-9]+($|[^{_W}])') THEN 'official_data' ELSE 'primary_source' END WHEN source_type IN ('NEWS', 'AGENCY', 'REGIONAL', 'ALTERNATIVE') THEN 'independent_reporting' ELSE 'context' END AS kind
-      FROM {{members}} m JOIN {{articles}} a ON a.article_id = m.article_id)""",
+      FROM said m JOIN {{articles}} a ON a.article_id = m.article_id)""",
 )
 def _(m: Model) -> DataFrame:
     return _stage_tables(m)["items"].drop("text")
@@ -431,14 +472,18 @@ def _(m: Model) -> DataFrame:
     return _stage_tables(m)["groups"]
 
 
-@query("agg10_difference_rows")
+@query(
+    "agg10_difference_rows",
+    f"""WITH RECURSIVE {_GROUPS_SQL}, {_DIFFER_SQL} SELECT x.story_id, left_group, right_group, 'contradicts' AS kind, a.independent_sources AS left_independent, a.evidence_sources AS left_evidence, b.independent_sources AS right_independent, b.evidence_sources AS right_evidence, 'contradiction' AS difference
+    FROM against x JOIN g a ON a.story_id = x.story_id AND a.group_id = left_group JOIN g b ON b.story_id = x.story_id AND b.group_id = right_group""",
+)
 def _(m: Model) -> DataFrame:
     return _stage_tables(m)["differences"]
 
 
 @query(
     "agg12_coverage",
-    f"""WITH RECURSIVE {_COVERED_SQL} SELECT s.*, coalesce(q.groups, 0) AS groups, coalesce(q.shared_groups, 0) AS shared_groups, coalesce(q.attributed_groups, 0) AS attributed_groups, 0 AS differences, {_BY_SQL('source_type')} AS by_type, {_BY_SQL('coverage_scope')} AS by_scope, {_BY_SQL('country')} AS by_country
+    f"""WITH RECURSIVE {_COVERED_SQL}, {_DIFFER_SQL} SELECT s.*, coalesce(q.groups, 0) AS groups, coalesce(q.shared_groups, 0) AS shared_groups, coalesce(q.attributed_groups, 0) AS attributed_groups, (SELECT count(*) FROM against x WHERE x.story_id = s.story_id) AS differences, {_BY_SQL('source_type')} AS by_type, {_BY_SQL('coverage_scope')} AS by_scope, {_BY_SQL('country')} AS by_country
     FROM k s LEFT JOIN (SELECT story_id, count(*) AS groups, count(*) FILTER (WHERE independent_sources >= 2) AS shared_groups, count(*) FILTER (WHERE attributed > 0) AS attributed_groups FROM g GROUP BY story_id) q ON q.story_id = s.story_id""",
 )
 def _(m: Model) -> DataFrame:
@@ -451,7 +496,11 @@ def _(m: Model) -> DataFrame:
     return analysis.gaps(_stage_tables(m)["covered"])
 
 
-@query("agg14_missing_rows", f"WITH RECURSIVE {_GROUPS_SQL} SELECT story_id, group_id, '[]' AS contradicted_by FROM g WHERE attributed = 0")
+@query(
+    "agg14_missing_rows",
+    f"""WITH RECURSIVE {_GROUPS_SQL}, {_DIFFER_SQL}, both_ AS (SELECT story_id, left_group AS group_id, right_group AS other FROM against UNION SELECT story_id, right_group, left_group FROM against)
+    SELECT g.story_id, g.group_id, '[' || coalesce((SELECT string_agg(other::VARCHAR, ',' ORDER BY other) FROM both_ b WHERE b.story_id = g.story_id AND b.group_id = g.group_id), '') || ']' AS contradicted_by FROM g WHERE attributed = 0""",
+)
 def _(m: Model) -> DataFrame:
     return _stage_tables(m)["missing"].withColumn("contradicted_by", F.to_json("contradicted_by"))
 

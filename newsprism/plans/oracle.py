@@ -24,7 +24,7 @@ PARTS = {
     WHERE NOT a.deleted AND a.normalized AND f.active AND s.active""",
     "memberships": "SELECT article_id - article_id % 4 AS story_id, article_id, time_s, article_id % 23 = 9 AS deleted FROM articles",
     "story_articles": "SELECT m.story_id, e.* FROM memberships m JOIN eligible e USING (article_id) WHERE NOT m.deleted",
-    "claims": """SELECT article_id * 100000 + pos AS claim_id, article_id, pos, claim_text, lower(trim(claim_text)) AS claim_key, (60 + 5 * (pos % 5))::DOUBLE / 100 AS confidence
+    "claims": """SELECT article_id * 4294967296 + pos AS claim_id, article_id, pos, claim_text, lower(trim(claim_text)) AS claim_key, (60 + 5 * (pos % 5))::DOUBLE / 100 AS confidence
     FROM (SELECT article_id, unnest(string_split(body, chr(10))) AS claim_text, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos FROM articles WHERE body IS NOT NULL)
     WHERE trim(claim_text) <> ''""",
     "members": """SELECT s.story_id, s.article_id, s.source_id, s.role, s.time_s, s.language_code, s.source_type, c.claim_id, c.pos, c.claim_text, c.claim_key, c.confidence,

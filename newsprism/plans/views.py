@@ -163,17 +163,17 @@ _CUTS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85)
 
 @query(
     "agg20_threshold_sweep",
-    """WITH v AS (SELECT l.label = r.label AS truth, list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s FROM {embeddings} l JOIN {embeddings} r ON r.article_id = l.article_id + 1)
+    """WITH v AS (SELECT l.label = r.label AS truth, list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s FROM {memberships} a JOIN {memberships} b ON b.story_id = a.story_id AND a.article_id < b.article_id JOIN {embeddings} l ON l.article_id = a.article_id JOIN {embeddings} r ON r.article_id = b.article_id)
     SELECT cut, tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall FROM (
       SELECT cut, count(*) FILTER (WHERE s >= cut AND truth) AS tp, count(*) FILTER (WHERE s >= cut AND NOT truth) AS fp, count(*) FILTER (WHERE s < cut AND truth) AS fn, count(*) FILTER (WHERE s < cut AND NOT truth) AS tn
       FROM v, (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85])::DOUBLE AS cut) GROUP BY cut)""",
 )
 def _(m: Model) -> DataFrame:
     from newsprism.functions.similarity import cosine
+    from newsprism.plans.composite import _sided, _story_pairs
 
-    a = m.embeddings.select(F.col("article_id").alias("a"), F.col("embedding").alias("va"), F.col("label").alias("la"))
-    b = m.embeddings.select((F.col("article_id") - 1).alias("a"), F.col("embedding").alias("vb"), F.col("label").alias("lb"))
-    rows = selection.threshold_sweep(a.join(b, "a").select(cosine(F.col("va"), F.col("vb")).alias("score"), (F.col("la") == F.col("lb")).alias("truth")), _CUTS)
+    pairs = _story_pairs(m).join(_sided(m.embeddings, "a", va="embedding", la="label"), "a").join(_sided(m.embeddings, "b", vb="embedding", lb="label"), "b")
+    rows = selection.threshold_sweep(pairs.select(cosine(F.col("va"), F.col("vb")).alias("score"), (F.col("la") == F.col("lb")).alias("truth")), _CUTS)
     return rows.withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
 
 

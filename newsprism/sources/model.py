@@ -14,6 +14,8 @@ from newsprism.session import importable
 SOURCE_TYPES = ("NEWS", "AGENCY", "REGIONAL", "ALTERNATIVE", "PRIMARY_SOURCE", "NGO", "INTEREST_GROUP", "COMPANY", "ACADEMIC", "THINK_TANK", "SIGNAL")
 INDEPENDENT_ROLES = ("editorial", "expert_analysis")
 EPOCH = 1704067200
+#: More than a text has lines: ids of claims are an article's id times this, and a line's place.
+LINES = 1 << 32
 
 
 def default_role(source_type):
@@ -102,7 +104,7 @@ class Model:
         """A claim a non-blank line of a text."""
         lines = self.articles.select("article_id", F.posexplode(F.split("body", "\n")).alias("pos", "claim_text"))
         return lines.where("trim(claim_text) <> ''").select(
-            F.expr("article_id * 100000 + pos").alias("claim_id"),
+            F.expr(f"article_id * {LINES} + pos").alias("claim_id"),
             "article_id",
             F.col("pos").cast("bigint").alias("pos"),
             "claim_text",
