@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsprism.operators import writes
@@ -117,3 +117,77 @@ def reviewed(rows: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
     changed = F.col("new_status").isNotNull() & (F.col("new_status") != F.col("status"))
     at = F.when(changed, F.when(F.col("new_status") != "pending", now)).otherwise(F.col("reviewed_s"))
     return both.select("id", F.when(changed, F.col("new_status")).otherwise(F.col("status")).alias("status"), at.alias("reviewed_s"))
+
+
+# -- fixed values: what a reviewed catalog says of itself ---------------------------------------
+
+REVIEWED = "only_verified_relevant_official_content_channels_are_activated"
+CLASSES_ONLY = "catalog_review_metadata_only_not_persisted"
+ONE_COUNTRY, OWN_COUNTRY = "catalog_required", "per_entry_required"
+SOURCE_ONLY, CREATE, EXTEND = "source_only", "create_source", "extend_existing_source"
+SCOPES = ("LOCAL", "REGIONAL", "NATIONAL", "INTERNATIONAL", "GLOBAL")
+
+
+def country_codes(spark: SparkSession) -> list[str]:
+    """ISO 3166 codes of two letters, as the JVM knows them."""
+    return sorted(spark._jvm.java.util.Locale.getISOCountries())
+
+
+def activation_violations(catalogs: DataFrame, entries: DataFrame, feeds: DataFrame) -> DataFrame:
+    """(catalog, name, rule, detail): everything that forbids to activate a catalog, each offender named.
+
+    catalogs: (catalog, activation_policy, class_policy, source_type, country, country_policy, scope,
+    roles map<string,string>); entries: (catalog, name, action, existing, materialization, source_type,
+    country, scope, outlets int); feeds: (catalog, name, place, url, feed_class, role, tier, active).
+    Null policies of country and action stand for the usual ones.  Entries that a catalog doesn't
+    activate (without feeds, or of another action) are held to the rules of materialization only."""
+    codes = country_codes(catalogs.sparkSession)
+    known = lambda c: F.coalesce(F.col(c).isin(*codes), F.lit(False))
+    policy = F.coalesce("country_policy", F.lit(ONE_COUNTRY))
+    c = catalogs.withColumn("country_policy", policy)
+    single, each = F.col("country_policy") == ONE_COUNTRY, F.col("country_policy") == OWN_COUNTRY
+    blank = F.lit(None).cast("string")
+    of_catalog = {
+        "activation_policy": (~F.col("activation_policy").eqNullSafe(F.lit(REVIEWED)), "activation_policy"),
+        "class_policy": (~F.col("class_policy").eqNullSafe(F.lit(CLASSES_ONLY)), "class_policy"),
+        "incomplete": (F.coalesce("source_type", F.lit("")) == "", "source_type"),
+        "no_roles": (F.coalesce(F.size("roles"), F.lit(0)) <= 0, "catalog"),
+        "catalog_country": (single & ~known("country"), "country"),
+        "catalog_has_country": (each & F.col("country").isNotNull(), "country"),
+        "country_policy": (~single & ~each, "country_policy"),
+    }
+    parts = [c.where(bad).select("catalog", blank.alias("name"), F.lit(rule).alias("rule"), F.col(detail).cast("string").alias("detail")) for rule, (bad, detail) in of_catalog.items()]
+
+    counted = feeds.groupBy("catalog", "name").agg(F.count("*").alias("feeds"))
+    top = c.select("catalog", F.col("source_type").alias("c_type"), F.col("country").alias("c_country"), "country_policy", F.col("scope").alias("c_scope"), "roles")
+    e = entries.join(top, "catalog").join(counted, ["catalog", "name"], "left").withColumns({"feeds": F.coalesce("feeds", F.lit(0)), "action": F.coalesce("action", F.lit(CREATE)), "outlets": F.coalesce("outlets", F.lit(0))})
+    only = F.coalesce(F.col("materialization") == SOURCE_ONLY, F.lit(False))
+    create, extend = F.col("action") == CREATE, F.col("action") == EXTEND
+    active = create & ((F.col("feeds") > 0) | only) | extend & ((F.col("feeds") > 0) | (F.col("outlets") > 0))
+    of_entry = {
+        "materialization": (F.col("materialization").isNotNull() & ~only, "materialization"),
+        "source_only_creates": (only & ~create, "action"),
+        "source_only_has_feeds": (only & (F.col("feeds") > 0), "feeds"),
+        "extends_nothing": (extend & (F.coalesce("existing", F.lit("")) == ""), "action"),
+        "action": (~create & ~extend & ((F.col("feeds") > 0) | F.col("materialization").isNotNull()), "action"),
+        "source_type": (active & ~F.coalesce(F.nullif("source_type", F.lit("")), "c_type").eqNullSafe(F.col("c_type")), "source_type"),
+        "country": (active & single & F.col("country").isNotNull() & ~F.col("country").eqNullSafe(F.col("c_country")), "country"),
+        "entry_country": (active & each & ~known("country"), "country"),
+        "scope": (active & ~F.coalesce(F.coalesce(F.nullif("scope", F.lit("")), "c_scope").isin(*SCOPES), F.lit(True)), "scope"),
+    }
+    parts += [e.where(bad).select("catalog", "name", F.lit(rule).alias("rule"), F.col(detail).cast("string").alias("detail")) for rule, (bad, detail) in of_entry.items()]
+
+    f = feeds.join(e.where(active).select("catalog", "name", "roles"), ["catalog", "name"]).withColumn("wanted", F.try_element_at("roles", F.col("feed_class")))
+    first = F.min("place").over(writes.Window.partitionBy("catalog", "url"))
+    f = f.withColumn("first", first)
+    url = F.coalesce("url", F.lit(""))
+    of_feed = {
+        "feed_class": (F.col("wanted").isNull(), "feed_class"),
+        "role": (F.col("wanted").isNotNull() & ~F.col("role").eqNullSafe(F.col("wanted")), "role"),
+        "tier": (~F.coalesce(F.col("tier").isin(1, 2), F.lit(False)), "tier"),
+        "active": (F.coalesce(F.col("tier").isin(1, 2), F.lit(False)) & ~F.col("active").eqNullSafe(F.col("tier") == 1), "active"),
+        "no_url": (url == "", "url"),
+        "url_again": ((url != "") & (F.col("place") > F.col("first")), "url"),
+    }
+    parts += [f.where(bad).select("catalog", "name", F.lit(rule).alias("rule"), F.col(detail).cast("string").alias("detail")) for rule, (bad, detail) in of_feed.items()]
+    return reduce(DataFrame.union, parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -130,16 +131,64 @@ def search(docs: DataFrame, posted: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("rank", rank("at", "title_words")).drop("at", "title_words")
 
 
-def headline(body: Column, text: str, longest: int = 35) -> Column:
-    """Some words around the first match, matches in <mark>; without words, the first 300 characters."""
+#: Words of a fragment.
+FEWEST, MOST = 15, 35
+
+
+def best_window(hits: Sequence[tuple[int, str]], words: int, taken: Sequence[tuple[int, int]] = (), fewest: int = FEWEST, most: int = MOST) -> tuple[int, int] | None:
+    """The words [begin, end) of the best fragment, none if no match is free: of all runs of at most `most`
+    words that begin and end with a match, outside what is taken, the one with the most different matches,
+    then the shortest that has them, then the most matches, then the first.  One below `fewest` words
+    grows to the right, then to the left, as far as there is room."""
+    free = lambda a, b: all(b <= x or a >= y for x, y in taken)
+    best: tuple[tuple, int, int] | None = None
+    for i, (begin, _) in enumerate(hits):
+        seen: set[str] = set()
+        for k in range(i, len(hits)):
+            end = hits[k][0] + 1
+            if end - begin > most or not free(begin, end):
+                break
+            if hits[k][1] in seen and best is not None and len(seen) < -best[0][0]:
+                continue
+            seen.add(hits[k][1])
+            rank = (-len(seen), end - begin, -(k - i + 1), begin)
+            if best is None or rank < best[0]:
+                best = (rank, begin, end)
+    if best is None:
+        return None
+    _, begin, end = best
+    right = min([words, *(x for x, _ in taken if x >= end)])
+    left = max([0, *(y for _, y in taken if y <= begin)])
+    end = min(right, max(end, begin + fewest))
+    return max(left, min(begin, end - fewest)), end
+
+
+def fragments(body: str | None, words: Sequence[str], count: int = 1, fewest: int = FEWEST, most: int = MOST) -> str | None:
+    """Up to `count` fragments of a text in its order, joined by " ... ", with matches in <mark>; its first
+    words where nothing matches."""
+    if body is None:
+        return None
+    listed = body.split()
+    wanted = set(words)
+    bare = [{w for w in re.findall(r"\w+", x.lower()) if w in wanted} for x in listed]
+    hits = [(k, w) for k, ws in enumerate(bare) for w in sorted(ws)]
+    taken: list[tuple[int, int]] = []
+    while len(taken) < count and (found := best_window(hits, len(listed), taken, fewest, most)):
+        taken.append(found)
+    marked = [re.sub(r"\w+", lambda m: f"<mark>{m[0]}</mark>" if m[0].lower() in wanted else m[0], x) if bare[k] else x for k, x in enumerate(listed)]
+    return " ... ".join(" ".join(marked[a:b]) for a, b in sorted(taken) or [(0, fewest)])
+
+
+def headline(body: Column, text: str, count: int = 1) -> Column:
+    """The best fragments of a body for a query; without words, the first 300 characters."""
     words = parse(text).words()
     if not words:
         return F.substring(body, 1, 300)
-    listed = F.split(body, r"\s+")
-    hit = F.array_position(F.transform(listed, lambda w: F.regexp_replace(F.lower(w), r"(?U)[^\w]", "").isin(*words)), F.lit(True))
-    begin = F.greatest(F.lit(1), hit.cast("int") - 10)
-    marked = F.transform(F.slice(listed, begin, F.lit(longest)), lambda w: F.when(F.regexp_replace(F.lower(w), r"(?U)[^\w]", "").isin(*words), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
-    return F.array_join(marked, " ")
+
+    def each(bodies: pd.Series) -> pd.Series:
+        return pd.Series([fragments(b, words, count) for b in bodies], dtype=object)
+
+    return F.pandas_udf(each, "string")(body)
 
 
 def page(rows: DataFrame, sort: str, number: int, size: int) -> DataFrame:

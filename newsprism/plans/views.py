@@ -601,7 +601,7 @@ def _(m: Model) -> DataFrame:
     "src12_catalog_rules",
     """WITH c AS (SELECT source_id AS name, num, CASE WHEN num % 6 = 0 THEN 'BLOG' ELSE source_type END AS t, CASE WHEN num % 4 = 1 THEN 'xx' ELSE country END AS country, CASE WHEN num % 7 = 0 THEN 'ftp://x' ELSE 'https://u' || num // 2 END AS url FROM {sources} WHERE num IS NOT NULL)
     SELECT 'source_type' AS rule, name FROM c WHERE num % 6 = 0 UNION ALL SELECT 'country', name FROM c WHERE country = 'xx' UNION ALL SELECT 'url', name FROM c WHERE url LIKE 'ftp%'
-    UNION ALL SELECT 'unique_url', min(name) FROM c GROUP BY url HAVING count(*) > 1""",
+    UNION ALL SELECT 'unique_url', name FROM c WHERE url IN (SELECT url FROM c GROUP BY url HAVING count(*) > 1)""",
 )
 def _(m: Model) -> DataFrame:
     from newsprism.sources.feeds import catalog_violations
@@ -610,6 +610,40 @@ def _(m: Model) -> DataFrame:
     return catalog_violations(rows)
 
 
+_CODES = "'DE', 'AT', 'CH', 'FR'"
+
+
+@query(
+    "src12_activation",
+    f"""WITH c AS (SELECT 'c' || k AS catalog, k, k % 5 = 1 AS unreviewed, k % 2 = 1 AS own FROM (SELECT DISTINCT num % 7 AS k FROM {{sources}} WHERE num IS NOT NULL)),
+    e AS (SELECT 'c' || num % 7 AS catalog, source_id AS name, num, num % 9 = 4 AS bare, CASE WHEN num % 7 = 3 THEN 'ftp' WHEN num % 6 = 5 THEN 'extend_existing_source' ELSE 'create_source' END AS action, CASE WHEN num % 4 = 3 THEN 'XX' WHEN num % 2 = 0 THEN 'DE' ELSE 'FR' END AS country FROM {{sources}} WHERE num IS NOT NULL),
+    a AS (SELECT e.*, c.own FROM e JOIN c USING (catalog) WHERE NOT bare AND action <> 'ftp')
+    SELECT catalog, NULL::VARCHAR AS name, 'activation_policy' AS rule, 'draft' AS detail FROM c WHERE unreviewed
+    UNION ALL SELECT catalog, name, 'action', 'ftp' FROM e WHERE action = 'ftp' AND NOT bare
+    UNION ALL SELECT catalog, name, 'extends_nothing', action FROM e WHERE action = 'extend_existing_source' AND num % 5 = 0
+    UNION ALL SELECT catalog, name, 'country', country FROM a WHERE NOT own AND country <> 'DE'
+    UNION ALL SELECT catalog, name, 'entry_country', country FROM a WHERE own AND country NOT IN ({_CODES})
+    UNION ALL SELECT catalog, name, 'feed_class', 'blog' FROM a WHERE num % 8 = 7
+    UNION ALL SELECT catalog, name, 'role', 'signal' FROM a WHERE num % 8 = 2
+    UNION ALL SELECT catalog, name, 'tier', '3' FROM a WHERE num % 11 = 5
+    UNION ALL SELECT catalog, name, 'active', 'true' FROM a WHERE num % 11 = 6
+    UNION ALL SELECT catalog, name, 'url_again', 'https://u' || num % 3 FROM a WHERE EXISTS (SELECT 1 FROM a b WHERE b.catalog = a.catalog AND b.num % 3 = a.num % 3 AND b.num < a.num)""",
+)
+def _(m: Model) -> DataFrame:
+    """Catalogs of the sources with planted faults, every offender of every rule."""
+    s = m.sources.where("num is not null")
+    catalogs = s.selectExpr("num % 7 as k").distinct().selectExpr(
+        "concat('c', k) as catalog", f"CASE WHEN k % 5 = 1 THEN 'draft' ELSE '{catalog.REVIEWED}' END as activation_policy", f"'{catalog.CLASSES_ONLY}' as class_policy", "'NEWS' as source_type",
+        "CASE WHEN k % 2 = 0 THEN 'DE' END as country", f"CASE WHEN k % 2 = 1 THEN '{catalog.OWN_COUNTRY}' END as country_policy", "'NATIONAL' as scope", "map('news', 'editorial', 'press', 'primary_evidence') as roles")
+    entries = s.selectExpr(
+        "concat('c', num % 7) as catalog", "source_id as name", "CASE WHEN num % 7 = 3 THEN 'ftp' WHEN num % 6 = 5 THEN 'extend_existing_source' END as action", "CASE WHEN num % 5 <> 0 THEN 'key' END as existing",
+        "cast(null as string) as materialization", "cast(null as string) as source_type", "CASE WHEN num % 4 = 3 THEN 'XX' WHEN num % 2 = 0 THEN 'DE' ELSE 'FR' END as country", "cast(null as string) as scope", "0 as outlets")
+    feeds = s.where("num % 9 <> 4").selectExpr(
+        "concat('c', num % 7) as catalog", "source_id as name", "num as place", "concat('https://u', num % 3) as url", "CASE WHEN num % 8 = 7 THEN 'blog' ELSE 'news' END as feed_class",
+        "CASE WHEN num % 8 = 2 THEN 'signal' ELSE 'editorial' END as role", "CASE WHEN num % 11 = 5 THEN 3 WHEN num % 11 = 6 THEN 2 ELSE 1 END as tier", "true as active")
+    return catalog.activation_violations(catalogs, entries, feeds)
+
+
 @query(
     "gr5_around_seeds",
     """WITH RECURSIVE e AS (SELECT a.source_id AS x, b.source_id AS y FROM {sources} a JOIN {sources} b ON b.num = a.num + 4 WHERE a.num % 3 <> 0), n(node) AS (SELECT source_id FROM {sources} WHERE num IN (1, 6) UNION SELECT CASE WHEN e.x = n.node THEN e.y ELSE e.x END FROM n JOIN e ON e.x = n.node OR e.y = n.node)

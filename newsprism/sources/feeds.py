@@ -186,7 +186,8 @@ def catalog_violations(rows: DataFrame) -> DataFrame:
     for rule, broken in rules.items():
         own = rows.where(broken).select(F.lit(rule).alias("rule"), "name")
         found = own if found is None else found.union(own)
-    twice = rows.where("url is not null").groupBy("url").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n > 1").select(F.lit("unique_url").alias("rule"), "name")
+    shared = rows.where("url is not null").groupBy("url").agg(F.count("*").alias("n")).where("n > 1")
+    twice = rows.join(shared, "url").select(F.lit("unique_url").alias("rule"), "name")
     return found.union(twice)
 
 
