@@ -19,14 +19,14 @@ def _template(sql: str) -> Query:
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {name: _template(sql) for name, sql in SQL.items()}
-    from newsprism.plans import incremental, views, written  # noqa: F401 - they register their queries
+    from newsprism.plans import incremental, stages, views, written  # noqa: F401 - they register their queries
     from newsprism.plans.composite import QUERIES
 
     return found | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from newsprism.plans import incremental, views, written  # noqa: F401
+    from newsprism.plans import incremental, stages, views, written  # noqa: F401
     from newsprism.plans.composite import ORACLE
 
     return {name: dialect.oracle(sql) for name, sql in SQL.items()} | ORACLE
