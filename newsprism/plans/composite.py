@@ -36,18 +36,32 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Model], Data
 # -- text functions --------------------------------------------------------------------------
 
 
-def _text_query(name: str, source: str) -> None:
+def _text_query(name: str, source: str, sql: str | None = None) -> None:
     key, column = ("article_id", "title") if source == "articles" else ("claim_id", "claim_text")
 
-    @query(name)
+    @query(name, f"SELECT {key}, {sql.format(x=column)} AS value FROM {{{source}}}" if sql else None)
     def build(m: Model) -> DataFrame:
         return getattr(m, source).select(key, T.column(name.split("_", 1)[1], column).alias("value"))
 
 
-for _n in ("str1_name_key", "str2_topic_slug", "str3_source_slug", "str4_topic_key", "str5_source_key", "str6_title_terms"):
-    _text_query(_n, "articles")
-for _n in ("str7_claim_key", "str12_claim_features"):
-    _text_query(_n, "claims")
+#: The names' rules in SQL: the texts have no compatibility forms, so NFKC leaves them as they are.
+_SPACED = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+_FOLDED = lambda x: f"replace(lower({x}), 'ß', 'ss')"
+_NAME = _FOLDED("trim(" + _SPACED("regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_\\s&+.-]', ' ', 'g')") + ", ' .-')")
+_DASHES = lambda x: f"trim(regexp_replace(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-')"
+_LAST = f"regexp_extract({_NAME}, '[^ ]*$')"
+_CUT = f"CASE WHEN length({_LAST}) > 4 AND {_LAST} LIKE '%ies' THEN left({_NAME}, length({_NAME}) - 3) || 'y' WHEN length({_LAST}) > 6 AND {_LAST} LIKE '%en' THEN left({_NAME}, length({_NAME}) - 2) WHEN length({_LAST}) > 4 AND {_LAST} LIKE '%s' AND {_LAST} NOT LIKE '%ss' THEN left({_NAME}, length({_NAME}) - 1) ELSE {_NAME} END"
+for _n, _sql in {
+    "str1_name_key": _NAME,
+    "str2_topic_slug": f"CASE WHEN {{x}} IS NOT NULL THEN coalesce(nullif({_DASHES(_NAME)}, ''), 'topic') END",
+    "str3_source_slug": _DASHES("lower(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g'))"),
+    "str4_topic_key": _CUT,
+    "str5_source_key": _FOLDED(_SPACED("{x}")),
+    "str6_title_terms": None,
+}.items():
+    _text_query(_n, "articles", _sql)
+_text_query("str7_claim_key", "claims", _FOLDED(_SPACED("rtrim(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '.!?。！？')")))
+_text_query("str12_claim_features", "claims")
 
 
 @query("str8_plain_text")

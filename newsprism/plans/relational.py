@@ -122,6 +122,10 @@ SQL: dict[str, str] = {
     "rd2_stories": "SELECT s.story_id, s.articles, s.sources, t.title FROM (SELECT story_id, count(*) AS articles, count(DISTINCT source_id) AS sources, max(time_s) AS last_s FROM {story_articles} GROUP BY story_id ORDER BY last_s DESC, story_id LIMIT 20) s JOIN (SELECT story_id, title, row_number() OVER (PARTITION BY story_id ORDER BY time_s DESC, article_id) AS k FROM {story_articles}) t ON t.story_id = s.story_id AND t.k = 1",
     "rd4_article_entities": "SELECT article_id, @set(entity) AS entities FROM {entities} GROUP BY article_id",
     "rd7_perspectives": "SELECT story_id, claim_id, kind, holder, source_id FROM {perspectives} WHERE kind = 'quoted' AND holder IN ('e1', 'e2', 'e3')",
+    "rd7_by_article": "SELECT article_id, claim_id, kind, holder, @int(row_number() OVER (PARTITION BY article_id ORDER BY confidence DESC, claim_id)) AS place FROM {perspectives} WHERE holder IS NOT NULL",
+    "rd7_by_claim": "SELECT claim_id, kind, holder, source_id, confidence FROM {perspectives} WHERE confidence >= 0.7 AND kind <> 'unattributed'",
+    "rd7_by_story": "SELECT story_id, kind, holder, count(*) AS n, count(DISTINCT source_id) AS sources, max(confidence) AS best FROM {perspectives} WHERE holder IS NOT NULL GROUP BY story_id, kind, holder",
+    "rd14_source_detail": "SELECT s.source_id, s.source_type, s.country, count(DISTINCT f.feed_id) AS feeds, count(DISTINCT a.article_id) AS articles, max(a.time_s) AS last_s FROM {sources} s LEFT JOIN {feeds} f ON f.source_id = s.source_id AND f.active LEFT JOIN {articles} a ON a.feed_id = f.feed_id AND NOT a.deleted GROUP BY s.source_id, s.source_type, s.country",
     "rd8_groups": "SELECT story_id, group_id, count(*) AS claims, count(DISTINCT source_id) AS sources, min(confidence) AS confidence FROM {members} GROUP BY story_id, group_id HAVING count(*) >= 2",
     "rd11_coverage": "SELECT story_id, count(DISTINCT source_id) AS sources, count(DISTINCT country) AS countries, count(DISTINCT coverage_scope) AS scopes FROM {story_articles} GROUP BY story_id",
     "rd14_sources": "SELECT s.source_id, s.source_type, count(f.feed_id) AS feeds FROM {sources} s LEFT JOIN {feeds} f ON f.source_id = s.source_id AND f.active GROUP BY s.source_id, s.source_type",

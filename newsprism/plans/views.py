@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsprism.functions import text as T
-from newsprism.operators import catalog, gates, ranks, search, selection, writes
+from newsprism.operators import catalog, gates, ranks, search, selection, states, writes
 from newsprism.plans.composite import query
-from newsprism.sources.model import Model
+from newsprism.sources.model import LINES, Model
 
 NOW = 1704067200 + 30 * 86400
 TOKEN = r"[\p{L}\p{N}](?:[\p{L}\p{N}_''’-]*[\p{L}\p{N}_])?"
@@ -257,10 +257,20 @@ def _(m: Model) -> DataFrame:
     return gates.decisions(pairs, said.union(said.where("right_group % 40 = 8")).union(extra), ["disputes", "equivalent", "unrelated", "insufficient"]).select("rule", "key")
 
 
-@query("sup11_spans", "SELECT claim_id, article_id FROM {claims} WHERE pos = 0 AND claim_id % 700000 = 0 OR pos <> 0 AND claim_text <> substr((SELECT body FROM {articles} a WHERE a.article_id = {claims}.article_id), 1, length(claim_text))".replace("{claims}.", "claims."))
+@query(
+    "sup11_spans",
+    """WITH l AS (SELECT article_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos FROM {articles} WHERE body IS NOT NULL),
+    s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY article_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ FROM l)
+    SELECT s.article_id * 4294967296 + pos AS claim_id, s.article_id FROM s JOIN {articles} a ON a.article_id = s.article_id WHERE trim(line) <> '' AND s.article_id % 7 = 0 AND substr('x' || body, start_ + 1, length(line)) <> line""",
+)
 def _(m: Model) -> DataFrame:
-    rows = m.claims.selectExpr("claim_id", "article_id", "0 as start_offset", "length(claim_text) as end_offset", "CASE WHEN pos = 0 AND claim_id % 700000 = 0 THEN concat(claim_text, '!') ELSE claim_text END as claim_text")
-    return gates.spans_match(rows, m.articles.selectExpr("article_id", "body as text"))
+    """Claims with the spans of their lines, against texts of which every seventh was edited since."""
+    lines = m.articles.select("article_id", F.posexplode(F.split("body", "\n")).alias("pos", "claim_text"))
+    before = writes.Window.partitionBy("article_id").orderBy("pos").rowsBetween(writes.Window.unboundedPreceding, -1)
+    spans = lines.withColumn("start_offset", F.coalesce(F.sum(F.length("claim_text") + 1).over(before), F.lit(0)).cast("int"))
+    rows = spans.where("trim(claim_text) <> ''").withColumns({"claim_id": F.expr(f"article_id * {LINES} + pos"), "end_offset": F.col("start_offset") + F.length("claim_text")})
+    edited = F.when(F.col("article_id") % 7 == 0, F.concat(F.lit("x"), "body")).otherwise(F.col("body"))
+    return gates.spans_match(rows, m.articles.select("article_id", edited.alias("text")))
 
 
 @query(
@@ -486,16 +496,15 @@ def _(m: Model) -> DataFrame:
     """Stories whose inputs still hash to what they did before the run: only their results are stored."""
     digest = lambda text: F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(":", "claim_id", text)))), 256)
     before = m.members.groupBy("story_id").agg(digest(F.col("claim_key")).alias("hash"))
-    after = m.members.groupBy("story_id").agg(digest(F.when(F.col("claim_id") % 997 == 0, "edited").otherwise(F.col("claim_key"))).alias("now"))
-    return before.join(after, "story_id").where("hash = now").select("story_id")
+    after = m.members.groupBy("story_id").agg(digest(F.when(F.col("claim_id") % 997 == 0, "edited").otherwise(F.col("claim_key"))).alias("hash"))
+    return states.unchanged_inputs(before, after, "story_id")
 
 
 @query("st7_invalidated", "SELECT article_id, CASE WHEN article_id % 3 = 1 THEN NULL ELSE content_hash END AS processed_hash FROM {articles} WHERE content_hash IS NOT NULL")
 def _(m: Model) -> DataFrame:
     """Processed identities after their upstream changed: a hash that no current row has is dropped."""
-    states = m.articles.where("content_hash is not null").select("article_id", F.when(F.col("article_id") % 3 == 1, F.sha2(F.lit("old"), 256)).otherwise(F.col("content_hash")).alias("processed_hash"))
-    current = m.articles.select("article_id", F.col("content_hash").alias("processed_hash"), F.lit(True).alias("ok"))
-    return states.join(current, ["article_id", "processed_hash"], "left").select("article_id", F.when(F.col("ok"), F.col("processed_hash")).alias("processed_hash"))
+    rows = m.articles.where("content_hash is not null").select("article_id", F.when(F.col("article_id") % 3 == 1, F.sha2(F.lit("old"), 256)).otherwise(F.col("content_hash")).alias("processed_hash"))
+    return states.invalidated(rows, m.articles.select("article_id", F.col("content_hash").alias("processed_hash")), "article_id", ["processed_hash"])
 
 
 @query(
@@ -505,20 +514,18 @@ def _(m: Model) -> DataFrame:
 )
 def _(m: Model) -> DataFrame:
     """Stories of which a membership, article or feed changed since they were processed, or never were."""
-    feeds = m.feeds.select("feed_id", "last_fetched_s")
-    rows = m.memberships.select("story_id", "article_id", F.col("time_s").alias("member_s")).join(m.articles.select("article_id", "feed_id", "time_s"), "article_id").join(feeds, "feed_id", "left")
-    changed = rows.groupBy("story_id").agg(F.max(F.greatest("time_s", "member_s", "last_fetched_s")).alias("changed_s"))
+    members = m.memberships.select("story_id", "article_id", F.col("time_s").alias("member_s"))
+    articles = members.join(m.articles.select("article_id", "feed_id", "time_s"), "article_id")
+    feeds = articles.join(m.feeds.select("feed_id", "last_fetched_s"), "feed_id")
     done = m.memberships.select("story_id").distinct().where("story_id % 12 <> 0").select("story_id", (F.col("story_id") * 60 + 1704067200 + 100).alias("done_s"))
-    return changed.join(done, "story_id", "left").where("done_s is null or changed_s > done_s").select("story_id")
+    return states.changed_since([(members, "member_s"), (articles, "time_s"), (feeds, "last_fetched_s")], done, "story_id")
 
 
 @query("st3_claimed", f"SELECT article_id, attempts + 1 AS attempts, {NOW + 300} AS lease_s FROM (SELECT article_id, article_id % 5 AS attempts, CASE article_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'done' END AS state, {NOW} + (article_id % 9 - 4) * 60 AS lease_s FROM {{articles}}) WHERE state = 'pending' OR state = 'running' AND lease_s <= {NOW} OR state = 'failed' AND attempts < 4 AND lease_s <= {NOW}")
 def _(m: Model) -> DataFrame:
     """What one gate claims: pending rows, expired leases, and failures that may be tried again."""
-    states = m.articles.selectExpr("article_id", "article_id % 5 as attempts", "CASE article_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'done' END as state", f"{NOW} + (article_id % 9 - 4) * 60 as lease_s")
-    due = F.col("lease_s") <= NOW
-    free = (F.col("state") == "pending") | ((F.col("state") == "running") & due) | ((F.col("state") == "failed") & (F.col("attempts") < 4) & due)
-    return states.where(free).select("article_id", (F.col("attempts") + 1).alias("attempts"), F.lit(NOW + 300).alias("lease_s"))
+    rows = m.articles.selectExpr("article_id", "article_id % 5 as attempts", "CASE article_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'claimed' WHEN 2 THEN 'failed' ELSE 'succeeded' END as state", f"{NOW} + (article_id % 9 - 4) * 60 as until_s")
+    return states.claim(rows, "w", NOW, 300, most=4).select("article_id", "attempts", F.col("until_s").alias("lease_s"))
 
 
 @query("sup4_claims_in_order", "SELECT article_id, claim_id, row_number() OVER (PARTITION BY article_id ORDER BY pos, claim_id)::INT AS place FROM {claims}")
@@ -565,10 +572,9 @@ def _(m: Model) -> DataFrame:
 @query("sup16_normalized", "SELECT article_id, CASE WHEN article_id % 6 = 0 THEN 'edited' ELSE title END AS title, article_id % 6 = 0 OR embedding IS NULL AS to_embed FROM {articles} LEFT JOIN {embeddings} USING (article_id)")
 def _(m: Model) -> DataFrame:
     """Normalized fields applied: where one differs, the vector goes and is due again."""
-    new = F.when(F.col("article_id") % 6 == 0, "edited").otherwise(F.col("title"))
-    rows = m.articles.select("article_id", "title", new.alias("new_title")).join(m.embeddings.select("article_id", "embedding"), "article_id", "left")
-    kept = F.when(F.col("title").eqNullSafe(F.col("new_title")), F.col("embedding"))
-    return rows.select("article_id", F.col("new_title").alias("title"), kept.isNull().alias("to_embed"))
+    rows = m.articles.select("article_id", "title").join(m.embeddings.select("article_id", "embedding"), "article_id", "left")
+    new = m.articles.select("article_id", F.when(F.col("article_id") % 6 == 0, "edited").otherwise(F.col("title")).alias("title"))
+    return states.renormalized(rows, new, "article_id", ["title"], ["embedding"]).select("article_id", "title", F.col("embedding").isNull().alias("to_embed"))
 
 
 @query("sup18_config_hash", """SELECT sha256('{"limit":250,"model":"v1","window":172800}') AS version, count(*) AS articles FROM {articles}""")
@@ -591,10 +597,9 @@ def _(m: Model) -> DataFrame:
 @query("sup30_states", f"SELECT article_id, CASE WHEN article_id % 3 = 0 THEN 'created' WHEN article_id % 5 = 0 THEN 'lease_lost' WHEN {NOW} + (article_id % 9 - 4) * 60 <= {NOW} THEN 'lease_expired' ELSE 'held' END AS outcome FROM {{articles}}")
 def _(m: Model) -> DataFrame:
     """States made sure of, and leases asserted: another run's lease is lost, an old one expired."""
-    states = m.articles.where("article_id % 3 <> 0").select("article_id", F.when(F.col("article_id") % 5 == 0, "other").otherwise("mine").alias("run"), F.expr(f"{NOW} + (article_id % 9 - 4) * 60").alias("lease_s"))
-    fresh = writes.insert_absent(states, m.articles.select("article_id"), ["article_id"]).withColumn("outcome", F.lit("created"))
-    held = states.select("article_id", F.when(F.col("run") != "mine", "lease_lost").when(F.col("lease_s") <= NOW, "lease_expired").otherwise("held").alias("outcome"))
-    return fresh.select("article_id", "outcome").union(held)
+    have = m.articles.where("article_id % 3 <> 0").select("article_id", F.when(F.col("article_id") % 5 == 0, "other").otherwise("mine").alias("worker"), F.expr(f"{NOW} + (article_id % 9 - 4) * 60").alias("until_s"))
+    fresh = states.ensured(have, m.articles, "article_id").select("article_id", F.lit("created").alias("outcome"))
+    return fresh.union(have.select("article_id", states.leases(have, "mine", NOW).alias("outcome")))
 
 
 @query(
@@ -715,15 +720,12 @@ def _(m: Model) -> DataFrame:
     state = F.expr("CASE article_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'claimed' WHEN 2 THEN 'failed' WHEN 3 THEN 'succeeded' ELSE 'skipped' END")
     until = F.expr(f"CASE WHEN article_id % 5 IN (1, 2) THEN {NOW} + (article_id % 13 - 6) * 30 END")
     rows = m.articles.select("article_id", state.alias("state"), until.alias("until_s"), (F.col("article_id") % 7).alias("attempts"))
-    due = F.col("until_s") <= NOW
-    return rows.where((F.col("state") == "pending") | ((F.col("state") == "claimed") & due) | ((F.col("state") == "failed") & due & (F.col("attempts") < 5))).select("article_id")
+    return rows.where(states.claimable(NOW)).select("article_id")
 
 
 @query("c2_backoff", "SELECT article_id, least(3600, 60 * power(2, greatest(attempts, 1) - 1))::BIGINT AS delay_s FROM (SELECT article_id, article_id % 70 AS attempts FROM {articles})")
 def _(m: Model) -> DataFrame:
-    """Seconds until attempt n may be repeated: min(most, base * 2^(n-1)), also for very many attempts."""
-    n = F.greatest(F.col("article_id") % 70, F.lit(1))
-    return m.articles.select("article_id", F.least(F.lit(3600.0), F.lit(60.0) * F.pow(F.lit(2.0), n - 1)).cast("bigint").alias("delay_s"))
+    return m.articles.select("article_id", states.backoff(F.col("article_id") % 70).alias("delay_s"))
 
 
 @query("j17_mismatch", "SELECT article_id, source_id FROM {eligible} WHERE article_id % 9 = 0 AND source_type <> 'NGO' OR article_id % 11 = 0 AND country IS NOT NULL")

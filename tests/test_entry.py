@@ -18,7 +18,7 @@ def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["agg1_story_summary", "agg8_consensus_counts", "flt15_eligible_groups", "j13_validity", "j7_candidates", "win6_top_claims", "srt9_waves", "snk2_diff_upsert", "gr1_components", "gr2_roots", "c4_cosine", "st_sessions", "clu11_conflict_rich", "c16_partition", "sup21_outcomes", "agg20_threshold_sweep", "snk9_create_sources", "snk11_merge_plan", "str26_context"])
+@pytest.mark.parametrize("name", ["agg1_story_summary", "agg8_consensus_counts", "flt15_eligible_groups", "j13_validity", "j7_candidates", "win6_top_claims", "srt9_waves", "snk2_diff_upsert", "gr1_components", "gr2_roots", "c4_cosine", "st_sessions", "clu11_conflict_rich", "c16_partition", "sup21_outcomes", "agg20_threshold_sweep", "snk9_create_sources", "snk11_merge_plan", "str26_context", "agg14_missing_rows", "snk2_written", "st4_lease_runs", "str4_topic_key", "sup11_spans", "src15_vectors", "src1_unchanged_feeds", "str11_language"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
