@@ -526,7 +526,13 @@ def _(m: Model) -> DataFrame:
     return rows.select("story_id", F.size("entries").alias("groups"), F.sha2(F.to_json("entries"), 256).alias("document"), "articles", "sources")
 
 
-@query("rd13_ready")
+@query(
+    "rd13_ready",
+    """WITH de AS (SELECT * FROM {story_articles} s WHERE (language_code = 'de' OR language_code LIKE 'de-%') AND EXISTS (SELECT 1 FROM {members} m WHERE m.story_id = s.story_id)),
+    t AS (SELECT story_id, title AS german_title FROM de WHERE trim(title) <> '' QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY time_s, title) = 1),
+    n AS (SELECT story_id, count(DISTINCT source_id) AS n, max(time_s) AS last_s FROM de GROUP BY story_id HAVING count(DISTINCT source_id) >= 2)
+    SELECT story_id, german_title, n FROM n JOIN t USING (story_id) ORDER BY last_s DESC, story_id LIMIT 8""",
+)
 def _(m: Model) -> DataFrame:
     t = _stage_tables(m)
     rows = analysis.integrated(t["members"], t["items"], t["groups"], t["covered"], t["missing"])
