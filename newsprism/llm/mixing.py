@@ -108,7 +108,7 @@ def placed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REP
 
 
 def schedule(sources: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """(slot, key, rank): whose turn each slot of the mix is, and the how manieth of its source.
+    """(slot, key, rank): whose turn each slot of the mix is, and its number among the slots of its source.
     sources: (key, take).  Slots are ascending numbers with gaps (points beyond the last place)."""
     own = sources.where("take > 0").select("key", F.ceil(F.col("take") / block).alias("blocks"))
     own = stored(running(own, [F.col("key")], F.col("blocks"), "first"), "turns")
