@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns rows; each is written as Parquet and read
 again as the next one's input.  All but the last return the columns of their input, so extra
 columns go through to the end.
+
+Defined cases: a null text is judged and encoded as an empty one; empty texts are linked with nothing and
+stay; rows without an id have no component, so near-dedup keeps none of them; rows that share an
+id are judged each by its own text in stages 1, 2 and 4, and are one document in stage 3; exact repeats
+of a row stay together, since they are one class under one id; null columns pass through; an empty
+table gives no rows.  A text is one value of its stage: those of about 100 MB and more don't fit
+executors of 3 GB.
 """
 
 from __future__ import annotations
