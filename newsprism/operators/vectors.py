@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsprism.operators.relations import cosine
 from newsprism.storage import stored
 
 PIVOTS, BLOCK = 32, 2048
@@ -103,3 +104,37 @@ def cosine_pairs(articles: DataFrame, others: DataFrame, least: float, window: i
         return rows.filter(pc.not_equal(rows["a_id"], rows["b_id"]))
 
     return sent["a"].groupBy(*keys["a"]).cogroup(sent["b"].groupBy(*keys["b"])).applyInArrow(multiply, f"a_id {kind}, b_id {kind}")
+
+
+def near_vectors(rows: DataFrame, keys: list[str], item: str, vector: str, least: float) -> DataFrame:
+    """(keys, earlier, later, close): pairs of items (whole numbers) of one key tuple whose cosine is at least
+    `least`.  A key's vectors are dealt to blocks of BLOCK on average and each two blocks are multiplied as
+    one group, so a key of any size is held by no task; null vectors and null keys take no part."""
+    known = rows.where(F.col(vector).isNotNull()).select(*keys, F.col(item).cast("bigint").alias("item"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim"))
+    each = [*keys, "dim"]
+    sizes = known.groupBy(*each).agg(F.count("*").alias("n")).where("n > 1").select(*each, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    dealt = known.join(sizes, each).withColumn("part", F.pmod(F.xxhash64("item"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = dealt.select(*each, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "item", "v")
+
+    def multiply(t: pa.Table) -> pa.Table:
+        part, items, d = t["part"].to_numpy(), t["item"].to_numpy(), t["dim"][0].as_py()
+        x = np.concatenate([np.asarray(c.flatten()) for c in t["v"].chunks]).reshape(-1, d)
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        inside = t["p"][0].as_py() == t["q"][0].as_py()
+        first, second, close = [], [], []
+        for at in range(0, len(items), 1024):
+            i, j = np.nonzero(unit[at : at + 1024] @ unit.T >= least - SLACK)
+            i += at
+            fits = (items[i] < items[j]) & (inside | (part[i] != part[j]))
+            for a, b in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
+                got = cosine(x[a].tolist(), x[b].tolist())
+                if got >= least:
+                    first.append(a)
+                    second.append(b)
+                    close.append(got)
+        found = {k: t[k].take(pa.array(first, pa.int64())) for k in keys}
+        return pa.table(found | {"earlier": t["item"].take(pa.array(first, pa.int64())), "later": t["item"].take(pa.array(second, pa.int64())), "close": pa.array(close, pa.float64())})
+
+    kinds = dict(known.dtypes)
+    return sent.groupBy(*each, "p", "q").applyInArrow(multiply, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "earlier bigint, later bigint, close double"]))

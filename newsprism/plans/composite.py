@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsprism.functions import text as T
 from newsprism.functions.similarity import cosine, jaccard, overlap, sequence_ratio, shared
-from newsprism.operators import analysis, articles, claim_groups, graph, ranks, relations, search, stories, writes
+from newsprism.operators import analysis, articles, claim_groups, debates, graph, ranks, relations, search, stories, writes
 from newsprism.plans.dialect import oracle
 from newsprism.sources import feeds as feed_sources
 from newsprism.sources.model import Model
@@ -306,7 +306,7 @@ def _debated(m: Model) -> DataFrame:
 
 
 def _debates(m: Model, classify=None) -> DataFrame:
-    return stored(relations.relate_claims(_debated(m), classify), "debates")
+    return stored(debates.relate_claims(_debated(m), classify), "debates")
 
 
 @query("clu7_contradictions")
