@@ -76,6 +76,16 @@ def differences(relations: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.withColumn("difference", F.when(F.col("kind") == "contradicts", "contradiction").otherwise("dispute"))
 
 
+def both_sides(relations: DataFrame, groups: DataFrame, counts: list[str]) -> DataFrame:
+    """Relations (story_id, left_group, right_group, ...) with the counts of both groups as left_<count> and
+    right_<count>; relations of a group that is not there have no row.  groups: (story_id, group_id,
+    counts)."""
+    for side in ("left", "right"):
+        own = groups.select("story_id", F.col("group_id").alias(f"{side}_group"), *(F.col(c).alias(f"{side}_{c}") for c in counts))
+        relations = relations.join(own, ["story_id", f"{side}_group"])
+    return relations
+
+
 def _counts(sources: DataFrame, column: str, name: str) -> DataFrame:
     """(story_id, map of value -> distinct sources), nulls left out."""
     each = sources.where(F.col(column).isNotNull()).groupBy("story_id", column).agg(F.countDistinct("source_id").cast("int").alias("n"))

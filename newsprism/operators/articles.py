@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsprism.functions import text as T
@@ -115,3 +115,8 @@ def stale_embeddings(articles: DataFrame, vectors: DataFrame, model: str, dimens
     rows = articles.join(vectors, "article_id", "left")
     fresh = F.col("embedding").isNotNull() & (F.col("model") == model) & (F.col("embedded_hash") == F.col("content_hash")) & (F.size("embedding") == dimension)
     return rows.where(~F.coalesce(fresh, F.lit(False))).select("article_id")
+
+
+def role_decided_by(own: Column, of_feed: Column) -> Column:
+    """What decides the effective role: the article's own one, else its feed's, else its source's."""
+    return F.when(own.isNotNull(), "article").when(of_feed.isNotNull(), "feed").otherwise("source")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsprism.functions import text as T
-from newsprism.operators import catalog, gates, ranks, search, selection, states, writes
+from newsprism.operators import analysis, articles, catalog, gates, ranks, search, selection, states, terms, writes
 from newsprism.plans.composite import query
 from newsprism.sources.model import LINES, Model
 
@@ -36,15 +36,12 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "agg15_terms",
-    """WITH w AS (SELECT article_id, regexp_extract_all(lower(title), '[a-zäöüßàâçéèêëîïôûùáíóúñ]+') AS w FROM {eligible})
+    """WITH w AS (SELECT article_id, regexp_extract_all(lower(title), '[\\p{L}\\p{M}]+') AS w FROM {eligible})
     SELECT article_id, term, count(*) AS n FROM (SELECT article_id, unnest(w) AS term FROM w UNION ALL
       SELECT article_id, w[i] || ' ' || w[i + 1] FROM (SELECT article_id, w, unnest(range(1, len(w))) AS i FROM w)) GROUP BY article_id, term""",
 )
 def _(m: Model) -> DataFrame:
-    words = m.eligible.select("article_id", F.posexplode(F.regexp_extract_all(F.lower("title"), F.lit("[a-zäöüßàâçéèêëîïôûùáíóúñ]+"), F.lit(0))).alias("pos", "term"))
-    follows = words.select("article_id", (F.col("pos") - 1).alias("pos"), F.col("term").alias("after"))
-    pairs = words.join(follows, ["article_id", "pos"]).select("article_id", F.concat_ws(" ", "term", "after").alias("term"))
-    return words.select("article_id", "term").union(pairs).groupBy("article_id", "term").agg(F.count("*").alias("n"))
+    return terms.term_counts(m.eligible, "article_id", "title")
 
 
 @query("str26_context", """SELECT claim_id, CASE WHEN body = '' THEN nullif(title, '') WHEN title <> '' AND x <> '' THEN title || chr(10) || chr(10) || x ELSE coalesce(nullif(title, ''), nullif(x, '')) END AS context
@@ -401,7 +398,7 @@ def _(m: Model) -> DataFrame:
 
 @query("rd16_role", "SELECT article_id, own_role AS set_role, role AS effective_role, CASE WHEN own_role IS NOT NULL THEN 'article' WHEN default_role IS NOT NULL THEN 'feed' ELSE 'source' END AS decided_by FROM {eligible}")
 def _(m: Model) -> DataFrame:
-    by = F.when(F.col("own_role").isNotNull(), "article").when(F.col("default_role").isNotNull(), "feed").otherwise("source")
+    by = articles.role_decided_by(F.col("own_role"), F.col("default_role"))
     return m.eligible.select("article_id", F.col("own_role").alias("set_role"), F.col("role").alias("effective_role"), by.alias("decided_by"))
 
 
@@ -475,9 +472,7 @@ def _(m: Model) -> DataFrame:
     groups = _consensus(m).select("story_id", "group_id", "claims", "sources")
     denials = groups.where("group_id % 7 = 0").selectExpr("story_id", "-group_id - 1 as group_id", "1L as claims", "1L as sources")
     related = groups.where("group_id % 7 = 0").selectExpr("story_id", "-group_id - 1 as right_group", "group_id as left_group", "CASE WHEN group_id % 14 = 0 THEN 'contradiction' ELSE 'dispute' END as kind")
-    both = groups.union(denials)
-    left, right = (both.select("story_id", F.col("group_id").alias(f"{s}_group"), F.col("sources").alias(f"{s}_sources"), F.col("claims").alias(f"{s}_claims")) for s in ("left", "right"))
-    rows = related.join(left, ["story_id", "left_group"]).join(right, ["story_id", "right_group"])
+    rows = analysis.both_sides(related, groups.union(denials), ["claims", "sources"])
     return rows.select("story_id", "left_group", "right_group", "left_sources", F.col("right_sources").cast("int").alias("right_sources"), "left_claims", "kind")
 
 
@@ -741,22 +736,19 @@ _TITLE_WORDS_SQL = "SELECT article_id, w, i AS pos FROM (SELECT article_id, rege
 
 
 def _title_words(m: Model) -> DataFrame:
-    return m.eligible.select("article_id", F.posexplode(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{4,}"), F.lit(0))).alias("pos", "w"))
+    return terms.words(m.eligible, "article_id", "title", "[a-z]{4,}").withColumnRenamed("word", "w")
 
 
 @query("win9_relevance", f"SELECT article_id, w, relevance FROM (SELECT article_id, w, round(n / max(n) OVER (PARTITION BY article_id), 6) AS relevance, row_number() OVER (PARTITION BY article_id ORDER BY n DESC, w) AS k FROM (SELECT article_id, w, count(*) AS n FROM ({_TITLE_WORDS_SQL}) GROUP BY article_id, w)) WHERE k <= 20")
 def _(m: Model) -> DataFrame:
-    """Scores over the article's greatest, which is taken before the cut to 20."""
     counts = _title_words(m).groupBy("article_id", "w").agg(F.count("*").alias("n"))
-    own = writes.Window.partitionBy("article_id")
-    rows = counts.withColumns({"relevance": F.round(F.col("n") / F.max("n").over(own), 6), "k": F.row_number().over(own.orderBy(F.desc("n"), "w"))})
-    return rows.where("k <= 20").select("article_id", "w", "relevance")
+    return terms.relevance(counts, "article_id", "w").withColumn("relevance", F.round("relevance", 6))
 
 
 @query("win10_bigrams", f"SELECT a, b, count(*) AS n FROM (SELECT w AS a, lead(w) OVER (PARTITION BY article_id ORDER BY pos) AS b FROM ({_TITLE_WORDS_SQL})) WHERE b IS NOT NULL GROUP BY a, b")
 def _(m: Model) -> DataFrame:
-    after = F.lead("w").over(writes.Window.partitionBy("article_id").orderBy("pos"))
-    return _title_words(m).select(F.col("w").alias("a"), after.alias("b")).where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = terms.bigrams(terms.words(m.eligible, "article_id", "title", "[a-z]{4,}"), "article_id")
+    return pairs.groupBy(F.col("word").alias("a"), F.col("after").alias("b")).agg(F.count("*").alias("n"))
 
 
 @query("win3_argmax", f"WITH p AS (SELECT x.article_id, m.story_id, count(*) AS score, max(m.time_s) AS t FROM (SELECT DISTINCT article_id, w FROM ({_TITLE_WORDS_SQL})) x JOIN (SELECT DISTINCT article_id, w FROM ({_TITLE_WORDS_SQL})) y ON y.w = x.w AND y.article_id <> x.article_id JOIN {{memberships}} m ON m.article_id = y.article_id AND NOT m.deleted GROUP BY x.article_id, m.story_id) SELECT article_id, story_id, score FROM p QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY score DESC, t DESC, story_id) = 1")
@@ -799,7 +791,7 @@ def _(m: Model) -> DataFrame:
     words = F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0))
     rows = m.entities.select("entity", "article_id").join(m.articles.select("article_id", words.alias("ws")), "article_id")
     n = F.size(F.filter("ws", lambda w: w == F.col("entity")))
-    return rows.select("entity", "article_id", n.cast("bigint").alias("n"), F.round(F.least(F.lit(1.0), 0.45 + 0.12 * n), 6).alias("salience"), F.round(F.least(F.lit(0.95), 0.55 + 0.08 * n), 6).alias("topic"))
+    return rows.select("entity", "article_id", n.cast("bigint").alias("n"), F.round(terms.salience(n), 6).alias("salience"), F.round(terms.topic_confidence(n), 6).alias("topic"))
 
 
 @query(
