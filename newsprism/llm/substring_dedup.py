@@ -3,7 +3,8 @@
 Each block hashes all its windows (:func:`vec.windows`); buckets of the hash range count them
 over the corpus and tell each block which of its windows also start earlier; the block merges
 those into maximal removal intervals.  One shuffle of the texts (its exchange is used twice),
-one of the packed hashes, one of the answers.
+one of the packed hashes, one of the answers; each block and each bucket is a task of its own, so
+none holds several.
 
 Defined cases: null text counts as empty; rows that share an id are one document, ordered by
 text; null ids come before all others; texts of under `window` words lose nothing; extra
@@ -98,12 +99,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     results = ["n_words", "n_removed", "kept_text", "spans"]
     own = Columns(docs, results, [id_col, text_col])
     layout = B.plan(own, id_col, text_col)
-    dealt = B.deal(own, id_col, text_col, layout)
+    dealt = B.deal(own, id_col, text_col, layout, even=True)
     items = max(1.0, layout.n_bytes / 6)
     buckets = layout.buckets(items)
     width = B.hash_width(items, buckets)
     sent = dealt.groupBy(B.BLOCK).applyInArrow(_emit(window, buckets, width), B.SENT)
-    found = B.exchange(sent, buckets, width, True, layout.n)
+    found = B.exchange(sent, buckets, width, True, layout.n, even=True)
     spark_schema = boxed_schema(dealt.drop(B.BLOCK), RESULT)
     cut = _cut(window, arrow_schema(docs.sparkSession, spark_schema))
     out = dealt.groupBy(B.BLOCK).cogroup(found.groupBy(B.BLOCK)).applyInArrow(cut, spark_schema)

@@ -91,6 +91,17 @@ def test_substring_dedup_with_wide_hashes(docs, monkeypatch):
     assert table(out.withColumn("s", F.sha2("kept_text", 256)), "doc_id", "n_words", "n_removed", "s") == brute.substring_dedup(CORPUS)
 
 
+def test_substring_dedup_one_block_a_task(spark, monkeypatch):
+    """Blocks of one size give tasks of one size: no task cuts two of them."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{rng.randrange(50):02}" for _ in range(50))) for k in range(640)]
+    monkeypatch.setattr(substring_dedup.B, "BLOCK_BYTES", 640 * 199 // 64 + 1)
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(rows, SCHEMA)).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in out.groupBy("task").count().collect()]
+    assert sum(sizes) == 640 and len(sizes) == 64 and max(sizes) <= 12
+    assert table(out.withColumn("s", F.sha2("kept_text", 256)), "doc_id", "n_words", "n_removed", "s") == brute.substring_dedup(rows)
+
+
 def test_equal_hashes_dont_make_pieces_equal():
     data = np.frombuffer(b"abcabdabcabcdabd", np.uint8)
     begin, size = np.array([0, 3, 6, 9, 13]), np.array([3, 3, 3, 4, 3])
