@@ -8,6 +8,7 @@ from pathlib import Path
 from urllib.parse import urlsplit
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -452,6 +453,54 @@ def test_html_hot_host_against_brute_force(spark):
     assert sum(len(got[i].split("\n")) < len(p) for i, _, p in pages if p) > 1000
 
 
+def test_html_every_page_goes_through_the_array(spark, monkeypatch):
+    """Pages that mark their articles as well: the array finds how far their menu repeats, and their
+    articles stay whole though they share a passage."""
+    seen, runs = [], html_text.repeated_runs
+    monkeypatch.setattr(html_text, "repeated_runs", lambda dealt, *a: seen.append((dealt, runs(dealt, *a))) or seen[0][1])
+    menu, passage = " ".join(f"m{k}" for k in range(9)), " ".join(f"p{k}" for k in range(12))
+    rows = [(k, "http://h.org/", f"<nav>{menu}</nav><article><p>{passage}</p><p>own {k}</p></article><footer>f{k}</footer>") for k in range(30)]
+    out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in out.collect()} == {k: f"{passage}\nown {k}" for k in range(30)}
+    (dealt, found), counts = seen[0], {}
+    for r in found.collect():
+        counts[r.run] = counts.get(r.run, 0) + len(r.places) // 4
+    assert dealt.count() == 30 and counts == {9: 30, 8: 30, 7: 30, 6: 30}
+
+
+def test_html_windows_keep_their_numbers():
+    """Whatever the order in which a shuffle gives the pages of a block, copies and shared keys included."""
+    rows = [(h, k, " ".join(f"{h}{k}w{j % 7}" for j in range(8 + k))) for h in ("", "a", "b") for k in range(-3, 4)] * 2
+    make = lambda r: pa.table(dict(zip(("host", "page", "outside"), map(list, zip(*r)))))
+    first = html_text.Streams(make(rows), 6)
+    random.Random(4).shuffle(rows)
+    again = html_text.Streams(make(rows), 6)
+    assert len(first.at) > 50 and np.array_equal(first.hashes, again.hashes) and np.array_equal(first.at, again.at) and again.pages == first.pages
+
+
+@pytest.mark.parametrize("held", [3, 40, 100_000])
+def test_html_common_prefixes_against_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(html_text, "HELD", held)
+    rng = random.Random(3)
+    rows = []
+    for k in range(600):
+        tokens = tuple(rng.choice((1, 1, 2)) for _ in range(rng.randint(3, 8)))
+        low = rng.randint(0, 3) if tokens[:3] != (1, 1, 1) or rng.random() < 0.1 else 0
+        rows.append((rng.choice("ab"), np.array(tokens, ">u4").tobytes(), low, low + (rng.random() < 0.05), k))
+    rows.sort(key=lambda r: r[:2])
+    schema = pa.schema([("_block", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("host", pa.string()), ("suffix", pa.binary()), ("places", pa.binary())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*((r[4], r[2], r[3], r[0], r[1], b"") for r in rows[i : i + 7])), schema)], schema=schema) for i in range(0, 600, 7)]
+    marks = pa.schema([("_block", pa.int32()), ("run", pa.int32()), ("places", pa.binary())])
+    got = [(r["_block"], r["run"]) for b in html_text._neighbours(3, 8, marks)(iter(batches)) for r in b.to_pylist()]
+    want = {}
+    for host, a, low, high, k in rows:
+        for other, b, l, h, _ in rows:
+            if host == other and {low, high, l, h} != {low} or (host == other and low != high):
+                n = next((j for j in range(0, min(len(a), len(b)), 4) if a[j : j + 4] != b[j : j + 4]), min(len(a), len(b))) // 4
+                want[k] = max(want.get(k, 0), n)
+    assert len(got) == len(dict(got)) and dict(got) == {k: n for k, n in want.items() if n >= 3}
+
+
 def test_html_odd(spark):
     rows = [(1, None, "<div>alone here</div>"), (1, None, "<div>alone here</div>"), (2, None, None), (3, "http://h/", "<p>" + "word " * 200_000), (4, "http://h/", "<b>"), (5, "http://h/", "a < b & c")]
     out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
