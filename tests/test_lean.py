@@ -47,3 +47,12 @@ def test_stages_of_a_debate_hold_no_texts(spark, monkeypatch, tmp_path, name):
     rows, size = written(spark, monkeypatch, lambda: query(spark, m.sf_dir))
     assert rows or name in ("rd13_ready", "agg13_gap_rows")
     assert size < sum(map(len, texts)) / 3
+
+
+@pytest.mark.parametrize("name", ["clu4_groups", "agg16_confidence"])
+def test_long_claims_are_not_sent_once_a_word(spark, monkeypatch, tmp_path, name):
+    texts = [noise(3000, k) for k in range(3)]
+    path = folder_of(spark, tmp_path, [*texts, texts[0] + " more"])
+    rows, size = written(spark, monkeypatch, lambda: composite.QUERIES[name](spark, path))
+    assert len(rows) == {"clu4_groups": 4, "agg16_confidence": 3}[name]
+    assert size < 15 * sum(map(len, texts))
