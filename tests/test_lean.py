@@ -56,3 +56,13 @@ def test_long_claims_are_not_sent_once_a_word(spark, monkeypatch, tmp_path, name
     rows, size = written(spark, monkeypatch, lambda: composite.QUERIES[name](spark, path))
     assert len(rows) == {"clu4_groups": 3, "agg16_confidence": 2}[name]  # the second article is not in its story
     assert size < 15 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("name", ["clu6_semantic_members", "clu7_contradictions", "clu8_candidates", "clu9_disputes"])
+def test_long_claims_of_debates_are_not_sent_once_a_word(spark, monkeypatch, tmp_path, name):
+    texts = [noise(3000, k) for k in range(3)]
+    path = folder_of(spark, tmp_path, [*texts, texts[0] + " more"])
+    rows = [(k, [1.0, 0.5], 0) for k in range(100, 104)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    _, size = written(spark, monkeypatch, lambda: composite.QUERIES[name](spark, path))
+    assert size < 60 * sum(map(len, texts))
