@@ -66,3 +66,13 @@ def test_long_claims_of_debates_are_not_sent_once_a_word(spark, monkeypatch, tmp
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     _, size = written(spark, monkeypatch, lambda: composite.QUERIES[name](spark, path))
     assert size < 60 * sum(map(len, texts))
+
+
+def test_languages_shuffle_no_word_of_each_text(spark, monkeypatch, tmp_path):
+    vocabulary = noise(2000).split()
+    r = random.Random(3)
+    texts = [" ".join(r.sample(vocabulary, 1500)) for _ in range(20)]
+    path = folder_of(spark, tmp_path, texts)
+    rows, size = written(spark, monkeypatch, lambda: stages.language.detect(*(lambda d: (d.select("id", "text"), stages.language.train(d)))(Model(spark, path).table("documents").selectExpr("doc_id as id", "text", "lang as language"))))
+    assert len(rows) == 20 and {x.language for x in rows} == {"en"}
+    assert size < 4 * sum(map(len, texts))
