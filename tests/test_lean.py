@@ -76,3 +76,19 @@ def test_languages_shuffle_no_word_of_each_text(spark, monkeypatch, tmp_path):
     rows, size = written(spark, monkeypatch, lambda: stages.language.detect(*(lambda d: (d.select("id", "text"), stages.language.train(d)))(Model(spark, path).table("documents").selectExpr("doc_id as id", "text", "lang as language"))))
     assert len(rows) == 20 and {x.language for x in rows} == {"en"}
     assert size < 4 * sum(map(len, texts))
+
+
+def test_only_likely_pairs_get_features(spark):
+    """Of pairs with a shared term those go on that a basis may hold for, and scores stay."""
+    r = random.Random(4)
+    words, names = [f"w{k}" for k in range(14)], [f"n{k}" for k in range(9)]
+    some = lambda of, most: r.sample(of, r.randint(0, most))
+    rows = [(k, 3600 * k, some(words, 7), some(names, 3), [], r.choice(["en", "de", None]), [r.random(), r.random() - 0.5]) for k in range(120)]
+    f = spark.createDataFrame(rows, "article_id long, time_s long, terms array<string>, entities array<string>, topics array<string>, language string, embedding array<double>")
+    stories = composite.stories
+    every, likely = stories.candidate_pairs(f, f, semantic=True), stories.likely_pairs(f, f)
+    assert likely.count() < 0.9 * every.count()
+    times = f.select("article_id", "time_s")
+    both = times.toDF("a_id", "a_t").crossJoin(times.toDF("b_id", "b_t")).where("a_id <> b_id and abs(a_t - b_t) <= 172800").select("a_id", "b_id")
+    shown = lambda pairs: sorted(map(repr, stories.scored_pairs(pairs, f, f).collect()))
+    assert shown(likely) == shown(every) == shown(both) != []
